@@ -288,3 +288,265 @@ SELECT accession, row_number() OVER (ORDER BY ('0x' || substr(md5(concat('42', '
 FROM catalog WHERE starts_with(accession, 'GCF')"""))
 def q_w1(spark, sf):
     return C.shuffle(C.refseq_only(X.catalog(spark, sf)).select("accession"), "accession", seed=42)
+
+
+# ============================================================== corpus side
+
+from seqloom.functions.text import PY_WHITESPACE_CLASS  # noqa: E402
+from seqloom.operators import corpus as K  # noqa: E402
+from seqloom.operators import layout as L  # noqa: E402
+from seqloom.session import durable  # noqa: E402
+
+WS = PY_WHITESPACE_CLASS + "+"
+MAX_VOCAB = 65533
+SPLIT_SEED = 42
+VAL_FRAC = 0.03
+BLOCK = 1024
+
+
+class CorpusFlow:
+    """The corpus chain of one (session, folder): reduce, vocabulary, encode, split, frame, pack."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+        self.docs = X.corpus(spark, sf)
+        reduced, kept = K.reduce_vocab(self.docs, MAX_VOCAB)
+        # shared by several actions below: materialise once in the checkpoint folder
+        self.reduced, self.kept = durable(reduced), durable(kept)
+        self.vocab = durable(K.build_vocab(self.kept))
+        self.encoded = durable(K.encode(self.reduced, self.vocab))
+        self.max_len = int(K.max_len(self.reduced).first()["max_len"])
+        self.splits = L.split_exact(self.reduced.select("doc_id"), "doc_id", VAL_FRAC, SPLIT_SEED)
+        self.framed = L.frame_and_pad(self.encoded.join(self.splits, "doc_id"), self.max_len)
+        self._blocks = None
+
+    @property
+    def blocks(self):
+        if self._blocks is None:
+            self._blocks = L.pack(self.framed, BLOCK, ["order_key"])
+        return self._blocks
+
+
+def flow(spark, sf) -> CorpusFlow:
+    return X._cached(spark, sf, "corpus_flow", lambda: CorpusFlow(spark, sf))
+
+
+def _ids_str(col="ids"):
+    return F.array_join(F.col(col), " ")
+
+
+_CORPUS_CTES = [
+    ("toks", f"""SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> '') AS l FROM corpus)"""),
+    ("counts", "SELECT token, count(*) AS n FROM toks GROUP BY token"),
+    ("kept", f"SELECT token, n FROM counts ORDER BY n DESC, token LIMIT {MAX_VOCAB}"),
+    ("reduced", """SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM toks
+  WHERE token IN (SELECT token FROM kept) GROUP BY doc_id"""),
+    ("vocab", """SELECT token, max(id) AS id FROM (
+  SELECT '[PAD]' AS token, 0 AS id UNION ALL SELECT '[EOS]', 1 UNION ALL SELECT '[SOS]', 2
+  UNION ALL SELECT token, row_number() OVER (ORDER BY token) + 2 FROM kept) GROUP BY token"""),
+    ("enc_toks", """SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (
+  SELECT doc_id, string_split(text, ' ') AS l FROM reduced)"""),
+    ("encoded", """SELECT e.doc_id, list(v.id ORDER BY e.pos) AS ids FROM enc_toks e JOIN vocab v ON e.token = v.token
+  GROUP BY e.doc_id"""),
+    ("splits", f"""SELECT doc_id, order_key, CASE WHEN order_key < k THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5(concat('{SPLIT_SEED}', ':', CAST(doc_id AS VARCHAR))), 1, 15))::BIGINT,
+                                    doc_id) - 1 AS order_key,
+         ceil({VAL_FRAC}::DOUBLE * count(*) OVER ()) AS k FROM reduced)"""),
+    ("maxlen", "SELECT max(length(text) - length(replace(text, ' ', '')) + 1) AS m FROM reduced"),
+    ("framed", """SELECT e.doc_id, s.split, s.order_key,
+       list_concat([2], e.ids, [1], list_transform(range(greatest((SELECT m FROM maxlen) - len(e.ids) - 2, 0)), lambda x: 0)) AS ids
+  FROM encoded e JOIN splits s ON e.doc_id = s.doc_id"""),
+    ("stream", """SELECT split, off + i - 1 AS pos, ids[i] AS id FROM (
+  SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY order_key
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+         unnest(generate_series(1, len(ids))) AS i FROM framed)"""),
+]
+_CORPUS_NAMES = [n for n, _ in _CORPUS_CTES]
+
+
+def CV(body: str) -> str:
+    """Oracle SQL over the corpus chain: includes the corpus CTEs the body needs."""
+    import re as _re
+    need = set()
+    stack = [n for n in _CORPUS_NAMES if _re.search(rf"\b{n}\b", body)]
+    sql = dict(_CORPUS_CTES)
+    while stack:
+        n = stack.pop()
+        if n in need:
+            continue
+        need.add(n)
+        stack += [m for m in _CORPUS_NAMES if m != n and _re.search(rf"\b{m}\b", sql[n])]
+    return V(body, extra=[(n, sql[n]) for n in _CORPUS_NAMES if n in need])
+
+
+@register("p11_row_slice", V("""
+SELECT genomic_accession, start, product_accession FROM feature_table WHERE feature = 'CDS'
+ORDER BY genomic_accession, start LIMIT 4 OFFSET 20"""))
+def q_p11(spark, sf):
+    cds = A.feature_rows(X.feature_table(spark, sf), "CDS")
+    return K.row_slice(cds, 20, 24, ["genomic_accession", "start"])
+
+
+@register("p12_clean_tokens", V("""
+SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda t: NOT contains(t, '_')), ' ') AS text
+FROM token_clean_input"""))
+def q_p12(spark, sf):
+    return K.clean_tokens(X.token_clean_input(spark, sf))
+
+
+@register("p12_clean_gene_lines", V("""
+SELECT accession, array_to_string(list_filter(string_split(accession || ': ' || genes, ' '),
+                                              lambda t: NOT contains(t, '_')), ' ') AS text
+FROM (SELECT accession, string_agg(label, ' ' ORDER BY ord) AS genes FROM labelled WHERE label IS NOT NULL
+      GROUP BY accession)"""))
+def q_p12_lines(spark, sf):
+    s = A.gene_sentence(labelled(spark, sf))
+    lines = s.select("accession", F.concat("accession", F.lit(": "), "genes").alias("text"))
+    return K.clean_tokens(lines)
+
+
+@register("p13_drop_text", CV("""
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS len FROM encoded"""))
+def q_p13(spark, sf):
+    f = flow(spark, sf)
+    enc = K.encode(f.reduced, f.vocab)
+    return K.drop_columns(enc.join(f.reduced, "doc_id"), "text", "ids")
+
+
+@register("a1_unique_tokens", CV("SELECT DISTINCT token FROM toks"))
+def q_a1(spark, sf):
+    return K.unique_tokens(X.corpus(spark, sf))
+
+
+@register("a2_vocab_size", CV("SELECT count(DISTINCT token) AS vocab_size FROM toks"))
+def q_a2(spark, sf):
+    return K.vocab_size(X.corpus(spark, sf))
+
+
+_LEN = "(length(text) - length(replace(text, ' ', '')) + 1)"
+
+
+@register("a3_length_stats", V(f"""
+SELECT min({_LEN}) AS min_len, max({_LEN}) AS max_len, round(avg({_LEN}), 6) AS avg_len,
+       round(median({_LEN}), 6) AS median_len FROM corpus"""))
+def q_a3(spark, sf):
+    return K.length_stats(X.corpus(spark, sf))
+
+
+@register("a4_longest", V(f"""
+SELECT row_number() OVER (ORDER BY n_tokens) - 1 AS pos, n_tokens FROM (
+  SELECT {_LEN} AS n_tokens FROM corpus ORDER BY n_tokens DESC LIMIT 20)"""))
+def q_a4(spark, sf):
+    return K.longest(X.corpus(spark, sf), 20)
+
+
+@register("a5_max_len", CV("SELECT m AS max_len FROM maxlen"))
+def q_a5(spark, sf):
+    return K.max_len(flow(spark, sf).reduced)
+
+
+@register("a6_split_sizes", CV("SELECT split, count(*) AS n FROM splits GROUP BY split"))
+def q_a6(spark, sf):
+    return L.split_sizes(flow(spark, sf).splits)
+
+
+@register("a7_packed_length", CV("SELECT split, CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM framed GROUP BY split"))
+def q_a7(spark, sf):
+    return L.packed_length(flow(spark, sf).framed)
+
+
+@register("a8_reduce_vocab", CV("SELECT doc_id, text FROM reduced"))
+def q_a8(spark, sf):
+    return flow(spark, sf).reduced
+
+
+@register("a8_kept_tokens", CV("SELECT token, n FROM kept"))
+def q_a8_kept(spark, sf):
+    return flow(spark, sf).kept
+
+
+@register("w3_dense_index", CV("SELECT token, CAST(id AS BIGINT) AS id FROM vocab"))
+def q_w3(spark, sf):
+    return flow(spark, sf).vocab
+
+
+@register("j4_encode", CV("""
+SELECT doc_id, array_to_string(ids, ' ') AS ids, CAST(len(ids) AS BIGINT) AS len FROM encoded"""))
+def q_j4(spark, sf):
+    f = flow(spark, sf)
+    return f.encoded.select("doc_id", _ids_str().alias("ids"), "len")
+
+
+@register("j4_encode_join", CV("""
+SELECT doc_id, array_to_string(ids, ' ') AS ids, CAST(len(ids) AS BIGINT) AS len FROM encoded"""))
+def q_j4_join(spark, sf):
+    f = flow(spark, sf)
+    return K.encode(f.reduced, f.vocab, strategy="join").select("doc_id", _ids_str().alias("ids"), "len")
+
+
+@register("j5_decode", CV("SELECT doc_id, text FROM reduced"))
+def q_j5(spark, sf):
+    f = flow(spark, sf)
+    return K.decode(f.encoded, f.vocab).select("doc_id", "text")
+
+
+@register("w2_split_exact", CV("SELECT doc_id, split, order_key FROM splits"))
+def q_w2(spark, sf):
+    return flow(spark, sf).splits
+
+
+@register("w4_frame_and_pad", CV("""
+SELECT doc_id, split, CAST(len(ids) AS BIGINT) AS len, md5(array_to_string(ids, ' ')) AS ids_md5 FROM framed"""))
+def q_w4(spark, sf):
+    f = flow(spark, sf)
+    return f.framed.select("doc_id", "split", "len", F.md5(_ids_str()).alias("ids_md5"))
+
+
+@register("w5_pack", CV(f"""
+SELECT split, pos // {BLOCK} AS block_id, count(*) AS n,
+       md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos)) AS ids_md5
+FROM stream GROUP BY split, pos // {BLOCK}"""))
+def q_w5(spark, sf):
+    b = flow(spark, sf).blocks
+    return b.select("split", "block_id", "n", F.md5(_ids_str()).alias("ids_md5"))
+
+
+@register("w6_contiguous_shards", CV("""
+SELECT split, shard, min(row) AS first_row, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+  SELECT split, row, n, CASE WHEN row < (d + 1) * md THEN row // (d + 1) ELSE md + (row - (d + 1) * md) // d END AS shard
+  FROM (SELECT split, row, n, cnt // least(1024, cnt) AS d, cnt % least(1024, cnt) AS md FROM (
+    SELECT split, row_number() OVER (PARTITION BY split ORDER BY order_key) - 1 AS row, len(ids) AS n,
+           count(*) OVER (PARTITION BY split) AS cnt FROM framed)))
+GROUP BY split, shard"""))
+def q_w6(spark, sf):
+    f = flow(spark, sf)
+    sh = L.contiguous_shards(f.framed, ["order_key"], 1024)
+    return sh.groupBy("split", "shard").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_rows"),
+                                            F.sum("len").cast("bigint").alias("n_tokens"))
+
+
+W7_DRAWS, W7_SEED = 64, 7
+
+
+@register("w7_sample_blocks", CV(f"""
+SELECT d.draw_id, d.start,
+       md5(string_agg(CAST(s.id AS VARCHAR), ' ' ORDER BY s.pos) FILTER (WHERE s.pos < d.start + {BLOCK})) AS x_md5,
+       md5(string_agg(CAST(s.id AS VARCHAR), ' ' ORDER BY s.pos) FILTER (WHERE s.pos > d.start)) AS y_md5
+FROM (SELECT draw_id, ('0x' || substr(md5(concat('{W7_SEED}', ':', 'train', ':', CAST(draw_id AS VARCHAR))), 1, 15))::BIGINT
+                      % ((SELECT count(*) FROM stream WHERE split = 'train') - {BLOCK}) AS start
+      FROM range(0, {W7_DRAWS}) t(draw_id)) d
+JOIN stream s ON s.split = 'train' AND s.pos BETWEEN d.start AND d.start + {BLOCK}
+GROUP BY d.draw_id, d.start"""))
+def q_w7(spark, sf):
+    b = flow(spark, sf).blocks
+    s = L.sample_blocks(b, "train", W7_DRAWS, BLOCK, W7_SEED)
+    return s.select("draw_id", "start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
+
+
+@register("w8_crop_tail", CV("""
+SELECT doc_id, array_to_string(CASE WHEN len(ids) <= 16 THEN ids ELSE ids[len(ids) - 15:] END, ' ') AS tail
+FROM encoded"""))
+def q_w8(spark, sf):
+    e = L.crop_tail(flow(spark, sf).encoded, 16, out="tail")
+    return e.select("doc_id", _ids_str("tail").alias("tail"))
