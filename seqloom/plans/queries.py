@@ -550,3 +550,237 @@ FROM encoded"""))
 def q_w8(spark, sf):
     e = L.crop_tail(flow(spark, sf).encoded, 16, out="tail")
     return e.select("doc_id", _ids_str("tail").alias("tail"))
+
+
+# ============================================================== scoring and evaluation
+
+from seqloom.functions.hashing import hash_int as _hash_int  # noqa: E402
+from seqloom.operators import evaluate as E  # noqa: E402
+from seqloom.operators import scoring as N  # noqa: E402
+
+
+def _r(c, n=6):
+    return F.round(F.col(c), n).alias(c)
+
+
+def logits_table(spark, sf):
+    """Logits from the embeddings table: one row per (vector, dimension), scaled by 10."""
+    e = X.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "v")).select(
+        "row_id", F.col("token_id").cast("bigint").alias("token_id"), (F.col("v").cast("double") * 10).alias("logit"))
+
+
+def targets_table(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"),
+                    F.when(F.col("label") == 0, F.lit(-1)).otherwise(F.col("label")).cast("bigint").alias("target"))
+
+
+_SCORE_CTES = [
+    ("logits", """SELECT vec_id AS row_id, CAST(i - 1 AS BIGINT) AS token_id, CAST(embedding[i] AS DOUBLE) * 10 AS logit
+FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)"""),
+    ("targets", "SELECT vec_id AS row_id, CAST(CASE WHEN label = 0 THEN -1 ELSE label END AS BIGINT) AS target FROM embeddings"),
+    ("row_loss", """SELECT t.row_id, m.lse - l.logit AS loss FROM targets t
+JOIN (SELECT row_id, max(logit) + ln(sum(exp(logit - mx))) AS lse FROM
+      (SELECT *, max(logit) OVER (PARTITION BY row_id) AS mx FROM logits) GROUP BY row_id) m ON t.row_id = m.row_id
+LEFT JOIN logits l ON l.row_id = t.row_id AND l.token_id = t.target
+WHERE t.target <> -1"""),
+]
+
+
+def SV(body: str) -> str:
+    import re as _re
+    used = [n for n, _ in _SCORE_CTES if _re.search(rf"\b{n}\b", body) or n in ("logits", "targets")]
+    return V(body, extra=[(n, s) for n, s in _SCORE_CTES if n in used])
+
+
+@register("n2_cross_entropy", SV("SELECT round(avg(loss), 6) AS loss, count(*) AS n FROM row_loss"))
+def q_n2(spark, sf):
+    ce = N.cross_entropy(logits_table(spark, sf), targets_table(spark, sf), ignore_index=-1)
+    return ce.select(_r("loss"), "n")
+
+
+@register("n3_split_loss", SV("""
+SELECT split, round(avg(loss), 6) AS loss, count(*) AS n FROM (
+  SELECT *, CASE WHEN ('0x' || substr(md5(concat('3', ':', CAST(row_id AS VARCHAR))), 1, 15))::BIGINT % 5 = 0
+                 THEN 'val' ELSE 'train' END AS split FROM row_loss) GROUP BY split"""))
+def q_n3(spark, sf):
+    rows = N.cross_entropy_rows(logits_table(spark, sf), targets_table(spark, sf))
+    rows = rows.withColumn("split", F.when(_hash_int(3, "row_id") % 5 == 0, "val").otherwise("train"))
+    return N.split_loss(rows).select("split", _r("loss"), "n")
+
+
+@register("n4_softmax", SV("""
+SELECT row_id, token_id, round(e / sum(e) OVER (PARTITION BY row_id), 6) AS p FROM (
+  SELECT row_id, token_id, exp((logit - max(logit) OVER (PARTITION BY row_id)) / 0.8) AS e FROM logits)"""))
+def q_n4(spark, sf):
+    return N.softmax(logits_table(spark, sf), temperature=0.8).select("row_id", "token_id", _r("p"))
+
+
+@register("n5_top_k", SV("""
+SELECT row_id, token_id, round(logit, 6) AS logit,
+       CAST(rank() OVER (PARTITION BY row_id ORDER BY logit DESC) <= 5 AS INTEGER) AS kept FROM logits"""))
+def q_n5(spark, sf):
+    lg = logits_table(spark, sf).withColumn("logit_in", F.col("logit"))
+    t = N.top_k(lg, 5)
+    return t.select("row_id", "token_id", F.round("logit_in", 6).alias("logit"), F.col("kept").cast("int").alias("kept"))
+
+
+@register("n6_sample_token", SV("""
+SELECT row_id, coalesce(min(token_id) FILTER (WHERE cum > u), max(token_id)) AS token_id FROM (
+  SELECT row_id, token_id, sum(p) OVER (PARTITION BY row_id ORDER BY token_id ROWS UNBOUNDED PRECEDING) AS cum,
+         ('0x' || substr(md5(concat('5', ':', CAST(row_id AS VARCHAR), ':', '0')), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM (SELECT row_id, token_id, e / sum(e) OVER (PARTITION BY row_id) AS p FROM (
+        SELECT row_id, token_id, exp(logit - max(logit) OVER (PARTITION BY row_id)) AS e FROM logits)))
+GROUP BY row_id"""))
+def q_n6(spark, sf):
+    return N.sample_token(N.softmax(logits_table(spark, sf)), seed=5, step=0)
+
+
+def _train_val(spark, sf):
+    f = flow(spark, sf)
+    docs = f.reduced.join(f.splits, "doc_id")
+    return docs.where(F.col("split") == "train"), docs.where(F.col("split") == "val")
+
+
+_MODEL_CTES = """
+pairs_all AS (SELECT doc_id, i AS pos, l[i] AS prev, l[i + 1] AS next FROM (
+  SELECT doc_id, l, unnest(generate_series(1, len(l) - 1)) AS i FROM (
+    SELECT doc_id, string_split(text, ' ') AS l FROM reduced) WHERE len(l) >= 2)),
+pairs_tr AS (SELECT p.* FROM pairs_all p JOIN splits s ON p.doc_id = s.doc_id WHERE s.split = 'train'),
+pairs_val AS (SELECT p.* FROM pairs_all p JOIN splits s ON p.doc_id = s.doc_id WHERE s.split = 'val'),
+model_all AS (SELECT prev, next, count(*) AS n, ln(count(*) / sum(count(*)) OVER (PARTITION BY prev)) AS logp
+              FROM pairs_all GROUP BY prev, next),
+model_tr AS (SELECT prev, next, count(*) AS n, ln(count(*) / sum(count(*)) OVER (PARTITION BY prev)) AS logp
+             FROM pairs_tr GROUP BY prev, next)"""
+
+
+def MV(body: str) -> str:
+    """Corpus-chain SQL plus the count-model CTEs."""
+    full = CV("SELECT 1 FROM reduced, splits")
+    head = full[:full.rindex("SELECT 1 FROM reduced, splits")].rstrip()
+    return head + ",\n" + _MODEL_CTES.strip() + "\n" + body.strip()
+
+
+@register("n1_next_token_counts", MV("SELECT prev, next, n, round(logp, 6) AS logp FROM model_all"))
+def q_n1(spark, sf):
+    m = N.next_token_counts(flow(spark, sf).reduced)
+    return m.select("prev", "next", "n", _r("logp"))
+
+
+N7_SEED = 11
+_U = "('0x' || substr(md5(concat('{seed}', ':', CAST(seq_id AS VARCHAR), ':', '{step}')), 1, 8))::BIGINT / 4294967296.0"
+
+
+@register("n7_continue_sequences", MV(f"""
+, c2 AS (SELECT prev, next, logp AS logit, rank() OVER (PARTITION BY prev ORDER BY logp DESC) AS rk FROM model_tr),
+c3 AS (SELECT prev, next, exp(logit - max(logit) OVER (PARTITION BY prev)) AS e FROM c2 WHERE rk <= 1),
+c4 AS (SELECT prev, next, e / sum(e) OVER (PARTITION BY prev) AS p FROM c3),
+c5 AS (SELECT prev, next, sum(p) OVER (PARTITION BY prev ORDER BY next ROWS UNBOUNDED PRECEDING) AS cum,
+              lead(next) OVER (PARTITION BY prev ORDER BY next) IS NULL AS last,
+              lag(1) OVER (PARTITION BY prev ORDER BY next) IS NULL AS first FROM c4),
+cand AS (SELECT prev, next,
+                coalesce(lag(cum) OVER (PARTITION BY prev ORDER BY next), 0.0) AS lo,
+                CASE WHEN last THEN 'inf'::DOUBLE ELSE cum END AS hi FROM c5),
+s0 AS (SELECT r.doc_id AS seq_id, string_split(r.text, ' ') AS l FROM reduced r JOIN splits s ON r.doc_id = s.doc_id
+       WHERE s.split = 'val'),
+s1 AS (SELECT seq_id, l, {_U.format(seed=N7_SEED, step=0)} AS u1, {_U.format(seed=N7_SEED, step=1)} AS u2 FROM s0),
+s2 AS (SELECT s1.*, (SELECT min(next) FROM cand c WHERE c.prev = s1.l[-1] AND c.lo <= s1.u1 AND s1.u1 < c.hi) AS t1 FROM s1),
+s3 AS (SELECT s2.*, (SELECT min(next) FROM cand c WHERE c.prev = s2.t1 AND c.lo <= s2.u2 AND s2.u2 < c.hi) AS t2 FROM s2)
+SELECT seq_id, coalesce(concat_ws(' ', t1, CASE WHEN t1 IS NOT NULL THEN t2 END), '') AS new,
+       CAST((t1 IS NOT NULL)::INT + (t1 IS NOT NULL AND t2 IS NOT NULL)::INT AS BIGINT) AS n_new FROM s3"""))
+def q_n7(spark, sf):
+    train, val = _train_val(spark, sf)
+    model = N.next_token_counts(train)
+    seqs = val.select(F.col("doc_id").alias("seq_id"), F.split("text", " ", -1).alias("tokens"))
+    out = N.continue_sequences(seqs, model, steps=2, temperature=1.0, k=1, seed=N7_SEED)
+    return out.select("seq_id", F.array_join("new", " ").alias("new"), F.size("new").cast("bigint").alias("n_new"))
+
+
+_E1_BODY = """
+SELECT {by} count(*) AS n, round(avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg((a - p) * (a - p)), 2) AS mse, round(sqrt(avg((a - p) * (a - p))), 2) AS rmse,
+       round(avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END), 6) AS mape
+FROM ({src}) {group}"""
+
+
+@register("e1_prediction_metrics", V(_E1_BODY.format(
+    by="l_returnflag,", src="SELECT l_returnflag, l_extendedprice AS a, l_quantity * 1000 AS p FROM lineitem",
+    group="GROUP BY l_returnflag")))
+def q_e1(spark, sf):
+    li = X.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("actual"),
+                                               (F.col("l_quantity") * 1000).alias("predicted"))
+    m = E.prediction_metrics(li, by=["l_returnflag"])
+    return m.select("l_returnflag", "n", _r("accuracy"), _r("mse", 2), _r("rmse", 2), _r("mape"))
+
+
+@register("e1_label_metrics", V(_E1_BODY.format(
+    by="", src="SELECT CAST(quality AS DOUBLE) AS a, CAST(1 - toxic AS DOUBLE) AS p FROM labels", group="")))
+def q_e1_labels(spark, sf):
+    lb = X.table(spark, sf, "labels").select(F.col("quality").alias("actual"), (1 - F.col("toxic")).alias("predicted"))
+    m = E.prediction_metrics(lb)
+    return m.select("n", _r("accuracy"), _r("mse", 2), _r("rmse", 2), _r("mape"))
+
+
+_WS_LIST = f"list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> '')"
+_E2_CTES = [
+    ("g_tok", f"SELECT DISTINCT doc_id, unnest({_WS_LIST}) AS token FROM generated_corpus"),
+    ("r_tok", f"SELECT DISTINCT unnest({_WS_LIST}) AS token FROM real_corpus"),
+    ("g_pair", f"""SELECT DISTINCT doc_id, l[i] || ' ' || l[i + 1] AS pair FROM (
+  SELECT doc_id, l, unnest(generate_series(1, len(l) - 1)) AS i FROM (SELECT doc_id, {_WS_LIST} AS l FROM generated_corpus)
+  WHERE len(l) >= 2)"""),
+    ("r_pair", f"""SELECT DISTINCT l[i] || ' ' || l[i + 1] AS pair FROM (
+  SELECT l, unnest(generate_series(1, len(l) - 1)) AS i FROM (SELECT {_WS_LIST} AS l FROM real_corpus) WHERE len(l) >= 2)"""),
+]
+
+
+@register("e2_corpus_similarity", V("""
+SELECT g.doc_id, coalesce(t.n_tokens, 0) AS n_tokens, coalesce(t.n_tokens_real, 0) AS n_tokens_real,
+       coalesce(p.n_pairs, 0) AS n_pairs, coalesce(p.n_pairs_real, 0) AS n_pairs_real,
+       round(CASE WHEN t.n_tokens > 0 THEN t.n_tokens_real / t.n_tokens END, 6) AS token_share,
+       round(CASE WHEN p.n_pairs > 0 THEN p.n_pairs_real / p.n_pairs END, 6) AS pair_share
+FROM (SELECT doc_id FROM generated_corpus) g
+LEFT JOIN (SELECT doc_id, count(*) AS n_tokens, count(r.token) AS n_tokens_real FROM g_tok
+           LEFT JOIN r_tok r USING (token) GROUP BY doc_id) t ON g.doc_id = t.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n_pairs, count(r.pair) AS n_pairs_real FROM g_pair
+           LEFT JOIN r_pair r USING (pair) GROUP BY doc_id) p ON g.doc_id = p.doc_id""", extra=_E2_CTES))
+def q_e2(spark, sf):
+    s = E.corpus_similarity(X.generated_corpus(spark, sf), X.real_corpus(spark, sf))
+    return s.select("doc_id", "n_tokens", "n_tokens_real", "n_pairs", "n_pairs_real", _r("token_share"), _r("pair_share"))
+
+
+@register("e2_corpus_jaccard", V("""
+SELECT count(g.token) AS n_generated, count(r.token) AS n_real,
+       count(*) FILTER (WHERE g.token IS NOT NULL AND r.token IS NOT NULL) AS n_common, count(*) AS n_union,
+       round(count(*) FILTER (WHERE g.token IS NOT NULL AND r.token IS NOT NULL) / count(*), 6) AS jaccard
+FROM (SELECT DISTINCT token FROM g_tok) g FULL JOIN r_tok r ON g.token = r.token""", extra=_E2_CTES))
+def q_e2_jaccard(spark, sf):
+    j = E.corpus_jaccard(X.generated_corpus(spark, sf), X.real_corpus(spark, sf))
+    return j.select("n_generated", "n_real", "n_common", "n_union", _r("jaccard"))
+
+
+@register("e3_continuation_accuracy", MV("""
+, best AS (SELECT prev, next AS guess FROM (
+  SELECT prev, next, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS rn FROM model_tr) WHERE rn = 1)
+SELECT p.pos, count(*) AS n, count(*) FILTER (WHERE b.guess = p.next) AS hits,
+       round(count(*) FILTER (WHERE b.guess = p.next) / count(*), 6) AS accuracy
+FROM pairs_val p LEFT JOIN best b ON p.prev = b.prev GROUP BY p.pos"""))
+def q_e3(spark, sf):
+    train, val = _train_val(spark, sf)
+    acc = E.continuation_accuracy(val, N.next_token_counts(train))
+    return acc.select(F.col("pos").cast("bigint").alias("pos"), "n", "hits", _r("accuracy"))
+
+
+@register("e4_operons", V("""
+SELECT genomic_accession, strand, min(start) AS start, max("end") AS "end", count(*) AS n_genes,
+       string_agg(locus_tag, ' ' ORDER BY start) AS genes,
+       to_json(struct_pack(genomic_accession := genomic_accession, strand := strand, start := min(start),
+                           "end" := max("end"), genes := list(locus_tag ORDER BY start))) AS operon
+FROM (SELECT *, sum(nr) OVER (PARTITION BY genomic_accession, strand ORDER BY start, "end", locus_tag
+                              ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN lag("end") OVER w IS NULL OR start - lag("end") OVER w > 50 THEN 1 ELSE 0 END AS nr
+  FROM feature_table WHERE feature = 'gene'
+  WINDOW w AS (PARTITION BY genomic_accession, strand ORDER BY start, "end", locus_tag)))
+GROUP BY genomic_accession, strand, run"""))
+def q_e4(spark, sf):
+    return E.operons(X.feature_table(spark, sf), max_gap=50)
