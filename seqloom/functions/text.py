@@ -17,10 +17,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same characters as a plain string: every one is mapped to a space with
+# ``translate`` (a character table, no regex), then the text splits on the literal space.
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def whitespace_tokens(col) -> Column:
-    """Split on whitespace runs and drop empties (vocabulary tokenizer)."""
-    parts = F.split(_c(col), PY_WHITESPACE_CLASS + "+")
-    return F.filter(parts, lambda t: t != F.lit(""))
+    """Split on whitespace runs and drop empties (vocabulary tokenizer, like ``str.split()``)."""
+    spaced = F.translate(_c(col), PY_WHITESPACE_CHARS, " " * len(PY_WHITESPACE_CHARS))
+    return F.filter(F.split(spaced, " ", -1), lambda t: t != F.lit(""))
 
 
 def single_space_tokens(col) -> Column:

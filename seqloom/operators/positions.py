@@ -28,6 +28,9 @@ _PID = "_sl_pid"
 _LIDX = "_sl_lidx"
 _LCUM = "_sl_lcum"
 
+# Largest per-group table shipped whole to every task (one key and one long per group).
+BROADCAST_GROUPS = 2_000_000
+
 
 def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -79,7 +82,9 @@ def dense_index_within(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     spread over many tasks; the per-group start joins back with AQE skew handling.
     """
     g = dense_index(df, list(group_cols) + list(order_cols), out="_sl_g", partitions=partitions)
-    firsts = g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0"))
+    firsts = durable(g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0")))
+    if firsts.count() <= BROADCAST_GROUPS:
+        firsts = F.broadcast(firsts)
     return (
         g.join(firsts, list(group_cols))
         .withColumn(out, F.col("_sl_g") - F.col("_sl_g0") + F.lit(start).cast("long"))

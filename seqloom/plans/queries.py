@@ -784,3 +784,137 @@ FROM (SELECT *, sum(nr) OVER (PARTITION BY genomic_accession, strand ORDER BY st
 GROUP BY genomic_accession, strand, run"""))
 def q_e4(spark, sf):
     return E.operons(X.feature_table(spark, sf), max_gap=50)
+
+
+# ============================================================== sources, sinks, streaming (round trips)
+
+from seqloom.session import scratch_path  # noqa: E402
+from seqloom.sources import readers as R  # noqa: E402
+from seqloom.sources import sinks as S  # noqa: E402
+from seqloom.streaming import ingest as ST  # noqa: E402
+
+
+@register("s1_read_catalog", V("SELECT accession, assembly_name, organism, gene_total FROM catalog"))
+def q_s1(spark, sf):
+    path = scratch_path(spark, "catalog")
+    cat = X.catalog(spark, sf).select(*[F.col(c).alias(h) for c, h in zip(
+        ["accession", "assembly_name", "organism", "gene_total"], R.CATALOG_HEADER)])
+    cat.write.option("sep", "\t").option("header", True).csv(path)
+    return R.read_catalog(spark, path)
+
+
+@register("s2_read_gene_info", V("SELECT gene_id, symbol FROM symtab"))
+def q_s2(spark, sf):
+    path = scratch_path(spark, "gene_info")
+    gi = X.gene_info(spark, sf).select(F.lit("9606").alias("#tax_id"), F.col("gene_id").alias("GeneID"),
+                                       F.coalesce("symbol", F.lit("NA")).alias("Symbol"),
+                                       F.lit("-").alias("LocusTag"), "ord")
+    gi.repartitionByRange("ord").sortWithinPartitions("ord").drop("ord") \
+        .write.option("sep", "\t").option("header", True).csv(path)
+    back = R.read_gene_info(spark, path)
+    return A.symbol_table(back).select("gene_id", F.nullif("symbol", F.lit("")).alias("symbol"))
+
+
+@register("s3_read_gene_go", V("SELECT gene_id, array_to_string(go_terms, ':') AS go FROM gene_go"))
+def q_s3(spark, sf):
+    path = scratch_path(spark, "gene_go")
+    m = A.gene2go_map(X.gene2go(spark, sf))
+    m.select(F.to_json(F.create_map("gene_id", "go_terms")).alias("value")).write.text(path)
+    return R.read_gene_go(spark, path).select("gene_id", F.array_join("go_terms", ":").alias("go"))
+
+
+@register("s4_read_cds_fasta", V("SELECT accession, ord, header, seq FROM cds"))
+def q_s4(spark, sf):
+    path = scratch_path(spark, "cds_fasta")
+    S.write_fasta(X.cds_records(spark, sf), path)
+    return R.read_cds_fasta(spark, path)
+
+
+_FT_COLS = ", ".join(f'"{n}"' if n == "end" else n for n, _ in R.FEATURE_TABLE_FIELDS)
+
+
+@register("s5_read_feature_table", V(f"SELECT {_FT_COLS} FROM feature_table"))
+def q_s5(spark, sf):
+    path = scratch_path(spark, "feature_table")
+    ft = X.feature_table(spark, sf)
+    ft.select(*[F.col(n).alias(h) for (n, _), h in zip(R.FEATURE_TABLE_FIELDS, R.FEATURE_TABLE_HEADER)]) \
+        .write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return R.read_feature_table(spark, path)
+
+
+@register("s6_read_gff", V('SELECT seqid, source, type, start, "end", score, strand, phase, attributes FROM gff'))
+def q_s6(spark, sf):
+    path = scratch_path(spark, "gff")
+    X.gff(spark, sf).write.option("sep", "\t").option("header", False).csv(path)
+    return R.read_gff(spark, path)
+
+
+@register("s7_read_corpus", CV("""
+SELECT r.doc_id, r.text FROM reduced r JOIN splits s ON r.doc_id = s.doc_id WHERE s.split = 'val'"""))
+def q_s7(spark, sf):
+    path = scratch_path(spark, "corpus")
+    f = flow(spark, sf)
+    f.reduced.join(f.splits, "doc_id").select("doc_id", "text", "split").write.partitionBy("split").parquet(path)
+    return R.read_corpus(spark, path, split="val")
+
+
+@register("s8_read_vocab", CV("SELECT token, CAST(id AS BIGINT) AS id FROM vocab"))
+def q_s8(spark, sf):
+    path = scratch_path(spark, "vocab_json")
+    kept = flow(spark, sf).kept  # bounded by MAX_VOCAB rows
+    kept.agg(F.sort_array(F.collect_list("token")).alias("id_vocab"),
+             F.count(F.lit(1)).alias("vocab_size")).coalesce(1).write.json(path)
+    return R.read_vocab(spark, path, fmt="json")
+
+
+@register("k1_write_corpus", V("""
+SELECT accession || ': ' || string_agg(label, ' ' ORDER BY ord) AS value
+FROM labelled WHERE label IS NOT NULL GROUP BY accession"""))
+def q_k1(spark, sf):
+    path = scratch_path(spark, "gene_lines")
+    S.write_corpus(A.gene_sentence(labelled(spark, sf)), path)
+    return spark.read.text(path)
+
+
+@register("k2_write_vocab", CV("SELECT token, CAST(id AS BIGINT) AS id FROM vocab"))
+def q_k2(spark, sf):
+    path = scratch_path(spark, "vocab")
+    S.write_vocab(flow(spark, sf).vocab, path)
+    return R.read_vocab(spark, f"{path}/table", fmt="parquet")
+
+
+_W5_SQL = f"""
+SELECT split, pos // {BLOCK} AS block_id, count(*) AS n,
+       md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos)) AS ids_md5
+FROM stream GROUP BY split, pos // {BLOCK}"""
+
+
+@register("k3_write_shards", CV(_W5_SQL))
+def q_k3(spark, sf):
+    path = scratch_path(spark, "shards")
+    S.write_shards(flow(spark, sf).blocks, path)
+    back = R.read_shards(spark, path)
+    return back.select("split", "block_id", "n", F.md5(_ids_str()).alias("ids_md5"))
+
+
+@register("s9_read_shards", CV(f"""
+SELECT split, pos // {BLOCK} AS block_id, CAST(count(*) AS BIGINT) AS n FROM stream GROUP BY split, pos // {BLOCK}"""))
+def q_s9(spark, sf):
+    path = scratch_path(spark, "shards")
+    S.write_shards(flow(spark, sf).blocks, path)
+    return R.read_shards(spark, path).select("split", "block_id", F.size("ids").cast("bigint").alias("n"))
+
+
+@register("st1_ingest_stream", V("""
+SELECT accession || ': ' || string_agg(label, ' ' ORDER BY ord) AS value
+FROM labelled WHERE label IS NOT NULL GROUP BY accession"""))
+def q_st1(spark, sf):
+    """Land RefSeq genomes, ingest; land GenBank genomes, ingest again; read the corpus."""
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "ingest_out", "ingest_ckpt"))
+    recs = X.cds_records(spark, sf)
+    gi = X.gene_info(spark, sf)
+    S.write_fasta(recs.where(F.col("accession").startswith("GCF")), landing)
+    ST.ingest_stream(spark, landing, gi, out, ckpt)
+    S.write_fasta(recs.where(~F.col("accession").startswith("GCF")), landing, mode="append")
+    ST.ingest_stream(spark, landing, gi, out, ckpt)
+    return ST.read_ingested(spark, out)
