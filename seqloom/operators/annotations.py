@@ -45,7 +45,7 @@ def fasta_records(lines: DataFrame) -> DataFrame:
     body = F.filter("_p", lambda x: x["_h"] == 0)
     return grouped.select(
         "accession", "ord",
-        F.element_at(head, 1)["line"].alias("header"),
+        F.try_element_at(head, F.lit(1))["line"].alias("header"),
         F.array_join(F.transform(body, lambda x: x["line"]), "").alias("seq"),
     )
 
