@@ -155,6 +155,25 @@ def gene_sentence(labelled: DataFrame) -> DataFrame:
     return _assemble(labelled, F.col("label"), " ", "genes").withColumnRenamed("n_pieces", "n_genes")
 
 
+def genome_summary(labelled: DataFrame) -> DataFrame:
+    """F7 + F4 in one pass: per genome ``genes`` (F7), ``n_genes`` and ``missed``.
+
+    Genomes without any label are absent, as in F7.
+    """
+    chunk = F.floor(F.col("ord") / F.lit(CHUNK)).cast("long")
+    lab = F.col("label")
+    first = (labelled.groupBy("accession", chunk.alias("_chunk"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(lab.isNotNull(), F.struct("ord", lab)))),
+                                           lambda x: x["label"]), " ").alias("_part"),
+                  F.count(lab).alias("_n"),
+                  F.count_if(F.col("label_source") == "missed").alias("_missed")))
+    parts = F.filter(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: F.length(x["_part"]) > 0)
+    out = first.groupBy("accession").agg(
+        F.array_join(F.transform(parts, lambda x: x["_part"]), " ").alias("genes"),
+        F.sum("_n").cast("bigint").alias("n_genes"), F.sum("_missed").cast("bigint").alias("missed"))
+    return out.where(F.col("n_genes") > 0)
+
+
 def nt_sentence(labelled: DataFrame, mode: str = "symbol") -> DataFrame:
     """F8 (mode symbol) / F9 (mode go): the genome's nucleotides, a space before each labelled gene.
 

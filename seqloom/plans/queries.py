@@ -41,8 +41,7 @@ JOIN (SELECT accession, count(*) FILTER (WHERE label_source = 'missed') AS misse
       FROM labelled GROUP BY accession) m ON s.accession = m.accession"""))
 def q_genome_sentences(spark, sf):
     """Flagship: label every CDS record, per genome the gene sentence, count and missed."""
-    lab = labelled(spark, sf)
-    return A.gene_sentence(lab).join(A.missed_genes(lab), "accession")
+    return A.genome_summary(labelled(spark, sf))
 
 
 @register("f1_fasta_records", V("""
