@@ -66,18 +66,40 @@ def symbol_table(gene_info: DataFrame) -> DataFrame:
     return gene_info.groupBy("gene_id").agg(F.max_by("symbol", "ord").alias("symbol"))
 
 
+# Lookup tables at most this many rows are shipped to every task: the records then
+# join in place (no shuffle) and rows without a key simply find no partner.
+BROADCAST_LOOKUP_ROWS = 5_000_000
+
+
+def _small(table: DataFrame) -> bool:
+    return table.count() <= BROADCAST_LOOKUP_ROWS
+
+
+def _lookup(records: DataFrame, table: DataFrame, need, fill_col: str, fill_type: str) -> DataFrame:
+    """Left lookup on ``gid`` for rows where ``need`` holds.
+
+    Small table (checked): one pass, broadcast hash join on a key that is null for rows
+    that need no lookup. Large table: only the rows that need it enter the shuffled join
+    and the others are unioned back, so key-less rows never pile up in one partition.
+    """
+    table = table.persist()
+    if _small(table):
+        keyed = records.withColumn("_sl_k", F.when(need, F.col("gid")))
+        t = F.broadcast(table.withColumnRenamed("gid", "_sl_k"))
+        return keyed.join(t, "_sl_k", "left").drop("_sl_k")
+    looked = records.where(need).join(table, "gid", "left")
+    rest = records.where(~need | need.isNull()).withColumn(fill_col, F.lit(None).cast(fill_type))
+    return looked.unionByName(rest)
+
+
 def lookup_symbol(records: DataFrame, gene_info: DataFrame) -> DataFrame:
     """Add ``symbol`` for records that need one (no gene name, GeneID present).
 
-    Only those rows enter the join; the others are unioned back with a null symbol,
-    so rows without a GeneID never pile up in one join partition. An empty symbol
-    counts as missing.
+    An empty symbol counts as missing.
     """
     need = F.col("gene").isNull() & F.col("gid").isNotNull()
     table = symbol_table(gene_info).select(F.col("gene_id").alias("gid"), F.nullif("symbol", F.lit("")).alias("symbol"))
-    looked = records.where(need).join(table, "gid", "left")
-    rest = records.where(~need | need.isNull()).withColumn("symbol", F.lit(None).cast("string"))
-    return looked.unionByName(rest)
+    return _lookup(records, table, need, "symbol", "string")
 
 
 def gene2go_map(gene2go: DataFrame) -> DataFrame:
@@ -89,11 +111,8 @@ def gene2go_map(gene2go: DataFrame) -> DataFrame:
 
 def lookup_go(records: DataFrame, gene_go: DataFrame) -> DataFrame:
     """Add ``go_terms`` by GeneID (left join; rows without GeneID skip the join)."""
-    has = F.col("gid").isNotNull()
     table = gene_go.select(F.col("gene_id").alias("gid"), "go_terms")
-    looked = records.where(has).join(table, "gid", "left")
-    rest = records.where(~has).withColumn("go_terms", F.lit(None).cast("array<string>"))
-    return looked.unionByName(rest)
+    return _lookup(records, table, F.col("gid").isNotNull(), "go_terms", "array<string>")
 
 
 # ---------------------------------------------------------------- F3 / F4 / F5 / F6

@@ -52,11 +52,21 @@ def packed_length(encoded: DataFrame, split_col: str = "split") -> DataFrame:
     return encoded.groupBy(split_col).agg(F.sum("len").cast("bigint").alias("n_tokens"))
 
 
+# Offset tables at most this many rows are shipped to every task instead of joined by shuffle.
+BROADCAST_OFFSET_ROWS = 2_000_000
+
+
 def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str = "split",
                    out: str = "offset") -> DataFrame:
-    """Start of each row in its split's concatenated stream (exclusive prefix sum of ``len``)."""
-    cum = running_sum(framed, [split_col, *order_cols], "len", out="_sl_cum")
-    totals = {r[0]: int(r[1]) for r in framed.groupBy(split_col).agg(F.sum("len")).collect()}
+    """Start of each row in its split's concatenated stream (exclusive prefix sum of ``len``).
+
+    The prefix sum runs on the narrow ``(split, order, len)`` projection only; the
+    offsets join back to the full rows (broadcast when the row count is checked small).
+    """
+    keys = [split_col, *order_cols]
+    narrow = framed.select(*keys, "len")
+    cum = running_sum(narrow, keys, "len", out="_sl_cum")
+    totals = {r[0]: int(r[1]) for r in narrow.groupBy(split_col).agg(F.sum("len")).collect()}
     start, acc = {}, 0
     for s in sorted(totals):
         start[s] = acc
@@ -64,7 +74,10 @@ def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str
     base = F.lit(0).cast("long")
     for s, v in start.items():
         base = F.when(F.col(split_col) == s, F.lit(v).cast("long")).otherwise(base)
-    return cum.withColumn(out, F.col("_sl_cum") - F.col("len") - base).drop("_sl_cum")
+    offs = cum.select(*keys, (F.col("_sl_cum") - F.col("len") - base).alias(out))
+    if offs.count() <= BROADCAST_OFFSET_ROWS:
+        offs = F.broadcast(offs)
+    return framed.join(offs, keys)
 
 
 def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order_key",),

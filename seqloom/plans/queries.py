@@ -310,10 +310,12 @@ class CorpusFlow:
         self.spark, self.sf = spark, sf
         self.docs = X.corpus(spark, sf)
         reduced, kept = K.reduce_vocab(self.docs, MAX_VOCAB)
-        # shared by several actions below: materialise once in the checkpoint folder
-        self.reduced, self.kept = durable(reduced), durable(kept)
-        self.vocab = durable(K.build_vocab(self.kept))
-        self.encoded = durable(K.encode(self.reduced, self.vocab))
+        # shared by several actions below; each is a deterministic function of its
+        # inputs (ordered regroups, total-order top-k, checkpointed ids), so a lost
+        # cached block is recomputed identically
+        self.reduced, self.kept = reduced.persist(), kept.persist()
+        self.vocab = K.build_vocab(self.kept).persist()
+        self.encoded = K.encode(self.reduced, self.vocab).persist()
         self.max_len = int(K.max_len(self.reduced).first()["max_len"])
         self.splits = L.split_exact(self.reduced.select("doc_id"), "doc_id", VAL_FRAC, SPLIT_SEED)
         self.framed = L.frame_and_pad(self.encoded.join(self.splits, "doc_id"), self.max_len)
