@@ -87,6 +87,20 @@ def token_counts(docs: DataFrame, col: str = "text") -> DataFrame:
         .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+# Kept sets up to this size are broadcast and rows are filtered in place (Arrow
+# batches, no token shuffle); larger sets use a semi-join on exploded tokens and a regroup.
+BROADCAST_KEPT_LIMIT = 1_000_000
+
+
+def _filter_tokens_udf(bc):
+    @F.pandas_udf(T.StringType())
+    def keep_only(texts: pd.Series) -> pd.Series:
+        kept = bc.value
+        return pd.Series([" ".join(t for t in x.split() if t in kept) if x is not None else ""
+                          for x in texts])
+    return keep_only
+
+
 def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key: str = "doc_id"):
     """Keep the ``max_size`` most frequent tokens (ties by token), drop the rest from rows.
 
@@ -94,6 +108,13 @@ def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key:
     with no token disappear. ``kept`` is bounded by ``max_size`` rows.
     """
     kept = token_counts(docs, col).orderBy(F.desc("n"), F.asc("token")).limit(max_size)
+    if max_size <= BROADCAST_KEPT_LIMIT:
+        spark = docs.sparkSession
+        rows = [(r["token"], r["n"]) for r in kept.collect()]  # at most max_size rows
+        bc = spark.sparkContext.broadcast(frozenset(t for t, _ in rows))
+        kept = spark.createDataFrame(rows, "token string, n bigint")
+        reduced = docs.select(key, _filter_tokens_udf(bc)(F.col(col)).alias(col)).where(F.length(col) > 0)
+        return reduced, kept
     toks = docs.select(key, F.posexplode(whitespace_tokens(col)).alias("pos", "token"))
     on = toks.join(kept.select("token"), "token", "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
