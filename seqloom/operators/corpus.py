@@ -98,7 +98,9 @@ def _filter_tokens_udf(bc):
         kept = bc.value
         return pd.Series([" ".join(t for t in x.split() if t in kept) if x is not None else ""
                           for x in texts])
-    return keep_only
+    # non-deterministic for the optimizer only: stops a later filter on the result from
+    # being pushed below it, which would evaluate the UDF twice per row
+    return keep_only.asNondeterministic()
 
 
 def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key: str = "doc_id"):
