@@ -18,7 +18,7 @@ PAD_ID, EOS_ID, SOS_ID = 0, 1, 2
 
 # Largest vocabulary that encode ships to executors as a lookup table; beyond it the
 # encoder joins token rows against the vocabulary instead.
-BROADCAST_VOCAB_LIMIT = 1_000_000
+BROADCAST_VOCAB_LIMIT = 500_000
 
 
 def _c(col) -> Column:
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, col: str = "text") -> DataFrame:
 
 # Kept sets up to this size are broadcast and rows are filtered in place (Arrow
 # batches, no token shuffle); larger sets use a semi-join on exploded tokens and a regroup.
-BROADCAST_KEPT_LIMIT = 1_000_000
+BROADCAST_KEPT_LIMIT = 500_000
 
 
 def _filter_tokens_udf(bc):

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread ``df`` on ``key`` when it arrives in fewer partitions than the session
+    can run at once (e.g. one small file with one row group); a no-op for wide inputs."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
     if key not in _CACHE:
@@ -197,18 +206,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(
         (F.lit(CONV_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
         F.replace(F.col("text"), nl, F.lit(" ")).alias("text"))
-    return d.unionByName(c)
+    return spread(d.unionByName(c), "doc_id")
 
 
 def real_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text")), "doc_id")
 
 
 def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
-        F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
+        F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text")), "doc_id")
 
 
 def token_clean_input(spark: SparkSession, sf_dir: str) -> DataFrame:
