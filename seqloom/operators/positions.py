@@ -82,7 +82,8 @@ def dense_index_within(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     spread over many tasks; the per-group start joins back with AQE skew handling.
     """
     g = dense_index(df, list(group_cols) + list(order_cols), out="_sl_g", partitions=partitions)
-    firsts = durable(g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0")))
+    # derived from checkpointed rows, so a recomputed block is identical: persist is enough
+    firsts = g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0")).persist()
     if firsts.count() <= BROADCAST_GROUPS:
         firsts = F.broadcast(firsts)
     return (
