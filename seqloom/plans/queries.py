@@ -115,8 +115,8 @@ def q_f9(spark, sf):
 
 @register("f10_genome_records", V("""
 SELECT c.accession,
-       to_json(struct_pack(genes := coalesce(string_split(s.genes, ' '), []::VARCHAR[]),
-                           organism := c.organism, gene_total := c.gene_total)) AS record,
+       CAST(to_json(struct_pack(genes := coalesce(string_split(s.genes, ' '), []::VARCHAR[]),
+                                organism := c.organism, gene_total := c.gene_total)) AS VARCHAR) AS record,
        CAST(coalesce(len(string_split(s.genes, ' ')), 0) AS BIGINT) AS found,
        CAST(c.gene_total AS BIGINT) AS declared
 FROM catalog c LEFT JOIN (SELECT accession, string_agg(label, ' ' ORDER BY ord) AS genes
@@ -358,7 +358,7 @@ _CORPUS_CTES = [
     ("framed", """SELECT e.doc_id, s.split, s.order_key,
        list_concat([2], e.ids, [1], list_transform(range(greatest((SELECT m FROM maxlen) - len(e.ids) - 2, 0)), lambda x: 0)) AS ids
   FROM encoded e JOIN splits s ON e.doc_id = s.doc_id"""),
-    ("stream", """SELECT split, off + i - 1 AS pos, ids[i] AS id FROM (
+    ("stream", """SELECT split, CAST(off + i - 1 AS BIGINT) AS pos, ids[i] AS id FROM (
   SELECT split, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY order_key
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
          unnest(generate_series(1, len(ids))) AS i FROM framed)"""),
@@ -775,8 +775,8 @@ def q_e3(spark, sf):
 @register("e4_operons", V("""
 SELECT genomic_accession, strand, min(start) AS start, max("end") AS "end", count(*) AS n_genes,
        string_agg(locus_tag, ' ' ORDER BY start) AS genes,
-       to_json(struct_pack(genomic_accession := genomic_accession, strand := strand, start := min(start),
-                           "end" := max("end"), genes := list(locus_tag ORDER BY start))) AS operon
+       CAST(to_json(struct_pack(genomic_accession := genomic_accession, strand := strand, start := min(start),
+                                "end" := max("end"), genes := list(locus_tag ORDER BY start))) AS VARCHAR) AS operon
 FROM (SELECT *, sum(nr) OVER (PARTITION BY genomic_accession, strand ORDER BY start, "end", locus_tag
                               ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT *, CASE WHEN lag("end") OVER w IS NULL OR start - lag("end") OVER w > 50 THEN 1 ELSE 0 END AS nr
