@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.operators.corpus import SPECIALS
-from seqloom.operators.positions import dense_index_within
 
 # Strings pandas reads as missing by default (its documented NA list).
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -113,19 +112,40 @@ def parse_fasta_records(df: DataFrame) -> DataFrame:
             .drop("_sl_body"))
 
 
+# Per-split tables at most this many rows are broadcast back to the records.
+BROADCAST_SPLITS = 2_000_000
+
+
+def file_ordinal(df: DataFrame, out: str = "ord") -> DataFrame:
+    """1-based position of each row inside its file, from ``_file, _block, _row``.
+
+    A file split is read by one task, so its rows are contiguous in one partition and
+    ``_row`` (monotonically increasing id) counts them. Per split: first ``_row`` and row
+    count (a table of one row per split), the count of earlier splits of the same file
+    (ordered by start offset), then ``ord = offset + (_row - first) + 1``. The records
+    themselves are never shuffled.
+    """
+    from pyspark.sql import Window
+
+    splits = df.groupBy("_file", "_block").agg(F.min("_row").alias("_r0"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n").persist()
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    j = df.join(splits, ["_file", "_block"])
+    return j.withColumn(out, F.col("_off") + F.col("_row") - F.col("_r0") + 1).drop("_r0", "_off")
+
+
 def read_cds_fasta(spark: SparkSession, path: str) -> DataFrame:
     """CDS FASTA files (gzip or plain) -> ``accession, ord, header, seq``.
 
     One row per record straight from the reader (``lineSep`` = newline + ``>``), no
-    line window. The accession comes from the file path; ``ord`` is the record's
-    1-based place in its file.
+    line window and no shuffle of records. The accession comes from the file path;
+    ``ord`` is the record's 1-based place in its file.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    raw = file_order(raw).where(F.length(F.trim("value")) > 0)
-    recs = parse_fasta_records(raw).withColumn("accession", F.regexp_extract("_file", ACCESSION_RE, 1))
-    ordered = dense_index_within(recs.select("accession", "_file", "_block", "_row", "header", "seq"),
-                                 ["_file"], ["_block", "_row"], out="ord", start=1)
-    return ordered.select("accession", "ord", "header", "seq")
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    recs = parse_fasta_records(file_order(raw)).withColumn("accession", F.regexp_extract("_file", ACCESSION_RE, 1))
+    return file_ordinal(recs).select("accession", "ord", "header", "seq")
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:

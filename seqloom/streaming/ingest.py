@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from seqloom.operators import annotations as A
-from seqloom.operators.positions import dense_index_within
-from seqloom.sources.readers import ACCESSION_RE, parse_fasta_records
+from seqloom.sources.readers import ACCESSION_RE, file_ordinal, parse_fasta_records
 from seqloom.sources.sinks import corpus_lines
 
 
 def _records(batch: DataFrame) -> DataFrame:
     b = batch.where(F.length(F.trim("value")) > 0).withColumn("_row", F.monotonically_increasing_id())
     recs = parse_fasta_records(b).withColumn("accession", F.regexp_extract("_file", ACCESSION_RE, 1))
-    return dense_index_within(recs.select("accession", "_file", "_block", "_row", "header", "seq"),
-                              ["_file"], ["_block", "_row"], out="ord", start=1).select("accession", "ord", "header", "seq")
+    return file_ordinal(recs).select("accession", "ord", "header", "seq")
 
 
 def _earlier_manifest(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:

@@ -83,3 +83,21 @@ def test_ingest_replay_and_duplicate_file(spark):
     lines = [r["value"] for r in ST.read_ingested(spark, out).collect()]
     assert lines == ["GCF_000000009.1: abc symA"]
     assert F is not None
+
+
+def test_read_cds_fasta_across_splits(spark):
+    d = scratch_path(spark, "t_fasta_split")
+    n = 3000
+    text = "".join(f">rec{i} [gene=g] [x]\nACGTACGTACGTACGTACGTACGT\nTTTT\n" for i in range(n))
+    _write_text(d, "GCF_000000077.1_big_cds_from_genomic.fna", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = R.read_cds_fasta(spark, d)
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == n
+    got = {r["ord"]: r["header"] for r in rows}
+    assert got == {i + 1: f">rec{i} [gene=g] [x]" for i in range(n)}
+    assert all(r["seq"] == "ACGTACGTACGTACGTACGTACGTTTTT" for r in rows)
