@@ -211,11 +211,29 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
     return out.withColumn("len", F.size("ids").cast("bigint"))
 
 
-def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str = "ids") -> DataFrame:
-    """Ids -> tokens through the real inverse of the vocabulary; ``tokens``, ``text``."""
-    exploded = encoded.select(key, F.posexplode(col).alias("pos", "id"))
-    inv = vocab.select(F.col("id").cast("int").alias("id"), "token")
-    j = exploded.join(inv, "id", "left")
-    toks = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    out = j.groupBy(key).agg(toks.alias("tokens"))
+def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str = "ids",
+           strategy: str = "auto") -> DataFrame:
+    """Ids -> tokens through the real inverse of the vocabulary; ``tokens``, ``text``.
+
+    ``table`` ships the (checked, bounded) inverse to executors and maps rows in place;
+    ``join`` explodes ids, joins and regroups (any vocabulary size).
+    """
+    if strategy == "auto":
+        strategy = "table" if vocab.count() <= BROADCAST_VOCAB_LIMIT else "join"
+    if strategy == "table":
+        inv = {int(r["id"]): r["token"] for r in vocab.select("id", "token").collect()}
+        bc = encoded.sparkSession.sparkContext.broadcast(inv)
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def lookup(ids: pd.Series) -> pd.Series:
+            m = bc.value
+            return pd.Series([[m.get(int(i)) for i in row] for row in ids])
+
+        out = encoded.select(key, lookup(col).alias("tokens"))
+    else:
+        exploded = encoded.select(key, F.posexplode(col).alias("pos", "id"))
+        inv = vocab.select(F.col("id").cast("int").alias("id"), "token")
+        j = exploded.join(inv, "id", "left")
+        toks = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
+        out = j.groupBy(key).agg(toks.alias("tokens"))
     return out.withColumn("text", F.array_join("tokens", " "))

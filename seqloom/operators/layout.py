@@ -148,7 +148,8 @@ def sample_blocks(blocks: DataFrame, split: str, n_draws: int, block_size: int,
     draws = draws.withColumn("start", s)
     req = draws.withColumn("block_id", F.explode(F.array(F.floor(F.col("start") / B).cast("long"),
                                                          F.floor(F.col("start") / B).cast("long") + 1)))
-    j = req.join(mine.select(split_col, "block_id", col), [split_col, "block_id"])
+    # the requests are 2 * n_draws rows: ship them to the blocks, never the blocks to them
+    j = mine.select(split_col, "block_id", col).join(F.broadcast(req), [split_col, "block_id"])
     buf = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_id", col))), lambda x: x[col]))
     g = j.groupBy("draw_id", "start").agg(buf.alias("_buf"))
     r = (F.col("start") % B).cast("int")

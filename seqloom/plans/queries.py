@@ -492,6 +492,12 @@ def q_j5(spark, sf):
     return K.decode(f.encoded, f.vocab).select("doc_id", "text")
 
 
+@register("j5_decode_join", CV("SELECT doc_id, text FROM reduced"))
+def q_j5_join(spark, sf):
+    f = flow(spark, sf)
+    return K.decode(f.encoded, f.vocab, strategy="join").select("doc_id", "text")
+
+
 @register("w2_split_exact", CV("SELECT doc_id, split, order_key FROM splits"))
 def q_w2(spark, sf):
     return flow(spark, sf).splits

@@ -62,7 +62,7 @@ def test_encode_decode_round_trip(spark, strategy):
     d = _docs(spark, ["b a c", "c c", "a"])
     v = K.build_vocab(K.unique_tokens(d))
     enc = K.encode(d, v, strategy=strategy)
-    back = {r["doc_id"]: r["text"] for r in K.decode(enc, v).collect()}
+    back = {r["doc_id"]: r["text"] for r in K.decode(enc, v, strategy=strategy).collect()}
     assert back == {0: "b a c", 1: "c c", 2: "a"}
     assert {r["doc_id"]: r["len"] for r in enc.collect()} == {0: 3, 1: 2, 2: 1}
 
