@@ -11,9 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.hashing import hash_int as _hash_int
+from seqloom.functions.text import PY_WHITESPACE_CLASS
 from seqloom.operators import annotations as A
 from seqloom.operators import catalog as C
+from seqloom.operators import corpus as K
+from seqloom.operators import evaluate as E
+from seqloom.operators import layout as L
+from seqloom.operators import scoring as N
 from seqloom.plans import fixtures as X
+from seqloom.session import scratch_path
+from seqloom.sources import readers as R
+from seqloom.sources import sinks as S
+from seqloom.streaming import ingest as ST
 from seqloom.plans.oracle_views import with_views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,10 +301,6 @@ def q_w1(spark, sf):
 
 # ============================================================== corpus side
 
-from seqloom.functions.text import PY_WHITESPACE_CLASS  # noqa: E402
-from seqloom.operators import corpus as K  # noqa: E402
-from seqloom.operators import layout as L  # noqa: E402
-from seqloom.session import durable  # noqa: E402
 
 WS = PY_WHITESPACE_CLASS + "+"
 MAX_VOCAB = 65533
@@ -561,9 +567,6 @@ def q_w8(spark, sf):
 
 # ============================================================== scoring and evaluation
 
-from seqloom.functions.hashing import hash_int as _hash_int  # noqa: E402
-from seqloom.operators import evaluate as E  # noqa: E402
-from seqloom.operators import scoring as N  # noqa: E402
 
 
 def _r(c, n=6):
@@ -795,10 +798,6 @@ def q_e4(spark, sf):
 
 # ============================================================== sources, sinks, streaming (round trips)
 
-from seqloom.session import scratch_path  # noqa: E402
-from seqloom.sources import readers as R  # noqa: E402
-from seqloom.sources import sinks as S  # noqa: E402
-from seqloom.streaming import ingest as ST  # noqa: E402
 
 
 @register("s1_read_catalog", V("SELECT accession, assembly_name, organism, gene_total FROM catalog"))
