@@ -86,13 +86,17 @@ def sample_token(probs: DataFrame, seed: int, step: int = 0) -> DataFrame:
 
 # ---------------------------------------------------------------- N7
 
-BUCKETS = 16
+MIN_BUCKETS = 16
+BROADCAST_CONTEXTS = 5_000_000
 
 
 def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None = None) -> DataFrame:
     """Per context token: successors after temperature, top-k and softmax, as intervals
-    ``[cum_lo, cum_hi)`` in token order (the last one open to +inf), spread over
-    ``BUCKETS`` equal slices of [0, 1) so a draw finds its token by an equi-join."""
+    ``[cum_lo, cum_hi)`` in token order (the last one open to +inf).
+
+    Each context's [0, 1) is cut into ``n_buckets`` equal slices, one per candidate (at
+    least ``MIN_BUCKETS``), and every candidate is listed under the slices it overlaps:
+    at most about twice the model's rows, and a draw meets one or two candidates."""
     lg = model.select(F.col("prev").alias("row_id"), F.col("next").alias("token_id"),
                       (F.col("logp") / F.lit(float(temperature))).alias("logit"))
     if k is not None:
@@ -103,10 +107,13 @@ def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None =
     c = (p.withColumn("_cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("cum_lo", F.coalesce(F.lag("_cum").over(w), F.lit(0.0)))
          .withColumn("cum_hi", F.when(F.lead("token_id").over(w).isNull(), F.lit(float("inf")))
-                     .otherwise(F.col("_cum"))))
-    lo_b = F.floor(F.col("cum_lo") * BUCKETS).cast("int")
-    hi_b = F.least(F.floor(F.least(F.col("cum_hi"), F.lit(1.0)) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-    return c.select("row_id", "token_id", "cum_lo", "cum_hi",
+                     .otherwise(F.col("_cum")))
+         .withColumn("n_buckets", F.greatest(F.count(F.lit(1)).over(Window.partitionBy("row_id")),
+                                             F.lit(MIN_BUCKETS)).cast("int")))
+    nb = F.col("n_buckets")
+    lo_b = F.floor(F.col("cum_lo") * nb).cast("int")
+    hi_b = F.least(F.floor(F.least(F.col("cum_hi"), F.lit(1.0)) * nb).cast("int"), nb - 1)
+    return c.select("row_id", "token_id", "cum_lo", "cum_hi", "n_buckets",
                     F.explode(F.sequence(F.least(lo_b, hi_b), hi_b)).alias("bucket"))
 
 
@@ -119,12 +126,17 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
     step is checkpointed to cut the lineage.
     """
     cand = durable(candidate_table(model, temperature, k))
+    ctx = cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct().persist()
+    if ctx.count() <= BROADCAST_CONTEXTS:
+        ctx = F.broadcast(ctx)
+    cand = cand.withColumnRenamed("row_id", "_ctx").drop("n_buckets")
     cur = seqs.select(key, col).withColumn("new", F.array().cast("array<string>")).withColumn("done", F.lit(False))
     for step in range(steps):
-        u = hash_unit(seed, F.col(key), F.lit(step))
-        q = (cur.withColumn("_u", u).withColumn("_ctx", F.element_at(col, -1))
-             .withColumn("bucket", F.floor(F.col("_u") * BUCKETS).cast("int")))
-        hit = q.join(cand.withColumnRenamed("row_id", "_ctx"), ["_ctx", "bucket"], "left") \
+        q = (cur.withColumn("_u", hash_unit(seed, F.col(key), F.lit(step)))
+             .withColumn("_ctx", F.element_at(col, -1))
+             .join(ctx, "_ctx", "left")
+             .withColumn("bucket", F.floor(F.col("_u") * F.col("n_buckets")).cast("int")))
+        hit = q.join(cand, ["_ctx", "bucket"], "left") \
             .where(F.col("token_id").isNull() | ((F.col("cum_lo") <= F.col("_u")) & (F.col("_u") < F.col("cum_hi"))))
         picked = hit.groupBy(key).agg(F.min("token_id").alias("_next"))
         nxt = cur.join(picked, key, "left")
