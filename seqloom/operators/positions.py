@@ -56,12 +56,17 @@ def _ranged(df: DataFrame, order_cols: Sequence, partitions: int | None) -> Data
 
 
 def _offsets(totals: dict[int, int], n_parts: int) -> Column:
-    """Exclusive prefix of per-partition totals as a literal lookup on the partition id."""
+    """Exclusive prefix of per-partition totals as a literal lookup on the partition id.
+
+    Written as one SQL expression (parsed once, folded into a single array literal), so
+    thousands of partitions cost one call, not one per partition.
+    """
     acc, offs = 0, []
-    for p in range(n_parts):
+    for p in range(max(n_parts, 1)):
         offs.append(acc)
         acc += int(totals.get(p, 0))
-    return F.element_at(F.array(*[F.lit(o).cast("long") for o in offs] or [F.lit(0).cast("long")]), F.col(_PID) + 1)
+    arr = ", ".join(f"{o}L" for o in offs)
+    return F.expr(f"element_at(array({arr}), {_PID} + 1)")
 
 
 def dense_index(df: DataFrame, order_cols: Sequence, out: str = "idx", start: int = 0,
