@@ -47,6 +47,16 @@ def frame_and_pad(encoded: DataFrame, max_len: int, col: str = "ids") -> DataFra
     return encoded.withColumn(col, framed).withColumn("len", F.size(col).cast("bigint"))
 
 
+def frame(encoded: DataFrame, max_len: int, col: str = "ids") -> DataFrame:
+    """W4 without materialising the padding: ``body`` = ``[SOS] + ids + [EOS]``, ``pad`` =
+    number of ``[PAD]`` ids that follow, ``len`` = size(body) + pad (same as frame_and_pad)."""
+    ids = F.col(col)
+    body = F.concat(F.array(F.lit(SOS_ID)), ids, F.array(F.lit(EOS_ID)))
+    pad = F.greatest(F.lit(max_len) - F.size(ids) - 2, F.lit(0)).cast("long")
+    return (encoded.withColumn("body", body).withColumn("pad", pad)
+            .withColumn("len", (F.size("body") + F.col("pad")).cast("bigint")).drop(col))
+
+
 def packed_length(encoded: DataFrame, split_col: str = "split") -> DataFrame:
     """Total ids per split, as BIGINT."""
     return encoded.groupBy(split_col).agg(F.sum("len").cast("bigint").alias("n_tokens"))
@@ -84,21 +94,35 @@ def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order
          split_col: str = "split", col: str = "ids") -> DataFrame:
     """Concatenate each split's rows in order and cut the stream into ``block_size`` blocks.
 
-    Output ``split, block_id, ids, n``; the last block of a split may be short.
+    Output ``split, block_id, ids, n``; the last block of a split may be short. Rows may
+    come padded (``ids``) or compact from ``frame`` (``body`` + ``pad``): compact pieces
+    carry only their real ids and a pad count through the shuffle, and the zeros are
+    written when the block is assembled.
     """
     B = int(block_size)
+    compact = "body" in framed.columns and "pad" in framed.columns
     off = stream_offsets(framed, order_cols, split_col)
     o, L = F.col("offset"), F.col("len")
     first_q, last_q = F.floor(o / B).cast("long"), F.floor((o + L - 1) / B).cast("long")
-    pieces = off.where(L > 0).select(split_col, "offset", "len", col,
-                                     F.explode(F.sequence(first_q, last_q)).alias("block_id"))
+    keep = [split_col, "offset", "len"] + (["body", "pad"] if compact else [col])
+    pieces = off.where(L > 0).select(*keep, F.explode(F.sequence(first_q, last_q)).alias("block_id"))
     q = F.col("block_id")
-    lo = F.greatest(q * B, o)
-    hi = F.least((q + 1) * B, o + L)
-    piece = F.slice(col, (lo - o + 1).cast("int"), (hi - lo).cast("int"))
-    parts = pieces.select(split_col, "block_id", "offset", piece.alias("_piece"))
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "_piece")))
-    blocks = parts.groupBy(split_col, "block_id").agg(F.flatten(F.transform(ordered, lambda x: x["_piece"])).alias(col))
+    lo = F.greatest(q * B, o) - o          # piece bounds relative to the row start
+    hi = F.least((q + 1) * B, o + L) - o
+    if compact:
+        r = F.size("body")
+        real = F.when(lo < r, F.slice("body", (lo + 1).cast("int"), (F.least(hi, r) - lo).cast("int"))) \
+            .otherwise(F.array().cast("array<int>"))
+        npad = F.greatest(hi - F.greatest(lo, r), F.lit(0)).cast("int")
+        parts = pieces.select(split_col, "block_id", "offset", real.alias("_real"), npad.alias("_npad"))
+        ordered = F.array_sort(F.collect_list(F.struct("offset", "_real", "_npad")))
+        ids = F.flatten(F.transform(ordered, lambda x: F.concat(x["_real"], F.array_repeat(F.lit(PAD_ID), x["_npad"]))))
+    else:
+        piece = F.slice(col, (lo + 1).cast("int"), (hi - lo).cast("int"))
+        parts = pieces.select(split_col, "block_id", "offset", piece.alias("_piece"))
+        ordered = F.array_sort(F.collect_list(F.struct("offset", "_piece")))
+        ids = F.flatten(F.transform(ordered, lambda x: x["_piece"]))
+    blocks = parts.groupBy(split_col, "block_id").agg(ids.alias(col))
     return blocks.withColumn("n", F.size(col).cast("bigint"))
 
 

@@ -330,7 +330,8 @@ class CorpusFlow:
     @property
     def blocks(self):
         if self._blocks is None:
-            self._blocks = L.pack(self.framed, BLOCK, ["order_key"])
+            compact = L.frame(self.encoded.join(self.splits, "doc_id"), self.max_len)
+            self._blocks = L.pack(compact, BLOCK, ["order_key"])
         return self._blocks
 
 

@@ -56,6 +56,15 @@ def test_pack_is_the_concatenation(spark):
     assert all(b["n"] == 4 for b in blocks[:-1]) and blocks[-1]["n"] == len(stream) % 4 or 4
 
 
+def test_compact_pack_equals_padded_pack(spark):
+    enc = spark.createDataFrame([(i, "train", i, list(range(i * 10, i * 10 + n))) for i, n in enumerate([1, 9, 4, 0, 13, 2])],
+                                "doc_id long, split string, order_key long, ids array<int>")
+    for max_len, B in [(7, 4), (12, 5), (3, 8), (20, 1024)]:
+        padded = {r["block_id"]: r["ids"] for r in L.pack(L.frame_and_pad(enc, max_len), B).collect()}
+        compact = {r["block_id"]: r["ids"] for r in L.pack(L.frame(enc, max_len), B).collect()}
+        assert padded == compact
+
+
 def test_sample_blocks_shift_and_tail(spark):
     framed = _framed(spark, [5])  # N = B + 1 with B = 4: the only start is 0
     blocks = L.pack(framed, 4)
