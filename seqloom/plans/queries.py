@@ -396,6 +396,15 @@ def q_p11(spark, sf):
     return K.row_slice(cds, 20, 24, ["genomic_accession", "start"])
 
 
+@register("p11_first_rows_of_split", CV("""
+SELECT r.doc_id, r.text FROM reduced r JOIN splits s ON r.doc_id = s.doc_id
+WHERE s.split = 'val' ORDER BY s.order_key LIMIT 3"""))
+def q_p11_split(spark, sf):
+    f = flow(spark, sf)
+    val = f.reduced.join(f.splits.where(F.col("split") == "val"), "doc_id")
+    return K.row_slice(val, 0, 3, ["order_key"]).select("doc_id", "text")
+
+
 @register("p12_clean_tokens", V("""
 SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda t: NOT contains(t, '_')), ' ') AS text
 FROM token_clean_input"""))
