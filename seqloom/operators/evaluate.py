@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import whitespace_tokens
-from seqloom.operators.positions import previous_row, running_sum
+from seqloom.operators.positions import islands
 from seqloom.operators.scoring import successor_pairs, zipped_pairs
 
 
@@ -81,16 +81,12 @@ def continuation_accuracy(docs: DataFrame, model: DataFrame, col: str = "text",
 def operons(features: DataFrame, max_gap: int = 50, gene_col: str = "locus_tag") -> DataFrame:
     """Runs of neighbouring genes on the same genomic accession and strand, gap <= max_gap.
 
-    Gap-and-island over a global order: the previous gene comes from a join on the
-    dense index (not a window per genome), the run number from a global running sum.
+    Gaps and islands over a global order in one range pass (``positions.islands``), not a
+    window per genome, so one genome holding a third of all genes still spreads out.
     """
     genes = features.where(F.col("feature") == "gene").select("genomic_accession", "strand", "start", "end", gene_col)
     order = ["genomic_accession", "strand", "start", "end", gene_col]
-    prev = previous_row(genes, order, ["genomic_accession", "strand", "end"])
-    new_run = (F.col("prev_genomic_accession").isNull() | (F.col("prev_genomic_accession") != F.col("genomic_accession"))
-               | (F.col("prev_strand") != F.col("strand")) | ((F.col("start") - F.col("prev_end")) > max_gap))
-    flagged = prev.withColumn("_new", new_run.cast("long")).drop("prev_genomic_accession", "prev_strand", "prev_end")
-    runs = running_sum(flagged, order, "_new", out="operon_id")
+    runs = islands(genes, order, ["genomic_accession", "strand"], "start", "end", max_gap, out="operon_id")
     members = F.array_sort(F.collect_list(F.struct("start", F.col(gene_col).alias("g"))))
     g = runs.groupBy("operon_id", "genomic_accession", "strand").agg(
         members.alias("_m"), F.min("start").alias("start"), F.max("end").alias("end"),

@@ -137,3 +137,63 @@ def previous_row(df: DataFrame, order_cols: Sequence, carry: Sequence[str], pref
     idx = dense_index(df, order_cols, out="_sl_i")
     prev = idx.select((F.col("_sl_i") + 1).alias("_sl_i"), *[F.col(c).alias(prefix + c) for c in carry])
     return idx.join(prev, "_sl_i", "left").drop("_sl_i")
+
+
+def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_gap: int):
+    def run(batches):
+        acc = 0
+        prev = None  # (same values..., end) of the previous row in this partition
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            same = [batch.column(c).to_pylist() for c in same_cols]
+            start = batch.column(start_col).to_numpy(zero_copy_only=False)
+            end = batch.column(end_col).to_numpy(zero_copy_only=False)
+            new = np.ones(n, dtype="int64")
+            for i in range(n):
+                key = tuple(col[i] for col in same)
+                if prev is not None and prev[0] == key and start[i] - prev[1] <= max_gap:
+                    new[i] = 0
+                prev = (key, end[i])
+            cs = np.cumsum(new) + acc
+            acc = int(cs[-1])
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(new), pa.array(cs)],
+                                             names=list(batch.schema.names) + ["_sl_new", _LCUM])
+    return run
+
+
+def islands(df: DataFrame, order_cols: Sequence, same_cols: Sequence[str], start_col: str, end_col: str,
+            max_gap: int, out: str = "island", partitions: int | None = None) -> DataFrame:
+    """Gaps and islands over a global order in one range pass.
+
+    A row opens a new island unless the previous row (in ``order_cols`` order) has the
+    same ``same_cols`` and ends at most ``max_gap`` before this row starts. Inside a
+    sorted partition the previous row is the one before it (an Arrow pass); the first row
+    of a partition is checked against the last row of the previous non-empty partition
+    (one row per partition reaches the driver). ``out`` numbers islands from 1.
+    """
+    ranged = _ranged(df, order_cols, partitions)
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_sl_new", T.LongType(), False),
+                                                  T.StructField(_LCUM, T.LongType(), False)])
+    local = durable(ranged.mapInArrow(_local_islands(list(same_cols), start_col, end_col, int(max_gap)), schema))
+    first = F.min_by(F.struct(*[F.col(c) for c in same_cols], F.col(start_col).alias("_s")), F.col(_LIDX))
+    last = F.max_by(F.struct(*[F.col(c) for c in same_cols], F.col(end_col).alias("_e")), F.col(_LIDX))
+    rows = local.groupBy(_PID).agg(first.alias("f"), last.alias("l"), F.max(_LCUM).alias("t")).collect()
+    info = {r[_PID]: r for r in rows}
+    n_parts = max([local.rdd.getNumPartitions()] + [p + 1 for p in info])
+    k = len(same_cols)
+    fix, offs, acc, prev_last = {}, [], 0, None
+    for p in range(n_parts):
+        r = info.get(p)
+        offs.append(acc)
+        if r is None:
+            continue
+        f, l = tuple(r["f"]), tuple(r["l"])
+        joined = prev_last is not None and f[:k] == prev_last[:k] and f[k] - prev_last[k] <= max_gap
+        fix[p] = 1 if joined else 0
+        acc += int(r["t"]) - fix[p]
+        prev_last = l
+    correction = F.expr("element_at(array(" + ", ".join(f"{fix.get(p, 0)}L" for p in range(n_parts)) + f"), {_PID} + 1)")
+    offset = F.expr("element_at(array(" + ", ".join(f"{o}L" for o in offs) + f"), {_PID} + 1)")
+    return local.withColumn(out, offset + F.col(_LCUM) - correction).drop(_PID, _LIDX, _LCUM, "_sl_new")

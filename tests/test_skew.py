@@ -34,3 +34,31 @@ def test_hot_genome_sentence_is_ordered(spark):
                                  F.lit("gene").alias("label_source"))
     s = A.genome_summary(rows).first()
     assert s["genes"] == " ".join(f"t{i}" for i in range(n)) and s["n_genes"] == n
+
+
+def test_islands_match_brute_force_across_partitions(spark):
+    import random
+
+    from seqloom.operators.positions import islands
+
+    rnd = random.Random(11)
+    rows, pos = [], {}
+    for i in range(3000):
+        acc = "hot" if rnd.random() < 0.8 else rnd.choice(["a", "b"])
+        strand = rnd.choice("+-")
+        start = pos.get((acc, strand), 0) + rnd.choice([10, 30, 60, 200])
+        end = start + rnd.randint(5, 40)
+        pos[(acc, strand)] = end
+        rows.append((acc, strand, start, end, f"g{i}"))
+    df = spark.createDataFrame(rows, "acc string, strand string, start long, end long, g string")
+    order = ["acc", "strand", "start", "end", "g"]
+    expect, run, prev = {}, 0, None
+    for r in sorted(rows, key=lambda x: (x[0], x[1], x[2], x[3], x[4])):
+        if prev is None or prev[:2] != r[:2] or r[2] - prev[3] > 50:
+            run += 1
+        expect[r[4]] = run
+        prev = r
+    for parts in (1, 7, 32):
+        got = {r["g"]: r["island"] for r in islands(df, order, ["acc", "strand"], "start", "end", 50,
+                                                    partitions=parts).collect()}
+        assert got == expect
