@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.positions import running_sum
+from seqloom.session import broadcast_if_small
 
 CHUNK = 4096
 
@@ -66,24 +67,15 @@ def symbol_table(gene_info: DataFrame) -> DataFrame:
     return gene_info.groupBy("gene_id").agg(F.max_by("symbol", "ord").alias("symbol"))
 
 
-# Lookup tables at most this many rows are shipped to every task: the records then
-# join in place (no shuffle) and rows without a key simply find no partner.
-BROADCAST_LOOKUP_ROWS = 5_000_000
-
-
-def _small(table: DataFrame) -> bool:
-    return table.count() <= BROADCAST_LOOKUP_ROWS
-
-
 def _lookup(records: DataFrame, table: DataFrame, need, fill_col: str, fill_type: str) -> DataFrame:
     """Left lookup on ``gid`` for rows where ``need`` holds.
 
-    Small table (checked): one pass, broadcast hash join on a key that is null for rows
+    Small table (measured, see ``broadcast_if_small``): one pass, broadcast hash join on a key that is null for rows
     that need no lookup. Large table: only the rows that need it enter the shuffled join
     and the others are unioned back, so key-less rows never pile up in one partition.
     """
-    table = table.persist()
-    if _small(table):
+    table, small = broadcast_if_small(table)
+    if small:
         keyed = records.withColumn("_sl_k", F.when(need, F.col("gid")))
         t = F.broadcast(table.withColumnRenamed("gid", "_sl_k"))
         return keyed.join(t, "_sl_k", "left").drop("_sl_k")

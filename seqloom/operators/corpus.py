@@ -21,6 +21,13 @@ PAD_ID, EOS_ID, SOS_ID = 0, 1, 2
 BROADCAST_VOCAB_LIMIT = 500_000
 
 
+def _ships(vocab: DataFrame) -> bool:
+    """The vocabulary may be shipped to every task: few enough entries and bytes (measured)."""
+    from seqloom.session import broadcast_if_small
+
+    return vocab.count() <= BROADCAST_VOCAB_LIMIT and broadcast_if_small(vocab.select("token", "id"))[1]
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -188,8 +195,8 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
 
     ``strategy``: ``table`` ships the vocabulary to executors and maps rows in place
     (no shuffle); ``join`` explodes tokens, joins the vocabulary and regroups (any
-    vocabulary size). ``auto`` counts the vocabulary and uses ``table`` only below
-    ``BROADCAST_VOCAB_LIMIT`` entries.
+    vocabulary size). ``auto`` measures the vocabulary and uses ``table`` only below
+    ``BROADCAST_VOCAB_LIMIT`` entries and the session's broadcast byte cap.
     """
     if on_unknown not in ("error", "drop", "unk"):
         raise ValueError("on_unknown must be error, drop or unk")
@@ -200,7 +207,7 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
             raise ValueError(f"{unk_token} is not in the vocabulary")
         unk_id = int(r["id"])
     if strategy == "auto":
-        strategy = "table" if vocab.count() <= BROADCAST_VOCAB_LIMIT else "join"
+        strategy = "table" if _ships(vocab) else "join"
     toks = docs.select(key, single_space_tokens(col).alias("_toks"))
     if strategy == "table":
         out = _encode_table(toks, vocab, key, on_unknown, unk_id)
@@ -219,7 +226,7 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str =
     ``join`` explodes ids, joins and regroups (any vocabulary size).
     """
     if strategy == "auto":
-        strategy = "table" if vocab.count() <= BROADCAST_VOCAB_LIMIT else "join"
+        strategy = "table" if _ships(vocab) else "join"
     if strategy == "table":
         inv = {int(r["id"]): r["token"] for r in vocab.select("id", "token").collect()}
         bc = encoded.sparkSession.sparkContext.broadcast(inv)

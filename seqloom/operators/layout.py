@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.hashing import hash_int
 from seqloom.operators.corpus import EOS_ID, PAD_ID, SOS_ID
 from seqloom.operators.positions import dense_index, running_sum
+from seqloom.session import broadcast_if_small
 
 
 def split_exact(df: DataFrame, key: str, frac: float = 0.03, seed: int = 0, out: str = "split",
@@ -62,16 +63,12 @@ def packed_length(encoded: DataFrame, split_col: str = "split") -> DataFrame:
     return encoded.groupBy(split_col).agg(F.sum("len").cast("bigint").alias("n_tokens"))
 
 
-# Offset tables at most this many rows are shipped to every task instead of joined by shuffle.
-BROADCAST_OFFSET_ROWS = 2_000_000
-
-
 def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str = "split",
                    out: str = "offset") -> DataFrame:
     """Start of each row in its split's concatenated stream (exclusive prefix sum of ``len``).
 
     The prefix sum runs on the narrow ``(split, order, len)`` projection only; the
-    offsets join back to the full rows (broadcast when the row count is checked small).
+    offsets join back to the full rows (broadcast when the table measures small).
     """
     keys = [split_col, *order_cols]
     narrow = framed.select(*keys, "len")
@@ -84,9 +81,7 @@ def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str
     base = F.lit(0).cast("long")
     for s, v in start.items():
         base = F.when(F.col(split_col) == s, F.lit(v).cast("long")).otherwise(base)
-    offs = cum.select(*keys, (F.col("_sl_cum") - F.col("len") - base).alias(out))
-    if offs.count() <= BROADCAST_OFFSET_ROWS:
-        offs = F.broadcast(offs)
+    offs, _ = broadcast_if_small(cum.select(*keys, (F.col("_sl_cum") - F.col("len") - base).alias(out)))
     return framed.join(offs, keys)
 
 

@@ -22,15 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.session import durable
+from seqloom.session import broadcast_if_small, durable
 
 _PID = "_sl_pid"
 _LIDX = "_sl_lidx"
 _LCUM = "_sl_lcum"
 
-# Largest per-group table shipped whole to every task (one key and one long per group).
-BROADCAST_GROUPS = 2_000_000
-
 
 def _cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -88,9 +85,7 @@ def dense_index_within(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     """
     g = dense_index(df, list(group_cols) + list(order_cols), out="_sl_g", partitions=partitions)
     # derived from checkpointed rows, so a recomputed block is identical: persist is enough
-    firsts = g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0")).persist()
-    if firsts.count() <= BROADCAST_GROUPS:
-        firsts = F.broadcast(firsts)
+    firsts, _ = broadcast_if_small(g.groupBy(*group_cols).agg(F.min("_sl_g").alias("_sl_g0")))
     return (
         g.join(firsts, list(group_cols))
         .withColumn(out, F.col("_sl_g") - F.col("_sl_g0") + F.lit(start).cast("long"))

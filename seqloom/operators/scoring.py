@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import hash_unit
 from seqloom.functions.text import single_space_tokens
-from seqloom.session import durable
+from seqloom.session import broadcast_if_small, durable
 
 NEG_INF = float("-inf")
 
@@ -87,7 +87,6 @@ def sample_token(probs: DataFrame, seed: int, step: int = 0) -> DataFrame:
 # ---------------------------------------------------------------- N7
 
 MIN_BUCKETS = 16
-BROADCAST_CONTEXTS = 5_000_000
 
 
 def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None = None) -> DataFrame:
@@ -126,9 +125,7 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
     step is checkpointed to cut the lineage.
     """
     cand = durable(candidate_table(model, temperature, k))
-    ctx = cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct().persist()
-    if ctx.count() <= BROADCAST_CONTEXTS:
-        ctx = F.broadcast(ctx)
+    ctx, _ = broadcast_if_small(cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct())
     cand = cand.withColumnRenamed("row_id", "_ctx").drop("n_buckets")
     cur = seqs.select(key, col).withColumn("new", F.array().cast("array<string>")).withColumn("done", F.lit(False))
     for step in range(steps):

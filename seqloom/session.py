@@ -58,3 +58,40 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Largest table (measured, in bytes) shipped whole to every task.
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def _approx_row_bytes(df: DataFrame):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8)
+        elif isinstance(f.dataType, T.ArrayType):
+            parts.append(F.coalesce(F.size(c), F.lit(0)) * 16 + 16)
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            parts.append(F.coalesce(F.length(F.to_json(c)), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(8))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES):
+    """``(df, True)`` with a broadcast hint when the table measures at most ``max_bytes``,
+    else ``(df, False)``. The table is persisted first, since it is read again."""
+    from pyspark.sql import functions as F
+
+    df = df.persist()
+    size = df.agg(F.sum(_approx_row_bytes(df)).alias("b")).first()["b"] or 0
+    if size <= max_bytes:
+        return F.broadcast(df), True
+    return df, False

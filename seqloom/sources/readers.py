@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.operators.corpus import SPECIALS
+from seqloom.session import broadcast_if_small
 
 # Strings pandas reads as missing by default (its documented NA list).
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -112,10 +113,6 @@ def parse_fasta_records(df: DataFrame) -> DataFrame:
             .drop("_sl_body"))
 
 
-# Per-split tables at most this many rows are broadcast back to the records.
-BROADCAST_SPLITS = 2_000_000
-
-
 def file_ordinal(df: DataFrame, out: str = "ord") -> DataFrame:
     """1-based position of each row inside its file, from ``_file, _block, _row``.
 
@@ -129,9 +126,7 @@ def file_ordinal(df: DataFrame, out: str = "ord") -> DataFrame:
 
     splits = df.groupBy("_file", "_block").agg(F.min("_row").alias("_r0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n").persist()
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
+    splits, _ = broadcast_if_small(splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
     j = df.join(splits, ["_file", "_block"])
     return j.withColumn(out, F.col("_off") + F.col("_row") - F.col("_r0") + 1).drop("_r0", "_off")
 
