@@ -92,7 +92,7 @@ def read_gene_go(spark: SparkSession, path: str, whole_file: bool = False) -> Da
     One object per line by default (parallel); ``whole_file`` reads each file as one
     object, as a single pretty-printed dump is written.
     """
-    df = spark.read.option("wholetext", whole_file).text(path)
+    df = spark.read.text(path, wholetext=whole_file)
     m = F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
     return df.where(F.length(F.trim("value")) > 0).select(F.explode(m).alias("gene_id", "go_terms"))
 

@@ -101,3 +101,32 @@ def test_read_cds_fasta_across_splits(spark):
     got = {r["ord"]: r["header"] for r in rows}
     assert got == {i + 1: f">rec{i} [gene=g] [x]" for i in range(n)}
     assert all(r["seq"] == "ACGTACGTACGTACGTACGTACGTTTTT" for r in rows)
+
+
+def test_read_corpus_text_drops_markers_and_keeps_order(spark):
+    d = scratch_path(spark, "t_corpus_txt")
+    _write_text(d, "a.txt", "################ SESSION START ################\nGCF_1.1: a b\nGCF_2.1: c\n")
+    rows = sorted((r["doc_id"], r["text"]) for r in R.read_corpus(spark, d, fmt="text").collect())
+    assert rows == [(0, "GCF_1.1: a b"), (1, "GCF_2.1: c")]
+
+
+def test_read_gene_go_whole_file_and_lines(spark):
+    d = scratch_path(spark, "t_go_whole")
+    _write_text(d, "m.json", '{\n  "1": ["GO:1", "GO:2"],\n  "2": []\n}\n')
+    got = {r["gene_id"]: r["go_terms"] for r in R.read_gene_go(spark, d, whole_file=True).collect()}
+    assert got == {"1": ["GO:1", "GO:2"], "2": []}
+    d2 = scratch_path(spark, "t_go_lines")
+    _write_text(d2, "m.jsonl", '{"1": ["GO:1"]}\n{"3": ["GO:3", "GO:4"]}\n')
+    got2 = {r["gene_id"]: r["go_terms"] for r in R.read_gene_go(spark, d2).collect()}
+    assert got2 == {"1": ["GO:1"], "3": ["GO:3", "GO:4"]}
+
+
+def test_write_vocab_table_and_summary(spark):
+    from seqloom.operators.corpus import build_vocab
+
+    v = build_vocab(spark.createDataFrame([("b",), ("a",)], "token string"))
+    p = scratch_path(spark, "t_vocab_out")
+    S.write_vocab(v, p)
+    assert spark.read.json(f"{p}/summary").first()["vocab_size"] == 5
+    back = {r["token"]: r["id"] for r in R.read_vocab(spark, f"{p}/table", fmt="parquet").collect()}
+    assert back == {"[PAD]": 0, "[EOS]": 1, "[SOS]": 2, "a": 3, "b": 4}
