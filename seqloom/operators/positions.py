@@ -124,16 +124,6 @@ def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cu
     return local.withColumn(out, _offsets(totals, n_parts) + F.col(_LCUM)).drop(_PID, _LIDX, _LCUM)
 
 
-def previous_row(df: DataFrame, order_cols: Sequence, carry: Sequence[str], prefix: str = "prev_") -> DataFrame:
-    """``lag`` over a global order without a window: number rows, then join row i to i-1.
-
-    The join key is the dense index, so it hashes evenly whatever the data's skew.
-    """
-    idx = dense_index(df, order_cols, out="_sl_i")
-    prev = idx.select((F.col("_sl_i") + 1).alias("_sl_i"), *[F.col(c).alias(prefix + c) for c in carry])
-    return idx.join(prev, "_sl_i", "left").drop("_sl_i")
-
-
 def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_gap: int):
     def run(batches):
         acc = 0
