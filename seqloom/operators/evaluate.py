@@ -30,17 +30,26 @@ def _doc_tokens(docs: DataFrame, key: str, col: str) -> DataFrame:
     return docs.select(key, F.explode(whitespace_tokens(col)).alias("token")).distinct()
 
 
+def _pair_strings(tokens_col: str):
+    return F.transform(zipped_pairs(tokens_col), lambda x: F.concat(x["prev"], F.lit(" "), x["next"]))
+
+
+def _pairs(docs: DataFrame, col: str) -> DataFrame:
+    """Neighbouring-token pairs of every row, as ``pair`` strings (not de-duplicated)."""
+    t = docs.select(whitespace_tokens(col).alias("_t"))
+    return t.select(F.explode(_pair_strings("_t")).alias("pair"))
+
+
 def _doc_pairs(docs: DataFrame, key: str, col: str) -> DataFrame:
     t = docs.select(key, whitespace_tokens(col).alias("_t"))
-    pairs = F.transform(zipped_pairs("_t"), lambda x: F.concat(x["prev"], F.lit(" "), x["next"]))
-    return t.select(key, F.explode(pairs).alias("pair")).distinct()
+    return t.select(key, F.explode(_pair_strings("_t")).alias("pair")).distinct()
 
 
 def corpus_similarity(generated: DataFrame, real: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
     """E2 per generated row: share of its distinct tokens and of its distinct neighbour pairs
     that also occur in the real corpus (left joins to distinct sets; linear, no all-pairs)."""
     rt = real.select(F.explode(whitespace_tokens(col)).alias("token")).distinct().withColumn("_in", F.lit(1))
-    rp = _doc_pairs(real, key, col).select("pair").distinct().withColumn("_in", F.lit(1))
+    rp = _pairs(real, col).distinct().withColumn("_in", F.lit(1))
     gt = _doc_tokens(generated, key, col).join(rt, "token", "left").groupBy(key).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.count("_in").cast("bigint").alias("n_tokens_real"))
     gp = _doc_pairs(generated, key, col).join(rp, "pair", "left").groupBy(key).agg(
