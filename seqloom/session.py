@@ -57,7 +57,12 @@ def durable(df: DataFrame) -> DataFrame:
     partitioning of shuffled input is not reproducible on recompute).
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # cached first, so writing the checkpoint files reads the cache instead of
+    # recomputing the lineage a second time; the cache is dropped once the files exist
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 # Largest table (measured, in bytes) shipped whole to every task.
