@@ -32,3 +32,21 @@ def test_query_matches_oracle_at_sf0001(spark, name):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     exp = sorted(tuple(str(r[i]) for i in order) for r in res.fetchall())
     assert got == exp
+
+
+@pytest.mark.parametrize("name", ["genome_sentences", "w5_pack"])
+def test_same_result_under_1_4_64_shuffle_partitions(spark, name):
+    from seqloom.plans import fixtures as X
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for parts in ("1", "4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            X._CACHE.clear()
+            df = E.queries()[name](spark, SF0001)
+            results.append(sorted(tuple(str(v) for v in r) for r in df.select(*sorted(df.columns)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        X._CACHE.clear()
+    assert results[0] == results[1] == results[2]
