@@ -1,7 +1,8 @@
 """Quality by compression: one zstandard dictionary built from good labelled texts, one from
 bad ones. A text is cut into 2 KB blocks (so that a dictionary helps throughout), every block
-is compressed with both, and the difference of the two total sizes per text byte is mapped to
-a probability by a logistic curve.
+is compressed with both. The difference of the two total sizes per text byte, together with
+the size under the good dictionary per text byte (which tells looping text), is mapped to a
+probability by a logistic curve.
 
 Dictionaries and curve are fitted on the driver from at most ``PER_CLASS`` labelled rows and
 ``SAMPLE_BYTES`` of text of either class (documented bounds); half of the rows build the
@@ -9,7 +10,7 @@ dictionaries, the other half the curve. Every text of the table is scored whole,
 with the two dictionaries (``DICT_BYTES`` each) in the closure. Labels, language, source and
 id are never inputs of a score.
 
-Defined cases: null and empty texts have difference 0 and get the curve's value there; with
+Defined cases: null and empty texts have both numbers 0 and get the curve's value there; with
 fewer than two classes in the labels every text scores the label frequency (0.5 without
 labels); null labels and ids take no part in learning; an id with several labels counts once;
 rows repeat and tie freely; an empty table gives no rows.
@@ -28,7 +29,8 @@ PER_CLASS = 4_000
 SAMPLE_BYTES = 6 << 20
 DICT_BYTES = 96 << 10
 BLOCK = 2048
-LEVEL = 1
+LEVEL = 3
+SHORT = 64  # bytes added to the length that normalises, for the frame of very short texts
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -36,7 +38,7 @@ def blocks(text: bytes) -> list[bytes]:
 
 
 class Compressors:
-    """Normalised size difference: positive when the good dictionary compresses better."""
+    """Compresses with both dictionaries; a positive difference favours the good one."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
@@ -44,11 +46,12 @@ class Compressors:
         self._pair = [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d), write_content_size=False,
                                        write_dict_id=False) for d in (good, bad)]
 
-    def difference(self, text: bytes) -> float:
+    def features(self, text: bytes) -> tuple[float, float]:
+        """Percent size difference, and tenths of the text that stay under the good one."""
         if not text:
-            return 0.0
+            return 0.0, 0.0
         good, bad = (sum(len(c.compress(b)) for b in blocks(text)) for c in self._pair)
-        return (bad - good) / len(text)
+        return 100 * (bad - good) / (len(text) + SHORT), 10 * good / len(text)
 
 
 def train_dictionary(texts: list[bytes]) -> bytes:
@@ -64,7 +67,7 @@ def train_dictionary(texts: list[bytes]) -> bytes:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS,
                 sample_bytes: int = SAMPLE_BYTES):
-    """``(good dictionary, bad dictionary, slope, intercept)``."""
+    """``(good dictionary, bad dictionary, [two slopes, intercept])``."""
     ids = stored(labelled_sample(labels, "quality", learn, per_class), "quality-ids")
     rows = docs.select("doc_id", text_bytes().alias("t")).where(F.length("t") > 0).join(F.broadcast(ids), "doc_id")
     # at most 2 * per_class rows enter the window; it bounds the bytes that reach the driver
@@ -76,30 +79,32 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
         share = sum(r["y"] for r in sample) / len(sample) if sample else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         import math
-        return b"\n" * 8, b"\n" * 8, 0.0, math.log(share / (1 - share))
+        return b"\n" * 8, b"\n" * 8, [0.0, 0.0, math.log(share / (1 - share))]
     halves = {(y, h): [bytes(r["t"]) for r in sample if r["y"] == y][h::2] for y in (0, 1) for h in (0, 1)}
     good, bad = (train_dictionary(halves[y, 0]) for y in (1, 0))
     pair = Compressors(good, bad)
     x, target = [], []
     for y in (0, 1):
         held = halves[y, 1] or halves[y, 0]
-        x += [[100 * pair.difference(t)] for t in held]
+        x += [pair.features(t) for t in held]
         target += [y] * len(held)
-    slope, intercept = fit_logistic(x, target)
-    return good, bad, float(slope) * 100, float(intercept)
+    return good, bad, fit_logistic(x, target).tolist()
 
 
 def score_quality(docs: DataFrame, model) -> DataFrame:
-    """``(doc_id, size_difference, score)`` of every text; ``model`` from ``fit_quality``."""
-    good, bad, slope, intercept = model
+    """``(doc_id, size_difference, good_size, score)`` of every text; ``model`` from
+    ``fit_quality``."""
+    good, bad, (slope, ratio_slope, intercept) = model
 
     def run(batches):
         pair = Compressors(good, bad)
         for batch in batches:
-            d = [pair.difference(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d, pa.float64())],
-                                             ["doc_id", "size_difference"])
-
-    diff = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(
-        run, "doc_id long, size_difference double")
-    return diff.withColumn("score", 1 / (1 + F.exp(-(F.col("size_difference") * slope + intercept))))
+            f = [pair.features(t) for t in batch.column(1).to_pylist()]
+            diff, size = (list(c) for c in zip(*f)) if f else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(diff, pa.float64()), pa.array(size, pa.float64())],
+                                             ["doc_id", "size_difference", "good_size"])
+
+    f = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(
+        run, "doc_id long, size_difference double, good_size double")
+    z = F.col("size_difference") * slope + F.col("good_size") * ratio_slope + intercept
+    return f.withColumn("score", 1 / (1 + F.exp(-z)))

@@ -180,3 +180,48 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids whose every quality label is 1: the trusted target documents."""
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
+# the same definition in DuckDB, shared by the registered query and the pipeline's first stage
+WORDS_SQL = r"""
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '),
+                     lambda x: x <> '') AS w
+  FROM documents"""
+
+SCORES_SQL = f"""
+words AS ({WORDS_SQL}),
+vocabulary AS (SELECT w, ('0x' || substr(md5(w), 1, 4))::BIGINT AS h FROM (SELECT DISTINCT unnest(w) AS w FROM words)),
+tokens AS (SELECT doc_id, i, h FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words)
+           JOIN vocabulary USING (w)),
+grams AS (SELECT doc_id, h AS bucket FROM tokens
+          UNION ALL
+          SELECT a.doc_id, {BUCKETS} + ((a.h * 31 + b.h + 7) & {BUCKETS - 1}) FROM tokens a
+          JOIN tokens b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+trusted AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+counts AS (SELECT bucket, count(*) AS raw, count(t.doc_id) AS target FROM grams g LEFT JOIN trusted t USING (doc_id) GROUP BY bucket),
+totals AS (SELECT sum(raw) AS r, sum(target) AS t FROM counts),
+weights AS (SELECT bucket, CASE WHEN t = 0 THEN 0 ELSE round((ln((target + {ALPHA}) / (t + {ALPHA * 2 * BUCKETS}))
+                   - ln((raw + {ALPHA}) / (r + {ALPHA * 2 * BUCKETS}))) * 1e6) END::BIGINT AS w FROM counts, totals),
+ratios AS (SELECT doc_id, count(*) AS n_grams, sum(w)::BIGINT AS llr_micro FROM grams JOIN weights USING (bucket) GROUP BY doc_id),
+windows AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS seq
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) >= {WINDOW})),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM
+             (SELECT doc_id, unnest(list(i)) AS i FROM windows GROUP BY doc_id, seq HAVING count(*) > 1),
+             (SELECT unnest(range(0, {WINDOW})) AS k) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)),
+                     lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') AS lines
+  FROM words),
+scored AS (
+  SELECT b.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(r.n_grams, 0)::BIGINT AS n_grams,
+         coalesce(r.llr_micro, 0)::BIGINT AS llr_micro
+  FROM base b LEFT JOIN ratios r USING (doc_id) LEFT JOIN repeated p USING (doc_id)),
+judged AS (
+  SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM scored),
+verdicts AS (SELECT *, NOT base_failed AND llr_micro >= {THRESHOLD_MICRO} * n_grams AS kept FROM judged)"""
+
+ORACLE_SQL = f"WITH {SCORES_SQL.strip()} SELECT * FROM verdicts"

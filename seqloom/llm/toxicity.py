@@ -11,12 +11,12 @@ Four small transducers are composed and run over the clauses of a text:
 * *target* raises insults by a quarter and lets threats count in full.
 
 A clause scores the sum of its matches; the document's features are the largest clause
-score, the sum over clauses, and the number of matching clauses. A logistic curve fitted on
-labelled rows that the lexicon has not seen maps them to a probability. Labels, language,
+score, the sum over clauses, and the number of matching clauses. A logistic curve, fitted on
+labelled rows scored by a lexicon that has not seen them, maps them to a probability. Labels, language,
 source and id are never inputs of a score.
 
-The lexicon is learned from at most ``PER_CLASS`` labelled rows of either class (70 % of
-them; the rest calibrate), counted in tasks; it keeps at most ``MAX_ARCS`` arcs. Every text is
+The lexicon is learned from at most ``PER_CLASS`` labelled rows of either class, counted in
+tasks; it keeps at most ``MAX_ARCS`` arcs. Every text is
 scored whole.
 
 Defined cases: null and empty texts have no match and score like any text without one;
@@ -120,7 +120,7 @@ class Grammar:
         score = score * (1.25 if target else 1.0) + pending * (1.0 if target else 0.25)
         if score:
             best, total, clauses = max(best, score), total + score, clauses + 1
-        return best, math.log1p(total), math.log1p(clauses)
+        return math.log1p(best), math.log1p(total), math.log1p(clauses)
 
 
 def learn_lexicon(texts: DataFrame, max_arcs: int = MAX_ARCS) -> dict[str, float]:
@@ -183,15 +183,18 @@ def toxicity_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS):
     """``(lexicon, weights)`` learned from labelled rows where ``learn`` (a condition on
-    ``doc_id``) holds."""
-    ids = stored(labelled_sample(labels, "toxic", learn, per_class).select("doc_id", "y", "u"), "toxic-ids")
+    ``doc_id``) holds. The curve is fitted on features that each half of the rows gets from
+    the lexicon of the other half; the lexicon returned is learned from all of them."""
+    ids = stored(labelled_sample(labels, "toxic", learn, per_class), "toxic-ids")
     rows = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids), "doc_id")
-    train = F.pmod("u", F.lit(10)) < 7
-    lexicon = learn_lexicon(rows.where(train).select("t", F.col("y").cast("int")))
-
-    rest = rows.where(~train)
-    seen = toxicity_features(rest.select("doc_id", F.col("t").alias("text")), lexicon).join(
-        F.broadcast(ids), "doc_id").select("best_clause", "log_total", "log_clauses", "y").collect()
+    half = F.pmod("u", F.lit(2))
+    seen = []
+    for h in (0, 1):
+        part = learn_lexicon(rows.where(half == h).select("t", F.col("y").cast("int")))
+        other = rows.where(half != h)
+        seen += toxicity_features(other.select("doc_id", F.col("t").alias("text")), part).join(
+            F.broadcast(ids), "doc_id").select("best_clause", "log_total", "log_clauses", "y").collect()
+    lexicon = learn_lexicon(rows.select("t", F.col("y").cast("int")))
     if len({r["y"] for r in seen}) < 2:
         return lexicon, [0.5, 0.5, 0.0, -3.0]
     return lexicon, fit_logistic([r[:3] for r in seen], [r["y"] for r in seen]).tolist()
