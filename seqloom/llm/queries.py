@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, packing, quality_classifier, quality_rules, toxicity
+from seqloom.llm import bpe, licenses, line_dedup, packing, quality_classifier, quality_rules, toxicity
 from seqloom.llm.common import held_out, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BPE_JSON)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     aside = held_out(F.col("doc_id"), 3, 1)
@@ -46,6 +54,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_packing": (op2_packing, None),
+    "op3_licenses": (op3_licenses, licenses.oracle_sql()),
+    "op6_line_dedup": (op6_line_dedup, line_dedup.ORACLE_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op9_bpe": (op9_bpe, None),
     "op10_quality_rules": (op10_quality_rules, quality_rules.ORACLE_SQL),
