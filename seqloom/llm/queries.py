@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, licenses, line_dedup, packing, quality_classifier, quality_rules, toxicity
+from seqloom.llm import bpe, licenses, line_dedup, packing, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity
 from seqloom.llm.common import held_out, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +46,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -55,8 +63,10 @@ REGISTRY: dict = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_packing": (op2_packing, None),
     "op3_licenses": (op3_licenses, licenses.oracle_sql()),
+    "op5_permutation_index": (op5_permutation_index, None),
     "op6_line_dedup": (op6_line_dedup, line_dedup.ORACLE_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_bpe": (op9_bpe, None),
     "op10_quality_rules": (op10_quality_rules, quality_rules.ORACLE_SQL),
 }
