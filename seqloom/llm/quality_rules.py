@@ -2,7 +2,8 @@
 
 Word unigrams and bigrams are hashed into two times 65,536 buckets. Two smoothed
 multinomials over the buckets, one counted over the trusted target documents and one over
-the whole raw corpus, give each bucket the weight ``ln(p_target / p_raw)``, kept as whole
+the whole raw corpus (both smoothed towards uniform by the same share, so that grams a small
+target has not met weigh little), give each bucket the weight ``ln(p_target / p_raw)``, kept as whole
 millionths so that sums are exact in any order. A document's ratio is the sum over its
 n-grams divided by their number; the document is kept when the ratio reaches
 ``THRESHOLD_MICRO`` (and the base rules pass).
@@ -15,8 +16,9 @@ empty corpus) makes all weights zero, so the base rules alone decide; null ``doc
 scored and never trusted; repeated ids are scored row by row; other columns are passed by.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +26,14 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import maybe_broadcast, stored, text_bytes
 
 BUCKETS = 1 << 16
-ALPHA = 1.0
+ALPHA = 10.0  # added to every target bucket; raw buckets get the same share of their total
 THRESHOLD_MICRO = -150_000  # mean log ratio of an n-gram, in millionths
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-SCORE_SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                "n_repeat_words long, n_grams long, llr_micro long")
+SCORES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+          "n_grams long, llr_micro long")
 
 
 class WordHashes(dict):
@@ -141,8 +143,9 @@ def gram_weights(counts: DataFrame, alpha: float = ALPHA):
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(2 * BUCKETS, np.int64)
+    beta = alpha * raw.sum() / target.sum()
     ratio = np.log((target + alpha) / (target.sum() + alpha * 2 * BUCKETS)) \
-        - np.log((raw + alpha) / (raw.sum() + alpha * 2 * BUCKETS))
+        - np.log((raw + beta) / (raw.sum() + beta * 2 * BUCKETS))
     return np.round(ratio * 1e6).astype(np.int64)
 
 
@@ -151,29 +154,50 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int
     ``base_failed`` and ``kept``."""
     weights = gram_weights(gram_counts(docs, trusted_ids))
 
-    def score(batches):
-        import numpy as np
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _scores(weights)(text_bytes()).alias("s"))
+    out = scored.select("doc_id", "s.*")
+    failed = base_failed(F.col)
+    return out.withColumn("base_failed", failed).withColumn(
+        "kept", ~failed & (F.col("llr_micro") >= threshold_micro * F.col("n_grams")))
+
+
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESHOLD_MICRO) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the rules and the ratio keep."""
+    weights = gram_weights(gram_counts(docs, trusted_ids))
+    scored = docs.withColumn("__s", _scores(weights)(text_bytes()))
+
+    def at(name):
+        return F.col("__s." + name)
+
+    return scored.where(~base_failed(at) & (at("llr_micro") >= threshold_micro * at("n_grams"))).drop("__s")
+
+
+def base_failed(col):
+    return (col("n_words") < MIN_WORDS) | (100 * col("n_repeat_words") > MAX_REPEAT_PERCENT * col("n_words"))
 
+
+def score_text(text: bytes, weights, cache: WordHashes) -> tuple[int, ...]:
+    """The columns of ``SCORES`` for one text."""
+    words = text.split()
+    h = word_hashes(words, cache)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    grams = gram_buckets(h) if words else []
+    return (len(words), len(b"".join(words).decode("utf-8", "replace")),
+            len(text) - len(text.translate(None, b"#*$%&|<>")),
+            len(lines) - len(set(lines)), repeat_words(words, h), len(grams),
+            int(weights[grams].sum()) if words else 0)
+
+
+def _scores(weights):
+    names = [x.split()[0] for x in SCORES.split(", ")]
+
+    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ': ') for x in SCORES.split(', '))}>")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
-                h = word_hashes(words, cache)
-                lines = [x for x in text.split(b"\n") if x.strip()]
-                g = gram_buckets(h) if words else np.zeros(0, np.int64)
-                out.append((len(words), len(b"".join(words).decode("utf-8", "replace")),
-                            len(text) - len(text.translate(None, b"#*$%&|<>")),
-                            len(lines) - len(set(lines)), repeat_words(words, h), len(g), int(weights[g].sum())))
-            cols = np.array(out, np.int64).reshape(len(out), 7)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[:, i]) for i in range(7))],
-                                             ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                              "n_repeat_words", "n_grams", "llr_micro"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(score, SCORE_SCHEMA)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & (F.col("llr_micro") >= threshold_micro * F.col("n_grams")))
+        for batch in texts:
+            yield pd.DataFrame([score_text(t, weights, cache) for t in batch], columns=names)
+
+    return score
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -200,9 +224,9 @@ grams AS (SELECT doc_id, h AS bucket FROM tokens
           JOIN tokens b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
 trusted AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 counts AS (SELECT bucket, count(*) AS raw, count(t.doc_id) AS target FROM grams g LEFT JOIN trusted t USING (doc_id) GROUP BY bucket),
-totals AS (SELECT sum(raw) AS r, sum(target) AS t FROM counts),
-weights AS (SELECT bucket, CASE WHEN t = 0 THEN 0 ELSE round((ln((target + {ALPHA}) / (t + {ALPHA * 2 * BUCKETS}))
-                   - ln((raw + {ALPHA}) / (r + {ALPHA * 2 * BUCKETS}))) * 1e6) END::BIGINT AS w FROM counts, totals),
+totals AS (SELECT sum(raw)::DOUBLE AS r, sum(target)::DOUBLE AS t FROM counts),
+weights AS (SELECT bucket, CASE WHEN t = 0 THEN 0 ELSE round((ln((target + {ALPHA}::DOUBLE) / (t + {ALPHA * 2 * BUCKETS}::DOUBLE))
+                   - ln((raw + {ALPHA}::DOUBLE * r / t) / (r + {ALPHA}::DOUBLE * r / t * {2 * BUCKETS}))) * 1e6) END::BIGINT AS w FROM counts, totals),
 ratios AS (SELECT doc_id, count(*) AS n_grams, sum(w)::BIGINT AS llr_micro FROM grams JOIN weights USING (bucket) GROUP BY doc_id),
 windows AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS seq
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) >= {WINDOW})),
