@@ -40,7 +40,7 @@ def latest_version(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     lst = listing.join(acc, "accession")
     match = F.col("entry").contains(F.concat(F.lit("v"), d)) | F.col("entry").contains(F.concat(F.lit("."), d))
     digit = F.coalesce(F.nullif(F.regexp_extract("entry", VERSION_DIGIT_RE, 1), F.lit("")).cast("bigint"), F.lit(-1))
-    rank_key = F.when(match, digit * 1_000_000 - F.col("pos"))
+    rank_key = F.when(match, F.struct(digit, -F.col("pos")))
     agg = lst.groupBy("accession").agg(
         F.count(F.lit(1)).alias("n_entries"),
         F.min_by("entry", "pos").alias("_only"),

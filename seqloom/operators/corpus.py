@@ -4,30 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.text import single_space_tokens, token_count_single_space, whitespace_tokens
 from seqloom.operators.positions import dense_index
+from seqloom.session import broadcast_cap, durable, measured_bytes
 
 # Special tokens and their ids, placed before the vocabulary.
 SPECIALS = ["[PAD]", "[EOS]", "[SOS]"]
 PAD_ID, EOS_ID, SOS_ID = 0, 1, 2
 
-# Largest vocabulary that encode ships to executors as a lookup table; beyond it the
-# encoder joins token rows against the vocabulary instead.
-BROADCAST_VOCAB_LIMIT = 500_000
-
-
-def _ships(vocab: DataFrame) -> bool:
-    """The vocabulary may be shipped to every task: few enough entries and bytes (measured)."""
-    from seqloom.session import broadcast_if_small
-
-    return vocab.count() <= BROADCAST_VOCAB_LIMIT and broadcast_if_small(vocab.select("token", "id"))[1]
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -94,41 +85,49 @@ def token_counts(docs: DataFrame, col: str = "text") -> DataFrame:
         .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-# Kept sets up to this size are broadcast and rows are filtered in place (Arrow
-# batches, no token shuffle); larger sets use a semi-join on exploded tokens and a regroup.
-BROADCAST_KEPT_LIMIT = 500_000
+def _list_parts(column):
+    """Flat values and offsets (from 0) of an Arrow list column; a null list counts as empty."""
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    return pc.list_flatten(column), offsets
+
+
+def _kept_lists(values, offsets, keep):
+    """The lists again with only the values where ``keep`` holds."""
+    counts = np.concatenate([[0], np.cumsum(keep)])
+    return pa.ListArray.from_arrays(pa.array(counts[offsets], pa.int32()), values.filter(pa.array(keep)))
+
 
+def _filter_tokens(tokens: list[str]):
+    def run(batches):
+        kept = pa.array(tokens, pa.string())
+        for b in batches:
+            flat, offsets = _list_parts(b.column("_toks"))
+            keep = pc.is_in(flat, value_set=kept).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(flat, offsets, keep)], [b.schema.names[0], "_toks"])
 
-def _filter_tokens_udf(bc):
-    @F.pandas_udf(T.StringType())
-    def keep_only(texts: pd.Series) -> pd.Series:
-        kept = bc.value
-        return pd.Series([" ".join(t for t in x.split() if t in kept) if x is not None else ""
-                          for x in texts])
-    # non-deterministic for the optimizer only: stops a later filter on the result from
-    # being pushed below it, which would evaluate the UDF twice per row
-    return keep_only.asNondeterministic()
+    return run
 
 
 def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key: str = "doc_id"):
     """Keep the ``max_size`` most frequent tokens (ties by token), drop the rest from rows.
 
     Returns ``(reduced_docs, kept)``; rows are rejoined with single spaces and rows left
-    with no token disappear. ``kept`` is bounded by ``max_size`` rows.
+    with no token (null texts too) disappear. The kept set is shipped to tasks when it
+    measures under the session's byte cap; otherwise tokens are exploded under a row id,
+    semi-joined and regrouped. Both give the same rows.
     """
-    kept = token_counts(docs, col).orderBy(F.desc("n"), F.asc("token")).limit(max_size)
-    if max_size <= BROADCAST_KEPT_LIMIT:
-        spark = docs.sparkSession
-        rows = [(r["token"], r["n"]) for r in kept.collect()]  # at most max_size rows
-        bc = spark.sparkContext.broadcast(frozenset(t for t, _ in rows))
-        kept = spark.createDataFrame(rows, "token string, n bigint")
-        reduced = docs.select(key, _filter_tokens_udf(bc)(F.col(col)).alias(col)).where(F.length(col) > 0)
-        return reduced, kept
-    toks = docs.select(key, F.posexplode(whitespace_tokens(col)).alias("pos", "token"))
-    on = toks.join(kept.select("token"), "token", "left_semi")
+    kept = durable(token_counts(docs, col).orderBy(F.desc("n"), F.asc("token")).limit(max_size))
+    toks = docs.select(F.col(key), whitespace_tokens(col).alias("_toks")).where(F.col("_toks").isNotNull())
+    if measured_bytes(kept.select("token")) <= broadcast_cap():
+        tokens = [r["token"] for r in kept.select("token").collect()]
+        schema = T.StructType([toks.schema[key], T.StructField("_toks", T.ArrayType(T.StringType()))])
+        left = toks.mapInArrow(_filter_tokens(tokens), schema).where(F.size("_toks") > 0)
+        return left.select(key, F.array_join("_toks", " ").alias(col)), kept
+    rows = toks.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode("_toks").alias("pos", "token"))
+    on = rows.join(kept.select("token"), "token", "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    reduced = on.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias(col))
-    return reduced, kept
+    reduced = on.groupBy("_rid", key).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias(col))
+    return reduced.drop("_rid"), kept
 
 
 # ---------------------------------------------------------------- W3 vocabulary ids
@@ -149,57 +148,63 @@ def build_vocab(tokens: DataFrame, col: str = "token", specials: Sequence[str] =
 
 # ---------------------------------------------------------------- J4 / J5 encode, decode
 
-def _encode_join(tokens_df: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
-    exploded = tokens_df.select(key, F.posexplode("_toks").alias("pos", "token"))
-    j = exploded.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
+def _one_id(vocab: DataFrame) -> DataFrame:
+    """One id per token: of a repeated token the last (greatest) id wins."""
+    return vocab.where(F.col("token").isNotNull()).groupBy("token").agg(F.max("id").cast("int").alias("id"))
+
+
+def _one_token(vocab: DataFrame) -> DataFrame:
+    """One token per id: of a repeated id the smallest token wins."""
+    return vocab.where(F.col("id").isNotNull()).groupBy(F.col("id").cast("int").alias("id")).agg(F.min("token").alias("token"))
+
+
+def _encode_join(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
+    rows = toks.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode_outer("_toks").alias("pos", "token"))
+    j = rows.join(vocab, "token", "left")
+    known = F.col("id")
     if on_unknown == "error":
-        j = j.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(
-            F.concat(F.lit("unknown token: '"), F.col("token"), F.lit("'")))).otherwise(F.col("id")))
-    elif on_unknown == "drop":
-        j = j.where(F.col("id").isNotNull())
-    else:
-        j = j.withColumn("id", F.coalesce("id", F.lit(unk_id).cast("int")))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
-    return j.groupBy(key).agg(ids.alias("ids"))
-
-
-def _encode_table(tokens_df: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
-    spark = tokens_df.sparkSession
-    table = {r["token"]: int(r["id"]) for r in vocab.select("token", "id").collect()}
-    bc = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(toks: pd.Series) -> pd.Series:
-        m = bc.value
-        out = []
-        for row in toks:
-            ids = []
-            for t in row:
-                i = m.get(t)
-                if i is None:
-                    if on_unknown == "error":
-                        raise ValueError(f"unknown token: {t!r}")
-                    if on_unknown == "drop":
-                        continue
-                    i = unk_id
-                ids.append(i)
-            out.append(ids)
-        return pd.Series(out)
-
-    return tokens_df.select(key, lookup("_toks").alias("ids"))
+        known = F.when(F.col("id").isNull() & F.col("pos").isNotNull(), F.raise_error(
+            F.concat(F.lit("unknown token: '"), F.col("token"), F.lit("'")))).otherwise(F.col("id"))
+    elif on_unknown == "unk":
+        known = F.coalesce("id", F.lit(unk_id).cast("int"))
+    # a row without tokens keeps its place; an unknown token that is dropped leaves no entry
+    entry = F.when(F.col("pos").isNotNull() & known.isNotNull(), F.struct("pos", known.alias("id")))
+    ids = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["id"])
+    return j.groupBy("_rid", key).agg(ids.alias("ids")).drop("_rid")
+
+
+def _encode_table(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
+    rows = vocab.select("token", "id").toArrow()
+
+    def run(batches):
+        tokens, ids = rows.column("token").combine_chunks(), rows.column("id").combine_chunks()
+        for b in batches:
+            flat, offsets = _list_parts(b.column("_toks"))
+            found = pc.take(ids, pc.index_in(flat, value_set=tokens))
+            missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+            if missing.any() and on_unknown == "error":
+                raise ValueError(f"unknown token: {flat[int(missing.argmax())].as_py()!r}")
+            if on_unknown == "unk":
+                found, missing = pc.fill_null(found, unk_id), np.zeros(len(found), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(found, offsets, ~missing)], [b.schema.names[0], "ids"])
+
+    schema = T.StructType([toks.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return toks.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: str = "text",
            key: str = "doc_id", unk_token: str = "[UNK]", strategy: str = "auto") -> DataFrame:
     """Single-space tokens -> ids; ``ids ARRAY<INT>, len``. Unknown tokens raise by default.
 
-    ``strategy``: ``table`` ships the vocabulary to executors and maps rows in place
-    (no shuffle); ``join`` explodes tokens, joins the vocabulary and regroups (any
-    vocabulary size). ``auto`` measures the vocabulary and uses ``table`` only below
-    ``BROADCAST_VOCAB_LIMIT`` entries and the session's broadcast byte cap.
+    One contract for every size: one output row per input row (keys may repeat), a null
+    text has no ids, and of a repeated vocabulary token the last id wins. ``table`` ships
+    the vocabulary to tasks and maps Arrow batches in place (no shuffle); ``join``
+    explodes tokens under a row id, joins and regroups. ``auto`` measures the vocabulary
+    and ships it only under the session's byte cap.
     """
     if on_unknown not in ("error", "drop", "unk"):
         raise ValueError("on_unknown must be error, drop or unk")
+    vocab = _one_id(vocab)
     unk_id = None
     if on_unknown == "unk":
         r = vocab.where(F.col("token") == unk_token).select("id").first()
@@ -207,14 +212,9 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
             raise ValueError(f"{unk_token} is not in the vocabulary")
         unk_id = int(r["id"])
     if strategy == "auto":
-        strategy = "table" if _ships(vocab) else "join"
+        strategy = "table" if measured_bytes(vocab) <= broadcast_cap() else "join"
     toks = docs.select(key, single_space_tokens(col).alias("_toks"))
-    if strategy == "table":
-        out = _encode_table(toks, vocab, key, on_unknown, unk_id)
-    else:
-        # rows whose tokens all vanished (on_unknown=drop) come back with no ids
-        out = docs.select(key).join(_encode_join(toks, vocab, key, on_unknown, unk_id), key, "left") \
-            .withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    out = (_encode_table if strategy == "table" else _encode_join)(toks, vocab, key, on_unknown, unk_id)
     return out.withColumn("len", F.size("ids").cast("bigint"))
 
 
@@ -222,25 +222,29 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str =
            strategy: str = "auto") -> DataFrame:
     """Ids -> tokens through the real inverse of the vocabulary; ``tokens``, ``text``.
 
-    ``table`` ships the (checked, bounded) inverse to executors and maps rows in place;
-    ``join`` explodes ids, joins and regroups (any vocabulary size).
+    One output row per input row, whatever the vocabulary's size: null or empty ids give
+    no tokens and an empty text, an id that the vocabulary lacks gives a null token (left
+    out of the text). ``table`` and ``join`` as for ``encode``.
     """
+    inverse = _one_token(vocab)
     if strategy == "auto":
-        strategy = "table" if _ships(vocab) else "join"
+        strategy = "table" if measured_bytes(inverse) <= broadcast_cap() else "join"
+    src = encoded.select(key, F.col(col).cast("array<int>").alias("_ids"))
     if strategy == "table":
-        inv = {int(r["id"]): r["token"] for r in vocab.select("id", "token").collect()}
-        bc = encoded.sparkSession.sparkContext.broadcast(inv)
+        rows = inverse.select("id", "token").toArrow()
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def lookup(ids: pd.Series) -> pd.Series:
-            m = bc.value
-            return pd.Series([[m.get(int(i)) for i in row] for row in ids])
+        def run(batches):
+            ids, tokens = rows.column("id").combine_chunks(), rows.column("token").combine_chunks()
+            for b in batches:
+                flat, offsets = _list_parts(b.column("_ids"))
+                found = pc.take(tokens, pc.index_in(flat, value_set=ids))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)], [b.schema.names[0], "tokens"])
 
-        out = encoded.select(key, lookup(col).alias("tokens"))
+        out = src.mapInArrow(run, T.StructType([src.schema[key], T.StructField("tokens", T.ArrayType(T.StringType()))]))
     else:
-        exploded = encoded.select(key, F.posexplode(col).alias("pos", "id"))
-        inv = vocab.select(F.col("id").cast("int").alias("id"), "token")
-        j = exploded.join(inv, "id", "left")
-        toks = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-        out = j.groupBy(key).agg(toks.alias("tokens"))
+        rows = src.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode_outer("_ids").alias("pos", "id"))
+        entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
+        toks = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["token"])
+        out = rows.join(inverse, "id", "left").groupBy("_rid", key).agg(toks.alias("tokens")).drop("_rid")
     return out.withColumn("text", F.array_join("tokens", " "))

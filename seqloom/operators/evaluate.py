@@ -73,8 +73,8 @@ def corpus_jaccard(generated: DataFrame, real: DataFrame, col: str = "text") ->
 
 def best_successor(model: DataFrame) -> DataFrame:
     """The top successor per context token (most frequent, then smallest token)."""
-    w = Window.partitionBy("prev").orderBy(F.desc("n"), F.asc("next"))
-    return model.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("prev", F.col("next").alias("guess"))
+    top = model.groupBy("prev").agg(F.max("n").alias("n"))
+    return model.join(top, ["prev", "n"]).groupBy("prev").agg(F.min("next").alias("guess"))
 
 
 def continuation_accuracy(docs: DataFrame, model: DataFrame, col: str = "text", key: str = "doc_id") -> DataFrame:

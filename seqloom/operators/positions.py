@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +99,7 @@ def _local_cumsum(weight: str):
         acc = 0
         for batch in batches:
             w = batch.column(weight)
-            arr = np.nan_to_num(w.to_numpy(zero_copy_only=False).astype("float64"), nan=0.0).astype("int64") \
-                if len(w) else np.zeros(0, dtype="int64")
+            arr = pc.fill_null(w.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
             cs = np.cumsum(arr) + acc
             if len(cs):
                 acc = int(cs[-1])
@@ -132,15 +132,20 @@ def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_g
             n = batch.num_rows
             if n == 0:
                 continue
-            same = [batch.column(c).to_pylist() for c in same_cols]
             start = batch.column(start_col).to_numpy(zero_copy_only=False)
             end = batch.column(end_col).to_numpy(zero_copy_only=False)
-            new = np.ones(n, dtype="int64")
-            for i in range(n):
-                key = tuple(col[i] for col in same)
-                if prev is not None and prev[0] == key and start[i] - prev[1] <= max_gap:
-                    new[i] = 0
-                prev = (key, end[i])
+            # each row against the row before it: all key columns equal and the gap small
+            joined = start[1:] - end[:-1] <= max_gap
+            for c in same_cols:
+                col = batch.column(c)
+                a, b = col.slice(0, n - 1), col.slice(1)
+                equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                joined = joined & equal.to_numpy(zero_copy_only=False)
+            new = np.concatenate([[1], 1 - joined.astype("int64")]).astype("int64")
+            first, last = ([batch.column(c)[i].as_py() for c in same_cols] for i in (0, n - 1))
+            if prev is not None and prev[0] == first and start[0] - prev[1] <= max_gap:
+                new[0] = 0
+            prev = (last, end[-1])
             cs = np.cumsum(new) + acc
             acc = int(cs[-1])
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(new), pa.array(cs)],

@@ -1,7 +1,9 @@
 """Next-token tables: a count model, loss, softmax, top-k, draws and continuation.
 
-Logits live in a long table ``row_id, token_id, logit``; windows are partitioned by
-``row_id`` (one row per vocabulary entry, bounded), never by data keys.
+Logits live in a long table ``row_id, token_id, logit``; N4-N6 use windows over ``row_id`` (one
+row per vocabulary entry). Totals and maxima per context token (N1, E3) are hash aggregates
+joined back, so a frequent token is combined before it is shuffled. Only the candidate table
+of N7 orders a context's successors, and a top-k bound makes that small.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ def successor_pairs(docs: DataFrame, col: str = "text", key: str = "doc_id") ->
 def next_token_counts(docs: DataFrame, col: str = "text", key: str = "doc_id") -> DataFrame:
     """For each context token its successors with count and log-probability."""
     counts = successor_pairs(docs, col, key).groupBy("prev", "next").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("prev"))
-    return counts.withColumn("logp", F.log(F.col("n") / total))
+    totals = counts.groupBy("prev").agg(F.sum("n").alias("_total"))
+    return counts.join(totals, "prev").select("prev", "next", "n", F.log(F.col("n") / F.col("_total")).alias("logp"))
 
 
 def cross_entropy_rows(logits: DataFrame, targets: DataFrame, ignore_index: int = -1) -> DataFrame:
@@ -122,25 +124,26 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
 
     The count model scores by the last token only (the crop to the last block does not
     change its context). A sequence whose context has no successor stops growing. Each
-    step is checkpointed to cut the lineage.
+    step is checkpointed to cut the lineage: only the key, the last token and the new tokens
+    travel, the prompts are joined once at the end. An empty or null sequence has no context
+    and stays as it is. Keys must be unique.
     """
     cand = durable(candidate_table(model, temperature, k))
     ctx, _ = broadcast_if_small(cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct())
     cand = cand.withColumnRenamed("row_id", "_ctx").drop("n_buckets")
-    cur = seqs.select(key, col).withColumn("new", F.array().cast("array<string>")).withColumn("done", F.lit(False))
+    cur = seqs.select(key, F.try_element_at(col, F.lit(-1)).alias("_last"), F.array().cast("array<string>").alias("new"))
     for step in range(steps):
         q = (cur.withColumn("_u", hash_unit(seed, F.col(key), F.lit(step)))
-             .withColumn("_ctx", F.element_at(col, -1))
+             .withColumn("_ctx", F.col("_last"))
              .join(ctx, "_ctx", "left")
              .withColumn("bucket", F.floor(F.col("_u") * F.col("n_buckets")).cast("int")))
         hit = q.join(cand, ["_ctx", "bucket"], "left") \
             .where(F.col("token_id").isNull() | ((F.col("cum_lo") <= F.col("_u")) & (F.col("_u") < F.col("cum_hi"))))
         picked = hit.groupBy(key).agg(F.min("token_id").alias("_next"))
-        nxt = cur.join(picked, key, "left")
-        go = ~F.col("done") & F.col("_next").isNotNull()
-        cur = durable(nxt.select(
-            key,
-            F.when(go, F.concat(col, F.array("_next"))).otherwise(F.col(col)).alias(col),
-            F.when(go, F.concat("new", F.array("_next"))).otherwise(F.col("new")).alias("new"),
-            (F.col("done") | F.col("_next").isNull()).alias("done")))
-    return cur
+        # a sequence that found no successor has no context any more
+        cur = durable(cur.join(picked, key, "left").select(
+            key, F.col("_next").alias("_last"),
+            F.when(F.col("_next").isNotNull(), F.concat("new", F.array("_next"))).otherwise(F.col("new")).alias("new")))
+    return seqs.select(key, col).join(cur, key).select(
+        key, F.concat(F.coalesce(F.col(col), F.array().cast("array<string>")), F.col("new")).alias(col), "new",
+        (F.size("new") < steps).alias("done"))

@@ -1,6 +1,6 @@
 """Input views of the genome pipeline, derived from the driver's TPC-H-like tables.
 
-Each view has a twin in ``seqloom.plans.oracle`` written for DuckDB; both use only
+Each view has a twin in ``seqloom.plans.oracle_views`` written for DuckDB; both use only
 expressions that mean the same in the two engines (md5, translate, lpad, integer %).
 Views are cached per (session, folder) so several queries of one run share them.
 """
@@ -15,6 +15,7 @@ from seqloom.operators.positions import dense_index_within
 _CACHE: dict[tuple, DataFrame] = {}
 
 CONV_ID_BASE = 1_000_000_000_000
+TURNS = 1_000_000  # ids of one conversation's turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +42,19 @@ def _s(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _padded(c: str, width: int) -> F.Column:
+    """Zero-padded to at least ``width`` digits; longer numbers stay whole."""
+    s = _s(c)
+    return F.lpad(s, F.greatest(F.length(s), F.lit(width)), F.lit("0"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genome catalog: one assembly per supplier, every tenth a GenBank (GCA) one."""
     s = table(spark, sf_dir, "supplier")
     version = (F.col("s_nationkey") % 3 + 1).cast("string")
     return s.select(
         F.concat(F.lit("GC"), F.when(F.col("s_suppkey") % 10 == 0, "A").otherwise("F"), F.lit("_"),
-                 F.lpad(_s("s_suppkey"), 9, "0"), F.lit("."), version).alias("accession"),
+                 _padded("s_suppkey", 9), F.lit("."), version).alias("accession"),
         F.concat(F.lit("ASM"), _s("s_suppkey"), F.lit("v"), version).alias("assembly_name"),
         F.col("s_name").alias("organism"),
         (F.col("s_nationkey") * 10 + 550).cast("int").alias("gene_total"),
@@ -59,7 +66,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory listing per accession: versioned subdirectories plus decoys."""
     c = catalog(spark, sf_dir)
     d = F.substring("accession", -1, 1)
-    digits = F.lpad(_s("suppkey"), 9, "0")
+    digits = _padded("suppkey", 9)
     m = (F.col("suppkey") % 3 + 1).cast("int")
     versions = c.select("accession", "suppkey", F.explode(F.sequence(F.lit(1), m)).alias("k")).select(
         "accession", (F.col("k") - 1).cast("int").alias("pos"),
@@ -76,7 +83,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File listing inside every subdirectory: genome, CDS FASTA, feature table."""
-    lst = listing(spark, sf_dir).withColumn("suppkey", F.substring("accession", 5, 9).cast("bigint"))
+    lst = listing(spark, sf_dir).withColumn("suppkey", F.regexp_extract("accession", r"_([0-9]+)\.", 1).cast("bigint"))
     cds_name = F.when(F.col("suppkey") % 13 == 0, F.lit("_cds_from_genomic.fna.gz")) \
         .otherwise(F.concat("entry", F.lit("_cds_from_genomic.fna.gz")))
     return lst.select(
@@ -163,7 +170,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Primary Assembly").alias("assembly_unit"),
         F.lit("chromosome").alias("seq_type"),
         null_s.alias("chromosome"),
-        F.concat(F.lit("NC_"), F.lpad(_s("l_suppkey"), 6, "0")).alias("genomic_accession"),
+        F.concat(F.lit("NC_"), _padded("l_suppkey", 6)).alias("genomic_accession"),
         start.alias("start"),
         (start + length).alias("end"),
         F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"),
@@ -204,7 +211,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.replace(F.col("text"), nl, F.lit(" ")).alias("text"))
     c = table(spark, sf_dir, "conversations").select(
-        (F.lit(CONV_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        (F.lit(CONV_ID_BASE) + F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"),
         F.replace(F.col("text"), nl, F.lit(" ")).alias("text"))
     return spread(d.unionByName(c), "doc_id")
 
@@ -216,7 +223,7 @@ def real_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"),
         F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text")), "doc_id")
 
 

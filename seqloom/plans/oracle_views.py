@@ -12,18 +12,18 @@ import re
 VIEWS: list[tuple[str, str]] = [
     ("catalog", """
 SELECT concat('GC', CASE WHEN s_suppkey % 10 = 0 THEN 'A' ELSE 'F' END, '_',
-              lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), '.', CAST(s_nationkey % 3 + 1 AS VARCHAR)) AS accession,
+              lpad(CAST(s_suppkey AS VARCHAR), greatest(9, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0'), '.', CAST(s_nationkey % 3 + 1 AS VARCHAR)) AS accession,
        concat('ASM', CAST(s_suppkey AS VARCHAR), 'v', CAST(s_nationkey % 3 + 1 AS VARCHAR)) AS assembly_name,
        s_name AS organism, CAST(s_nationkey * 10 + 550 AS INTEGER) AS gene_total, s_suppkey AS suppkey
 FROM supplier"""),
     ("listing", """
 SELECT accession, CAST(k - 1 AS INTEGER) AS pos,
-       concat('GCF_', lpad(CAST(suppkey AS VARCHAR), 9, '0'), '.', CAST(k AS VARCHAR), '_ASM',
+       concat('GCF_', lpad(CAST(suppkey AS VARCHAR), greatest(9, length(CAST(suppkey AS VARCHAR)))::INTEGER, '0'), '.', CAST(k AS VARCHAR), '_ASM',
               CAST(suppkey AS VARCHAR), 'v', CAST(k AS VARCHAR)) AS entry
 FROM (SELECT accession, suppkey, unnest(range(1, CAST(suppkey % 3 + 2 AS BIGINT))) AS k FROM catalog)
 UNION ALL
 SELECT accession, CAST(suppkey % 3 + 1 AS INTEGER),
-       concat('GCF_', lpad(CAST(suppkey AS VARCHAR), 9, '0'), '.', CAST(suppkey % 9 + 1 AS VARCHAR), '_ASM',
+       concat('GCF_', lpad(CAST(suppkey AS VARCHAR), greatest(9, length(CAST(suppkey AS VARCHAR)))::INTEGER, '0'), '.', CAST(suppkey % 9 + 1 AS VARCHAR), '_ASM',
               CAST(suppkey AS VARCHAR), 'v', right(accession, 1), 'x')
 FROM catalog WHERE suppkey % 4 = 0
 UNION ALL
@@ -96,7 +96,7 @@ FROM fields f LEFT JOIN gene_go g ON f.gid = g.gene_id"""),
 SELECT CASE WHEN l_returnflag = 'N' THEN 'CDS' WHEN l_returnflag = 'R' THEN 'gene' ELSE 'tRNA' END AS feature,
        'with_protein' AS class, accession AS assembly, 'Primary Assembly' AS assembly_unit,
        'chromosome' AS seq_type, CAST(NULL AS VARCHAR) AS chromosome,
-       concat('NC_', lpad(CAST(l_suppkey AS VARCHAR), 6, '0')) AS genomic_accession,
+       concat('NC_', lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INTEGER, '0')) AS genomic_accession,
        ord * 200 AS start, ord * 200 + CAST(l_quantity * 5 AS BIGINT) AS "end",
        CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand,
        CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE concat('WP_', CAST(l_partkey AS VARCHAR)) END AS product_accession,
@@ -122,11 +122,11 @@ FROM (SELECT *, concat(CASE WHEN CAST(gene_id AS BIGINT) % 4 = 0 THEN 'BHR' ELSE
     ("corpus", """
 SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents
 UNION ALL
-SELECT 1000000000000 + conv_id * 1000 + turn, replace(text, chr(10), ' ') FROM conversations"""),
+SELECT 1000000000000 + conv_id * 1000000 + turn, replace(text, chr(10), ' ') FROM conversations"""),
     ("real_corpus", """
 SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents"""),
     ("generated_corpus", """
-SELECT conv_id * 1000 + turn AS doc_id, replace(text, chr(10), ' ') AS text FROM conversations"""),
+SELECT conv_id * 1000000 + turn AS doc_id, replace(text, chr(10), ' ') AS text FROM conversations"""),
     ("token_clean_input", """
 SELECT doc_id, array_to_string(list_transform(string_split(text, ' '),
          lambda t: CASE WHEN length(t) % 5 = 0 THEN concat(t, '_x') ELSE t END), ' ') AS text

@@ -20,7 +20,7 @@ from seqloom.operators import evaluate as E
 from seqloom.operators import layout as L
 from seqloom.operators import scoring as N
 from seqloom.plans import fixtures as X
-from seqloom.session import scratch_path
+from seqloom.session import release, scratch_path
 from seqloom.sources import readers as R
 from seqloom.sources import sinks as S
 from seqloom.streaming import ingest as ST
@@ -32,7 +32,11 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 def register(name: str, sql: str | None):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = (fn, sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()  # small tables that earlier queries cached
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = (run, sql)
         return fn
     return deco
 
@@ -223,7 +227,7 @@ SELECT a.accession,
 FROM (SELECT DISTINCT accession FROM catalog) a LEFT JOIN (
   SELECT accession, count(*) AS n_entries, arg_min(entry, pos) AS only_entry,
          count(*) FILTER (WHERE m) AS n_match,
-         arg_max(entry, CASE WHEN m THEN dgt * 1000000 - pos END) AS best
+         arg_max(entry, CASE WHEN m THEN {'d': dgt, 'p': -pos} END) AS best
   FROM (SELECT l.*, (contains(entry, 'v' || right(accession, 1)) OR contains(entry, '.' || right(accession, 1))) AS m,
                coalesce(CAST(NULLIF(regexp_extract(entry, '^GCF_[0-9]+\\.([0-9])_.+$', 1), '') AS BIGINT), -1) AS dgt
         FROM listing l)
@@ -638,12 +642,13 @@ def q_n4(spark, sf):
 
 
 @register("n5_top_k", SV("""
-SELECT row_id, token_id, round(logit, 6) AS logit,
-       CAST(rank() OVER (PARTITION BY row_id ORDER BY logit DESC) <= 5 AS INTEGER) AS kept FROM logits"""))
+SELECT row_id, token_id, CASE WHEN r <= 5 THEN round(logit, 6) ELSE '-inf'::DOUBLE END AS logit,
+       CAST(r <= 5 AS INTEGER) AS kept
+FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY logit DESC) AS r FROM logits)"""))
 def q_n5(spark, sf):
-    lg = logits_table(spark, sf).withColumn("logit_in", F.col("logit"))
-    t = N.top_k(lg, 5)
-    return t.select("row_id", "token_id", F.round("logit_in", 6).alias("logit"), F.col("kept").cast("int").alias("kept"))
+    t = N.top_k(logits_table(spark, sf), 5)
+    cropped = F.when(F.col("logit") == N.NEG_INF, F.col("logit")).otherwise(F.round("logit", 6))
+    return t.select("row_id", "token_id", cropped.alias("logit"), F.col("kept").cast("int").alias("kept"))
 
 
 @register("n6_sample_token", SV("""
@@ -702,17 +707,16 @@ c5 AS (SELECT prev, next, sum(p) OVER (PARTITION BY prev ORDER BY next ROWS UNBO
 cand AS (SELECT prev, next,
                 coalesce(lag(cum) OVER (PARTITION BY prev ORDER BY next), 0.0) AS lo,
                 CASE WHEN last THEN 'inf'::DOUBLE ELSE cum END AS hi FROM c5),
-s0 AS (SELECT r.doc_id AS seq_id, string_split(r.text, ' ') AS l FROM reduced r JOIN splits s ON r.doc_id = s.doc_id
-       WHERE s.split = 'val'),
+s0 AS (SELECT doc_id AS seq_id, string_split(text, ' ') AS l FROM reduced),
 s1 AS (SELECT seq_id, l, {_U.format(seed=N7_SEED, step=0)} AS u1, {_U.format(seed=N7_SEED, step=1)} AS u2 FROM s0),
 s2 AS (SELECT s1.*, (SELECT min(next) FROM cand c WHERE c.prev = s1.l[-1] AND c.lo <= s1.u1 AND s1.u1 < c.hi) AS t1 FROM s1),
 s3 AS (SELECT s2.*, (SELECT min(next) FROM cand c WHERE c.prev = s2.t1 AND c.lo <= s2.u2 AND s2.u2 < c.hi) AS t2 FROM s2)
 SELECT seq_id, coalesce(concat_ws(' ', t1, CASE WHEN t1 IS NOT NULL THEN t2 END), '') AS new,
        CAST((t1 IS NOT NULL)::INT + (t1 IS NOT NULL AND t2 IS NOT NULL)::INT AS BIGINT) AS n_new FROM s3"""))
 def q_n7(spark, sf):
-    train, val = _train_val(spark, sf)
+    train, _ = _train_val(spark, sf)
     model = N.next_token_counts(train)
-    seqs = val.select(F.col("doc_id").alias("seq_id"), F.split("text", " ", -1).alias("tokens"))
+    seqs = flow(spark, sf).reduced.select(F.col("doc_id").alias("seq_id"), F.split("text", " ", -1).alias("tokens"))
     out = N.continue_sequences(seqs, model, steps=2, temperature=1.0, k=1, seed=N7_SEED)
     return out.select("seq_id", F.array_join("new", " ").alias("new"), F.size("new").cast("bigint").alias("n_new"))
 
@@ -815,8 +819,10 @@ def q_s1(spark, sf):
     path = scratch_path(spark, "catalog")
     cat = X.catalog(spark, sf).select(*[F.col(c).alias(h) for c, h in zip(
         ["accession", "assembly_name", "organism", "gene_total"], R.CATALOG_HEADER)])
-    cat.write.option("sep", "\t").option("header", True).csv(path)
-    return R.read_catalog(spark, path)
+    # columns in another order, and one that the reader does not know
+    mixed = cat.select(F.lit("x").alias("Assembly Level"), *reversed(cat.columns))
+    mixed.write.option("sep", "\t").option("header", True).csv(path)
+    return R.read_catalog(spark, path).drop("bad_fields")
 
 
 @register("s2_read_gene_info", V("SELECT gene_id, symbol FROM symtab"))
@@ -855,7 +861,7 @@ def q_s5(spark, sf):
     ft = X.feature_table(spark, sf)
     ft.select(*[F.col(n).alias(h) for (n, _), h in zip(R.FEATURE_TABLE_FIELDS, R.FEATURE_TABLE_HEADER)]) \
         .write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
-    return R.read_feature_table(spark, path)
+    return R.read_feature_table(spark, path).drop("bad_fields")
 
 
 @register("s6_read_gff", V('SELECT seqid, source, type, start, "end", score, strand, phase, attributes FROM gff'))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SEQLOOM_DRIVER_MEMORY", "16g"))
@@ -31,7 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` when the session has one; only when it
-    is unset (local tests) a folder is created under the system temp directory.
+    is unset on a local master (tests) a folder is created under the system temp
+    directory. On a cluster without one this raises: executors could not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,6 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="seqloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -90,13 +95,38 @@ def _approx_row_bytes(df: DataFrame):
     return total
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES):
+def broadcast_cap() -> int:
+    return BROADCAST_MAX_BYTES
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows of ``df`` (one job, nothing is kept)."""
+    from pyspark.sql import functions as F
+
+    return df.agg(F.sum(_approx_row_bytes(df)).alias("b")).first()["b"] or 0
+
+
+# Small tables that broadcast hints were given for, cached until ``release``.
+_HELD: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the cached small tables. Frames built on them stay valid (they would be
+    computed again); called before each registered query and after each micro-batch."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None):
     """``(df, True)`` with a broadcast hint when the table measures at most ``max_bytes``,
-    else ``(df, False)``. The table is persisted first, since it is read again."""
+    else ``(df, False)``. It is cached for the second read; a table that is too large is
+    dropped from the cache at once, a small one by ``release``."""
     from pyspark.sql import functions as F
 
     df = df.persist()
-    size = df.agg(F.sum(_approx_row_bytes(df)).alias("b")).first()["b"] or 0
-    if size <= max_bytes:
+    size = measured_bytes(df)
+    if size <= (broadcast_cap() if max_bytes is None else max_bytes):
+        _HELD.append(df)
         return F.broadcast(df), True
+    df.unpersist()
     return df, False

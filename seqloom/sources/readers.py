@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.operators.corpus import SPECIALS
+from seqloom.operators.positions import running_sum
 from seqloom.session import broadcast_if_small
 
 # Strings pandas reads as missing by default (its documented NA list).
@@ -42,6 +43,7 @@ GFF_FIELDS = [("seqid", "string"), ("source", "string"), ("type", "string"), ("s
               ("score", "string"), ("strand", "string"), ("phase", "string"), ("attributes", "string")]
 
 ACCESSION_RE = r"(GC[AF]_[0-9]+\.[0-9]+)"
+# Fixed value: start of the marker line that a run of the ingest writes.
 SESSION_MARKER = "################"
 
 
@@ -62,11 +64,26 @@ def _tsv(spark: SparkSession, path: str, names, header: bool, comment: str | Non
     return r.csv(path)
 
 
+def _by_name(spark: SparkSession, path: str, fields, header) -> DataFrame:
+    """A tab-separated file with a header: the columns named in ``header`` under their names
+    and types in ``fields``, whatever their place and whatever else the file holds. A column
+    the file lacks raises. Quoted fields are read as one; a value that is no number becomes
+    null and its column is listed in ``bad_fields``."""
+    df = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
+    missing = [h for h in header if h not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {missing}; it has {df.columns}")
+    raw = df.select(*[F.col(f"`{h}`").alias(n) for (n, _), h in zip(fields, header)])
+    out = [_na(n) if t == "string" else _na(n).try_cast(t) for n, t in fields]
+    bad = [F.when(_na(n).isNotNull() & _na(n).try_cast(t).isNull(), F.lit(n)) for n, t in fields if t != "string"]
+    return raw.select(*[c.alias(n) for c, (n, _) in zip(out, fields)], F.array_compact(F.array(*bad)).alias("bad_fields"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Genome catalog TSV with a header row -> ``accession, assembly_name, organism, gene_total``."""
-    names = ["accession", "assembly_name", "organism", "gene_total"]
-    df = _tsv(spark, path, names, header=True)
-    return df.select(*[_na(n).alias(n) for n in names[:3]], _na("gene_total").cast("int").alias("gene_total"))
+    """Genome catalog TSV, columns found by header name -> ``accession, assembly_name,
+    organism, gene_total, bad_fields``."""
+    fields = [("accession", "string"), ("assembly_name", "string"), ("organism", "string"), ("gene_total", "int")]
+    return _by_name(spark, path, fields, CATALOG_HEADER)
 
 
 def file_order(df: DataFrame) -> DataFrame:
@@ -144,34 +161,40 @@ def read_cds_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
-    """20-column feature table TSV (header row, gzip by extension), typed."""
-    names = [n for n, _ in FEATURE_TABLE_FIELDS]
-    df = _tsv(spark, path, names, header=True)
-    return df.select(*[_na(n).cast(t).alias(n) for n, t in FEATURE_TABLE_FIELDS])
+    """Feature table TSV (header row, gzip by extension): the 20 columns found by header
+    name, typed, and ``bad_fields``."""
+    return _by_name(spark, path, FEATURE_TABLE_FIELDS, FEATURE_TABLE_HEADER)
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """9-column GFF without header; ``#`` comment lines skipped."""
     names = [n for n, _ in GFF_FIELDS]
     df = _tsv(spark, path, names, header=False, comment="#")
-    return df.select(*[F.col(n).cast(t).alias(n) for n, t in GFF_FIELDS])
+    return df.select(*[F.col(n).try_cast(t).alias(n) for n, t in GFF_FIELDS])
 
 
 def read_corpus(spark: SparkSession, path: str, split: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Corpus ``doc_id, text``; parquet with a ``split=`` directory per split, or text lines.
 
-    Text lines get ``doc_id`` = their file-order position; session marker lines are dropped.
+    Text lines get ``doc_id`` = their file-order position (from 0, over the files read);
+    session marker lines are dropped. ``split`` picks a ``split=`` folder in either form.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
         if split is not None:
             df = df.where(F.col("split") == split)
         return df.select("doc_id", "text")
-    df = spark.read.text(path).where(~F.col("value").startswith(SESSION_MARKER))
-    df = file_order(df).withColumn("_one", F.lit(1))
-    from seqloom.operators.positions import dense_index
-    out = dense_index(df, ["_file", "_block", "_row"], out="doc_id")
-    return out.select("doc_id", F.col("value").alias("text"))
+    raw = spark.read.text(path)
+    if split is not None:
+        if "split" not in raw.columns:
+            raise ValueError(f"{path} has no split= folders")
+        raw = raw.where(F.col("split") == split)
+    df = file_ordinal(file_order(raw.where(~F.col("value").startswith(SESSION_MARKER))), out="_in_file")
+    # rows of the files before: one row per file is ranked, no line is moved
+    sizes = df.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = running_sum(sizes, ["_file"], "_n", out="_end").select("_file", (F.col("_end") - F.col("_n")).alias("_before"))
+    out = df.join(broadcast_if_small(before)[0], "_file")
+    return out.select((F.col("_before") + F.col("_in_file") - 1).alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_vocab(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -195,10 +218,11 @@ def read_vocab(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 def _decode_u16(batches):
     for b in batches:
-        data = b.column("data").to_pylist()
-        ids = [np.frombuffer(x, dtype="<u2").astype(np.int32).tolist() for x in data]
+        data = [x or b"" for x in b.column("data").to_pylist()]
+        ids = np.frombuffer(b"".join(data), dtype="<u2").astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])]).astype(np.int32)
         keep = [b.column(n) for n in b.schema.names if n != "data"]
-        yield pa.RecordBatch.from_arrays(keep + [pa.array(ids, type=pa.list_(pa.int32()))],
+        yield pa.RecordBatch.from_arrays(keep + [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
                                          names=[n for n in b.schema.names if n != "data"] + ["ids"])
 
 

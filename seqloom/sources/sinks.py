@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +37,22 @@ def write_vocab(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
     vocab.agg(F.count(F.lit(1)).cast("bigint").alias("vocab_size")).coalesce(1).write.mode(mode).json(f"{path}/summary")
 
 
+def write_vocab_json(vocab: DataFrame, path: str, specials: int = 3, mode: str = "overwrite") -> None:
+    """K2, single-object form: one JSON object ``{id_vocab, vocab_size}`` with the tokens after the
+    ``specials`` in id order, as ``read_vocab`` reads it. The object is one row by definition of
+    the format (a vocabulary of at most 65,536 ids); use the table form for larger ones."""
+    real = vocab.where(F.col("id") >= specials)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"])
+    real.agg(ordered.alias("id_vocab"), F.count(F.lit(1)).alias("vocab_size")).coalesce(1).write.mode(mode).json(path)
+
+
 def _encode_u16(batches):
     for b in batches:
-        ids = b.column("ids").to_pylist()
-        data = [np.asarray(x, dtype="<u2").tobytes() for x in ids]
+        # one conversion of the flat ids, then slices of its buffer
+        lists = b.column("ids")
+        ends = 2 * np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<u2").tobytes()
+        data = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
         keep = [b.column(n) for n in b.schema.names if n != "ids"]
         yield pa.RecordBatch.from_arrays(keep + [pa.array(data, type=pa.binary())],
                                          names=[n for n in b.schema.names if n != "ids"] + ["data"])

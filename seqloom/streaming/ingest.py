@@ -1,66 +1,92 @@
-"""ST1: ingest newly landed CDS FASTA files once each, label them, append gene sentences.
-
-A file-source stream (one record per row via ``lineSep``) runs ``foreachBatch``:
-records -> header fields -> label cascade -> ordered gene sentence per genome. Each
-micro-batch N overwrites its own ``batch_id=N`` folders of the corpus and of the
-manifest, so a replayed batch rewrites the same output and adds nothing; genomes
-already in the manifest of an earlier batch are skipped (a re-offered copy of a
-file is not ingested twice).
+"""ST1: ingest newly landed CDS FASTA files once each, label them, append their sentences.
+
+A file-source stream (one record per row via ``lineSep``) runs ``foreachBatch``: records ->
+header fields -> labels (once) -> per file one gene line and one nucleotide line. With a
+``gene_go`` map the labels are GO terms and the nucleotide line follows the GO rules.
+
+The manifest is kept per genome *and file content*: a copy of a file that is offered again
+(under whatever name) adds nothing, while a second file of the same genome, in the same or a
+later batch, is ingested as lines of its own. Each micro-batch N overwrites its own
+``batch_id=N`` folders, so a replayed batch rewrites the same output.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from seqloom.operators import annotations as A
+from seqloom.session import release
 from seqloom.sources.readers import ACCESSION_RE, file_ordinal, parse_fasta_records
 from seqloom.sources.sinks import corpus_lines
 
 
 def _records(batch: DataFrame) -> DataFrame:
     b = batch.where(F.length(F.trim("value")) > 0).withColumn("_row", F.monotonically_increasing_id())
-    recs = parse_fasta_records(b).withColumn("accession", F.regexp_extract("_file", ACCESSION_RE, 1))
-    return file_ordinal(recs).select("accession", "ord", "header", "seq")
+    recs = parse_fasta_records(b).withColumn("genome", F.regexp_extract("_file", ACCESSION_RE, 1))
+    # the sentence operators group by ``accession``: here one group is one file
+    return file_ordinal(recs).select("genome", F.col("_file").alias("accession"), "ord", "header", "seq")
 
 
 def _earlier_manifest(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
     try:
         m = spark.read.parquet(f"{out}/manifest")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return m.where(F.col("batch_id") < batch_id).select("accession")
+    return m.where(F.col("batch_id") < batch_id).select("genome", "content")
 
 
-def process_batch(batch: DataFrame, batch_id: int, gene_info: DataFrame, out: str) -> None:
+def _new_files(recs: DataFrame, done: DataFrame | None) -> DataFrame:
+    """``accession`` (file), ``genome``, ``content`` of the files not ingested before; of equal
+    files in one batch the first by name."""
+    record = F.xxhash64("ord", "header", "seq")
+    files = recs.groupBy("accession", "genome").agg(
+        F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(record), F.bit_xor(F.xxhash64(F.lit(1), record))).alias("content"))
+    if done is not None:
+        files = files.join(done.distinct(), ["genome", "content"], "left_anti")
+    return files.groupBy("genome", "content").agg(F.min("accession").alias("accession"))
+
+
+def process_batch(batch: DataFrame, batch_id: int, gene_info: DataFrame, out: str, gene_go: DataFrame | None = None) -> None:
     spark = batch.sparkSession
+    batch = batch.persist()
     recs = _records(batch)
-    done = _earlier_manifest(spark, out, batch_id)
-    if done is not None:
-        recs = recs.join(done.distinct(), "accession", "left_anti")
-    lab = A.label_records(recs, gene_info)
-    sentences = A.gene_sentence(lab)
-    corpus_lines(sentences).write.mode("overwrite").text(f"{out}/corpus/batch_id={batch_id}")
-    manifest = lab.groupBy("accession").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
-                                            F.count("label").cast("bigint").alias("n_labelled"))
-    manifest.write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
+    new = _new_files(recs, _earlier_manifest(spark, out, batch_id)).persist()
+    recs = recs.join(F.broadcast(new) if new.count() < 100_000 else new, ["accession", "genome"]).drop("content")
+    labels = (A.label_records(recs, gene_info) if gene_go is None else A.go_tokens(recs, gene_go)).persist()
+    try:
+        names = new.select("accession", "genome")
+        for folder, lines, col in (("corpus", A.gene_sentence(labels), "genes"),
+                                   ("nucleotides", A.nt_sentence(labels, "symbol" if gene_go is None else "go"), "nt")):
+            named = lines.join(names, "accession").select("genome", col)
+            corpus_lines(named, key="genome", col=col).write.mode("overwrite").text(f"{out}/{folder}/batch_id={batch_id}")
+        counts = labels.groupBy("accession").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
+                                                 F.count("label").cast("bigint").alias("n_labelled"))
+        new.join(counts, "accession").withColumnRenamed("accession", "file").write.mode("overwrite").parquet(
+            f"{out}/manifest/batch_id={batch_id}")
+    finally:
+        for df in (labels, new, batch):
+            df.unpersist()
+        release()
 
 
 def ingest_stream(spark: SparkSession, landing: str, gene_info: DataFrame, out: str, checkpoint: str,
-                  max_files_per_trigger: int | None = None):
+                  max_files_per_trigger: int | None = None, gene_go: DataFrame | None = None):
     """Run the ingest over everything landed so far (``availableNow``) and wait for it."""
     reader = spark.readStream.format("text").option("lineSep", "\n>")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.load(landing).select("value", F.col("_metadata.file_path").alias("_file"),
                                       F.col("_metadata.file_block_start").alias("_block"))
-    q = (raw.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, gene_info, out))
+    q = (raw.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, gene_info, out, gene_go))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
-def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    """All corpus lines written by the ingest so far."""
-    return spark.read.text(f"{out}/corpus").select("value")
+def read_ingested(spark: SparkSession, out: str, folder: str = "corpus") -> DataFrame:
+    """All lines written by the ingest so far; ``folder`` is ``corpus`` or ``nucleotides``."""
+    return spark.read.text(f"{out}/{folder}").select("value")

@@ -41,7 +41,7 @@ def test_read_catalog_and_gene_info_na(spark):
     _write_text(d, "c.tsv", "Assembly Accession\tAssembly Name\tOrganism Name\tAnnotation Count Gene Total\n"
                             "GCF_1.1\tA\tE. coli\t4000\nGCA_2.1\tB\tNA\t\n")
     rows = sorted(tuple(r) for r in R.read_catalog(spark, d).collect())
-    assert rows == [("GCA_2.1", "B", None, None), ("GCF_1.1", "A", "E. coli", 4000)]
+    assert rows == [("GCA_2.1", "B", None, None, []), ("GCF_1.1", "A", "E. coli", 4000, [])]
     g = scratch_path(spark, "t_gi")
     _write_text(g, "gi.tsv", "#tax_id\tGeneID\tSymbol\tLocusTag\n1\t10\tNA\t-\n1\t11\t-\tx\n1\t10\tdnaA\t-\n")
     from seqloom.operators.annotations import symbol_table
