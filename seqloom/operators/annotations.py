@@ -39,7 +39,9 @@ def fasta_records(lines: DataFrame) -> DataFrame:
     number. Lines before a genome's first header form a record with a null header.
     """
     flagged = lines.withColumn("_h", F.col("line").startswith(">").cast("long"))
-    numbered = running_sum(flagged, ["accession", "line_no"], "_h", out="_rec")
+    # the running count sorts and checkpoints three narrow columns, never the line text
+    counted = running_sum(flagged.select("accession", "line_no", "_h"), ["accession", "line_no"], "_h", out="_rec")
+    numbered = flagged.join(broadcast_if_small(counted.drop("_h"))[0], ["accession", "line_no"])
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line", "_h")))
     grouped = numbered.groupBy("accession", "_rec").agg(parts.alias("_p"), F.min("line_no").alias("ord"))
     head = F.filter("_p", lambda x: x["_h"] == 1)

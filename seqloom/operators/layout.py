@@ -73,15 +73,9 @@ def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str
     keys = [split_col, *order_cols]
     narrow = framed.select(*keys, "len")
     cum = running_sum(narrow, keys, "len", out="_sl_cum")
-    totals = {r[0]: int(r[1]) for r in narrow.groupBy(split_col).agg(F.sum("len")).collect()}
-    start, acc = {}, 0
-    for s in sorted(totals):
-        start[s] = acc
-        acc += totals[s]
-    base = F.lit(0).cast("long")
-    for s, v in start.items():
-        base = F.when(F.col(split_col) == s, F.lit(v).cast("long")).otherwise(base)
-    offs, _ = broadcast_if_small(cum.select(*keys, (F.col("_sl_cum") - F.col("len") - base).alias(out)))
+    begin = F.col("_sl_cum") - F.col("len")
+    base, _ = broadcast_if_small(cum.groupBy(split_col).agg(F.min(begin).alias("_sl_base")))
+    offs, _ = broadcast_if_small(cum.join(base, split_col).select(*keys, (begin - F.col("_sl_base")).alias(out)))
     return framed.join(offs, keys)
 
 
@@ -127,38 +121,32 @@ def contiguous_shards(df: DataFrame, order_cols: Sequence[str], n_max: int = 102
 
     Adds ``row`` (position inside the split) and ``out``.
     """
-    counts = {r[0]: int(r[1]) for r in df.groupBy(split_col).count().collect()}
-    idx = dense_index(df, [split_col, *order_cols], out="_sl_g")
-    start, acc = {}, 0
-    for s in sorted(counts):
-        start[s] = acc
-        acc += counts[s]
-    row = F.col("_sl_g")
-    shard = F.lit(None).cast("long")
-    base = F.lit(0).cast("long")
-    for s in sorted(counts):
-        n = min(n_max, counts[s])
-        div, mod = divmod(counts[s], n)
-        i = row - F.lit(start[s])
-        cut = (div + 1) * mod
-        sh = F.when(i < cut, F.floor(i / (div + 1))).otherwise(
-            F.lit(mod) + F.floor((i - cut) / div) if div > 0 else F.lit(mod)).cast("long")
-        shard = F.when(F.col(split_col) == s, sh).otherwise(shard)
-        base = F.when(F.col(split_col) == s, F.lit(start[s]).cast("long")).otherwise(base)
-    return idx.withColumn("row", row - base).withColumn(out, shard).drop("_sl_g")
+    keys = [split_col, *order_cols]
+    # only the keys are sorted and checkpointed; the rows themselves meet their number once
+    idx = dense_index(df.select(*keys), keys, out="_sl_g")
+    spans, _ = broadcast_if_small(idx.groupBy(split_col).agg(F.min("_sl_g").alias("_sl_start"), F.count(F.lit(1)).alias("_sl_n")))
+    n = F.least(F.lit(n_max), F.col("_sl_n"))
+    div, mod = F.floor(F.col("_sl_n") / n), F.col("_sl_n") % n
+    i = F.col("_sl_g") - F.col("_sl_start")
+    cut = (div + 1) * mod
+    shard = F.when(i < cut, F.floor(i / (div + 1))).otherwise(mod + F.floor((i - cut) / div)).cast("long")
+    placed, _ = broadcast_if_small(idx.join(spans, split_col).select(*keys, i.alias("row"), shard.alias(out)))
+    return df.join(placed, keys)
 
 
 def sample_blocks(blocks: DataFrame, split: str, n_draws: int, block_size: int, seed: int = 0,
-                  split_col: str = "split", col: str = "ids") -> DataFrame:
+                  split_col: str = "split", col: str = "ids", total: int | None = None) -> DataFrame:
     """``n_draws`` random windows of the split's stream: ``x`` = B ids, ``y`` = x moved by one.
 
     Start ``s`` is uniform in ``[0, N - B)`` from an md5 hash of ``(seed, split, draw)``; a
     window never spans more than blocks ``s div B`` and ``s div B + 1``, so each draw is an
-    equi-join to two blocks.
+    equi-join to two blocks. ``total`` is the split's number of ids where it is known (A7);
+    without it the blocks are read once more to count them.
     """
     B = int(block_size)
     mine = blocks.where(F.col(split_col) == split)
-    total = mine.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = mine.agg(F.sum("n")).first()[0] or 0
     if total <= B:
         raise ValueError(f"split {split!r} holds {total} ids, need more than block_size={B}")
     spark = blocks.sparkSession
@@ -167,8 +155,8 @@ def sample_blocks(blocks: DataFrame, split: str, n_draws: int, block_size: int,
     draws = draws.withColumn("start", s)
     req = draws.withColumn("block_id", F.explode(F.array(F.floor(F.col("start") / B).cast("long"),
                                                          F.floor(F.col("start") / B).cast("long") + 1)))
-    # the requests are 2 * n_draws rows: ship them to the blocks, never the blocks to them
-    j = mine.select(split_col, "block_id", col).join(F.broadcast(req), [split_col, "block_id"])
+    # the requests are 2 * n_draws rows: while they are few they are shipped to the blocks
+    j = mine.select(split_col, "block_id", col).join(broadcast_if_small(req)[0], [split_col, "block_id"])
     buf = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_id", col))), lambda x: x[col]))
     g = j.groupBy("draw_id", "start").agg(buf.alias("_buf"))
     r = (F.col("start") % B).cast("int")

@@ -548,7 +548,8 @@ SELECT split, shard, min(row) AS first_row, count(*) AS n_rows, CAST(sum(n) AS B
 GROUP BY split, shard"""))
 def q_w6(spark, sf):
     f = flow(spark, sf)
-    sh = L.contiguous_shards(f.framed, ["order_key"], 1024)
+    compact = L.frame(f.encoded.join(f.splits, "doc_id"), f.max_len)  # ids and a pad count
+    sh = L.contiguous_shards(compact, ["order_key"], 1024)
     return sh.groupBy("split", "shard").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_rows"),
                                             F.sum("len").cast("bigint").alias("n_tokens"))
 
@@ -566,8 +567,9 @@ FROM (SELECT draw_id, ('0x' || substr(md5(concat('{W7_SEED}', ':', 'train', ':',
 JOIN stream s ON s.split = 'train' AND s.pos BETWEEN d.start AND d.start + {BLOCK}
 GROUP BY d.draw_id, d.start"""))
 def q_w7(spark, sf):
-    b = flow(spark, sf).blocks
-    s = L.sample_blocks(b, "train", W7_DRAWS, BLOCK, W7_SEED)
+    f = flow(spark, sf)
+    total = f.framed.where("split = 'train'").agg(F.sum("len")).first()[0] or 0
+    s = L.sample_blocks(f.blocks, "train", W7_DRAWS, BLOCK, W7_SEED, total=total)
     return s.select("draw_id", "start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
 
 
@@ -931,12 +933,76 @@ def q_s9(spark, sf):
 SELECT accession || ': ' || string_agg(label, ' ' ORDER BY ord) AS value
 FROM labelled WHERE label IS NOT NULL GROUP BY accession"""))
 def q_st1(spark, sf):
-    """Land RefSeq genomes, ingest; land GenBank genomes, ingest again; read the corpus."""
+    return ST.read_ingested(spark, _ingested(spark, sf))
+
+
+def _ingested(spark, sf, **mode):
+    """Land RefSeq genomes, ingest; land GenBank genomes, ingest again; the output folder."""
     landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "ingest_out", "ingest_ckpt"))
     recs = X.cds_records(spark, sf)
     gi = X.gene_info(spark, sf)
     S.write_fasta(recs.where(F.col("accession").startswith("GCF")), landing)
-    ST.ingest_stream(spark, landing, gi, out, ckpt)
+    ST.ingest_stream(spark, landing, gi, out, ckpt, **mode)
     S.write_fasta(recs.where(~F.col("accession").startswith("GCF")), landing, mode="append")
-    ST.ingest_stream(spark, landing, gi, out, ckpt)
-    return ST.read_ingested(spark, out)
+    ST.ingest_stream(spark, landing, gi, out, ckpt, **mode)
+    return out
+
+
+@register("st1_ingest_nucleotides", V("""
+SELECT accession || ': ' || nt AS value FROM (
+  SELECT accession, string_agg(CASE WHEN label IS NOT NULL THEN ' ' ELSE '' END || seq, '' ORDER BY ord) AS nt
+  FROM labelled GROUP BY accession) WHERE length(nt) > 0"""))
+def q_st1_nt(spark, sf):
+    return ST.read_ingested(spark, _ingested(spark, sf), "nucleotides")
+
+
+@register("st1_ingest_go", V("""
+SELECT 'genes' AS kind, accession || ': ' || string_agg(label, ' ' ORDER BY ord) AS value
+FROM go_labelled WHERE label IS NOT NULL GROUP BY accession
+UNION ALL
+SELECT 'nt', accession || ': ' || nt FROM (
+  SELECT accession, string_agg(CASE WHEN label IS NOT NULL THEN ' ' || seq ELSE seq END, '' ORDER BY ord) AS nt
+  FROM go_labelled WHERE gid IS NOT NULL GROUP BY accession) WHERE length(nt) > 0"""))
+def q_st1_go(spark, sf):
+    out = _ingested(spark, sf, gene_go=A.gene2go_map(X.gene2go(spark, sf)))
+    return ST.read_ingested(spark, out).select(F.lit("genes").alias("kind"), "value").unionByName(
+        ST.read_ingested(spark, out, "nucleotides").select(F.lit("nt").alias("kind"), "value"))
+
+
+def _awkward_docs(spark, sf):
+    """The reduced corpus with null and unknown-only texts and repeated keys."""
+    d = flow(spark, sf).reduced
+    text = F.when(F.col("doc_id") % 17 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 19 == 0, F.lit("§ §")).otherwise(F.col("text"))
+    return d.select(F.floor(F.col("doc_id") / 2).cast("bigint").alias("doc_id"), text.alias("text"))
+
+
+_AWKWARD = """(SELECT doc_id // 2 AS doc_id, doc_id AS r,
+  CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '§ §' ELSE text END AS text FROM reduced)"""
+
+
+def _awkward_sql(what: str, name: str) -> str:
+    return CV(f"""
+SELECT a.doc_id, md5(coalesce(e.{what}, '')) AS {name} FROM {_AWKWARD} a LEFT JOIN (
+  SELECT r, string_agg(CAST(v.id AS VARCHAR), ' ' ORDER BY i) AS ids, string_agg(v.token, ' ' ORDER BY i) AS back
+  FROM (SELECT r, l[i] AS token, i FROM (SELECT r, l, unnest(generate_series(1, len(l))) AS i
+        FROM (SELECT r, string_split(text, ' ') AS l FROM {_AWKWARD} WHERE text IS NOT NULL))) t
+  JOIN vocab v ON v.token = t.token GROUP BY r) e USING (r)""")
+
+
+def _register_awkward(strategy):
+    @register(f"j4_encode_awkward_{strategy}", _awkward_sql("ids", "ids_md5"))
+    def q(spark, sf):
+        v = flow(spark, sf).vocab
+        doubled = v.unionByName(v.where("id > 2").select("token", F.lit(0).cast("bigint").alias("id")))
+        enc = K.encode(_awkward_docs(spark, sf), doubled, on_unknown="drop", strategy=strategy)
+        return enc.select("doc_id", F.md5(_ids_str()).alias("ids_md5"))
+
+    @register(f"j5_decode_awkward_{strategy}", _awkward_sql("back", "text_md5"))
+    def r(spark, sf):
+        v = flow(spark, sf).vocab
+        enc = K.encode(_awkward_docs(spark, sf), v, on_unknown="drop", strategy="table")
+        return K.decode(enc, v, strategy=strategy).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+for _strategy in ("table", "join"):
+    _register_awkward(_strategy)

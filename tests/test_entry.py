@@ -15,8 +15,10 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_or_is_documented():
-    assert set(E.oracle_sql()) == set(E.queries())
+def test_every_query_of_the_core_has_an_oracle():
+    from seqloom.plans.queries import REGISTRY
+
+    assert set(REGISTRY) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["genome_sentences", "p2_latest_version", "a3_length_stats", "j4_encode",
