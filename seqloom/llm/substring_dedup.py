@@ -13,10 +13,10 @@ it has a word sequence that also starts in a document with a smaller ``doc_id``.
    confirmed. Runs of an owner's confirmed windows are its recurring passages.
 4. *Automata.* Passages are dealt to shards by owner. Each shard compiles the passages' aligned
    ``GRAM``-word blocks into one Aho-Corasick automaton over words (each distinct word of the
-   shard is one letter), streams the documents that share an anchor with the shard, extends
-   every hit against the passage word by word, and reports stretches of a window or more. Any
-   window inside a passage holds an aligned block, so no occurrence is missed, and the
-   comparison of words makes each one exact.
+   shard is one letter) and streams the documents that share an anchor with the shard. Around
+   every hit the document's windows are looked up, word for word, among the passages' windows.
+   Any window inside a passage holds an aligned block, so no occurrence is missed; each window
+   of a text is looked up once, so text that repeats itself stays linear.
 
 Every step is an aggregation or an equi-join of narrow rows; texts move only for documents
 that share an anchor. Shards with many documents are dealt to several tasks (the automaton is
@@ -184,54 +184,37 @@ class PhraseAutomaton:
             return c
 
         self.letters = letters
-        self.owners = [o for o, _ in passages]
-        self.texts = ["".join(map(letter, ws)) for _, ws in passages]
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, text in enumerate(self.texts):
-            for at in range(0, len(text) - GRAM + 1, GRAM):
-                places.setdefault(text[at:at + GRAM], []).append((i, at))
-        self.automaton = ahocorasick.Automaton()
-        for block, where in places.items():
-            self.automaton.add_word(block, where)
-        if places:
+        blocks: set[str] = set()
+        # every window of the passages, as a string of letters, with its smallest owner
+        self.windows: dict[str, int] = {}
+        for owner, ws in passages:
+            text = "".join(map(letter, ws))
+            blocks.update(text[at:at + GRAM] for at in range(0, len(text) - GRAM + 1, GRAM))
+            for at in range(len(text) - WINDOW + 1):
+                w = text[at:at + WINDOW]
+                self.windows[w] = min(owner, self.windows.get(w, owner))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for block in blocks:
+            self.automaton.add_word(block)
+        if blocks:
             self.automaton.make_automaton()
-        self.empty = not places
-
-    @staticmethod
-    def _same(a: str, i: int, b: str, j: int) -> int:
-        """Length of the common stretch of ``a[i:]`` and ``b[j:]``."""
-        limit, n, step = min(len(a) - i, len(b) - j), 0, 32
-        while n < limit:
-            step = min(step, limit - n)
-            if a[i + n:i + n + step] == b[j + n:j + n + step]:
-                n += step
-                step *= 2
-            elif step == 1:
-                break
-            else:
-                step = max(1, step // 2)
-        return n
+        self.empty = not blocks
 
     def spans(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Stretches of a window or more that a passage of a smaller document holds."""
-        if self.empty:
+        """Stretches whose windows a smaller document owns. The automaton finds the places; the
+        windows around each place are looked up whole, so every word is compared."""
+        if self.empty or len(words) < WINDOW:
             return []
         get = self.letters.get
         text = "".join([get(w, "\0") for w in words])
-        covered: dict[tuple[int, int], int] = {}
-        out, reverse = [], None
-        for end, where in self.automaton.iter(text):
+        last, owner = len(text) - WINDOW, self.windows.get
+        out, nxt = [], 0  # windows before ``nxt`` are done
+        for end, _ in self.automaton.iter(text):
             start = end - GRAM + 1
-            for i, at in where:
-                if self.owners[i] >= doc_id or covered.get((i, start - at), -1) >= end:
-                    continue
-                p = self.texts[i]
-                right = start + self._same(text, start, p, at)
-                reverse = text[::-1] if reverse is None else reverse
-                left = start - self._same(reverse, len(text) - start, p[at - 1::-1] if at else "", 0)
-                covered[i, start - at] = right - 1
-                if right - left >= WINDOW:
-                    out.append((left, right))
+            for s in range(max(nxt, start - (WINDOW - GRAM)), min(start, last) + 1):
+                if owner(text[s:s + WINDOW], doc_id) < doc_id:
+                    out.append((s, s + WINDOW))
+            nxt = max(nxt, min(start, last) + 1)
         return merged(out)
 
 
