@@ -48,6 +48,18 @@ def sql_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
+def once_per_worker(key, build):
+    """``build()``, kept for the later tasks of the same Python worker. Functions travel to
+    tasks by value, so the store hangs on a module of the interpreter."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_seqloom_worker", types.ModuleType("_seqloom_worker")).__dict__
+    if key not in store:
+        store[key] = build()
+    return store[key]
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 

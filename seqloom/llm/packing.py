@@ -15,7 +15,8 @@ input partition is fixed.
 
 Ids come from the ``tokenizers`` library; each distinct space-led unit is encoded once per
 cache (a space after a non-space always starts a new match of a byte-level pre-tokenizer, so
-units are independent of each other). The cache is emptied when it is full.
+units are independent of each other). A Python worker keeps its cache from task to task; it is
+emptied when it is full.
 
 Defined cases: null text is empty (one end id); repeated rows and repeated or null ids are
 packed as rows of their own; texts of any length are cut, never dropped; an empty table gives
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import text_bytes
+from seqloom.llm.common import once_per_worker, text_bytes
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -41,9 +42,11 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
 
 
 class UnitEncoder:
-    """Texts to little-endian unsigned 32-bit ids, through a cache of units."""
+    """Texts to little-endian unsigned 32-bit ids, through two caches: words that follow a
+    single space, and strings that stand alone. New words are encoded many at a time, one on
+    each line; a line break before a space is a match of its own, so its id parts them."""
 
-    limit = 400_000
+    limit = 1_000_000  # about 250 MB
 
     def __init__(self, path: str):
         import os
@@ -53,30 +56,69 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._cache: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._strings: dict[str, bytes] = {}
         self._odd = re.compile(r"\s ")
         self._cut = re.compile(r"(?<=\S)(?= )")
+        self._special = re.compile(r"\s|<\|")
+        (self._break,) = self._ids("\n")
 
-    def units(self, text: str) -> list[str]:
-        """The text cut before every space that follows a non-space."""
-        if self._odd.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _ids(self, text: str) -> list[int]:
+        return self._encode([text], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn_strings(self, strings: set[str]) -> None:
+        from array import array
+
+        part = list(strings.difference(self._strings))
+        for x, e in zip(part, self._encode(part, add_special_tokens=False)):
+            self._strings[x] = array("I", e.ids).tobytes()
+
+    def _learn_words(self, words: set[str]) -> None:
         import numpy as np
 
-        cut = [self.units(t) for t in texts]
-        cache = self._cache
-        if len(cache) > self.limit:
-            cache.clear()
-        new = list(set().union(*cut).difference(cache)) if cut else []
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for unit, e in zip(part, self._encode(part, add_special_tokens=False)):
-                cache[unit] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, u)) for u in cut]
+        plain = [w for w in words if w and not self._special.search(w)]
+        rest = words.difference(plain)
+        self._learn_strings({" " + w for w in rest})
+        for w in rest:
+            self._words[w] = self._strings[" " + w]
+        chunks = [plain[i:i + 500] for i in range(0, len(plain), 500)]
+        texts = ["".join(["\n " + w for w in c]) for c in chunks]
+        for c, e in zip(chunks, self._encode(texts, add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            at = np.flatnonzero(ids == self._break) + 1
+            if len(at) != len(c):
+                raise ValueError("the vocabulary does not keep a line break before a space apart")
+            data = ids.tobytes()
+            ends = np.append(at[1:] - 1, len(ids))
+            for w, a, b in zip(c, (4 * at).tolist(), (4 * ends).tolist()):
+                self._words[w] = data[a:b]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self._words) + len(self._strings) > self.limit:
+            self._words.clear()
+            self._strings.clear()
+        get = self._words.get
+        cut, new, alone = [], set(), set()
+        for t in texts:
+            if self._odd.search(t):
+                units = self._cut.split(t)
+                alone.update(units)
+                cut.append((None, units, None))
+                continue
+            first, *rest = t.split(" ")
+            alone.add(first)
+            found = list(map(get, rest))
+            if None in found:
+                new.update([w for w, x in zip(rest, found) if x is None])
+                found = None
+            cut.append((first, rest, found))
+        self._learn_strings(alone)
+        if new:
+            self._learn_words(new)
+        word, string = self._words.__getitem__, self._strings.__getitem__
+        return [b"".join(map(string, rest)) if first is None
+                else string(first) + b"".join(found if found is not None else map(word, rest))
+                for first, rest, found in cut]
 
 
 class Packer:
@@ -203,7 +245,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        coder, packer = UnitEncoder(tokenizer_path), Packer(tiers, step_ids)
+        coder = once_per_worker(("units", tokenizer_path), lambda: UnitEncoder(tokenizer_path))
+        packer = Packer(tiers, step_ids)
         end = np.asarray([end_id], "<u4").tobytes()
         out: list[tuple] = []
 
