@@ -73,8 +73,11 @@ def shingle_set(text: bytes):
     k = min(SHINGLE, len(words))
     s = np.full(n, k, np.uint64)
     for i in range(k):
-        s = mix(s * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-    return np.unique(s)
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        s += h[i:i + n]
+    s = mix(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def block_count(band: int) -> int:
@@ -95,18 +98,30 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks(s, m: int):
+    """Block of every element, and where the runs of equal blocks start: ``s`` is sorted and
+    the block grows with an element's upper half."""
+    import numpy as np
+
+    block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    return block, np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+
+
+def spare_agreements(s, band: int, most: int) -> int:
+    """Blocks that must agree with a linked set beyond the empty ones."""
+    return len(_blocks(s, block_count(band))[1]) - most
+
+
 def block_keys(s, band: int, most: int):
     """Join keys of a set in one band, and its spare agreements (posted empty blocks, if
     there are none to spare, come with the keys)."""
     import numpy as np
 
     m = block_count(band)
-    block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    # s is sorted and the block grows with its upper half, so blocks are runs
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    block, starts = _blocks(s, m)
     value = np.bitwise_xor.reduceat(mix(s + np.uint64(1)), starts)
     at = block[starts]
-    spare = m - most - (m - len(starts))
+    spare = len(starts) - most
     if spare <= 0:
         empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
         at, value = np.concatenate([at, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
@@ -159,7 +174,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     s = shingle_set(t)
                     sig = _class_hash(s)
-                    spare = [block_keys(s, *b)[1] for b in bands(len(s))] + [0, 0]
+                    spare = [spare_agreements(s, *b) for b in bands(len(s))] + [0, 0]
                     rows.append((len(s), sig, _short(sig), spare[0], spare[1], bit_sketch(s)))
                 cols = list(zip(*rows)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays(
