@@ -69,21 +69,21 @@ def symbol_table(gene_info: DataFrame) -> DataFrame:
     return gene_info.groupBy("gene_id").agg(F.max_by("symbol", "ord").alias("symbol"))
 
 
-def _lookup(records: DataFrame, table: DataFrame, need, fill_col: str, fill_type: str) -> DataFrame:
+def _lookup(records: DataFrame, table: DataFrame, need) -> DataFrame:
     """Left lookup on ``gid`` for rows where ``need`` holds.
 
     Small table (measured, see ``broadcast_if_small``): one pass, broadcast hash join on a key that is null for rows
-    that need no lookup. Large table: only the rows that need it enter the shuffled join
-    and the others are unioned back, so key-less rows never pile up in one partition.
+    that need no lookup. Large table: one shuffled join, where rows that need no lookup get one
+    of 1,024 keys that match nothing, so they never pile up in one partition.
     """
     table, small = broadcast_if_small(table)
     if small:
         keyed = records.withColumn("_sl_k", F.when(need, F.col("gid")))
         t = F.broadcast(table.withColumnRenamed("gid", "_sl_k"))
         return keyed.join(t, "_sl_k", "left").drop("_sl_k")
-    looked = records.where(need).join(table, "gid", "left")
-    rest = records.where(~need | need.isNull()).withColumn(fill_col, F.lit(None).cast(fill_type))
-    return looked.unionByName(rest)
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*records.columns), F.lit(1024)).cast("string"))
+    keyed = records.withColumn("_sl_k", F.coalesce(F.when(need, F.col("gid")), spread))
+    return keyed.join(table.withColumnRenamed("gid", "_sl_k"), "_sl_k", "left").drop("_sl_k")
 
 
 def lookup_symbol(records: DataFrame, gene_info: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def lookup_symbol(records: DataFrame, gene_info: DataFrame) -> DataFrame:
     """
     need = F.col("gene").isNull() & F.col("gid").isNotNull()
     table = symbol_table(gene_info).select(F.col("gene_id").alias("gid"), F.nullif("symbol", F.lit("")).alias("symbol"))
-    return _lookup(records, table, need, "symbol", "string")
+    return _lookup(records, table, need)
 
 
 def gene2go_map(gene2go: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def gene2go_map(gene2go: DataFrame) -> DataFrame:
 def lookup_go(records: DataFrame, gene_go: DataFrame) -> DataFrame:
     """Add ``go_terms`` by GeneID (left join; rows without GeneID skip the join)."""
     table = gene_go.select(F.col("gene_id").alias("gid"), "go_terms")
-    return _lookup(records, table, F.col("gid").isNotNull(), "go_terms", "array<string>")
+    return _lookup(records, table, F.col("gid").isNotNull())
 
 
 # ---------------------------------------------------------------- F3 / F4 / F5 / F6

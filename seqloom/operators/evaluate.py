@@ -91,7 +91,9 @@ def operons(features: DataFrame, max_gap: int = 50, gene_col: str = "locus_tag")
     """Runs of neighbouring genes on the same genomic accession and strand, gap <= max_gap.
 
     Gaps and islands over a global order in one range pass (``positions.islands``), not a
-    window per genome, so one genome holding a third of all genes still spreads out.
+    window per genome, so one genome holding a third of all genes still spreads out. The gap
+    is taken from the end of the gene before in that order, not from the largest end so
+    far: a gene inside a longer one starts a new run when the next gene is far from it.
     """
     genes = features.where(F.col("feature") == "gene").select("genomic_accession", "strand", "start", "end", gene_col)
     order = ["genomic_accession", "strand", "start", "end", gene_col]
