@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import scratch_path
+from seqloom.session import measured_bytes, scratch_path
 
 # A table is shipped whole to every task only when it measures at most this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -38,6 +38,11 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def measured_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Like ``maybe_broadcast`` for rows of varying size: their bytes are summed."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null reads as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

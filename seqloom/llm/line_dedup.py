@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES, maybe_broadcast, stored
+from seqloom.llm.common import SPACES, maybe_broadcast, measured_broadcast, stored
 
 DIVISOR = 3
 
@@ -87,7 +87,7 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     gone = stored(gone, "removed-chunks")
     names = docs.columns
     cut = docs.withColumn("__pieces", _pieces(F.coalesce("text", F.lit("")), divisor))
-    joined = cut.join(maybe_broadcast(gone, 256), F.col("doc_id") == F.col("__id"), "left")
+    joined = cut.join(measured_broadcast(gone), F.col("doc_id") == F.col("__id"), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(left, lambda i: _plain(F.element_at("__pieces", i + 1))), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
