@@ -24,10 +24,10 @@ intersected. Components are spread over verified links by minimum labels and poi
 *Frequent keys.* Keys of up to ``RUN`` sets give their pairs while the sorted keys stream by.
 For keys of more sets: a set that has fewer frequent keys than spare agreements must agree with
 any partner in another key too, so these keys can be left out for it, exactly (shared
-boilerplate ends here). For the other sets (large groups of near copies) every key elects a
-few leaders, the same across keys; links to leaders join the group in a linear number of
-comparisons; then only members that are still in different components are compared, so no link
-between components is lost.
+boilerplate ends here). The other sets (large groups of near copies) meet in clusters, dealt to
+buckets; a task compares the bit sketches of two buckets, intersects the pairs within the
+bound that no link joins yet, and returns a spanning forest of links. Pairs are never emitted,
+a row travels once a bucket, and no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have size 0, are linked with
 nothing and are their own component; a null id gets a null component and links nothing; rows
@@ -45,7 +45,8 @@ from seqloom.llm.common import maybe_broadcast, stored, text_bytes
 
 SHINGLE = 5
 RUN = 32
-LEADERS = 6
+BUCKET_SETS = 2_048
+BUCKET_ELEMENTS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX1, _MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -217,8 +218,9 @@ def _post(batches):
 
 def _runs(batches):
     """Rows sorted by ``(key, s)`` to pairs of sets (kind 0: ``a, b``) for keys of up to ``RUN``
-    sets and to rows of frequent keys (kind 1: ``a`` the key, ``b`` the set). One open key is
-    carried from batch to batch; a frequent key is passed on as it comes."""
+    sets and to rows of frequent keys (kind 1: ``a`` the first set of the key, ``b`` the set, ``v``
+    as posted). One open key is carried from batch to batch; a frequent key is passed on as it
+    comes."""
     import numpy as np
 
     def result(kind, a, b, v):
@@ -240,7 +242,7 @@ def _runs(batches):
 
     empty = np.zeros(0, np.int64)
     key, s, v = empty, empty, empty
-    frequent = None  # key whose rows are passed on
+    frequent = first = None  # key whose rows are passed on, and its first set
     last = (None, None)
 
     def flush(upto):
@@ -250,7 +252,7 @@ def _runs(batches):
         size = np.diff(np.append(edges, upto))
         hot = np.repeat(size > RUN, size) if upto else np.zeros(0, bool)
         if hot.any():
-            yield result(1, k[hot], x[hot], w[hot])
+            yield result(1, np.repeat(x[edges], size)[hot], x[hot], w[hot])
         few = np.repeat((size > 1) & (size <= RUN), size) if upto else hot
         yield from pairs(k[few], x[few], w[few])
 
@@ -264,7 +266,7 @@ def _runs(batches):
         if frequent is not None:
             on = bk == frequent
             if on.any():
-                yield result(1, bk[on], bs[on], bv[on])
+                yield result(1, np.full(int(on.sum()), first, np.int64), bs[on], bv[on])
                 bk, bs, bv = bk[~on], bs[~on], bv[~on]
             if len(bk):
                 frequent = None
@@ -275,8 +277,8 @@ def _runs(batches):
         yield from flush(open_at)
         key, s, v = key[open_at:], s[open_at:], v[open_at:]
         if len(key) > RUN:
-            yield result(1, key, s, v)
-            frequent = key[-1]
+            yield result(1, np.full(len(key), s[0], np.int64), s, v)
+            frequent, first = key[-1], s[0]
             key, s, v = empty, empty, empty
     yield from flush(len(key))
 
@@ -348,33 +350,77 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def frequent_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame) -> DataFrame:
-    """Links among the sets that frequent keys cannot be left out for."""
+def _forest(rows: pa.Table) -> pa.Table:
+    """Links that join the sets of two buckets of a cluster (or of one): pairs within the sketch
+    bound are intersected unless links found before already join them, so at most one link
+    fewer than sets leaves the task."""
+    import numpy as np
+
+    rows = rows.sort_by([("side", "ascending"), ("rep", "ascending")])
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("x").to_pylist()]
+    reps, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
+    n = np.array([len(x) for x in sets])
+    bits = max(64, 4 << int(n.max() - 1).bit_length())
+    sketch = np.stack([np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+                                   .astype(np.uint8)).view(np.uint64) for x in sets])
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    two = rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()
+    for i in range(len(sets) - 1):
+        start = max(i + 1, int(np.searchsorted(side, 1))) if two else i + 1
+        if two and side[i]:
+            break
+        distance = np.bitwise_count(sketch[start:] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        total = n[start:] + n[i]
+        near = np.flatnonzero((9 * distance <= total) & (10 * np.minimum(n[start:], n[i]) >= 8 * np.maximum(n[start:], n[i])))
+        for k in near[np.argsort(distance[near], kind="stable")].tolist():
+            a, b = find(i), find(start + k)
+            if a == b:
+                continue
+            common = len(np.intersect1d(sets[i], sets[start + k], assume_unique=True))
+            if 100 * common >= 80 * (int(total[k]) - common):
+                parent[b] = a
+                links.append((int(reps[i]), int(reps[start + k])))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def frequent_links(docs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Links among the sets that frequent keys cannot be left out for.
+
+    Sets that share a frequent key meet in one cluster. A cluster is dealt to buckets of at
+    most about ``BUCKET_SETS`` sets and ``BUCKET_ELEMENTS`` elements; a task takes two buckets,
+    with their sets, and returns links that span what is linked."""
     # a class's spare agreements in its own band (low = 0) and in the band below (low = 1)
     spare = classes.select("s", "spare", "spare_low")
-    rows = hot.select(F.col("a").alias("key"), F.col("b").alias("s"), (F.col("v") % 2).alias("low"))
-    count = rows.groupBy("s", "low").agg(F.count("*").alias("h")).join(spare, "s")
-    bound = count.where(F.col("h") >= F.when(F.col("low") == 1, F.col("spare_low")).otherwise(F.col("spare"))).select("s", "low").distinct()
-    rows = stored(rows.join(bound, ["s", "low"], "left_semi").distinct(), "frequent-rows")
-    if not rows.head(1):
-        return links
-    leaders = rows.groupBy("key").agg(F.array_distinct(F.array(*[
-        F.min_by("s", F.xxhash64("s", F.lit(i))) for i in range(LEADERS)])).alias("leaders"))
-    followers = rows.join(leaders, "key").groupBy("s").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
-    pairs = followers.select(F.col("s").alias("sa"), F.explode("leaders").alias("sb")).where("sa <> sb")
-    pairs = pairs.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")).distinct()
-    links = links.union(verified(docs, classes, stored(pairs, "leader-pairs")))
-    # members of one key that are still in different components are compared with each other
-    names = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").groupBy("s").agg(
-        F.min(F.coalesce("component", "rep")).alias("c"))
-    placed = stored(rows.select("key", "s").distinct().join(names, "s"), "placed")
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = placed.join(largest.select("key", "main"), "key")
-    left = apart.where("c <> main").select("key", F.col("s").alias("sa"), F.col("c").alias("ca"))
-    right = apart.select("key", F.col("s").alias("sb"), F.col("c").alias("cb"))
-    rest = left.join(right, "key").where("ca <> cb").select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")).distinct()
-    return links.union(verified(docs, classes, stored(rest, "rest-pairs")))
+    count = hot.select(F.col("a").alias("first"), F.col("b").alias("s"), (F.col("v") % 2).alias("low")).groupBy("s", "low").agg(
+        F.count("*").alias("h"), F.collect_set("first").alias("firsts")).join(spare, "s")
+    bound = stored(count.where(F.col("h") >= F.when(F.col("low") == 1, F.col("spare_low")).otherwise(F.col("spare")))
+                   .select("s", "firsts"), "bound-sets")
+    edges = bound.select(F.col("s").alias("a"), F.explode("firsts").alias("b"))
+    members = components(edges.distinct()).withColumnRenamed("node", "s").withColumnRenamed("component", "cluster").join(
+        bound.select("s").distinct(), "s", "left_semi").join(classes.select("s", "rep", "n"), "s")
+    members = stored(members, "cluster-members")
+    size = members.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n") / BUCKET_ELEMENTS), F.ceil(F.count("*") / BUCKET_SETS)).cast("int").alias("buckets"),
+        F.count("*").alias("sets")).where("sets > 1").select("cluster", "buckets")
+    wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "cluster-documents")
+    sets = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).join(
+        maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s long, x binary")
+    sets = sets.dropDuplicates(["doc_id", "s"]).withColumnRenamed("doc_id", "rep")
+    placed = members.join(size, "cluster").join(sets, ["rep", "s"]).withColumn(
+        "own", F.pmod(F.xxhash64("s"), F.col("buckets")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).select(
+        "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "x")
+    return stored(paired.groupBy("cluster", "lo", "hi").applyInArrow(_forest, "a long, b long"), "cluster-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -393,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(docs, classes, pairs)
     hot = runs.where("kind = 1")
     if hot.head(1):
-        links = frequent_links(docs, classes, hot, links)
+        links = links.union(frequent_links(docs, classes, hot))
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").where(
         "component is not null or last > rep").select("sig", F.coalesce("component", "rep").alias("component_id"))

@@ -48,9 +48,10 @@ def test_components_equal_brute_force(spark):
     assert got == brute(texts)
 
 
-def test_every_key_is_frequent(spark, monkeypatch):
+@pytest.mark.parametrize("buckets", [7, 2048])
+def test_every_key_is_frequent(spark, monkeypatch, buckets):
     monkeypatch.setattr(J, "RUN", 2)
-    monkeypatch.setattr(J, "LEADERS", 1)
+    monkeypatch.setattr(J, "BUCKET_SETS", buckets)
     texts = corpus()[:120]
     got = sorted(tuple(r) for r in J.near_duplicates(frame(spark, texts, 2)).collect())
     assert got == brute(texts)
