@@ -404,8 +404,11 @@ def frequent_links(docs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataF
         F.count("*").alias("h"), F.collect_set("first").alias("firsts")).join(spare, "s")
     bound = stored(count.where(F.col("h") >= F.when(F.col("low") == 1, F.col("spare_low")).otherwise(F.col("spare")))
                    .select("s", "firsts"), "bound-sets")
-    edges = bound.select(F.col("s").alias("a"), F.explode("firsts").alias("b"))
-    members = components(edges.distinct()).withColumnRenamed("node", "s").withColumnRenamed("component", "cluster").join(
+    # a set's keys join their first sets; one edge a set, and the few distinct ones among the firsts
+    lead = bound.select("s", "firsts", F.array_min("firsts").alias("lead"))
+    edges = lead.select(F.col("s").alias("a"), F.col("lead").alias("b")).union(
+        lead.select(F.col("lead").alias("a"), F.explode("firsts").alias("b")).where("a <> b")).distinct()
+    members = components(edges).withColumnRenamed("node", "s").withColumnRenamed("component", "cluster").join(
         bound.select("s").distinct(), "s", "left_semi").join(classes.select("s", "rep", "n"), "s")
     members = stored(members, "cluster-members")
     size = members.groupBy("cluster").agg(
