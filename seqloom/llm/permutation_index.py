@@ -13,8 +13,9 @@ Parts are random splits of at most about ``PART_ROWS`` vectors, queries come in
 Equal vectors inside a part are one entry that keeps its ``k + 1`` smallest ids, which is all a
 query can need, so a vector that a third of all rows share costs one posting.
 
-Measured against brute force over 51,282 vectors of 64 dimensions the recall of the ten
-nearest is about 0.96 with these parameters.
+Measured against brute force with a share of 0.2, the recall of the ten nearest was 0.97 over
+51,282 vectors of 64 dimensions and 0.92 over 2,000 and over 10,256 (a third of them equal); the
+share of 0.3 leaves a margin.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows with a null id, take no part; vectors only meet vectors of the same length; equal
