@@ -33,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Multi-line chunks that occur earlier in the corpus leave the texts."""
-    return _recounted(line_dedup.line_dedup(docs), docs.columns)
+    return _recounted(line_dedup.stretch_dedup(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

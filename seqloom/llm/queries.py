@@ -42,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_stretch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.stretch_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     aside = held_out(F.col("doc_id"), 3, 1)
@@ -70,6 +74,7 @@ REGISTRY: dict = {
     "op4_parity_join": (op4_parity_join, None),
     "op5_permutation_index": (op5_permutation_index, None),
     "op6_line_dedup": (op6_line_dedup, line_dedup.ORACLE_SQL),
+    "op6_stretch_dedup": (op6_stretch_dedup, line_dedup.MINIMA_SQL),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_bpe": (op9_bpe, None),
