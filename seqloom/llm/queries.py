@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, licenses, line_dedup, packing, parity_join, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity
+from seqloom.llm import bpe, license_notices, licenses, line_dedup, packing, parity_join, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity
 from seqloom.llm.common import held_out, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices.scan_notices(table(spark, sf_dir, "documents"))
+
+
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ REGISTRY: dict = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_packing": (op2_packing, None),
     "op3_licenses": (op3_licenses, licenses.oracle_sql()),
+    "op3_license_notices": (op3_license_notices, None),
     "op4_parity_join": (op4_parity_join, None),
     "op5_permutation_index": (op5_permutation_index, None),
     "op6_line_dedup": (op6_line_dedup, line_dedup.ORACLE_SQL),
