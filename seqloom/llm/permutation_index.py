@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors drawn from the table (a bounded, hash-ordered sample) are the pivots. Every
+``PIVOTS`` different vectors of a length (a bounded, hash-ordered sample; copies count once) are the pivots. Every
 vector is represented by its ``PREFIX`` nearest pivots in order of distance. A part of the
 index posts its vectors in one inverted file per pivot, as (vector, position). A query adds
 up, over the files of its own pivots, ``prefix - max(position in query, position in vector)``;
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stored
+from seqloom.llm.common import maybe_broadcast, stored
 
 PIVOTS = 256
 PREFIX = 32
@@ -49,15 +49,17 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> dict[int, list[list[float]]]:
-    """Up to ``pivots`` vectors for each vector length met in the sample, in hash order."""
-    seen = W.partitionBy("d").orderBy("u", "vec_id")
-    sample = (vectors.select("vec_id", "v", F.size("v").alias("d"), F.xxhash64(F.lit("pivot"), "v").alias("u"))
-              .orderBy("u", "vec_id").limit(8 * pivots).withColumn("k", F.row_number().over(seen))
-              .where(F.col("k") <= 4 * pivots).orderBy("u", "vec_id").collect())
+    """Up to ``pivots`` different vectors of each vector length, in hash order. Copies count once: only
+    the hashes are made distinct, then the vectors of the few drawn hashes are fetched."""
+    drawn = vectors.select(F.size("v").alias("d"), F.xxhash64(F.lit("pivot"), "v").alias("u"))
+    first = stored(drawn.distinct().withColumn("k", F.row_number().over(W.partitionBy("d").orderBy("u")))
+                   .where(F.col("k") <= pivots).select("d", "u"), "pivot-hashes")
+    sample = (vectors.select("v", F.size("v").alias("d"), F.xxhash64(F.lit("pivot"), "v").alias("u"))
+              .join(maybe_broadcast(first, 16), ["d", "u"], "left_semi").select("d", "u", "v").distinct().orderBy("d", "u").collect())
     out: dict[int, list[list[float]]] = {}
     for r in sample:
         have = out.setdefault(r["d"], [])
-        if len(have) < pivots and r["v"] not in have[-1:]:
+        if len(have) < pivots:
             have.append(r["v"])
     return out
 

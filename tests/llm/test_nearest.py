@@ -47,3 +47,26 @@ def test_copies_ties_and_awkward_vectors(spark, monkeypatch):
         assert [m[1] for m in mine] == [w[1] for w in want]
     assert not any(s["query_id"] in (2000, 2100) or s["vec_id"] >= 2000 for s in got)
     assert X.nearest(df.where("false"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_recall_among_groups_of_copies(spark):
+    """Most rows are copies, in groups of about 100 and one of 1,500; queries without copies."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").cache()
+    u = F.xxhash64(F.lit("pivot"), F.col("embedding").cast("array<double>"))
+    early = [r["vec_id"] for r in table.orderBy(u).limit(60).collect()]
+    copies = F.when(F.col("vec_id") == early[0], 1500).when(F.col("vec_id").isin(early), 100).otherwise(1)
+    rows = table.withColumn("c", F.explode(F.sequence(F.lit(0), copies - 1))).select(
+        (F.col("vec_id") * 10_000 + F.col("c")).alias("vec_id"), "embedding")
+    pivots = X.choose_pivots(X.valid_vectors(rows, "vec_id", "embedding"))
+    assert {d: (len(p), len(set(map(tuple, p)))) for d, p in pivots.items()} == {64: (256, 256)}
+    asked = sorted(r["vec_id"] for r in table.collect() if r["vec_id"] not in early)[::25]
+    got = X.nearest(rows, F.col("vec_id").isin([q * 10_000 for q in asked])).collect()
+    held = rows.collect()
+    ids, x = np.array([r["vec_id"] for r in held]), np.array([r["embedding"] for r in held])
+    hit = 0
+    for q in asked:
+        dist = np.linalg.norm(x - x[ids == q * 10_000][0], axis=1)
+        order = [i for i in np.lexsort((ids, dist)) if ids[i] != q * 10_000][:10]
+        hit += len(set(ids[order].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q * 10_000})
+    print("recall", hit / (10 * len(asked)))
+    assert hit >= 0.9 * 10 * len(asked)
