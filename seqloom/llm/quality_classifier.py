@@ -6,7 +6,8 @@ probability by a logistic curve.
 
 Dictionaries and curve are fitted on the driver from at most ``PER_CLASS`` labelled rows and
 ``SAMPLE_BYTES`` of text of either class (documented bounds); half of the rows build the
-dictionaries, the other half the curve. Every text of the table is scored whole, in tasks,
+dictionaries, the other half the curve. A text gives the fit at most one part in ``PARTS`` of
+those bytes (its beginning), so no long text can end or empty the sample of its class. Every text of the table is scored whole, in tasks,
 with the two dictionaries (``DICT_BYTES`` each) in the closure. Labels, language, source and
 id are never inputs of a score.
 
@@ -27,6 +28,7 @@ from seqloom.llm.common import fit_logistic, labelled_sample, stored, text_bytes
 
 PER_CLASS = 4_000
 SAMPLE_BYTES = 6 << 20
+PARTS = 64
 DICT_BYTES = 96 << 10
 BLOCK = 2048
 LEVEL = 3
@@ -69,7 +71,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
                 sample_bytes: int = SAMPLE_BYTES):
     """``(good dictionary, bad dictionary, [two slopes, intercept])``."""
     ids = stored(labelled_sample(labels, "quality", learn, per_class), "quality-ids")
-    rows = docs.select("doc_id", text_bytes().alias("t")).where(F.length("t") > 0).join(F.broadcast(ids), "doc_id")
+    most = max(1, sample_bytes // PARTS)
+    rows = docs.select("doc_id", F.substring(text_bytes(), 1, most).alias("t")).where(F.length("t") > 0).join(F.broadcast(ids), "doc_id")
     # at most 2 * per_class rows enter the window; it bounds the bytes that reach the driver
     size = F.sum(F.length("t")).over(W.partitionBy("y").orderBy("u", "doc_id", "t")
                                      .rowsBetween(W.unboundedPreceding, 0))
