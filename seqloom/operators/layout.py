@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.hashing import hash_int
 from seqloom.operators.corpus import EOS_ID, PAD_ID, SOS_ID
 from seqloom.operators.positions import dense_index, running_sum
-from seqloom.session import broadcast_if_small
+from seqloom.session import broadcast_if_small, durable
 
 
 def split_exact(df: DataFrame, key: str, frac: float = 0.03, seed: int = 0, out: str = "split",
@@ -122,16 +122,21 @@ def contiguous_shards(df: DataFrame, order_cols: Sequence[str], n_max: int = 102
     Adds ``row`` (position inside the split) and ``out``.
     """
     keys = [split_col, *order_cols]
-    # only the keys are sorted and checkpointed; the rows themselves meet their number once
-    idx = dense_index(df.select(*keys), keys, out="_sl_g")
-    spans, _ = broadcast_if_small(idx.groupBy(split_col).agg(F.min("_sl_g").alias("_sl_start"), F.count(F.lit(1)).alias("_sl_n")))
+    # rows meet their number by a stored id, so null and repeated keys neither lose nor repeat rows
+    rows = durable(df.withColumn("_sl_id", F.monotonically_increasing_id()))
+    # only keys and id are sorted and checkpointed again
+    idx = dense_index(rows.select(*keys, "_sl_id"), [*keys, "_sl_id"], out="_sl_g")
+    spans, _ = broadcast_if_small(idx.groupBy(F.col(split_col).alias("_sl_split")).agg(
+        F.min("_sl_g").alias("_sl_start"), F.count(F.lit(1)).alias("_sl_n")))
     n = F.least(F.lit(n_max), F.col("_sl_n"))
     div, mod = F.floor(F.col("_sl_n") / n), F.col("_sl_n") % n
     i = F.col("_sl_g") - F.col("_sl_start")
     cut = (div + 1) * mod
     shard = F.when(i < cut, F.floor(i / (div + 1))).otherwise(mod + F.floor((i - cut) / div)).cast("long")
-    placed, _ = broadcast_if_small(idx.join(spans, split_col).select(*keys, i.alias("row"), shard.alias(out)))
-    return df.join(placed, keys)
+    placed, _ = broadcast_if_small(idx.join(spans, F.col(split_col).eqNullSafe(F.col("_sl_split"))).select(
+        "_sl_id", i.alias("row"), shard.alias(out)))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return rows.join(placed, "_sl_id").select(*keys, *rest, "row", out)
 
 
 def sample_blocks(blocks: DataFrame, split: str, n_draws: int, block_size: int, seed: int = 0,
