@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, license_notices, licenses, line_dedup, packing, parity_join, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from seqloom.llm import bpe, license_notices, licenses, line_dedup, packing, parity_join, periodic_runs, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 from seqloom.llm.common import held_out, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.trusted_ids(labels))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_history(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position", F.col("capture_no").cast("long"))
@@ -89,5 +93,6 @@ REGISTRY: dict = {
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_bpe": (op9_bpe, None),
     "op10_quality_rules": (op10_quality_rules, quality_rules.ORACLE_SQL),
+    "op11_periodic_runs": (op11_periodic_runs, None),
     "op13_warc": (op13_warc, warc.ORACLE_SQL),
 }
