@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, license_notices, licenses, line_dedup, packing, parity_join, periodic_runs, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from seqloom.llm import bpe, license_notices, licenses, line_dedup, packing, parity_join, periodic_runs, permutation_index, quality_classifier, quality_rules, substring_dedup, toxicity, warc, whitening
 from seqloom.llm.common import held_out, table
 
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_history(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position", F.col("capture_no").cast("long"))
@@ -94,5 +98,6 @@ REGISTRY: dict = {
     "op9_bpe": (op9_bpe, None),
     "op10_quality_rules": (op10_quality_rules, quality_rules.ORACLE_SQL),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_whitening": (op12_whitening, None),
     "op13_warc": (op13_warc, warc.ORACLE_SQL),
 }
