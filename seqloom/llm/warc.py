@@ -156,7 +156,7 @@ def parse_records(stream):
         ended = not got
 
     while True:
-        if not raw and not ended:
+        while len(raw) < 2 and not ended:
             more()
         if not raw:
             return
@@ -178,7 +178,7 @@ def parse_records(stream):
                 more()
             head, _, rest = raw.partition(b"\r\n\r\n")
             need = int(_headers(head).get("content-length", 0)) + 4
-            if len(rest) < need:
+            while len(rest) < need and not ended:
                 more(need - len(rest))
                 rest = raw[len(head) + 4:]
             if len(rest) < need:

@@ -68,6 +68,15 @@ def test_round_trip_revisits_and_history(spark, monkeypatch, shipped):
           [(i, None if u is None else u.replace(" ", "%20").replace("\r\n", "%0D%0A").replace("\x00", "%00"), h) for i, u, h in rows])
 
 
+class Drip(io.BytesIO):
+    def __init__(self, data, step):
+        super().__init__(data)
+        self.step = step
+
+    def read(self, n=-1):
+        return super().read(self.step)
+
+
 def test_archives_are_warc_files(spark, tmp_path):
     rows = [(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200), (3, "http://c/", "x")]
     files = W.write_archives(W.with_originals(pages(spark, rows, 1), "url", "html", "page_id", F.lit(86400)), str(tmp_path / "w"))
@@ -82,6 +91,9 @@ def test_archives_are_warc_files(spark, tmp_path):
     # the same records without compression
     plain = list(W.parse_records(io.BytesIO(gzip.decompress(data))))
     assert [(h, b) for _, _, h, b in plain] == [(h, b) for _, _, h, b in records]
+    for step in (1, 2, 7):  # reads may end anywhere in a record
+        for whole, want in ((data, records), (gzip.decompress(data), plain)):
+            assert list(W.parse_records(Drip(whole, step))) == want
     with pytest.raises(ValueError):
         list(W.parse_records(io.BytesIO(data[:-5])))
     with pytest.raises(ValueError):
