@@ -64,19 +64,22 @@ def packed_length(encoded: DataFrame, split_col: str = "split") -> DataFrame:
 
 
 def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str = "split",
-                   out: str = "offset") -> DataFrame:
-    """Start of each row in its split's concatenated stream (exclusive prefix sum of ``len``).
+                   out: str = "offset", row_out: str | None = None) -> DataFrame:
+    """Start of each row in its split's concatenated stream (exclusive prefix sum of ``len``), and
+    with ``row_out`` the row's place in its split.
 
-    The prefix sum runs on the narrow ``(split, order, len)`` projection only; the
-    offsets join back to the full rows (broadcast when the table measures small).
+    The rows go through one range pass and carry their offsets out of it, so null and equal
+    order keys neither lose nor repeat a row. Only each split's first offset is joined.
     """
-    keys = [split_col, *order_cols]
-    narrow = framed.select(*keys, "len")
-    cum = running_sum(narrow, keys, "len", out="_sl_cum")
-    begin = F.col("_sl_cum") - F.col("len")
-    base, _ = broadcast_if_small(cum.groupBy(split_col).agg(F.min(begin).alias("_sl_base")))
-    offs, _ = broadcast_if_small(cum.join(base, split_col).select(*keys, (begin - F.col("_sl_base")).alias(out)))
-    return framed.join(offs, keys)
+    cum = running_sum(framed, [split_col, *order_cols], "len", out="_sl_cum", row_out="_sl_row")
+    begin = F.col("_sl_cum") - F.coalesce(F.col("len"), F.lit(0))
+    base, _ = broadcast_if_small(cum.groupBy(F.col(split_col).alias("_sl_split")).agg(
+        F.min(begin).alias("_sl_base"), F.min("_sl_row").alias("_sl_first")))
+    placed = cum.join(base, F.col(split_col).eqNullSafe(F.col("_sl_split")))
+    numbers = [(begin - F.col("_sl_base")).alias(out)]
+    if row_out:
+        numbers.append((F.col("_sl_row") - F.col("_sl_first")).alias(row_out))
+    return placed.select(*[F.col(f"`{c}`") for c in framed.columns if c not in (out, row_out)], *numbers)
 
 
 def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order_key",),
@@ -115,6 +118,14 @@ def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order
     return blocks.withColumn("n", F.size(col).cast("bigint"))
 
 
+def _shard_of(row: Column, rows: Column, n_max: int) -> Column:
+    """Shard of the row at place ``row`` of ``rows``: contiguous parts, the first ``rows % n`` one row longer."""
+    n = F.least(F.lit(n_max), rows)
+    div, mod = F.floor(rows / n), rows % n
+    cut = (div + 1) * mod
+    return F.when(row < cut, F.floor(row / (div + 1))).otherwise(mod + F.floor((row - cut) / div)).cast("long")
+
+
 def contiguous_shards(df: DataFrame, order_cols: Sequence[str], n_max: int = 1024, split_col: str = "split",
                       out: str = "shard") -> DataFrame:
     """Per split, ``min(n_max, rows)`` contiguous shards; the first ``rows % n`` one row longer.
@@ -128,17 +139,23 @@ def contiguous_shards(df: DataFrame, order_cols: Sequence[str], n_max: int = 102
     idx = dense_index(rows.select(*keys, "_sl_id"), [*keys, "_sl_id"], out="_sl_g")
     spans, _ = broadcast_if_small(idx.groupBy(F.col(split_col).alias("_sl_split")).agg(
         F.min("_sl_g").alias("_sl_start"), F.count(F.lit(1)).alias("_sl_n")))
-    n = F.least(F.lit(n_max), F.col("_sl_n"))
-    div, mod = F.floor(F.col("_sl_n") / n), F.col("_sl_n") % n
     i = F.col("_sl_g") - F.col("_sl_start")
-    cut = (div + 1) * mod
-    shard = F.when(i < cut, F.floor(i / (div + 1))).otherwise(mod + F.floor((i - cut) / div)).cast("long")
+    shard = _shard_of(i, F.col("_sl_n"), n_max)
     placed, _ = broadcast_if_small(idx.join(spans, F.col(split_col).eqNullSafe(F.col("_sl_split"))).select(
         "_sl_id", i.alias("row"), shard.alias(out)))
     rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
     return rows.join(placed, "_sl_id").select(*keys, *rest, "row", out)
 
 
+def stream_shards(framed: DataFrame, order_cols: Sequence[str], n_max: int = 1024, split_col: str = "split") -> DataFrame:
+    """Rows with their ``row`` and ``offset`` in the split's stream and their shard (the parts of W6), all
+    from one range pass: what the shard files (K3) are written from."""
+    rows = stream_offsets(framed, order_cols, split_col, row_out="row")
+    sizes, _ = broadcast_if_small(rows.groupBy(F.col(split_col).alias("_sl_split")).agg(F.count(F.lit(1)).alias("_sl_n")))
+    j = rows.join(sizes, F.col(split_col).eqNullSafe(F.col("_sl_split")))
+    return j.withColumn("shard", _shard_of(F.col("row"), F.col("_sl_n"), n_max)).drop("_sl_split", "_sl_n")
+
+
 def sample_blocks(blocks: DataFrame, split: str, n_draws: int, block_size: int, seed: int = 0,
                   split_col: str = "split", col: str = "ids", total: int | None = None) -> DataFrame:
     """``n_draws`` random windows of the split's stream: ``x`` = B ids, ``y`` = x moved by one.

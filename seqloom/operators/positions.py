@@ -108,20 +108,25 @@ def _local_cumsum(weight: str):
     return run
 
 
-def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cum",
+def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cum", row_out: str | None = None,
                 partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = inclusive running sum of integer column ``weight`` in global order.
+    """Add ``out`` = inclusive running sum of integer column ``weight`` in global order, and
+    with ``row_out`` the row's position in that order (from 0).
 
     Inside a partition the running sum is an Arrow pass over the already sorted rows
-    (narrow, no shuffle); across partitions the per-partition totals are prefixed.
+    (narrow, no shuffle); across partitions the per-partition totals are prefixed. The rows
+    carry their numbers, nothing is joined back: null and equal order keys keep every row
+    once (equal keys in an order of their own, fixed by the checkpoint).
     """
     ranged = _ranged(df, order_cols, partitions)
     schema = T.StructType(ranged.schema.fields + [T.StructField(_LCUM, T.LongType(), False)])
     local = durable(ranged.mapInArrow(_local_cumsum(weight), schema))
-    rows = local.groupBy(_PID).agg(F.max(_LCUM).alias("s")).collect()
-    totals = {r[_PID]: r["s"] for r in rows}
-    n_parts = max([local.rdd.getNumPartitions()] + [p + 1 for p in totals])
-    return local.withColumn(out, _offsets(totals, n_parts) + F.col(_LCUM)).drop(_PID, _LIDX, _LCUM)
+    rows = local.groupBy(_PID).agg(F.max(_LCUM).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    n_parts = max([local.rdd.getNumPartitions()] + [r[_PID] + 1 for r in rows])
+    summed = local.withColumn(out, _offsets({r[_PID]: r["s"] for r in rows}, n_parts) + F.col(_LCUM))
+    if row_out:
+        summed = summed.withColumn(row_out, _offsets({r[_PID]: r["n"] for r in rows}, n_parts) + F.col(_LIDX))
+    return summed.drop(_PID, _LIDX, _LCUM)
 
 
 def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_gap: int):

@@ -1006,3 +1006,57 @@ def _register_awkward(strategy):
 
 for _strategy in ("table", "join"):
     _register_awkward(_strategy)
+
+
+# ---------------------------------------------------------------- raw shard files
+
+def _write_stream(spark, sf, n_max):
+    """Shard files of the corpus: written from framed rows, no blocks are packed."""
+    f = flow(spark, sf)
+    path = scratch_path(spark, "stream")
+    S.write_stream(L.stream_shards(L.frame(f.encoded.join(f.splits, "doc_id"), f.max_len), ["order_key"], n_max), path)
+    return path
+
+
+def _checksums(stream, *by):
+    """Ids, their sum and their sum weighted by place, per group: sums of whole numbers, order-independent."""
+    ids = stream.select(*by, "offset", F.posexplode("ids").alias("i", "id"))
+    at = F.col("offset") + F.col("i")
+    return ids.withColumn("pos", at)
+
+
+@register("k3_shard_files", CV("""
+SELECT split, shard, min(pos) AS first_offset, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum,
+       CAST(sum(id * (pos % 1000003)) AS BIGINT) AS place_sum FROM (
+  SELECT split, CASE WHEN row < (d + 1) * md THEN row // (d + 1) ELSE md + (row - (d + 1) * md) // d END AS shard,
+         CAST(off + i - 1 AS BIGINT) AS pos, ids[i] AS id
+  FROM (SELECT split, ids, row, off, cnt // least(1024, cnt) AS d, cnt % least(1024, cnt) AS md,
+               unnest(generate_series(1, len(ids))) AS i FROM (
+    SELECT split, ids, row_number() OVER (PARTITION BY split ORDER BY order_key) - 1 AS row, count(*) OVER (PARTITION BY split) AS cnt,
+           coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY order_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+    FROM framed)))
+GROUP BY split, shard"""))
+def q_k3_files(spark, sf):
+    """One uint16 file a shard: the manifest, beside sums over the bytes that were written."""
+    path = _write_stream(spark, sf, 1024)
+    ids = _checksums(R.read_stream(spark, path), "split", "shard")
+    found = ids.groupBy("split", "shard").agg(F.count("*").alias("held"), F.sum("id").alias("id_sum"),
+                                              F.sum(F.col("id") * (F.col("pos") % 1000003)).alias("place_sum"))
+    return R.stream_manifest(spark, path).join(found, ["split", "shard"], "left").where("held = n").drop("held")
+
+
+@register("s9_stream_ranges", CV(f"""
+SELECT split, pos // {BLOCK} AS block_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum,
+       CAST(sum(id * (pos % 1000003)) AS BIGINT) AS place_sum FROM stream GROUP BY split, pos // {BLOCK}"""))
+def q_s9_ranges(spark, sf):
+    """Few large files, each read by several tasks."""
+    ids = _checksums(R.read_stream(spark, _write_stream(spark, sf, 4), range_bytes=1 << 20), "split")
+    return ids.groupBy("split", F.floor(F.col("pos") / BLOCK).alias("block_id")).agg(
+        F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.col("id") * (F.col("pos") % 1000003)).alias("place_sum"))
+
+
+@register("w7_random_access", REGISTRY["w7_sample_blocks"][1])
+def q_w7_files(spark, sf):
+    """The windows of ``w7_sample_blocks``, read from the shard files by offset."""
+    s = R.sample_stream(spark, _write_stream(spark, sf, 1024), "train", W7_DRAWS, BLOCK, W7_SEED)
+    return s.select("draw_id", "start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))

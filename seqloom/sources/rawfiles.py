@@ -25,6 +25,7 @@ MANIFEST = "_manifest.json"
 RANGE_BYTES = 64 << 20
 ROW_IDS = 1 << 16  # ids of one row that the range reader returns
 U16 = 2
+NULL_SPLIT = "__null__"  # folder of stream rows without a split
 
 
 def open_fs(path: str):
@@ -135,13 +136,12 @@ class RawWriter(DataSourceArrowWriter):
         system, root = open_fs(self.path)
         system.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        names = [f[0] for f in files]
-        kept = [] if self.overwrite else [(n, b) for n, b in list_files(self.path)]
-        repeated = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set()
-        repeated |= set(names) & {n for n, _ in kept}
-        if repeated:
+        kept = [] if self.overwrite else list_files(self.path)
+        names = [f[0] for f in files] + [n for n, _ in kept]
+        if len(set(names)) < len(names):
             self.abort(messages)
-            raise ValueError(f"files written twice: {sorted(repeated)[:5]}")
+            names.sort()
+            raise ValueError(f"written twice: {[a for a, b in zip(names, names[1:]) if a == b][:5]}")
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(root)):
                 if info.base_name != f"_staging-{self.job}":

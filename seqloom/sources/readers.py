@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from seqloom.operators.corpus import SPECIALS
 from seqloom.operators.positions import running_sum
 from seqloom.session import broadcast_if_small
+from seqloom.sources.rawfiles import RANGE_BYTES, NULL_SPLIT, U16, list_files, open_fs, read_u16
 
 # Strings pandas reads as missing by default (its documented NA list).
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -232,3 +233,92 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField("split", T.StringType()), T.StructField("block_id", T.LongType()),
                            T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(_decode_u16, schema)
+
+
+def _stream_files(path: str) -> list[tuple[str, str | None, int, int, int]]:
+    """``(file, split, shard, first_offset, n)`` of the uint16 files below ``path``: the shard files of
+    ``write_stream``, or one ``<split>.bin`` a split. One entry a file, in stream order."""
+    import re
+    from urllib.parse import unquote_plus
+
+    out, ends = [], {}
+    for name, size in list_files(path, ".bin"):
+        m = re.fullmatch(r"split=([^/]*)/shard-([0-9]+)\.bin", name)
+        split = (None if m[1] == NULL_SPLIT else unquote_plus(m[1])) if m else name[:-4]
+        out.append((name, split, int(m[2]) if m else 0, size // U16))
+    out.sort(key=lambda f: (f[1] is not None, f[1] or "", f[2]))
+    files = []
+    for name, split, shard, n in out:
+        files.append((name, split, shard, ends.get(split, 0), n))
+        ends[split] = ends.get(split, 0) + n
+    return files
+
+
+def stream_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``split, shard, first_offset, n`` (in ids) of the uint16 files below ``path``."""
+    return spark.createDataFrame(_stream_files(path), "file string, split string, shard long, first_offset long, n long").drop("file")
+
+
+def read_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, row_ids: int | None = None) -> DataFrame:
+    """S9, raw form: flat uint16 files (of ``write_stream`` with its manifest, or found as ``<split>.bin``)
+    -> ``split, shard, offset, ids``; ``offset`` counts the split's ids before the row.
+
+    Files are cut into byte ranges of whole records, one task each, so a file of any size is read in parallel.
+    """
+    files = spark.createDataFrame(_stream_files(path), "file string, split string, shard long, first_offset long, n long")
+    raw = read_u16(spark, path, ".bin", range_bytes, **({"row_ids": row_ids} if row_ids else {}))
+    return raw.join(broadcast_if_small(files)[0], "file").select("split", "shard", (F.col("first_offset") + F.col("first")).alias("offset"), "ids")
+
+
+def sample_stream(spark: SparkSession, path: str, split: str, n_draws: int, block_size: int, seed: int = 0) -> DataFrame:
+    """W7 over raw files: ``draw_id, start, x, y, bytes_read``, the windows of ``sample_blocks``.
+
+    A draw is looked up in the offset index (one entry a file) and only its ``block_size + 1`` ids are
+    read, also where they lie in several files; nothing is scanned or packed. Draws are read in the order of
+    their places within a task.
+    """
+    from seqloom.functions.hashing import hash_int
+
+    B = int(block_size)
+    mine = [(name, first, n) for name, s, _, first, n in _stream_files(path) if s == split and n]
+    total = sum(n for _, _, n in mine)
+    if total <= B:
+        raise ValueError(f"split {split!r} holds {total} ids, need more than block_size={B}")
+    names, firsts = [f[0] for f in mine], [f[1] for f in mine]
+
+    def run(batches):
+        system, root = open_fs(path)
+        held: dict = {}
+
+        def ids_at(at, n):
+            i = int(np.searchsorted(firsts, at, "right")) - 1
+            parts, used = [], 0
+            while used < U16 * n:
+                if i not in held:
+                    for f in held.values():
+                        f.close()
+                    held.clear()
+                    held[i] = system.open_input_file(f"{root}/{names[i]}")
+                held[i].seek(U16 * (at - firsts[i]) if not parts else 0)
+                data = held[i].read(U16 * n - used)
+                if not data or len(data) % U16:
+                    raise ValueError(f"{names[i]} ends inside a record")
+                parts.append(np.frombuffer(data, "<u2"))
+                used += len(data)
+                i += 1
+            return np.concatenate(parts).astype(np.int32), used
+
+        for b in batches:
+            draw, start = (b.column(c).to_numpy() for c in ("draw_id", "start"))
+            order = np.argsort(start, kind="stable")
+            found = [ids_at(int(start[i]), B + 1) for i in order]
+            ends = pa.array(np.arange(len(found) + 1) * B, pa.int32())
+            x, y = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([ids[k:k + B] for ids, _ in found]) if found else np.zeros(0, np.int32)))
+                    for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(draw[order]), pa.array(start[order]), x, y, pa.array([u for _, u in found], pa.int64())],
+                                             ["draw_id", "start", "x", "y", "bytes_read"])
+        for f in held.values():
+            f.close()
+
+    draws = spark.range(n_draws).select(F.col("id").alias("draw_id"), (hash_int(seed, F.lit(split), F.col("id")) % F.lit(total - B)).alias("start"))
+    return draws.mapInArrow(run, "draw_id long, start long, x array<int>, y array<int>, bytes_read long")

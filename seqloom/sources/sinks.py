@@ -1,4 +1,4 @@
-"""Sinks (K1-K3): corpus lines, vocabulary, packed uint16 shards.
+"""Sinks (K1-K3): corpus lines, vocabulary, packed uint16 shards and raw shard files.
 
 Writes go through Spark's committers (one file per task, atomic job commit), so a
 retried task never leaves a half-written or duplicated file behind.
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.sources.rawfiles import NULL_SPLIT, write_raw
+
 U16_MAX = 65535
 
 
@@ -87,6 +89,25 @@ def write_shards(blocks: DataFrame, path: str, dtype: str = "uint16", mode: str
         "split", "block_id", (F.col("block_id") * F.col("_b")).alias("first_offset"), "n")
 
 
+def write_stream(rows: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> DataFrame:
+    """K3, raw form: rows of ``stream_shards`` -> ``split=<s>/shard-<k>.bin``, flat little-endian uint16.
+
+    A shard is one file, written by one task in row order from compact rows (``body`` and ``pad``; the
+    zeros are written, not shuffled) or padded ones (``ids``). The files are committed as a whole
+    (``rawfiles``): a retried task leaves no second file, an id outside ``[0, 65535]`` fails the job.
+    Returns the manifest ``split, shard, first_offset, n``.
+    """
+    from seqloom.sources.readers import stream_manifest
+
+    name = F.concat(F.lit("split="), F.coalesce(F.url_encode(split_col), F.lit(NULL_SPLIT)), F.lit("/shard-"),
+                    F.lpad(F.col("shard").cast("string"), 5, "0"), F.lit(".bin"))
+    compact = "body" in rows.columns and "pad" in rows.columns
+    ids = [F.col("body").alias("ids"), F.col("pad").cast("long").alias("pad")] if compact else [F.col("ids")]
+    ordered = (rows.select(name.alias("file"), "row", *ids).repartition("file").sortWithinPartitions("file", "row").drop("row"))
+    write_raw(ordered, path, mode)
+    return stream_manifest(rows.sparkSession, path)
+
+
 def write_fasta(records: DataFrame, path: str, mode: str = "overwrite", compression: str = "gzip") -> None:
     """One FASTA file per genome under ``path/accession=<acc>/``, records in ``ord`` order.
 
