@@ -23,6 +23,7 @@ from seqloom.plans import fixtures as X
 from seqloom.session import release, scratch_path
 from seqloom.sources import readers as R
 from seqloom.sources import sinks as S
+from seqloom.sources.rawfiles import write_raw
 from seqloom.streaming import ingest as ST
 from seqloom.plans.oracle_views import with_views as V
 
@@ -847,6 +848,38 @@ def q_s3(spark, sf):
     return R.read_gene_go(spark, path).select("gene_id", F.array_join("go_terms", ":").alias("go"))
 
 
+@register("s3_read_one_object", V("""
+SELECT gene_id || '"}] {' AS gene_id, array_to_string(list_transform(go_terms, lambda t: t || ' \\ "' || chr(10) || '[,'), ':') AS go FROM gene_go"""))
+def q_s3_one(spark, sf):
+    """One pretty-printed object with brackets, escapes and line breaks in its strings, read by byte ranges."""
+    path = scratch_path(spark, "gene_go_object")
+    m = A.gene2go_map(X.gene2go(spark, sf)).select(
+        F.concat("gene_id", F.lit('"}] {')).alias("k"), F.transform("go_terms", lambda t: F.concat(t, F.lit(' \\ "\n[,'))).alias("v"))
+    entry = F.to_json(F.create_map("k", "v"))
+    first = m.agg(F.min("k")).first()[0]
+    body = F.concat(F.when(F.col("k") == first, "{\n  ").otherwise(",\n  "), F.expr("substring(e, 2, length(e) - 2)"))
+    rows = m.withColumn("e", entry).select(F.lit(1).alias("o"), "k", body.alias("value"))
+    ends = spark.createDataFrame([(2, "", "\n}" if first is not None else "{}")], rows.schema)
+    # the members are streamed into one file in key order
+    named = rows.unionByName(ends).select(F.lit("map.json").alias("file"), "o", "k", F.col("value").cast("binary").alias("data"))
+    write_raw(named.repartition("file").sortWithinPartitions("file", "o", "k").select("file", "data"), path)
+    back = R.read_gene_go(spark, path, whole_file=True, range_bytes=20_000)
+    return back.select("gene_id", F.array_join("go_terms", ":").alias("go"))
+
+
+@register("j3_read_gene2go", V("""
+SELECT gene_id, array_to_string(go_terms, ':') AS go, CAST(len(go_terms) AS BIGINT) AS n_terms FROM gene_go"""))
+def q_j3_file(spark, sf):
+    """The map built from a gzip gene2go file, whose rows are in another order than the genes."""
+    path = scratch_path(spark, "gene2go")
+    rows = X.gene2go(spark, sf).select(F.lit("9606").alias("#tax_id"), F.col("gene_id").alias("GeneID"), F.lit("GO:0").alias("GO_ID"),
+                                       F.lit("IEA").alias("Evidence"), F.lit("-").alias("Qualifier"), F.col("go_term").alias("GO_term"), "ord")
+    rows.repartitionByRange(4, "ord", "GeneID").sortWithinPartitions("ord", "GeneID").drop("ord") \
+        .write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    m = A.gene2go_map(R.read_gene2go(spark, path))
+    return m.select("gene_id", F.array_join("go_terms", ":").alias("go"), F.size("go_terms").cast("bigint").alias("n_terms"))
+
+
 @register("s4_read_cds_fasta", V("SELECT accession, ord, header, seq FROM cds"))
 def q_s4(spark, sf):
     path = scratch_path(spark, "cds_fasta")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from seqloom.operators.corpus import SPECIALS
 from seqloom.operators.positions import running_sum
 from seqloom.session import broadcast_if_small
+from seqloom.sources.json_ranges import read_json_map
 from seqloom.sources.rawfiles import RANGE_BYTES, NULL_SPLIT, U16, list_files, open_fs, read_u16
 
 # Strings pandas reads as missing by default (its documented NA list).
@@ -43,6 +44,10 @@ FEATURE_TABLE_HEADER = ["# feature", "class", "assembly", "assembly_unit", "seq_
 GFF_FIELDS = [("seqid", "string"), ("source", "string"), ("type", "string"), ("start", "bigint"), ("end", "bigint"),
               ("score", "string"), ("strand", "string"), ("phase", "string"), ("attributes", "string")]
 
+# The gene2go columns that are read.
+GENE2GO_HEADER = ["GeneID", "GO_ID", "GO_term"]
+
+# Fixed value: an assembly accession in a path.
 ACCESSION_RE = r"(GC[AF]_[0-9]+\.[0-9]+)"
 # Fixed value: start of the marker line that a run of the ingest writes.
 SESSION_MARKER = "################"
@@ -104,17 +109,37 @@ def read_gene_info(spark: SparkSession, path: str) -> DataFrame:
                      F.struct("_file", "_block", "_row").alias("ord"))
 
 
-def read_gene_go(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+def read_gene_go(spark: SparkSession, path: str, whole_file: bool = False, range_bytes: int | None = None) -> DataFrame:
     """S3: JSON object(s) mapping GeneID -> ordered GO terms -> ``gene_id, go_terms``.
 
-    One object per line by default (parallel); ``whole_file`` reads each file as one
-    object, as a single pretty-printed dump is written.
+    One object per line by default; with ``whole_file`` each file is one object, as a single (perhaps
+    pretty-printed) dump is written, and is read by many tasks (``json_ranges``): line breaks,
+    braces and escapes may stand anywhere, and of a repeated GeneID the last entry counts.
     """
-    df = spark.read.text(path, wholetext=whole_file)
+    if whole_file:
+        rows = read_json_map(spark, path, "array<string>", **({"range_bytes": range_bytes} if range_bytes else {}))
+        return rows.select(F.col("key").alias("gene_id"), F.col("value").alias("go_terms"))
+    df = spark.read.text(path)
     m = F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
     return df.where(F.length(F.trim("value")) > 0).select(F.explode(m).alias("gene_id", "go_terms"))
 
 
+def read_gene2go(spark: SparkSession, path: str) -> DataFrame:
+    """J3's input: the gene2go TSV (header ``#tax_id GeneID GO_ID Evidence Qualifier GO_term ...``, gzip by
+    extension) -> ``gene_id, go_id, go_term, ord``, found by header name; ``ord`` is the file order.
+
+    Rows without a GeneID are left out; ``-`` as a term is missing like an empty one.
+    """
+    df = spark.read.option("sep", "\t").option("header", True).option("quote", "\u0000").option("inferSchema", False).csv(path)
+    missing = [h for h in GENE2GO_HEADER if h not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {missing}; it has {df.columns}")
+    rows = file_order(df.select(*GENE2GO_HEADER)).where(F.col("GeneID").isNotNull())
+    term = F.when(F.col("GO_term") != "-", F.col("GO_term"))
+    return rows.select(F.col("GeneID").alias("gene_id"), F.col("GO_ID").alias("go_id"), term.alias("go_term"),
+                       F.struct("_file", "_block", "_row").alias("ord"))
+
+
 def parse_fasta_records(df: DataFrame) -> DataFrame:
     """Split ``value`` (one record per row, read with lineSep ``\\n>``) into header and sequence.
 
