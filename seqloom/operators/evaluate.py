@@ -87,17 +87,18 @@ def continuation_accuracy(docs: DataFrame, model: DataFrame, col: str = "text",
         .withColumn("accuracy", F.col("hits") / F.col("n"))
 
 
-def operons(features: DataFrame, max_gap: int = 50, gene_col: str = "locus_tag") -> DataFrame:
+def operons(features: DataFrame, max_gap: int = 50, gene_col: str = "locus_tag", reach: str = "last") -> DataFrame:
     """Runs of neighbouring genes on the same genomic accession and strand, gap <= max_gap.
 
     Gaps and islands over a global order in one range pass (``positions.islands``), not a
-    window per genome, so one genome holding a third of all genes still spreads out. The gap
-    is taken from the end of the gene before in that order, not from the largest end so
-    far: a gene inside a longer one starts a new run when the next gene is far from it.
+    window per genome, so one genome holding a third of all genes still spreads out. With
+    ``reach="last"`` the gap is taken from the end of the gene before in that order; with
+    ``"max"`` from the largest end so far, so a gene inside a longer one does not part its
+    neighbours. A gene without a start, or after one without an end ("last"), opens a run.
     """
     genes = features.where(F.col("feature") == "gene").select("genomic_accession", "strand", "start", "end", gene_col)
     order = ["genomic_accession", "strand", "start", "end", gene_col]
-    runs = islands(genes, order, ["genomic_accession", "strand"], "start", "end", max_gap, out="operon_id")
+    runs = islands(genes, order, ["genomic_accession", "strand"], "start", "end", max_gap, out="operon_id", reach=reach)
     members = F.array_sort(F.collect_list(F.struct("start", F.col(gene_col).alias("g"))))
     g = runs.groupBy("operon_id", "genomic_accession", "strand").agg(
         members.alias("_m"), F.min("start").alias("start"), F.max("end").alias("end"),

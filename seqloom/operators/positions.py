@@ -129,6 +129,29 @@ def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cu
     return summed.drop(_PID, _LIDX, _LCUM)
 
 
+def _same_as_before(batch, same_cols: Sequence[str]):
+    """For rows 1.. of a batch: whether all key columns equal the row before (nulls are equal)."""
+    n = batch.num_rows
+    same = np.ones(max(n - 1, 0), bool)
+    for c in same_cols:
+        col = batch.column(c)
+        a, b = col.slice(0, n - 1), col.slice(1)
+        equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same = same & equal.to_numpy(zero_copy_only=False)
+    return same
+
+
+def _known(column):
+    """Values of an integer column (0 for null) and which are there."""
+    return (pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False),
+            pc.is_valid(column).to_numpy(zero_copy_only=False))
+
+
+def _near(start, has_start, end, has_end, max_gap: int):
+    """Whether rows begin at most ``max_gap`` after the ends given for them; a null joins nothing."""
+    return (start - end <= max_gap) & has_start & has_end
+
+
 def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_gap: int):
     def run(batches):
         acc = 0
@@ -137,20 +160,14 @@ def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_g
             n = batch.num_rows
             if n == 0:
                 continue
-            start = batch.column(start_col).to_numpy(zero_copy_only=False)
-            end = batch.column(end_col).to_numpy(zero_copy_only=False)
+            (start, has_start), (end, has_end) = _known(batch.column(start_col)), _known(batch.column(end_col))
             # each row against the row before it: all key columns equal and the gap small
-            joined = start[1:] - end[:-1] <= max_gap
-            for c in same_cols:
-                col = batch.column(c)
-                a, b = col.slice(0, n - 1), col.slice(1)
-                equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
-                joined = joined & equal.to_numpy(zero_copy_only=False)
+            joined = _near(start[1:], has_start[1:], end[:-1], has_end[:-1], max_gap) & _same_as_before(batch, same_cols)
             new = np.concatenate([[1], 1 - joined.astype("int64")]).astype("int64")
             first, last = ([batch.column(c)[i].as_py() for c in same_cols] for i in (0, n - 1))
-            if prev is not None and prev[0] == first and start[0] - prev[1] <= max_gap:
+            if prev is not None and prev[0] == first and prev[1] is not None and has_start[0] and start[0] - prev[1] <= max_gap:
                 new[0] = 0
-            prev = (last, end[-1])
+            prev = (last, end[-1] if has_end[-1] else None)
             cs = np.cumsum(new) + acc
             acc = int(cs[-1])
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(new), pa.array(cs)],
@@ -159,15 +176,22 @@ def _local_islands(same_cols: Sequence[str], start_col: str, end_col: str, max_g
 
 
 def islands(df: DataFrame, order_cols: Sequence, same_cols: Sequence[str], start_col: str, end_col: str,
-            max_gap: int, out: str = "island", partitions: int | None = None) -> DataFrame:
+            max_gap: int, out: str = "island", partitions: int | None = None, reach: str = "last") -> DataFrame:
     """Gaps and islands over a global order in one range pass.
 
-    A row opens a new island unless the previous row (in ``order_cols`` order) has the
-    same ``same_cols`` and ends at most ``max_gap`` before this row starts. Inside a
-    sorted partition the previous row is the one before it (an Arrow pass); the first row
-    of a partition is checked against the last row of the previous non-empty partition
-    (one row per partition reaches the driver). ``out`` numbers islands from 1.
+    A row opens a new island unless a row before it (in ``order_cols`` order) has the
+    same ``same_cols`` and reaches to at most ``max_gap`` before this row's start: with
+    ``reach="last"`` the row right before it, with ``"max"`` the largest end of all rows
+    before it, so that a short row inside a long one closes nothing. A null start opens an
+    island; a null end reaches nowhere (``"last"``: the next row opens one).
+
+    Inside a sorted partition the comparison is an Arrow pass; across partitions one row
+    per partition reaches the driver. ``out`` numbers islands from 1.
     """
+    if reach == "max":
+        return _covered_islands(df, order_cols, same_cols, start_col, end_col, max_gap, out, partitions)
+    if reach != "last":
+        raise ValueError(f"unknown reach {reach!r}")
     ranged = _ranged(df, order_cols, partitions)
     schema = T.StructType(ranged.schema.fields + [T.StructField("_sl_new", T.LongType(), False),
                                                   T.StructField(_LCUM, T.LongType(), False)])
@@ -178,17 +202,107 @@ def islands(df: DataFrame, order_cols: Sequence, same_cols: Sequence[str], start
     info = {r[_PID]: r for r in rows}
     n_parts = max([local.rdd.getNumPartitions()] + [p + 1 for p in info])
     k = len(same_cols)
-    fix, offs, acc, prev_last = {}, [], 0, None
-    for p in range(n_parts):
-        r = info.get(p)
-        offs.append(acc)
-        if r is None:
-            continue
-        f, l = tuple(r["f"]), tuple(r["l"])
-        joined = prev_last is not None and f[:k] == prev_last[:k] and f[k] - prev_last[k] <= max_gap
+    fix, totals, prev_last = {}, {}, None
+    for p in sorted(info):
+        f, l = tuple(info[p]["f"]), tuple(info[p]["l"])
+        joined = (prev_last is not None and f[:k] == prev_last[:k] and None not in (f[k], prev_last[k])
+                  and f[k] - prev_last[k] <= max_gap)
         fix[p] = 1 if joined else 0
-        acc += int(r["t"]) - fix[p]
+        totals[p] = int(info[p]["t"]) - fix[p]
         prev_last = l
     correction = F.expr("element_at(array(" + ", ".join(f"{fix.get(p, 0)}L" for p in range(n_parts)) + f"), {_PID} + 1)")
-    offset = F.expr("element_at(array(" + ", ".join(f"{o}L" for o in offs) + f"), {_PID} + 1)")
-    return local.withColumn(out, offset + F.col(_LCUM) - correction).drop(_PID, _LIDX, _LCUM, "_sl_new")
+    return local.withColumn(out, _offsets(totals, n_parts) + F.col(_LCUM) - correction).drop(_PID, _LIDX, _LCUM, "_sl_new")
+
+
+def _segment_ends(same_cols: Sequence[str], end_col: str):
+    """One row a partition: keys of its first and last segment, whether they are one, the last one's largest end."""
+    def run(batches):
+        pid = first = last = reached = None
+        single = True
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            cut = np.flatnonzero(~_same_as_before(batch, same_cols)) + 1
+            begin = int(cut[-1]) if len(cut) else 0
+            head, tail = ([batch.column(c)[i].as_py() for c in same_cols] for i in (0, n - 1))
+            if first is None:
+                pid, first = batch.column(_PID)[0].as_py(), head
+            elif head != last:
+                single, reached = False, None
+            if len(cut):
+                single, reached = False, None
+            end, has_end = _known(batch.column(end_col).slice(begin))
+            if has_end.any():
+                top = int(end[has_end].max())
+                reached = top if reached is None else max(reached, top)
+            last = tail
+        if first is not None:
+            columns = [pa.array([pid], pa.int32()), pa.array([single]), pa.array([reached], pa.int64())]
+            for i, c in enumerate(same_cols):
+                kind = batch.schema.field(c).type
+                columns += [pa.array([first[i]], kind), pa.array([last[i]], kind)]
+            names = [_PID, "single", "reached"] + [x for i in range(len(same_cols)) for x in (f"f{i}", f"l{i}")]
+            yield pa.RecordBatch.from_arrays(columns, names)
+    return run
+
+
+def _local_cover(same_cols: Sequence[str], start_col: str, end_col: str, max_gap: int, carried: dict):
+    """Running count of island openings, from the largest end so far in each segment; ``carried`` gives each
+    partition the key and the largest end that it goes on from."""
+    def run(batches):
+        acc, last, reached, begun = 0, None, None, False
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            if not begun:
+                last, reached = carried.get(batch.column(_PID)[0].as_py(), (None, None))
+                begun = True
+            (start, has_start), (end, has_end) = _known(batch.column(start_col)), _known(batch.column(end_col))
+            same = _same_as_before(batch, same_cols)
+            head, tail = ([batch.column(c)[i].as_py() for c in same_cols] for i in (0, n - 1))
+            segment = np.concatenate([[0], np.cumsum(~same)])
+            # running maximum per segment: ranks of the ends (0: none), lifted by the segment, never fall back
+            values, rank = np.unique(end[has_end], return_inverse=True)
+            level = np.zeros(n, np.int64)
+            level[has_end] = rank + 1
+            top = np.maximum.accumulate(level + segment * (len(values) + 1)) - segment * (len(values) + 1)
+            before = np.concatenate([[0], top[:-1]])
+            before[1:][~same] = 0
+            far = np.concatenate([[0], values])[before]
+            has = before > 0
+            if last == head and reached is not None:  # the first segment goes on from what came before
+                mine = segment == 0
+                far = np.where(mine, np.where(has, np.maximum(far, reached), reached), far)
+                has = has | mine
+            opens = ~_near(start, has_start, far, has, max_gap)
+            tops = top[-1]
+            reached_now = int(values[tops - 1]) if tops else None
+            if segment[-1] == 0 and last == head and reached is not None:
+                reached_now = reached if reached_now is None else max(reached, reached_now)
+            last, reached = tail, reached_now
+            cs = np.cumsum(opens.astype(np.int64)) + acc
+            acc = int(cs[-1])
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(cs)], names=list(batch.schema.names) + [_LCUM])
+    return run
+
+
+def _covered_islands(df, order_cols, same_cols, start_col, end_col, max_gap, out, partitions) -> DataFrame:
+    same_cols = list(same_cols)
+    ranged = durable(_ranged(df, order_cols, partitions))
+    kinds = [f"{x}{i} {ranged.schema[c].dataType.simpleString()}" for i, c in enumerate(same_cols) for x in ("f", "l")]
+    ends = ranged.select(_PID, *same_cols, end_col).mapInArrow(
+        _segment_ends(same_cols, end_col), ", ".join([f"{_PID} int", "single boolean", "reached long", *kinds])).collect()
+    carried, last, reached = {}, None, None
+    for r in sorted(ends, key=lambda r: r[_PID]):
+        first = [r[f"f{i}"] for i in range(len(same_cols))]
+        carried[r[_PID]] = (last, reached)
+        onward = r["single"] and first == last  # the segment before this partition goes on after it
+        reached = max((x for x in (r["reached"], reached if onward else None) if x is not None), default=None)
+        last = [r[f"l{i}"] for i in range(len(same_cols))]
+    schema = T.StructType(ranged.schema.fields + [T.StructField(_LCUM, T.LongType(), False)])
+    local = ranged.mapInArrow(_local_cover(same_cols, start_col, end_col, int(max_gap), carried), schema)
+    rows = local.groupBy(_PID).agg(F.max(_LCUM).alias("t")).collect()
+    n_parts = max([ranged.rdd.getNumPartitions()] + [r[_PID] + 1 for r in rows])
+    return local.withColumn(out, _offsets({r[_PID]: r["t"] for r in rows}, n_parts) + F.col(_LCUM)).drop(_PID, _LIDX, _LCUM)

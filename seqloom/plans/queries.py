@@ -813,6 +813,30 @@ def q_e4(spark, sf):
     return E.operons(X.feature_table(spark, sf), max_gap=50)
 
 
+_OVERLAPPING = """SELECT genomic_accession, strand, locus_tag, CASE WHEN CAST(gene_id AS BIGINT) % 23 = 0 THEN NULL ELSE start // 4 END AS start,
+  CASE WHEN CAST(gene_id AS BIGINT) % 17 = 0 THEN NULL
+       ELSE start // 4 + CASE WHEN CAST(gene_id AS BIGINT) % 7 = 0 THEN 900 ELSE product_length END END AS "end"
+FROM feature_table WHERE feature = 'gene'"""
+
+
+@register("e4_operons_covering", V(f"""
+SELECT genomic_accession, strand, min(start) AS start, max("end") AS "end", count(*) AS n_genes,
+       string_agg(locus_tag, ' ' ORDER BY start NULLS FIRST, locus_tag) AS genes
+FROM (SELECT *, sum(nr) OVER (PARTITION BY genomic_accession, strand ORDER BY start NULLS FIRST, "end" NULLS FIRST, locus_tag
+                              ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN start - max("end") OVER w <= 50 THEN 0 ELSE 1 END AS nr FROM ({_OVERLAPPING})
+  WINDOW w AS (PARTITION BY genomic_accession, strand ORDER BY start NULLS FIRST, "end" NULLS FIRST, locus_tag
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+GROUP BY genomic_accession, strand, run"""))
+def q_e4_covering(spark, sf):
+    """Genes inside longer ones, without start or without end; gaps from the largest end so far."""
+    ft, gene = X.feature_table(spark, sf), F.col("gene_id").cast("bigint")
+    start = F.floor(F.col("start") / 4)
+    ft = ft.withColumns({"start": F.when(gene % 23 != 0, start),
+                         "end": F.when(gene % 17 != 0, start + F.when(gene % 7 == 0, 900).otherwise(F.col("product_length")))})
+    return E.operons(ft, max_gap=50, reach="max").drop("operon")
+
+
 # ============================================================== sources, sinks, streaming (round trips)
 
 

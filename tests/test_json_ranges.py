@@ -68,7 +68,7 @@ def test_long_members_empty_objects_and_repeats(spark, tmp_path):
     assert got == {"1": ["w"], "2": None, "3": [], "4": ["t"] * 3000, "5": ["z"]}
 
 
-@pytest.mark.parametrize("text,message", [('{"1": ["x"]', "not closed"), ('{"1": ["x', "not closed"), ('{"1": "x"}', "MALFORMED"), ('{"1": [x}]}', "MALFORMED")])
+@pytest.mark.parametrize("text,message", [('{"1": ["x"]', "not closed"), ('{"1": ["x', "not closed"), ('{"1": "x"}', "MALFORMED"), ('{"1": [x]}', "MALFORMED"), ('{"1": [x}]}', "not closed")])
 def test_broken_texts_raise(spark, tmp_path, text, message):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception, match=message):
