@@ -36,12 +36,12 @@ def fasta_records(lines: DataFrame) -> DataFrame:
     A line starting with ``>`` opens a record; later lines append to its sequence.
     The record number is a running count of headers over the global order
     ``(accession, line_no)`` (no per-genome window); ``ord`` is the header's line
-    number. Lines before a genome's first header form a record with a null header.
+    number. Lines before a genome's first header form a record with a null header; lines with
+    one number stand in text order.
     """
-    flagged = lines.withColumn("_h", F.col("line").startswith(">").cast("long"))
-    # the running count sorts and checkpoints three narrow columns, never the line text
-    counted = running_sum(flagged.select("accession", "line_no", "_h"), ["accession", "line_no"], "_h", out="_rec")
-    numbered = flagged.join(broadcast_if_small(counted.drop("_h"))[0], ["accession", "line_no"])
+    flagged = lines.select("accession", "line_no", "line", F.col("line").startswith(">").cast("long").alias("_h"))
+    # the lines carry their record number out of one range pass, so a repeated line number repeats nothing
+    numbered = running_sum(flagged, ["accession", "line_no", "line"], "_h", out="_rec")
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line", "_h")))
     grouped = numbered.groupBy("accession", "_rec").agg(parts.alias("_p"), F.min("line_no").alias("ord"))
     head = F.filter("_p", lambda x: x["_h"] == 1)

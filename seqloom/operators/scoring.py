@@ -40,20 +40,35 @@ def next_token_counts(docs: DataFrame, col: str = "text", key: str = "doc_id") -
     return counts.join(totals, "prev").select("prev", "next", "n", F.log(F.col("n") / F.col("_total")).alias("logp"))
 
 
-def cross_entropy_rows(logits: DataFrame, targets: DataFrame, ignore_index: int = -1) -> DataFrame:
-    """Per-row loss ``row_id, loss`` = logsumexp(logits) - logit[target]; ignored rows dropped."""
+def cross_entropy_rows(logits: DataFrame, targets: DataFrame, ignore_index: int = -1, on_unknown: str = "error") -> DataFrame:
+    """Per-row loss ``row_id, loss`` = logsumexp(logits) - logit[target]; ignored rows dropped.
+
+    A target that is no entry of its row's logits (or null) fails the job; with ``on_unknown="null"``
+    its row is kept with a null loss.
+    """
+    if on_unknown not in ("error", "null"):
+        raise ValueError("on_unknown must be error or null")
     mx = F.max("logit").over(Window.partitionBy("row_id"))
     lse = (logits.withColumn("_m", mx).groupBy("row_id")
            .agg((F.first("_m") + F.log(F.sum(F.exp(F.col("logit") - F.col("_m"))))).alias("_lse")))
-    t = targets.where(F.col("target") != ignore_index)
+    t = targets.where(~F.col("target").eqNullSafe(F.lit(ignore_index)))
     picked = t.join(logits.select("row_id", F.col("token_id").alias("target"), "logit"), ["row_id", "target"], "left")
-    return picked.join(lse, "row_id").select("row_id", (F.col("_lse") - F.col("logit")).alias("loss"))
+    loss = F.col("_lse") - F.col("logit")
+    if on_unknown == "error":
+        what = F.concat_ws(" ", F.lit("no logit for target"), F.coalesce(F.col("target").cast("string"), F.lit("null")),
+                           F.lit("of row"), F.col("row_id").cast("string"))
+        loss = F.when(loss.isNull(), F.raise_error(what).cast("double")).otherwise(loss)
+    return picked.join(lse, "row_id", "left").select("row_id", loss.alias("loss"))
 
 
-def cross_entropy(logits: DataFrame, targets: DataFrame, ignore_index: int = -1) -> DataFrame:
-    """Mean cross-entropy over non-ignored targets (one row; null when all are ignored)."""
-    rows = cross_entropy_rows(logits, targets, ignore_index)
-    return rows.agg(F.avg("loss").alias("loss"), F.count(F.lit(1)).cast("bigint").alias("n"))
+def cross_entropy(logits: DataFrame, targets: DataFrame, ignore_index: int = -1, on_unknown: str = "error") -> DataFrame:
+    """Mean cross-entropy over non-ignored targets (one row; null when all are ignored), ``n`` of
+    them. With ``on_unknown="null"`` targets without a logit count in ``n_unknown``, not in ``n``."""
+    rows = cross_entropy_rows(logits, targets, ignore_index, on_unknown)
+    counts = [F.avg("loss").alias("loss"), F.count("loss").cast("bigint").alias("n")]
+    if on_unknown == "null":
+        counts.append((F.count(F.lit(1)) - F.count("loss")).cast("bigint").alias("n_unknown"))
+    return rows.agg(*counts)
 
 
 def split_loss(losses: DataFrame, split_col: str = "split") -> DataFrame:
@@ -126,12 +141,14 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
     change its context). A sequence whose context has no successor stops growing. Each
     step is checkpointed to cut the lineage: only the key, the last token and the new tokens
     travel, the prompts are joined once at the end. An empty or null sequence has no context
-    and stays as it is. Keys must be unique.
+    and stays as it is. Rows are told apart by a stored id: rows of one key each continue, and
+    draw alike.
     """
+    seqs = durable(seqs.select(key, col).withColumn("_sl_rid", F.monotonically_increasing_id()))
     cand = durable(candidate_table(model, temperature, k))
     ctx, _ = broadcast_if_small(cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct())
     cand = cand.withColumnRenamed("row_id", "_ctx").drop("n_buckets")
-    cur = seqs.select(key, F.try_element_at(col, F.lit(-1)).alias("_last"), F.array().cast("array<string>").alias("new"))
+    cur = seqs.select("_sl_rid", key, F.try_element_at(col, F.lit(-1)).alias("_last"), F.array().cast("array<string>").alias("new"))
     for step in range(steps):
         q = (cur.withColumn("_u", hash_unit(seed, F.col(key), F.lit(step)))
              .withColumn("_ctx", F.col("_last"))
@@ -139,11 +156,11 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
              .withColumn("bucket", F.floor(F.col("_u") * F.col("n_buckets")).cast("int")))
         hit = q.join(cand, ["_ctx", "bucket"], "left") \
             .where(F.col("token_id").isNull() | ((F.col("cum_lo") <= F.col("_u")) & (F.col("_u") < F.col("cum_hi"))))
-        picked = hit.groupBy(key).agg(F.min("token_id").alias("_next"))
+        picked = hit.groupBy("_sl_rid").agg(F.min("token_id").alias("_next"))
         # a sequence that found no successor has no context any more
-        cur = durable(cur.join(picked, key, "left").select(
-            key, F.col("_next").alias("_last"),
+        cur = durable(cur.join(picked, "_sl_rid", "left").select(
+            "_sl_rid", key, F.col("_next").alias("_last"),
             F.when(F.col("_next").isNotNull(), F.concat("new", F.array("_next"))).otherwise(F.col("new")).alias("new")))
-    return seqs.select(key, col).join(cur, key).select(
+    return seqs.join(cur.drop(key), "_sl_rid").select(
         key, F.concat(F.coalesce(F.col(col), F.array().cast("array<string>")), F.col("new")).alias(col), "new",
         (F.size("new") < steps).alias("done"))

@@ -15,6 +15,7 @@ from seqloom.functions.hashing import hash_int as _hash_int
 from seqloom.functions.text import PY_WHITESPACE_CLASS
 from seqloom.operators import annotations as A
 from seqloom.operators import catalog as C
+from seqloom.operators import contexts as X7
 from seqloom.operators import corpus as K
 from seqloom.operators import evaluate as E
 from seqloom.operators import layout as L
@@ -724,6 +725,48 @@ def q_n7(spark, sf):
     return out.select("seq_id", F.array_join("new", " ").alias("new"), F.size("new").cast("bigint").alias("n_new"))
 
 
+N7_ORDER, N7_K = 3, 4
+_N7_STEP = """
+a{i} AS (SELECT seq_id, l, new, lvl, array_to_string(l[len(l) - lvl + 1:], ' ') AS ctx FROM s{i}, lvls WHERE lvl <= len(l)),
+b{i} AS (SELECT a.seq_id, arg_max(a.ctx, a.lvl) AS ctx, max(a.lvl) AS lvl, arg_max(t.total, a.lvl) AS total
+  FROM a{i} a JOIN tot t ON t.lvl = a.lvl AND t.ctx = a.ctx GROUP BY a.seq_id),
+d{i} AS (SELECT b.seq_id, c.next FROM (SELECT *,
+  ('0x' || substr(md5(concat('{seed}', ':', CAST(seq_id AS VARCHAR), ':', '{i}')), 1, 15))::BIGINT % total AS r FROM b{i}) b
+  JOIN ivs c ON c.lvl = b.lvl AND c.ctx = b.ctx AND c.lo <= b.r AND b.r < c.hi),
+s{j} AS (SELECT s.seq_id, CASE WHEN d.next IS NULL THEN [] ELSE list_append(s.l, d.next)[-{order}:] END AS l,
+  CASE WHEN d.next IS NULL THEN s.new ELSE list_append(s.new, d.next) END AS new FROM s{i} s LEFT JOIN d{i} d USING (seq_id)),"""
+
+
+@register("n7_contexts", MV(f"""
+, lvls AS (SELECT unnest(range(1, {N7_ORDER} + 1)) AS lvl),
+tr AS (SELECT string_split(r.text, ' ') AS l FROM reduced r JOIN splits s ON r.doc_id = s.doc_id WHERE s.split = 'train'),
+cts AS (SELECT lvl, ctx, next, count(*) AS n FROM (
+  SELECT lvl, array_to_string(l[i - lvl:i - 1], ' ') AS ctx, l[i] AS next FROM (
+    SELECT l, unnest(generate_series(2, len(l))) AS i FROM tr WHERE len(l) >= 2), lvls WHERE lvl < i) GROUP BY lvl, ctx, next),
+top AS (SELECT lvl, ctx, next, n FROM (SELECT *, rank() OVER (PARTITION BY lvl, ctx ORDER BY n DESC) AS rk FROM cts) WHERE rk <= {N7_K}),
+ivs AS (SELECT lvl, ctx, next, CAST(sum(n) OVER w - n AS BIGINT) AS lo, CAST(sum(n) OVER w AS BIGINT) AS hi FROM top
+  WINDOW w AS (PARTITION BY lvl, ctx ORDER BY next ROWS UNBOUNDED PRECEDING)),
+tot AS (SELECT lvl, ctx, CAST(sum(n) AS BIGINT) AS total FROM top GROUP BY lvl, ctx),
+s0 AS (SELECT doc_id AS seq_id, string_split(text, ' ')[-{N7_ORDER}:] AS l, []::VARCHAR[] AS new FROM reduced),
+""" + "".join(_N7_STEP.format(i=i, j=i + 1, seed=N7_SEED, order=N7_ORDER) for i in range(3)).rstrip(",") + """
+SELECT seq_id, array_to_string(new, ' ') AS new, CAST(len(new) AS BIGINT) AS n_new FROM s3"""))
+def q_n7_contexts(spark, sf):
+    """Contexts of up to three tokens with back-off, the four most frequent successors, three draws."""
+    train, _ = _train_val(spark, sf)
+    seqs = flow(spark, sf).reduced.select(F.col("doc_id").alias("seq_id"), F.split("text", " ", -1).alias("tokens"))
+    out = X7.continue_in_context(seqs, X7.context_counts(train, N7_ORDER), steps=3, block_size=BLOCK, k=N7_K, seed=N7_SEED)
+    return out.select("seq_id", F.array_join("new", " ").alias("new"), F.size("new").cast("bigint").alias("n_new"))
+
+
+@register("n7_context_counts", MV(f"""
+SELECT level, ctx, next, count(*) AS n FROM (
+  SELECT lvl AS level, array_to_string(l[i - lvl:i - 1], ' ') AS ctx, l[i] AS next FROM (
+    SELECT l, unnest(generate_series(2, len(l))) AS i FROM (SELECT string_split(text, ' ') AS l FROM reduced) WHERE len(l) >= 2),
+    (SELECT CAST(unnest(range(1, {N7_ORDER} + 1)) AS INTEGER) AS lvl) WHERE lvl < i) GROUP BY level, ctx, next"""))
+def q_n7_counts(spark, sf):
+    return X7.context_counts(flow(spark, sf).reduced, N7_ORDER)
+
+
 _E1_BODY = """
 SELECT {by} count(*) AS n, round(avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        round(avg((a - p) * (a - p)), 2) AS mse, round(sqrt(avg((a - p) * (a - p))), 2) AS rmse,
