@@ -1,90 +1,139 @@
 """ST1: ingest newly landed CDS FASTA files once each, label them, append their sentences.
 
-A file-source stream (one record per row via ``lineSep``) runs ``foreachBatch``: records ->
-header fields -> labels (once) -> per file one gene line and one nucleotide line. With a
-``gene_go`` map the labels are GO terms and the nucleotide line follows the GO rules.
-
-The manifest is kept per genome *and file content*: a copy of a file that is offered again
-(under whatever name) adds nothing, while a second file of the same genome, in the same or a
-later batch, is ingested as lines of its own. Each micro-batch N overwrites its own
-``batch_id=N`` folders, so a replayed batch rewrites the same output.
+Two queries run one after the other over what has landed:
+
+1. *Arrivals*: a file-source stream (one record per row via ``lineSep``) fingerprints each new file
+   and appends ``(genome, content, file)`` to the arrivals table, one small folder a micro-batch.
+2. *Lines*: a stream over the arrivals drops those whose ``(genome, content)`` was seen before, then
+   reads the new files and writes per file one gene line and one nucleotide line. What was
+   seen is Spark's keyed state (RocksDB): a batch looks its own keys up and adds them, whatever the
+   number of files ingested before; nothing reads the whole manifest.
+
+A copy of a file that is offered again (under whatever name) adds nothing, while a second file
+of the same genome, in the same or a later batch, is ingested as lines of its own. Each
+micro-batch N overwrites its own ``batch_id=N`` folders, so a replayed batch rewrites the same
+output; arrivals that a replay writes again meet their own keys. With a ``gene_go`` map the
+labels are GO terms and the nucleotide line follows the GO rules.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import annotations as A
 from seqloom.session import release
-from seqloom.sources.readers import ACCESSION_RE, file_ordinal, parse_fasta_records
+from seqloom.sources.readers import ACCESSION_RE, file_ordinal, file_order, parse_fasta_records
 from seqloom.sources.sinks import corpus_lines
 
+ARRIVAL = "genome string, content string, file string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def _records(batch: DataFrame) -> DataFrame:
-    b = batch.where(F.length(F.trim("value")) > 0).withColumn("_row", F.monotonically_increasing_id())
-    recs = parse_fasta_records(b).withColumn("genome", F.regexp_extract("_file", ACCESSION_RE, 1))
-    # the sentence operators group by ``accession``: here one group is one file
+def _records(lines: DataFrame) -> DataFrame:
+    """Records of rows with ``value, _file, _block, _row``; the sentence operators group by
+    ``accession``: here one group is one file."""
+    recs = parse_fasta_records(lines.where(F.length(F.trim("value")) > 0)).withColumn("genome", F.regexp_extract("_file", ACCESSION_RE, 1))
     return file_ordinal(recs).select("genome", F.col("_file").alias("accession"), "ord", "header", "seq")
 
 
-def _earlier_manifest(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+def write_arrivals(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Genome, content and name of the files of a batch; of equal files the first by name."""
+    record = F.xxhash64("ord", "header", "seq")
+    try:
+        files = _records(batch.withColumn("_row", F.monotonically_increasing_id())).groupBy("accession", "genome").agg(
+            F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(record), F.bit_xor(F.xxhash64(F.lit(1), record))).alias("content"))
+        new = files.groupBy("genome", "content").agg(F.min("accession").alias("file")).persist()
+        path = f"{out}/arrivals/batch_id={batch_id}"
+        held = _written(batch.sparkSession, path)
+        # a replayed batch leaves the file alone that the second query may have taken already
+        if held is None or held.exceptAll(new).count() or new.exceptAll(held).count():
+            new.coalesce(1).write.mode("overwrite").parquet(path)
+        new.unpersist()
+    finally:
+        release()
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        m = spark.read.parquet(f"{out}/manifest")
+        df = spark.read.schema(ARRIVAL).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return m.where(F.col("batch_id") < batch_id).select("genome", "content")
+    return df if df.inputFiles() else None
 
 
-def _new_files(recs: DataFrame, done: DataFrame | None) -> DataFrame:
-    """``accession`` (file), ``genome``, ``content`` of the files not ingested before; of equal
-    files in one batch the first by name."""
-    record = F.xxhash64("ord", "header", "seq")
-    files = recs.groupBy("accession", "genome").agg(
-        F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(record), F.bit_xor(F.xxhash64(F.lit(1), record))).alias("content"))
-    if done is not None:
-        files = files.join(done.distinct(), ["genome", "content"], "left_anti")
-    return files.groupBy("genome", "content").agg(F.min("accession").alias("accession"))
-
-
-def process_batch(batch: DataFrame, batch_id: int, gene_info: DataFrame, out: str, gene_go: DataFrame | None = None) -> None:
-    spark = batch.sparkSession
-    batch = batch.persist()
-    recs = _records(batch)
-    new = _new_files(recs, _earlier_manifest(spark, out, batch_id)).persist()
-    recs = recs.join(F.broadcast(new) if new.count() < 100_000 else new, ["accession", "genome"]).drop("content")
-    labels = (A.label_records(recs, gene_info) if gene_go is None else A.go_tokens(recs, gene_go)).persist()
+def _literal(path: str) -> str:
+    """A file name as the reader takes it: no pattern."""
+    return "".join("\\" + c if c in "[]{}*?\\" else c for c in unquote(path))
+
+
+def write_lines(new: DataFrame, batch_id: int, gene_info: DataFrame, out: str, gene_go: DataFrame | None = None) -> None:
+    """Label and write the files that a batch of new arrivals names."""
+    spark = new.sparkSession
+    new = new.persist()
+    labels = None
     try:
-        names = new.select("accession", "genome")
-        for folder, lines, col in (("corpus", A.gene_sentence(labels), "genes"),
-                                   ("nucleotides", A.nt_sentence(labels, "symbol" if gene_go is None else "go"), "nt")):
-            named = lines.join(names, "accession").select("genome", col)
+        files = [_literal(r["file"]) for r in new.select("file").collect()]
+        # without new files the folders are emptied all the same: the batch may be a replay
+        lines = file_order(spark.read.option("lineSep", "\n>").text(files)) if files else spark.createDataFrame(
+            [], "value string, _file string, _block long, _row long")
+        recs = _records(lines)
+        labels = (A.label_records(recs, gene_info) if gene_go is None else A.go_tokens(recs, gene_go)).persist()
+        names = new.select(F.col("file").alias("accession"), "genome")
+        for folder, text, col in (("corpus", A.gene_sentence(labels), "genes"),
+                                  ("nucleotides", A.nt_sentence(labels, "symbol" if gene_go is None else "go"), "nt")):
+            named = text.join(names, "accession").select("genome", col)
             corpus_lines(named, key="genome", col=col).write.mode("overwrite").text(f"{out}/{folder}/batch_id={batch_id}")
         counts = labels.groupBy("accession").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
                                                  F.count("label").cast("bigint").alias("n_labelled"))
-        new.join(counts, "accession").withColumnRenamed("accession", "file").write.mode("overwrite").parquet(
-            f"{out}/manifest/batch_id={batch_id}")
+        new.join(counts.withColumnRenamed("accession", "file"), "file").write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
     finally:
-        for df in (labels, new, batch):
-            df.unpersist()
+        for df in (labels, new):
+            if df is not None:
+                df.unpersist()
         release()
 
 
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    """State in RocksDB while the queries start, unless the session names a store of its own."""
+    own = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, own if own and "HDFSBackedStateStoreProvider" not in own else ROCKSDB)
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.set(PROVIDER, own)
+        else:
+            spark.conf.unset(PROVIDER)
+
+
 def ingest_stream(spark: SparkSession, landing: str, gene_info: DataFrame, out: str, checkpoint: str,
                   max_files_per_trigger: int | None = None, gene_go: DataFrame | None = None):
-    """Run the ingest over everything landed so far (``availableNow``) and wait for it."""
-    reader = spark.readStream.format("text").option("lineSep", "\n>")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    raw = reader.load(landing).select("value", F.col("_metadata.file_path").alias("_file"),
-                                      F.col("_metadata.file_block_start").alias("_block"))
-    q = (raw.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, gene_info, out, gene_go))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    """Run the ingest over everything landed so far (``availableNow``) and wait for it. Returns the
+    finished query that wrote the lines."""
+    def limited(reader):
+        return reader.option("maxFilesPerTrigger", int(max_files_per_trigger)) if max_files_per_trigger else reader
+
+    raw = limited(spark.readStream.format("text").option("lineSep", "\n>")).load(landing).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    arrivals = (raw.writeStream.foreachBatch(lambda df, bid: write_arrivals(df, bid, out))
+                .option("checkpointLocation", f"{checkpoint}/arrivals").trigger(availableNow=True).start())
+    arrivals.awaitTermination()
+    with _keyed_state(spark):
+        # the folder may not exist before the first arrival; then the stream is empty
+        seen = limited(spark.readStream.schema(ARRIVAL)).parquet(f"{out}/arrivals/*").dropDuplicates(["genome", "content"])
+        lines = (seen.writeStream.foreachBatch(lambda df, bid: write_lines(df, bid, gene_info, out, gene_go))
+                 .option("checkpointLocation", f"{checkpoint}/lines").trigger(availableNow=True).start())
+        lines.awaitTermination()
+    return lines
 
 
 def read_ingested(spark: SparkSession, out: str, folder: str = "corpus") -> DataFrame:
