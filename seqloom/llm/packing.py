@@ -15,8 +15,7 @@ input partition is fixed.
 
 Ids come from the ``tokenizers`` library; each distinct space-led unit is encoded once per
 cache (a space after a non-space always starts a new match of a byte-level pre-tokenizer, so
-units are independent of each other). A Python worker keeps its cache from task to task; it is
-emptied when it is full.
+units are independent of each other). A Python worker keeps its caches from task to task.
 
 Defined cases: null text is empty (one end id); repeated rows and repeated or null ids are
 packed as rows of their own; texts of any length are cut, never dropped; an empty table gives
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import once_per_worker, text_bytes
+from seqloom.llm.common import once_per_worker, stored, text_bytes
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -41,12 +40,37 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
                 "sequence_id long, offset long, tier int, step_group long")
 
 
+class Learned(dict):
+    """A cache that computes what it lacks; entries of the generation before are taken over."""
+
+    def __init__(self, compute, before=None):
+        super().__init__()
+        self.compute, self.before = compute, before or {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            found = self.compute(key)
+        self[key] = found
+        return found
+
+    def young(self, limit: int) -> "Learned":
+        """This cache, or an empty one before which it comes when it holds over ``limit`` entries."""
+        if len(self) <= limit:
+            return self
+        self.before = {}
+        return Learned(self.compute, dict(self))
+
+
 class UnitEncoder:
-    """Texts to little-endian unsigned 32-bit ids, through two caches: words that follow a
-    single space, and strings that stand alone. New words are encoded many at a time, one on
-    each line; a line break before a space is a match of its own, so its id parts them."""
+    """Texts to little-endian unsigned 32-bit ids, through caches: words that follow a single space, the
+    matches of the byte-level pattern that words consist of, and strings that stand alone. A new word of
+    plain letters, digits, marks and line breaks is cut into its matches, and each different match
+    goes through the model once; other strings go through the whole tokenizer. Every cache has two
+    generations of at most ``limit`` entries: when the young one is full it becomes the old one, and what is
+    still in use comes back from there."""
 
-    limit = 1_000_000  # about 250 MB
+    limit = 500_000  # about 100 MB
 
     def __init__(self, path: str):
         import os
@@ -55,70 +79,54 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._words: dict[str, bytes] = {}
-        self._strings: dict[str, bytes] = {}
-        self._odd = re.compile(r"\s ")
-        self._cut = re.compile(r"(?<=\S)(?= )")
-        self._special = re.compile(r"\s|<\|")
-        (self._break,) = self._ids("\n")
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode_batch_fast
+        self._model = tokenizer.model.tokenize
+        self._odd = re.compile(r"\s ").search
+        self._cut = re.compile(r"(?<=\S)(?= )").split
+        # characters whose classes are beyond doubt: ASCII but control characters, letters of Latin-1
+        letters, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-/:-@\[-`{-~"
+        self._plain = re.compile(rf"[\n0-9{letters}{marks}]+").fullmatch
+        self._plain_text = re.compile(rf"[ \n0-9{letters}{marks}]*").fullmatch
+        # fixed value: the pattern of byte-level pre-tokenizers, over these characters
+        self._pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[{marks}]+|\n+(?!\S)|\n+").findall
+        # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ..
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in set(shown)]
+        self._alphabet = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
+        self._words, self._matches, self._strings = Learned(self._word), Learned(self._match), Learned(self._string)
+
+    def _string(self, text: str) -> bytes:
+        from array import array
 
-    def _ids(self, text: str) -> list[int]:
-        return self._encode([text], add_special_tokens=False)[0].ids
+        return array("I", self._encode([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _learn_strings(self, strings: set[str]) -> None:
+    def _match(self, match: str) -> bytes:
         from array import array
 
-        part = list(strings.difference(self._strings))
-        for x, e in zip(part, self._encode(part, add_special_tokens=False)):
-            self._strings[x] = array("I", e.ids).tobytes()
+        spelt = match.encode().decode("latin-1").translate(self._alphabet)
+        return array("I", [t.id for t in self._model(spelt)]).tobytes()
 
-    def _learn_words(self, words: set[str]) -> None:
-        import numpy as np
-
-        plain = [w for w in words if w and not self._special.search(w)]
-        rest = words.difference(plain)
-        self._learn_strings({" " + w for w in rest})
-        for w in rest:
-            self._words[w] = self._strings[" " + w]
-        chunks = [plain[i:i + 500] for i in range(0, len(plain), 500)]
-        texts = ["".join(["\n " + w for w in c]) for c in chunks]
-        for c, e in zip(chunks, self._encode(texts, add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
-            at = np.flatnonzero(ids == self._break) + 1
-            if len(at) != len(c):
-                raise ValueError("the vocabulary does not keep a line break before a space apart")
-            data = ids.tobytes()
-            ends = np.append(at[1:] - 1, len(ids))
-            for w, a, b in zip(c, (4 * at).tolist(), (4 * ends).tolist()):
-                self._words[w] = data[a:b]
+    def _word(self, word: str) -> bytes:
+        """The ids of the word after a space."""
+        if word.isalpha() and (word.isascii() or self._plain(word)):
+            return self._matches[" " + word]
+        if not self._plain(word) or "<|" in word:
+            return self._strings[" " + word]
+        matches = self._matches
+        return b"".join([matches[m] for m in self._pattern(" " + word)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._words) + len(self._strings) > self.limit:
-            self._words.clear()
-            self._strings.clear()
-        get = self._words.get
-        cut, new, alone = [], set(), set()
-        for t in texts:
-            if self._odd.search(t):
-                units = self._cut.split(t)
-                alone.update(units)
-                cut.append((None, units, None))
-                continue
-            first, *rest = t.split(" ")
-            alone.add(first)
-            found = list(map(get, rest))
-            if None in found:
-                new.update([w for w, x in zip(rest, found) if x is None])
-                found = None
-            cut.append((first, rest, found))
-        self._learn_strings(alone)
-        if new:
-            self._learn_words(new)
+        self._words, self._matches, self._strings = (c.young(self.limit) for c in (self._words, self._matches, self._strings))
         word, string = self._words.__getitem__, self._strings.__getitem__
-        return [b"".join(map(string, rest)) if first is None
-                else string(first) + b"".join(found if found is not None else map(word, rest))
-                for first, rest, found in cut]
+        out = []
+        for t in texts:
+            if ("  " in t or "\n " in t) if self._plain_text(t) else self._odd(t):
+                out.append(b"".join(map(string, self._cut(t))))
+            else:
+                first, *rest = t.split(" ")
+                out.append(string(first) + b"".join(map(word, rest)))
+        return out
 
 
 class Packer:
@@ -128,7 +136,7 @@ class Packer:
         self.tiers = tuple(sorted(tiers))
         self.step_ids = step_ids
         self.items: list[list[tuple]] = [[] for _ in self.tiers]  # ascending (length, row key, start)
-        self.rows: dict[int, tuple] = {}
+        self.rows: dict[int, tuple] = {}  # row id, ids from a start on, that start, ids of the document
         self.held: dict[int, list] = {s: [] for s in self.tiers}
         self.next_key = self.next_sequence = self.next_group = 0
 
@@ -142,13 +150,26 @@ class Packer:
     def add(self, row_id, ids: bytes, emit) -> None:
         """Route one document; its full windows leave at once."""
         key, self.next_key = self.next_key, self.next_key + 1
-        self.rows[key] = (row_id, ids)
         n, top, start = len(ids) // 4, self.tiers[-1], 0
+        self.rows[key] = (row_id, ids, 0, n)
         while n - start >= top:
             self.close([(key, start, top)], top, emit)
             start += top
         self.route(key, start, n - start)
 
+    def add_rest(self, row_id, ids: bytes, start: int, doc_tokens: int) -> None:
+        """Route what an earlier pass left of a document."""
+        key, self.next_key = self.next_key, self.next_key + 1
+        self.rows[key] = (row_id, ids, start, doc_tokens)
+        self.route(key, start, len(ids) // 4)
+
+    def rest(self):
+        """The unpacked items: row id, start, ids, ids of the document. They leave the packer."""
+        for length, key, start in (x for tier in self.items for x in tier):
+            row_id, ids, first, n = self.rows[key]
+            yield row_id, start, ids[4 * (start - first):4 * (start - first + length)], n
+        self.items = [[] for _ in self.tiers]
+
     def close(self, window: list[tuple], tier: int, emit) -> None:
         """A full window joins its tier's step group; full groups are emitted."""
         held = self.held[tier]
@@ -162,8 +183,9 @@ class Packer:
 
         out, offset = [], 0
         for key, start, length in window:
-            row_id, ids = self.rows[key]
-            out.append((row_id, start, length, crc32(ids[4 * start:4 * (start + length)]), len(ids) // 4, offset))
+            row_id, ids, first, n = self.rows[key]
+            at = start - first
+            out.append((row_id, start, length, crc32(ids[4 * at:4 * (at + length)]), n, offset))
             offset += length
         return out
 
@@ -235,12 +257,27 @@ class Packer:
         self.rows = {key: row for key, row in self.rows.items() if key in live}
 
 
+REST_SCHEMA = "doc_id long, start long, doc_tokens long, ids binary"
+REST_NAMES = ["doc_id", "start", "doc_tokens", "ids"]
+PIECE_NAMES = [c.split(" ")[0] for c in PIECE_SCHEMA.split(", ")]
+
+
+def _pieces(rows: list[tuple], base: int):
+    """Piece rows with the numbers of sequences and step groups counted on from ``base``."""
+    cols = list(zip(*rows)) if rows else [()] * 9
+    arrays = [pa.array(c, pa.int64()) for c in cols]
+    arrays[5] = pa.array([base + x for x in cols[5]], pa.int64())
+    arrays[7] = arrays[7].cast(pa.int32())
+    arrays[8] = pa.array([base + x for x in cols[8]], pa.int64())
+    return arrays
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS,
                    step_ids: int = STEP_IDS, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """One row per piece: where it comes from (``doc_id, start, length, doc_tokens``), the
     checksum of its ids, and where it lies (``sequence_id, offset, tier, step_group``)."""
 
-    def run(batches):
+    def whole(batches):
         import numpy as np
         from pyspark import TaskContext
 
@@ -250,15 +287,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         end = np.asarray([end_id], "<u4").tobytes()
         out: list[tuple] = []
 
-        def result():
-            cols = list(zip(*out)) if out else [()] * 9
+        def result(ids=()):
+            arrays = _pieces(out, base)
             out.clear()
-            arrays = [pa.array(c, pa.int64()) for c in cols]
-            arrays[5] = pa.array([base + x for x in cols[5]], pa.int64())
-            arrays[7] = arrays[7].cast(pa.int32())
-            arrays[8] = pa.array([base + x for x in cols[8]], pa.int64())
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                                       "sequence_id", "offset", "tier", "step_group"])
+            arrays.append(pa.array(ids or [None] * len(arrays[0]), pa.binary()))
+            return pa.RecordBatch.from_arrays(arrays, [*PIECE_NAMES, "ids"])
 
         size = 0
         for batch in batches:
@@ -273,7 +306,27 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
                     size = 0
                     if out:
                         yield result()
-        packer.pack(out.append, last=True)
+        packer.pack(out.append, last=False)
+        rest = list(packer.rest())
+        packer.pack(out.append, last=True)  # no items any more: only the unfinished step groups
         yield result()
+        out += [(row_id, start, len(ids) // 4, None, n, 0, None, None, 0) for row_id, start, ids, n in rest]
+        yield result([ids for _, _, ids, _ in rest])
+
+    def ends(batches):
+        from pyspark import TaskContext
+
+        base = (1 << 62) + (TaskContext.get().partitionId() << 36)  # beyond the numbers of the first pass
+        packer = Packer(tiers, step_ids)
+        out: list[tuple] = []
+        for batch in batches:
+            for row_id, start, n, ids in zip(*[batch.column(c).to_pylist() for c in REST_NAMES]):
+                packer.add_rest(row_id, ids, start, n)
+        packer.pack(out.append, last=True)
+        yield pa.RecordBatch.from_arrays(_pieces(out, base), PIECE_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(run, PIECE_SCHEMA)
+    first = stored(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(whole, PIECE_SCHEMA + ", ids binary"), "packed")
+    left = first.where("ids is not null")
+    total = left.agg(F.sum("length")).first()[0] or 0
+    tail = left.select(*REST_NAMES).repartition(max(1, -(-total // block_ids))).mapInArrow(ends, PIECE_SCHEMA)
+    return first.where("ids is null").drop("ids").unionByName(tail)
