@@ -15,6 +15,8 @@ from seqloom.session import measured_bytes, scratch_path
 # A table is shipped whole to every task only when it measures at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
+ROW_GROUP_BYTES = 16 << 20
+
 # fixed value: the white space of the word rule
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -25,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared scratch folder and read it back: a cut in the
-    lineage that outlives any executor."""
+    lineage that outlives any executor. Row groups are small, as a task holds one in memory."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +55,14 @@ def sql_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores after it while the table has such a column (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once_per_worker(key, build):
     """``build()``, kept for the later tasks of the same Python worker. Functions travel to
     tasks by value, so the store hangs on a module of the interpreter."""

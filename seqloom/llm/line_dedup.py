@@ -42,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACES, maybe_broadcast, measured_broadcast, stored
+from seqloom.llm.common import SPACES, free_name, maybe_broadcast, measured_broadcast, stored
 
 DIVISOR = 3
 
@@ -137,26 +137,28 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, pieces=None) -> DataFrame:
 
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR, pieces=None) -> DataFrame:
     """The table with repeated chunks removed from ``text``, and ``n_lines`` (before) and
-    ``n_removed`` (lines) added. ``pieces`` is another rule of cutting, as ``minima_pieces``."""
+    ``n_removed`` (lines) added (an underscore after a name that the table has already). ``pieces`` is another rule of cutting, as ``minima_pieces``."""
     pieces = pieces or (lambda text: _pieces(text, divisor))
-    gone = removals(docs, divisor, pieces).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
-    gone = stored(gone, "removed-chunks")
     names = docs.columns
-    joined = docs.join(measured_broadcast(gone), F.col("doc_id") == F.col("__id"), "left").withColumn(
-        "__pieces", F.when(F.col("__gone").isNotNull(), pieces(F.col("text"))))  # cut again only where something goes
-    left = F.array_except(F.sequence(F.lit(0), F.size("__pieces") - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: _plain(F.element_at("__pieces", i + 1))), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    key, out_of, cut, changed = (free_name(names, x) for x in ("id_of_removed", "removed", "pieces", "new_text"))
+    gone = removals(docs, divisor, pieces).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("pos").alias(out_of))
+    gone = stored(gone, "removed-chunks")
+    joined = docs.join(measured_broadcast(gone), F.col("doc_id") == F.col(key), "left").withColumn(
+        cut, F.when(F.col(out_of).isNotNull(), pieces(F.col("text"))))  # cut again only where something goes
+    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(out_of))
+    kept = F.array_join(F.transform(left, lambda i: _plain(F.element_at(cut, i + 1))), "\n")
+    text = F.when(F.col(out_of).isNull(), F.col("text")).otherwise(kept)
 
     def lines(c):
         return F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
-    out = joined.withColumn("__text", text)
-    after = F.when(F.size(left) > 0, lines(F.col("__text"))).otherwise(0)
+    out = joined.withColumn(changed, text)
+    after = F.when(F.size(left) > 0, lines(F.col(changed))).otherwise(0)
     n = lines(F.col("text"))
     return out.select(
-        *[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-        n.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(n - after).cast("long").alias("n_removed"))
+        *[F.col(changed).alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+        n.alias(free_name(names, "n_lines")),
+        F.when(F.col(out_of).isNull(), 0).otherwise(n - after).cast("long").alias(free_name(names, "n_removed")))
 
 
 def chunks_sql(source: str, divisor: int = DIVISOR) -> str:

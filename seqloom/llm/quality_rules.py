@@ -164,12 +164,21 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESHOLD_MICRO) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the rules and the ratio keep."""
     weights = gram_weights(gram_counts(docs, trusted_ids))
-    scored = docs.withColumn("__s", _scores(weights)(text_bytes()))
-
-    def at(name):
-        return F.col("__s." + name)
+    at = docs.columns.index("text")
+    names = [x.split()[0] for x in SCORES.split(", ")]
 
-    return scored.where(~base_failed(at) & (at("llr_micro") >= threshold_micro * at("n_grams"))).drop("__s")
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            texts, keep = batch.column(at).cast(pa.binary()), []
+            for i in range(0, batch.num_rows, 256):
+                for t in texts.slice(i, 256).to_pylist():
+                    r = dict(zip(names, score_text(t or b"", weights, cache)))
+                    keep.append(not base_failed(r.__getitem__) and r["llr_micro"] >= threshold_micro * r["n_grams"])
+            if any(keep):
+                yield batch if all(keep) else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def base_failed(col):

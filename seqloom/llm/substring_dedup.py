@@ -11,16 +11,18 @@ it has a word sequence that also starts in a document with a smaller ``doc_id``.
 3. *Confirmed passages.* The windows around shared anchors are hashed and aggregated to the
    smallest document that holds them, their owner; windows that a later document also holds are
    confirmed. Runs of an owner's confirmed windows are its recurring passages.
-4. *Automata.* Passages are dealt to shards by owner. Each shard compiles the passages' aligned
-   ``GRAM``-word blocks into one Aho-Corasick automaton over words (each distinct word of the
-   shard is one letter) and streams the documents that share an anchor with the shard. Around
+4. *Automata.* Passages are dealt to shards by owner and place (long ones in pieces). Each shard
+   compiles the passages' aligned ``GRAM``-word blocks into Aho-Corasick automata over words (each
+   distinct word is one letter; a shard with more words than letters takes several automata in turn) and
+   streams the stretches of all documents that share an anchor with the shard. Around
    every hit the document's windows are looked up, word for word, among the passages' windows.
    Any window inside a passage holds an aligned block, so no occurrence is missed; each window
    of a text is looked up once, so text that repeats itself stays linear.
 
-Every step is an aggregation or an equi-join of narrow rows; texts move only for documents
-that share an anchor. Shards with many documents are dealt to several tasks (the automaton is
-built in each), so a passage that a third of all documents share is no single task.
+Every step is an aggregation or an equi-join of narrow rows; of the texts only the stretches around
+shared anchors (every window that holds one) move to the automata. Shards with many words to stream are
+dealt to several tasks (the automata are built in each), so a passage that a third of all documents share
+is no single task.
 
 Defined cases: null and empty texts have no words; texts under a window are kept; rows with a
 null id are kept whole and count as no source; rows that repeat an id are judged by their own
@@ -33,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_BYTES, maybe_broadcast, stored, text_bytes
+from seqloom.llm.common import BROADCAST_BYTES, free_name, maybe_broadcast, stored, text_bytes
 
 WINDOW = 50
 GRAM = 25
 SHARD_WORDS = 200_000
 TASK_WORDS = 2_000_000
+PIECE_WORDS = 50_000       # of a passage in one shard
+AUTOMATON_WORDS = 800_000  # of the passages in one automaton
 
 
 def word_hashes(words: list[bytes]):
@@ -119,24 +123,38 @@ def profiles(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_words long, seq binary, sha string, anchors array<long>")
 
 
-def _windows(batches):
-    """Hashes of the windows that hold one of the row's shared anchors."""
+def _stretches(batches):
+    """Of each document the stretches of words whose windows hold one of the row's shared anchors, with
+    the place of their first word and the anchors in them."""
     import numpy as np
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
+            rows = []
             part = batch.slice(at, 256)
-            ids, hashes = [], []
-            for doc_id, t, xs in zip(*(part.column(i).to_pylist() for i in range(3))):
-                h = word_hashes(t.split())
-                g = gram_hashes(h, GRAM)
-                places = np.flatnonzero(np.isin(g.view(np.int64), np.asarray(xs, np.int64)))
-                w = gram_hashes(h, WINDOW)
-                edges = np.zeros(len(w) + 1, np.int32)
-                lo = np.clip(places - (WINDOW - GRAM), 0, len(w))
-                np.add.at(edges, lo, 1)
-                np.add.at(edges, np.maximum(np.minimum(places + 1, len(w)), lo), -1)
-                found = np.unique(w[np.cumsum(edges)[:-1] > 0])
+            for doc_id, seq, t, xs in zip(*(part.column(i).to_pylist() for i in range(4))):
+                words = t.split()
+                g = gram_hashes(word_hashes(words), GRAM).view(np.int64)
+                places = np.flatnonzero(np.isin(g, np.asarray(xs, np.int64)))
+                for a, b in merged([(max(p - (WINDOW - GRAM), 0), min(p + WINDOW, len(words))) for p in places.tolist()]):
+                    held = places[np.searchsorted(places, a):np.searchsorted(places, b - GRAM, "right")]
+                    rows.append((doc_id, seq, a, b" ".join(words[a:b]), b - a, np.unique(g[held])))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()),
+                 pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int64()))], ["doc_id", "seq", "start", "part", "n_words", "xs"])
+
+
+def _windows(batches):
+    """Hashes of the different windows of every stretch."""
+    import numpy as np
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                found = np.unique(gram_hashes(word_hashes(t.split()), WINDOW))
                 hashes.append(found.view(np.int64))
                 ids.append(np.full(len(found), doc_id, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))],
@@ -144,6 +162,8 @@ def _windows(batches):
 
 
 def _passages(shards: int):
+    """Runs of an owner's confirmed windows, cut into pieces of at most ``PIECE_WORDS`` words (a window
+    lies whole in one of them), each dealt to a shard of its own."""
     def run(batches):
         import numpy as np
         from xxhash import xxh3_64_intdigest
@@ -155,10 +175,12 @@ def _passages(shards: int):
                 h = word_hashes(words)
                 mine = np.isin(gram_hashes(h, WINDOW).view(np.int64), np.asarray(owned, np.int64))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    rows.append((xxh3_64_intdigest(str(owner).encode()) % shards, owner,
-                                 b" ".join(words[a:b + WINDOW - 1]), b - a + WINDOW - 1,
-                                 anchor_hashes(h[a:b + WINDOW - 1]).view(np.int64)))
+                for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    for a in range(first, last, PIECE_WORDS - WINDOW + 1):
+                        b = min(last, a + PIECE_WORDS - WINDOW + 1) + WINDOW - 1  # the end of the last window's words
+                        piece = a // PIECE_WORDS
+                        rows.append((xxh3_64_intdigest(f"{owner} {piece}".encode()) % shards, owner, b" ".join(words[a:b]), b - a,
+                                     anchor_hashes(h[a:b]).view(np.int64)))
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()),
@@ -228,18 +250,33 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def automata(passages: list[tuple[int, bytes]], words: int):
+    """Automata that hold at most ``words`` words of passages each, one after the other: letters are
+    code points, of which there are about 1.1 million."""
+    held, size = [], 0
+    for owner, passage in passages:
+        ws = passage.split()
+        if held and size + len(ws) > words:
+            yield PhraseAutomaton(held)
+            held, size = [], 0
+        held.append((owner, ws))
+        size += len(ws)
+    if held:
+        yield PhraseAutomaton(held)
+
+
 def _locate(passages: pa.Table, docs: pa.Table) -> pa.Table:
     ids, seqs, starts, ends = [], [], [], []
     if passages.num_rows and docs.num_rows:
-        automaton = PhraseAutomaton([(o, p.split()) for o, p in zip(passages.column("owner").to_pylist(),
-                                                                    passages.column("passage").to_pylist())])
-        for doc_id, seq, t in zip(*(docs.column(c) for c in ("doc_id", "seq", "t"))):
-            doc_id = doc_id.as_py()
-            for a, b in automaton.spans(doc_id, t.as_py().split()):
-                ids.append(doc_id)
-                seqs.append(seq.as_py())
-                starts.append(a)
-                ends.append(b)
+        pairs = zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist())
+        for automaton in automata(list(pairs), AUTOMATON_WORDS):
+            for doc_id, seq, start, t in zip(*(docs.column(c) for c in ("doc_id", "seq", "start", "part"))):
+                doc_id = doc_id.as_py()
+                for a, b in automaton.spans(doc_id, t.as_py().split()):
+                    ids.append(doc_id)
+                    seqs.append(seq.as_py())
+                    starts.append(start.as_py() + a)
+                    ends.append(start.as_py() + b)
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "seq": pa.array(seqs, pa.binary()),
                      "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
@@ -268,27 +305,30 @@ class Repeats:
         with_seq = texts.mapInArrow(_add_sequence, "doc_id long, t binary, seq binary")
         self.candidates = stored(with_seq.join(per_doc, ["doc_id", "seq"]).select("doc_id", "t", "xs", "seq"), "candidates")
 
-        owners = self.candidates.select("doc_id", "t", "xs").mapInArrow(_windows, "w long, doc_id long").groupBy("w").agg(
+        stretches = stored(self.candidates.select("doc_id", "seq", "t", "xs").mapInArrow(
+            _stretches, "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>"), "stretches")
+
+        owners = stretches.select("doc_id", "part").mapInArrow(_windows, "w long, doc_id long").groupBy("w").agg(
             F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner")
         owners = stored(owners, "owned-windows")
         shards = max(1, -(-owners.count() // SHARD_WORDS))
         owned = owners.groupBy("owner").agg(F.collect_list("w").alias("owned"))
-        passages = stored(self.candidates.select(F.col("doc_id").alias("owner"), "t").join(owned, "owner")
-                          .select("owner", "t", "owned")
+        passages = stored(stretches.select(F.col("doc_id").alias("owner"), "part").join(owned, "owner")
+                          .select("owner", "part", "owned")
                           .mapInArrow(_passages(shards), "shard long, owner long, passage binary, n_words long, anchors array<long>"),
                           "passages")
 
         routes = passages.select("shard", F.explode("anchors").alias("x")).distinct()
-        routed = stored(marks.join(routes, "x").select("doc_id", "seq", "shard").distinct(), "routes")
-        sizes = self.profile.select("doc_id", "seq", "n_words").distinct()
-        tasks = stored(routed.join(sizes, ["doc_id", "seq"]).groupBy("shard").agg(
-            F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("tasks")), "shard-tasks")
+        places = ["doc_id", "seq", "start"]
+        routed = stored(stretches.select(*places, "n_words", F.explode("xs").alias("x")).join(routes, "x")
+                        .select(*places, "n_words", "shard").distinct(), "routes")
+        tasks = stored(routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("tasks")), "shard-tasks")
         left = passages.select("shard", "owner", "passage").join(tasks, "shard").withColumn(
             "task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-        right = (self.candidates.select("doc_id", "seq", "t").join(routed, ["doc_id", "seq"]).join(tasks, "shard")
+        right = (stretches.select(*places, "part").join(routed.drop("n_words"), places).join(tasks, "shard")
                  .withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int")))
         found = left.select("shard", "task", "owner", "passage").groupBy("shard", "task").cogroup(
-            right.select("shard", "task", "doc_id", "seq", "t").groupBy("shard", "task")).applyInArrow(
+            right.select("shard", "task", *places, "part").groupBy("shard", "task")).applyInArrow(
             _locate, "doc_id long, seq binary, start long, end long")
         self.spans = stored(found.distinct().groupBy("doc_id", "seq").agg(
             F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
@@ -338,14 +378,16 @@ def removed_digest(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The table with the words of repeated windows removed from ``text`` (kept words joined by
-    one space; texts without a repeat stay as they are) and ``n_removed`` added. Rows whose
-    words all go keep an empty text."""
+    one space; texts without a repeat stay as they are) and ``n_removed`` added (an underscore after
+    the name if the table has it already). Rows whose words all go keep an empty text."""
     found = Repeats(docs)
     whole = found.copies.select("doc_id", "seq", F.array(F.struct(
         F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans"))
-    spans = stored(found.spans.unionByName(whole).groupBy("doc_id").agg(
-        F.collect_list(F.struct("seq", "spans")).alias("by_seq")).withColumnRenamed("doc_id", "__id"), "all-spans")
     names = docs.columns
+    key, new = free_name(names, "id_of_spans"), free_name(names, "new_text")
+    by_seq = free_name(names, "by_seq")
+    spans = stored(found.spans.unionByName(whole).groupBy(F.col("doc_id").alias(key)).agg(
+        F.collect_list(F.struct("seq", "spans")).alias(by_seq)), "all-spans")
 
     @F.pandas_udf("struct<text string, n_removed long>")
     def apply(texts, by_seq):
@@ -353,9 +395,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         out = []
         for t, found_in in zip(texts, by_seq):
-            if t is None or found_in is None:
-                out.append((t, 0))
-                continue
             words = t.encode("utf-8").split()
             seq = _sequence(words)
             spans = next((x["spans"] for x in found_in if bytes(x["seq"]) == seq), None)
@@ -364,8 +403,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((b" ".join(kept).decode("utf-8") if gone else t, gone))
         return pd.DataFrame(out, columns=["text", "n_removed"])
 
-    size = spans.agg(F.sum(F.expr("aggregate(by_seq, 64L, (a, x) -> a + 64 + 32 * size(x.spans))"))).first()[0] or 0
+    size = spans.agg(F.sum(F.expr(f"aggregate({by_seq}, 64L, (a, x) -> a + 64 + 32 * size(x.spans))"))).first()[0] or 0
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    joined = docs.join(side, F.col("doc_id") == F.col("__id"), "left").withColumn("__new", apply("text", "by_seq"))
-    return joined.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-                         F.col("__new.n_removed").alias("n_removed"))
+    joined = docs.join(side, F.col("doc_id") == F.col(key), "left")
+    out = free_name(names, "n_removed")
+    # only texts of documents that lose something leave the JVM
+    same = joined.where(F.col(by_seq).isNull() | F.col("text").isNull()).select(
+        *[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias(out))
+    less = joined.where(F.col(by_seq).isNotNull() & F.col("text").isNotNull()).withColumn(new, apply("text", by_seq)).select(
+        *[F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.col(f"{new}.n_removed").alias(out))
+    return same.unionByName(less)

@@ -38,6 +38,8 @@ def test_equals_brute_force(spark):
 def test_many_shards_and_tasks(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_WORDS", 40)
     monkeypatch.setattr(S, "TASK_WORDS", 500)
+    monkeypatch.setattr(S, "PIECE_WORDS", 60)
+    monkeypatch.setattr(S, "AUTOMATON_WORDS", 130)
     texts = corpus()
     assert sorted(tuple(r) for r in S.removed_digest(frame(spark, texts, 3)).collect()) == brute(texts)
 
@@ -66,3 +68,22 @@ def test_gram_hashes_depend_on_the_words_alone():
     for length in (1, 5, 25, 50):
         g = S.gram_hashes(h, length)
         assert len(g) == 121 - length and (g[:13] == g[13:26]).all() and len(set(g.tolist())) == 13
+
+
+def test_more_different_words_than_letters():
+    words = [b"%d" % i for i in range(1_200_000)]
+    passages = [(1, b" ".join(words[i:i + S.PIECE_WORDS])) for i in range(0, len(words), S.PIECE_WORDS - S.WINDOW + 1)]
+    found, count = [], 0
+    for automaton in S.automata(passages, S.AUTOMATON_WORDS):
+        count += 1
+        found += automaton.spans(2, [b"x"] + words[1_000_000:1_000_080] + [b"y"])
+    assert count == 2 and S.merged(found) == [(1, 81)]
+
+
+def test_names_that_the_table_has_already(spark):
+    texts = corpus()
+    df = frame(spark, texts, 2).selectExpr("doc_id", "text", "1 as n_removed", "2 as id_of_spans", "3 as new_text", "4 as by_seq", "5 as __id", "6 as __new", "7 as N_removed_")
+    out = S.remove_repeats(df)
+    assert out.columns == [*df.columns, "n_removed__"]
+    got = {r["doc_id"]: r["n_removed__"] for r in out.collect()}
+    assert got == {d: gone for d, _, gone, _ in brute(texts)}
