@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_BYTES, free_name, maybe_broadcast, stored, text_bytes
+from seqloom.llm.common import BROADCAST_BYTES, free_name, maybe_broadcast, measured_broadcast, stored, text_bytes
 
 WINDOW = 50
 GRAM = 25
@@ -124,25 +124,29 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(batches):
-    """Of each document the stretches of words whose windows hold one of the row's shared anchors, with
-    the place of their first word and the anchors in them."""
+    """Of each row ``(doc_id, seq, text, anchors)`` the stretches of words whose windows hold one of the
+    anchors, with the place of their first word and the anchors in them. A text that is a stretch
+    itself comes with its own place and the shard it is cut for."""
     import numpy as np
 
     for batch in batches:
+        cut = batch.num_columns > 4
         for at in range(0, batch.num_rows, 256):
             rows = []
             part = batch.slice(at, 256)
-            for doc_id, seq, t, xs in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for doc_id, seq, t, xs, *more in zip(*(c.to_pylist() for c in part.columns)):
                 words = t.split()
                 g = gram_hashes(word_hashes(words), GRAM).view(np.int64)
                 places = np.flatnonzero(np.isin(g, np.asarray(xs, np.int64)))
+                base, shard = more if cut else (0, None)
                 for a, b in merged([(max(p - (WINDOW - GRAM), 0), min(p + WINDOW, len(words))) for p in places.tolist()]):
                     held = places[np.searchsorted(places, a):np.searchsorted(places, b - GRAM, "right")]
-                    rows.append((doc_id, seq, a, b" ".join(words[a:b]), b - a, np.unique(g[held])))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()),
-                 pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int64()))], ["doc_id", "seq", "start", "part", "n_words", "xs"])
+                    rows.append((doc_id, seq, base + a, b" ".join(words[a:b]), b - a, np.unique(g[held]), shard))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()),
+                      pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.int64())]
+            names = ["doc_id", "seq", "start", "part", "n_words", "xs", "shard"]
+            yield pa.RecordBatch.from_arrays(arrays if cut else arrays[:6], names if cut else names[:6])
 
 
 def _windows(batches):
@@ -297,13 +301,14 @@ class Repeats:
         anchors = rest.select("doc_id", "seq", F.explode("anchors").alias("x"))
         shared = anchors.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         shared = stored(shared.where("a < b").select("x"), "shared-anchors")
-        marks = stored(anchors.join(maybe_broadcast(shared, 16), "x", "left_semi").distinct(), "marks")
-        per_doc = marks.groupBy("doc_id", "seq").agg(F.collect_list("x").alias("xs"))
+        marks = stored(anchors.join(maybe_broadcast(shared, 16), "x", "left_semi"), "marks")
+        # a row that repeats marks its anchors twice
+        per_doc = stored(marks.groupBy("doc_id", "seq").agg(F.collect_set("x").alias("xs")), "marked-rows")
         ids = stored(marks.select("doc_id").distinct(), "marked-documents")
         texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).join(
             maybe_broadcast(ids, 16), "doc_id", "left_semi")
         with_seq = texts.mapInArrow(_add_sequence, "doc_id long, t binary, seq binary")
-        self.candidates = stored(with_seq.join(per_doc, ["doc_id", "seq"]).select("doc_id", "t", "xs", "seq"), "candidates")
+        self.candidates = stored(with_seq.join(measured_broadcast(per_doc), ["doc_id", "seq"]).select("doc_id", "t", "xs", "seq"), "candidates")
 
         stretches = stored(self.candidates.select("doc_id", "seq", "t", "xs").mapInArrow(
             _stretches, "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>"), "stretches")
@@ -321,12 +326,15 @@ class Repeats:
         routes = passages.select("shard", F.explode("anchors").alias("x")).distinct()
         places = ["doc_id", "seq", "start"]
         routed = stored(stretches.select(*places, "n_words", F.explode("xs").alias("x")).join(routes, "x")
-                        .select(*places, "n_words", "shard").distinct(), "routes")
+                        .groupBy(*places, "n_words", "shard").agg(F.collect_set("x").alias("xs")), "routes")
         tasks = stored(routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / TASK_WORDS).cast("int").alias("tasks")), "shard-tasks")
         left = passages.select("shard", "owner", "passage").join(tasks, "shard").withColumn(
             "task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-        right = (stretches.select(*places, "part").join(routed.drop("n_words"), places).join(tasks, "shard")
-                 .withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int")))
+        # a shard gets of a stretch what lies around the anchors that its passages hold
+        parts = (stretches.select(*places, "part").join(measured_broadcast(routed.drop("n_words")), places)
+                 .select("doc_id", "seq", "part", "xs", "start", "shard")
+                 .mapInArrow(_stretches, "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>, shard long"))
+        right = parts.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int"))
         found = left.select("shard", "task", "owner", "passage").groupBy("shard", "task").cogroup(
             right.select("shard", "task", *places, "part").groupBy("shard", "task")).applyInArrow(
             _locate, "doc_id long, seq binary, start long, end long")
@@ -365,7 +373,7 @@ def removed_digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha)],
                                              ["doc_id", "seq", "n_removed", "changed_sha"])
 
-    changed = (found.candidates.select("doc_id", "seq", "t").join(found.spans, ["doc_id", "seq"])
+    changed = (found.candidates.select("doc_id", "seq", "t").join(measured_broadcast(found.spans), ["doc_id", "seq"])
                .select("doc_id", "seq", "t", "spans")
                .mapInArrow(digest, "doc_id long, seq binary, n_removed long, changed_sha string"))
     nothing = F.sha2(F.lit(b"").cast("binary"), 256)
