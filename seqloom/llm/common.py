@@ -75,6 +75,35 @@ def once_per_worker(key, build):
     return store[key]
 
 
+def tidied(run):
+    """``run`` for a task, with what earlier stages left in its Python worker given back before it and what
+    it leaves after it: kept models, freed but unreturned memory. Workers are reused from stage to
+    stage, and idle ones count against their executor's memory."""
+    def tidy():
+        import ctypes
+        import gc
+        import sys
+
+        import pyarrow
+
+        sys.modules.pop("_seqloom_worker", None)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not every C library has it
+            pass
+
+    def inner(batches):
+        tidy()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return inner
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import maybe_broadcast, stored, text_bytes
+from seqloom.llm.common import maybe_broadcast, stored, text_bytes, tidied
 
 SHINGLE = 5
 RUN = 32
@@ -185,7 +185,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "sig", "s", "spare", "spare_low", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(
-        run, "doc_id long, n long, sig binary, s long, spare int, spare_low int, sketch binary")
+        tidied(run), "doc_id long, n long, sig binary, s long, spare int, spare_low int, sketch binary")
 
 
 def _post(batches):
@@ -322,15 +322,15 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     a = side.select(F.col("s").alias("sa"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     b = side.select(F.col("s").alias("sb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     near = stored(pairs.join(a, "sa").join(b, "sb").where("a <> b").select("a", "b", "sa", "sb", "na", "nb", "ka", "kb")
-                  .mapInArrow(_near, "a long, b long, sa long, sb long"), "near-pairs")
+                  .mapInArrow(tidied(_near), "a long, b long, sa long, sb long"), "near-pairs")
     wanted = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted")
     sets = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).join(
-        maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s long, x binary")
+        maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(tidied(_sets), "doc_id long, s long, x binary")
     sets = stored(sets.dropDuplicates(["doc_id", "s"]), "sets")
     xa = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"), F.col("x").alias("xa"))
     xb = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"), F.col("x").alias("xb"))
     return stored(near.join(xa, ["a", "sa"]).join(xb, ["b", "sb"]).select("a", "b", "xa", "xb")
-                  .mapInArrow(_linked, "a long, b long"), "links")
+                  .mapInArrow(tidied(_linked), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -416,7 +416,7 @@ def frequent_links(docs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataF
         F.count("*").alias("sets")).where("sets > 1").select("cluster", "buckets")
     wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "cluster-documents")
     sets = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).join(
-        maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s long, x binary")
+        maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(tidied(_sets), "doc_id long, s long, x binary")
     sets = sets.dropDuplicates(["doc_id", "s"]).withColumnRenamed("doc_id", "rep")
     placed = members.join(size, "cluster").join(sets, ["rep", "s"]).withColumn(
         "own", F.pmod(F.xxhash64("s"), F.col("buckets")).cast("int"))
@@ -435,9 +435,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                      .select("sig", "s", "rep", "last", "n", "spare", "spare_low", "sketch").dropDuplicates(["sig"]), "classes")
 
     posted = docs.where(F.col("doc_id").isNotNull()).select(text_bytes().alias("t")).mapInArrow(
-        _post, "key long, s long, v long")
+        tidied(_post), "key long, s long, v long")
     runs = stored(posted.repartition("key").sortWithinPartitions("key", "s")
-                  .mapInArrow(_runs, "kind byte, a long, b long, v long"), "runs")
+                  .mapInArrow(tidied(_runs), "kind byte, a long, b long, v long"), "runs")
     pairs = stored(runs.where("kind = 0").select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct(), "pairs")
     links = verified(docs, classes, pairs)
     hot = runs.where("kind = 1")

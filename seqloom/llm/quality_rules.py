@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import maybe_broadcast, stored, text_bytes
+from seqloom.llm.common import maybe_broadcast, stored, text_bytes, tidied
 
 BUCKETS = 1 << 16
 ALPHA = 10.0  # added to every target bucket; raw buckets get the same share of their total
@@ -130,7 +130,7 @@ def gram_counts(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])],
                                          ["bucket", "raw", "target"])
 
-    return (marked.mapInArrow(count, "bucket long, raw long, target long")
+    return (marked.mapInArrow(tidied(count), "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = TH
             if any(keep):
                 yield batch if all(keep) else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def base_failed(col):

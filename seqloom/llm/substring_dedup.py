@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import BROADCAST_BYTES, free_name, maybe_broadcast, measured_broadcast, stored, text_bytes
+from seqloom.llm.common import BROADCAST_BYTES, free_name, maybe_broadcast, measured_broadcast, stored, text_bytes, tidied
 
 WINDOW = 50
 GRAM = 25
@@ -120,7 +120,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                      pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "n_words", "seq", "sha", "anchors"])
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(
-        run, "doc_id long, n_words long, seq binary, sha string, anchors array<long>")
+        tidied(run), "doc_id long, n_words long, seq binary, sha string, anchors array<long>")
 
 
 def _stretches(batches):
@@ -307,20 +307,20 @@ class Repeats:
         ids = stored(marks.select("doc_id").distinct(), "marked-documents")
         texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).join(
             maybe_broadcast(ids, 16), "doc_id", "left_semi")
-        with_seq = texts.mapInArrow(_add_sequence, "doc_id long, t binary, seq binary")
+        with_seq = texts.mapInArrow(tidied(_add_sequence), "doc_id long, t binary, seq binary")
         self.candidates = stored(with_seq.join(measured_broadcast(per_doc), ["doc_id", "seq"]).select("doc_id", "t", "xs", "seq"), "candidates")
 
         stretches = stored(self.candidates.select("doc_id", "seq", "t", "xs").mapInArrow(
-            _stretches, "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>"), "stretches")
+            tidied(_stretches), "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>"), "stretches")
 
-        owners = stretches.select("doc_id", "part").mapInArrow(_windows, "w long, doc_id long").groupBy("w").agg(
+        owners = stretches.select("doc_id", "part").mapInArrow(tidied(_windows), "w long, doc_id long").groupBy("w").agg(
             F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner")
         owners = stored(owners, "owned-windows")
         shards = max(1, -(-owners.count() // SHARD_WORDS))
         owned = owners.groupBy("owner").agg(F.collect_list("w").alias("owned"))
         passages = stored(stretches.select(F.col("doc_id").alias("owner"), "part").join(owned, "owner")
                           .select("owner", "part", "owned")
-                          .mapInArrow(_passages(shards), "shard long, owner long, passage binary, n_words long, anchors array<long>"),
+                          .mapInArrow(tidied(_passages(shards)), "shard long, owner long, passage binary, n_words long, anchors array<long>"),
                           "passages")
 
         routes = passages.select("shard", F.explode("anchors").alias("x")).distinct()
@@ -333,7 +333,7 @@ class Repeats:
         # a shard gets of a stretch what lies around the anchors that its passages hold
         parts = (stretches.select(*places, "part").join(measured_broadcast(routed.drop("n_words")), places)
                  .select("doc_id", "seq", "part", "xs", "start", "shard")
-                 .mapInArrow(_stretches, "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>, shard long"))
+                 .mapInArrow(tidied(_stretches), "doc_id long, seq binary, start long, part binary, n_words long, xs array<long>, shard long"))
         right = parts.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int"))
         found = left.select("shard", "task", "owner", "passage").groupBy("shard", "task").cogroup(
             right.select("shard", "task", *places, "part").groupBy("shard", "task")).applyInArrow(
@@ -375,7 +375,7 @@ def removed_digest(docs: DataFrame) -> DataFrame:
 
     changed = (found.candidates.select("doc_id", "seq", "t").join(measured_broadcast(found.spans), ["doc_id", "seq"])
                .select("doc_id", "seq", "t", "spans")
-               .mapInArrow(digest, "doc_id long, seq binary, n_removed long, changed_sha string"))
+               .mapInArrow(tidied(digest), "doc_id long, seq binary, n_removed long, changed_sha string"))
     nothing = F.sha2(F.lit(b"").cast("binary"), 256)
     gone = found.copies.select("doc_id", "seq", F.col("n_words").alias("n_removed"), nothing.alias("changed_sha"))
     changes = stored(changed.unionByName(gone).distinct(), "changes")
