@@ -75,10 +75,10 @@ def once_per_worker(key, build):
     return store[key]
 
 
-def tidied(run):
+def tidied(run, keep: bool = False):
     """``run`` for a task, with what earlier stages left in its Python worker given back before it and what
-    it leaves after it: kept models, freed but unreturned memory. Workers are reused from stage to
-    stage, and idle ones count against their executor's memory."""
+    it leaves after it: kept models (unless ``keep``), freed but unreturned memory. Workers are reused from
+    stage to stage, and idle ones count against their executor's memory."""
     def tidy():
         import ctypes
         import gc
@@ -86,7 +86,8 @@ def tidied(run):
 
         import pyarrow
 
-        sys.modules.pop("_seqloom_worker", None)
+        if not keep:
+            sys.modules.pop("_seqloom_worker", None)
         gc.collect()
         pyarrow.default_memory_pool().release_unused()
         try:

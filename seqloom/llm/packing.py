@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import once_per_worker, stored, text_bytes
+from seqloom.llm.common import once_per_worker, stored, text_bytes, tidied
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -70,7 +70,7 @@ class UnitEncoder:
     generations of at most ``limit`` entries: when the young one is full it becomes the old one, and what is
     still in use comes back from there."""
 
-    limit = 500_000  # about 100 MB
+    limit = 150_000  # of all generations about 100 MB
 
     def __init__(self, path: str):
         import os
@@ -86,7 +86,8 @@ class UnitEncoder:
         self._cut = re.compile(r"(?<=\S)(?= )").split
         # characters whose classes are beyond doubt: ASCII but control characters, letters of Latin-1
         letters, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-/:-@\[-`{-~"
-        self._plain = re.compile(rf"[\n0-9{letters}{marks}]+").fullmatch
+        # a line break right after the word's space would be one match with it
+        self._plain = re.compile(rf"[0-9{letters}{marks}][\n0-9{letters}{marks}]*").fullmatch
         self._plain_text = re.compile(rf"[ \n0-9{letters}{marks}]*").fullmatch
         # fixed value: the pattern of byte-level pre-tokenizers, over these characters
         self._pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[{marks}]+|\n+(?!\S)|\n+").findall
@@ -325,8 +326,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         packer.pack(out.append, last=True)
         yield pa.RecordBatch.from_arrays(_pieces(out, base), PIECE_NAMES)
 
-    first = stored(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(whole, PIECE_SCHEMA + ", ids binary"), "packed")
+    first = stored(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("t")).mapInArrow(tidied(whole, keep=True), PIECE_SCHEMA + ", ids binary"), "packed")
     left = first.where("ids is not null")
     total = left.agg(F.sum("length")).first()[0] or 0
-    tail = left.select(*REST_NAMES).repartition(max(1, -(-total // block_ids))).mapInArrow(ends, PIECE_SCHEMA)
+    tail = left.select(*REST_NAMES).repartition(max(1, -(-total // block_ids))).mapInArrow(tidied(ends), PIECE_SCHEMA)
     return first.where("ids is null").drop("ids").unionByName(tail)
