@@ -70,9 +70,7 @@ class UnitEncoder:
     generations of at most ``limit`` entries: when the young one is full it becomes the old one, and what is
     still in use comes back from there."""
 
-    limit = 150_000  # of all generations about 100 MB
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
         import re
 
@@ -95,6 +93,7 @@ class UnitEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         self._alphabet = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
+        self.limit = limit
         self._words, self._matches, self._strings = Learned(self._word), Learned(self._match), Learned(self._string)
 
     def _string(self, text: str) -> bytes:
@@ -274,16 +273,17 @@ def _pieces(rows: list[tuple], base: int):
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS,
-                   step_ids: int = STEP_IDS, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+                   step_ids: int = STEP_IDS, end_id: int = END_ID, block_ids: int = BLOCK_IDS, cached: int = 500_000) -> DataFrame:
     """One row per piece: where it comes from (``doc_id, start, length, doc_tokens``), the
-    checksum of its ids, and where it lies (``sequence_id, offset, tier, step_group``)."""
+    checksum of its ids, and where it lies (``sequence_id, offset, tier, step_group``). ``cached`` bounds
+    what a generation of the word caches holds: fewer words take less memory and more time."""
 
     def whole(batches):
         import numpy as np
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        coder = once_per_worker(("units", tokenizer_path), lambda: UnitEncoder(tokenizer_path))
+        coder = once_per_worker(("units", tokenizer_path, cached), lambda: UnitEncoder(tokenizer_path, cached))
         packer = Packer(tiers, step_ids)
         end = np.asarray([end_id], "<u4").tobytes()
         out: list[tuple] = []
