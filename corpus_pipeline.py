@@ -49,8 +49,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised and packed: one row per piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Tokenised and packed: one row per piece. The word caches are small: executors hold what the
+    stages before have grown to."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=50_000)
 
 
 STAGES = [
