@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.text import single_space_tokens, token_count_single_space, whitespace_tokens
+from seqloom.operators.lookups import spread_lookup
 from seqloom.operators.positions import dense_index
 from seqloom.session import broadcast_cap, durable, measured_bytes
 
@@ -97,12 +98,20 @@ def _kept_lists(values, offsets, keep):
     return pa.ListArray.from_arrays(pa.array(counts[offsets], pa.int32()), values.filter(pa.array(keep)))
 
 
+def _looked_up(flat, places: dict):
+    """Place of every value in ``places`` (-1: none). The dictionary is built once a task; a batch
+    asks it once for each of its different values."""
+    coded = flat.dictionary_encode()
+    found = np.array([places.get(x, -1) for x in coded.dictionary.to_pylist()] + [-1], np.int64)
+    return found[pc.fill_null(coded.indices, len(found) - 1).to_numpy(zero_copy_only=False)]
+
+
 def _filter_tokens(tokens: list[str]):
     def run(batches):
-        kept = pa.array(tokens, pa.string())
+        places = {t: i for i, t in enumerate(tokens)}
         for b in batches:
             flat, offsets = _list_parts(b.column("_toks"))
-            keep = pc.is_in(flat, value_set=kept).to_numpy(zero_copy_only=False)
+            keep = _looked_up(flat, places) >= 0
             yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(flat, offsets, keep)], [b.schema.names[0], "_toks"])
 
     return run
@@ -114,7 +123,7 @@ def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key:
     Returns ``(reduced_docs, kept)``; rows are rejoined with single spaces and rows left
     with no token (null texts too) disappear. The kept set is shipped to tasks when it
     measures under the session's byte cap; otherwise tokens are exploded under a row id,
-    semi-joined and regrouped. Both give the same rows.
+    looked up (the most frequent ones by broadcast) and regrouped. Both give the same rows.
     """
     kept = durable(token_counts(docs, col).orderBy(F.desc("n"), F.asc("token")).limit(max_size))
     toks = docs.select(F.col(key), whitespace_tokens(col).alias("_toks")).where(F.col("_toks").isNotNull())
@@ -124,7 +133,7 @@ def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key:
         left = toks.mapInArrow(_filter_tokens(tokens), schema).where(F.size("_toks") > 0)
         return left.select(key, F.array_join("_toks", " ").alias(col)), kept
     rows = toks.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode("_toks").alias("pos", "token"))
-    on = rows.join(kept.select("token"), "token", "left_semi")
+    on = spread_lookup(rows, kept.select("token", F.lit(True).alias("_kept")), "token", "_kept").where("_kept")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
     reduced = on.groupBy("_rid", key).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias(col))
     return reduced.drop("_rid"), kept
@@ -160,7 +169,7 @@ def _one_token(vocab: DataFrame) -> DataFrame:
 
 def _encode_join(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
     rows = toks.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode_outer("_toks").alias("pos", "token"))
-    j = rows.join(vocab, "token", "left")
+    j = spread_lookup(rows, vocab, "token", "id")
     known = F.col("id")
     if on_unknown == "error":
         known = F.when(F.col("id").isNull() & F.col("pos").isNotNull(), F.raise_error(
@@ -177,16 +186,16 @@ def _encode_table(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str,
     rows = vocab.select("token", "id").toArrow()
 
     def run(batches):
-        tokens, ids = rows.column("token").combine_chunks(), rows.column("id").combine_chunks()
+        places = dict(zip(rows.column("token").to_pylist(), rows.column("id").to_pylist()))
         for b in batches:
             flat, offsets = _list_parts(b.column("_toks"))
-            found = pc.take(ids, pc.index_in(flat, value_set=tokens))
-            missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+            found = _looked_up(flat, places)
+            missing = found < 0
             if missing.any() and on_unknown == "error":
                 raise ValueError(f"unknown token: {flat[int(missing.argmax())].as_py()!r}")
             if on_unknown == "unk":
-                found, missing = pc.fill_null(found, unk_id), np.zeros(len(found), bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(found, offsets, ~missing)], [b.schema.names[0], "ids"])
+                found, missing = np.where(missing, unk_id, found), np.zeros(len(found), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(pa.array(found, pa.int32()), offsets, ~missing)], [b.schema.names[0], "ids"])
 
     schema = T.StructType([toks.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return toks.mapInArrow(run, schema)
@@ -199,7 +208,8 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
     One contract for every size: one output row per input row (keys may repeat), a null
     text has no ids, and of a repeated vocabulary token the last id wins. ``table`` ships
     the vocabulary to tasks and maps Arrow batches in place (no shuffle); ``join``
-    explodes tokens under a row id, joins and regroups. ``auto`` measures the vocabulary
+    explodes tokens under a row id, looks them up (``lookups``: the most frequent ones by
+    broadcast, the others by shuffle) and regroups. ``auto`` measures the vocabulary
     and ships it only under the session's byte cap.
     """
     if on_unknown not in ("error", "drop", "unk"):
@@ -234,10 +244,12 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str =
         rows = inverse.select("id", "token").toArrow()
 
         def run(batches):
-            ids, tokens = rows.column("id").combine_chunks(), rows.column("token").combine_chunks()
+            places = {x: i for i, x in enumerate(rows.column("id").to_pylist())}
+            tokens = rows.column("token").combine_chunks()
             for b in batches:
                 flat, offsets = _list_parts(b.column("_ids"))
-                found = pc.take(tokens, pc.index_in(flat, value_set=ids))
+                at = _looked_up(flat, places)
+                found = pc.take(tokens, pa.array(at, mask=at < 0))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)], [b.schema.names[0], "tokens"])
 
@@ -246,5 +258,5 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str =
         rows = src.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode_outer("_ids").alias("pos", "id"))
         entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
         toks = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["token"])
-        out = rows.join(inverse, "id", "left").groupBy("_rid", key).agg(toks.alias("tokens")).drop("_rid")
+        out = spread_lookup(rows, inverse, "id", "token").groupBy("_rid", key).agg(toks.alias("tokens")).drop("_rid")
     return out.withColumn("text", F.array_join("tokens", " "))
