@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.text import whitespace_tokens
+from seqloom.operators.lookups import spread_lookup
 from seqloom.operators.positions import islands
 from seqloom.operators.scoring import successor_pairs, zipped_pairs
 
@@ -71,6 +76,87 @@ def corpus_jaccard(generated: DataFrame, real: DataFrame, col: str = "text") ->
         .withColumn("jaccard", F.col("n_common") / F.col("n_union"))
 
 
+ROUNDS = 2
+LABEL_ROWS = 1 << 15  # labels of one Arrow batch
+
+
+def _refine(tokens: list[str], rounds: int) -> list[list[str]]:
+    """Labels of the different tokens of a genome by round (see ``refined_labels``)."""
+    place = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    at = np.array([place[t] for t in tokens], np.int64)
+    low, high = np.minimum(at[:-1], at[1:]), np.maximum(at[:-1], at[1:])
+    edges = np.unique(np.stack([low, high])[:, low < high], axis=1)
+    src, dst = np.concatenate([edges[0], edges[1]]), np.concatenate([edges[1], edges[0]])
+    labels = [hashlib.md5(t.encode()).hexdigest() for t in place]
+    out = [labels]
+    for _ in range(rounds):
+        sums = []
+        for a in (0, 10):
+            around = np.zeros(len(place), np.int64)
+            np.add.at(around, src, np.array([int(x[a:a + 10], 16) for x in labels], np.int64)[dst])
+            sums.append(around.tolist())
+        labels = [hashlib.md5(f"{x}|{a}|{b}".encode()).hexdigest() for x, a, b in zip(labels, *sums)]
+        out.append(labels)
+    return out
+
+
+def refined_labels(docs: DataFrame, rounds: int = ROUNDS, key: str = "doc_id", col: str = "text") -> DataFrame:
+    """E2, gene network: ``key, round, label, n``: how many nodes of each row's graph have a label.
+
+    A row's graph has its different tokens as nodes and an edge between tokens that stand next to
+    each other somewhere (no loops, no direction, no repeats). Round 0 labels a node by its token;
+    every further round hashes a node's label with those of its neighbours (as sums of 40-bit
+    pieces, so their order doesn't matter), so a label of round r stands for everything within r
+    steps. A genome's sequence is one row, so its graph needs no shuffle: rows are refined where
+    they are read. Null and empty texts have no nodes; rows that share a key give rows of their own.
+    """
+    toks = docs.select(F.col(key).alias("key"), whitespace_tokens(col).alias("t")).where(F.size("t") > 0)
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("round", T.IntegerType()),
+                           T.StructField("label", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                for r, labels in enumerate(_refine(b.column(1)[i].as_py(), rounds)):
+                    seen: dict[str, int] = {}
+                    for x in labels:
+                        seen[x] = seen.get(x, 0) + 1
+                    names, counts = list(seen), list(seen.values())
+                    for at in range(0, len(names), LABEL_ROWS):
+                        part = names[at:at + LABEL_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(b.column(0)[i], len(part)), pa.array([r] * len(part), pa.int32()),
+                             pa.array(part, pa.string()), pa.array(counts[at:at + LABEL_ROWS], pa.int64())], ["key", "round", "label", "n"])
+
+    return toks.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def network_similarity(generated: DataFrame, real: DataFrame, rounds: int = ROUNDS, key: str = "doc_id",
+                       col: str = "text") -> DataFrame:
+    """E2 per generated row and round: nodes of its graph, those whose label some real graph has, and
+    their share (null without nodes). Keys of ``generated`` must be unique. A label that very many rows
+    have is answered by broadcast (``lookups``), never by one task."""
+    known = refined_labels(real, rounds, key, col).select("label").distinct().withColumn("_in", F.lit(True))
+    met = spread_lookup(refined_labels(generated, rounds, key, col), known, "label", "_in").groupBy(key, "round").agg(
+        F.sum("n").alias("n_nodes"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("n"))), F.lit(0)).alias("n_nodes_real"))
+    every = generated.select(key, F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
+    out = every.join(met, [key, "round"], "left").fillna(0, subset=["n_nodes", "n_nodes_real"])
+    return out.withColumn("share", F.when(F.col("n_nodes") > 0, F.col("n_nodes_real") / F.col("n_nodes")))
+
+
+def network_overlap(generated: DataFrame, real: DataFrame, rounds: int = ROUNDS, key: str = "doc_id",
+                    col: str = "text") -> DataFrame:
+    """E2 per round: the label histograms of both corpora, ``n_common`` (sum of the smaller counts),
+    ``n_union`` (of the larger ones) and their ratio. Two sums with map-side combination, no join."""
+    def counts(df, g, r):
+        return refined_labels(df, rounds, key, col).select("round", "label", (F.col("n") * g).alias("g"), (F.col("n") * r).alias("r"))
+
+    both = counts(generated, 1, 0).unionByName(counts(real, 0, 1)).groupBy("round", "label").agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
+    return both.groupBy("round").agg(
+        F.sum("g").alias("n_generated"), F.sum("r").alias("n_real"), F.sum(F.least("g", "r")).alias("n_common"),
+        F.sum(F.greatest("g", "r")).alias("n_union")).withColumn("similarity", F.col("n_common") / F.col("n_union"))
+
+
 def best_successor(model: DataFrame) -> DataFrame:
     """The top successor per context token (most frequent, then smallest token)."""
     top = model.groupBy("prev").agg(F.max("n").alias("n"))

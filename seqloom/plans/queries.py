@@ -829,6 +829,46 @@ def q_e2_jaccard(spark, sf):
     return j.select("n_generated", "n_real", "n_common", "n_union", _r("jaccard"))
 
 
+def _network_ctes(side: str) -> list[tuple[str, str]]:
+    """Node labels of rounds 0 to 2 of one corpus, each round a join of nodes with their neighbours."""
+    s = side[0]
+    out = [(f"{s}_seq", f"SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, {_WS_LIST} AS l FROM {side}_corpus)"),
+           (f"{s}_next", f"SELECT DISTINCT doc_id, l[i] AS a, l[i + 1] AS b FROM {s}_seq WHERE i < len(l) AND l[i] <> l[i + 1]"),
+           (f"{s}_edge", f"SELECT doc_id, a, b FROM {s}_next UNION SELECT doc_id, b AS a, a AS b FROM {s}_next"),
+           (f"{s}_lab0", f"SELECT DISTINCT doc_id, l[i] AS token, md5(l[i]) AS h FROM {s}_seq")]
+    for r in (1, 2):
+        near = [f"coalesce(sum(('0x' || substr(m.h, {at}, 10))::BIGINT), 0)::VARCHAR" for at in (1, 11)]
+        out.append((f"{s}_lab{r}", f"""SELECT n.doc_id, n.token, md5(n.h || '|' || {near[0]} || '|' || {near[1]}) AS h
+  FROM {s}_lab{r - 1} n LEFT JOIN {s}_edge e ON e.doc_id = n.doc_id AND e.a = n.token
+  LEFT JOIN {s}_lab{r - 1} m ON m.doc_id = e.doc_id AND m.token = e.b GROUP BY n.doc_id, n.token, n.h"""))
+    union = " UNION ALL ".join(f"SELECT {r} AS round, doc_id, h FROM {s}_lab{r}" for r in range(3))
+    return out + [(f"{s}_lab", union)]
+
+
+_NETWORK_CTES = _network_ctes("generated") + _network_ctes("real")
+
+
+@register("e2_network_similarity", V("""
+SELECT g.doc_id, g.round, count(l.h) AS n_nodes, count(k.h) AS n_nodes_real,
+       round(CASE WHEN count(l.h) > 0 THEN count(k.h) / count(l.h) END, 6) AS share
+FROM (SELECT doc_id, unnest([0, 1, 2]) AS round FROM generated_corpus) g
+LEFT JOIN g_lab l ON l.doc_id = g.doc_id AND l.round = g.round
+LEFT JOIN (SELECT DISTINCT h FROM r_lab) k ON k.h = l.h GROUP BY g.doc_id, g.round""", extra=_NETWORK_CTES))
+def q_e2_network(spark, sf):
+    s = E.network_similarity(X.generated_corpus(spark, sf), X.real_corpus(spark, sf))
+    return s.select("doc_id", "round", "n_nodes", "n_nodes_real", _r("share"))
+
+
+@register("e2_network_overlap", V("""
+SELECT round, sum(g)::BIGINT AS n_generated, sum(r)::BIGINT AS n_real, sum(least(g, r))::BIGINT AS n_common,
+       sum(greatest(g, r))::BIGINT AS n_union, round(sum(least(g, r)) / sum(greatest(g, r)), 6) AS similarity
+FROM (SELECT round, h, sum(g) AS g, sum(r) AS r FROM (
+  SELECT round, h, 1 AS g, 0 AS r FROM g_lab UNION ALL SELECT round, h, 0, 1 FROM r_lab) GROUP BY round, h) GROUP BY round""", extra=_NETWORK_CTES))
+def q_e2_overlap(spark, sf):
+    o = E.network_overlap(X.generated_corpus(spark, sf), X.real_corpus(spark, sf))
+    return o.select("round", "n_generated", "n_real", "n_common", "n_union", _r("similarity"))
+
+
 @register("e3_continuation_accuracy", MV("""
 , best AS (SELECT prev, next AS guess FROM (
   SELECT prev, next, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS rn FROM model_tr) WHERE rn = 1)
