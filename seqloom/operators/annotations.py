@@ -148,21 +148,43 @@ def genome_len(records: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- F7 / F8 / F9 assembly
 
+def _chunk_parts(df: DataFrame, piece: Column, sep: str, size: int) -> DataFrame:
+    """``accession, _chunk, _part, _n``: the pieces of every ``size`` records of a genome joined in
+    record order, and how many there are."""
+    chunk = F.floor(F.col("ord") / F.lit(size)).cast("long")
+    return (df.select("accession", "ord", piece.alias("_piece"), chunk.alias("_chunk"))
+            .where(F.col("_piece").isNotNull())
+            .groupBy("accession", "_chunk")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_piece"))),
+                                          lambda x: x["_piece"]), sep).alias("_part"),
+                 F.count(F.lit(1)).alias("_n")))
+
+
 def _assemble(df: DataFrame, piece: Column, sep: str, out: str) -> DataFrame:
     """Ordered concatenation per genome in two levels: chunks of CHUNK records, then chunks."""
-    chunk = F.floor(F.col("ord") / F.lit(CHUNK)).cast("long")
-    first = (df.select("accession", "ord", piece.alias("_piece"), chunk.alias("_chunk"))
-             .where(F.col("_piece").isNotNull())
-             .groupBy("accession", "_chunk")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_piece"))),
-                                           lambda x: x["_piece"]), sep).alias("_part"),
-                  F.count(F.lit(1)).alias("_n")))
-    return first.groupBy("accession").agg(
+    return _chunk_parts(df, piece, sep, CHUNK).groupBy("accession").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))),
                                  lambda x: x["_part"]), sep).alias(out),
         F.sum("_n").cast("bigint").alias("n_pieces"))
 
 
+def gene_pieces(labelled: DataFrame, size: int | None = None) -> DataFrame:
+    """F7 in pieces: ``accession, piece, text``, the labels of ``size`` records a row. The pieces of a
+    genome in order, joined by one space, are its gene sentence; no row holds the whole
+    (``sinks.write_line_pieces`` writes them as one line)."""
+    return _pieces(labelled, F.col("label"), " ", size)
+
+
+def nt_pieces(labelled: DataFrame, mode: str = "symbol", size: int | None = None) -> DataFrame:
+    """F8 / F9 in pieces, like ``gene_pieces``; joined by nothing they are the nucleotide sentence."""
+    return _pieces(labelled, _nt_piece(mode), "", size)
+
+
+def _pieces(labelled: DataFrame, piece: Column, sep: str, size: int | None) -> DataFrame:
+    parts = _chunk_parts(labelled, piece, sep, size or CHUNK)
+    return parts.select("accession", F.col("_chunk").alias("piece"), F.col("_part").alias("text"))
+
+
 def gene_sentence(labelled: DataFrame) -> DataFrame:
     """labels in record order joined by one space; genomes without labels are absent."""
     return _assemble(labelled, F.col("label"), " ", "genes").withColumnRenamed("n_pieces", "n_genes")
@@ -187,6 +209,18 @@ def genome_summary(labelled: DataFrame) -> DataFrame:
     return out.where(F.col("n_genes") > 0)
 
 
+def _nt_piece(mode: str) -> Column:
+    """What a record adds to its genome's nucleotides (null: nothing, not even a place)."""
+    lab = F.col("label").isNotNull()
+    if mode == "symbol":
+        return F.concat(F.when(lab, F.lit(" ")).otherwise(F.lit("")), F.coalesce("seq", F.lit("")))
+    if mode == "go":
+        return (F.when(F.col("gid").isNull(), F.lit(None).cast("string"))
+                .when(lab, F.concat(F.lit(" "), F.coalesce("seq", F.lit(""))))
+                .otherwise(F.coalesce("seq", F.lit(""))))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def nt_sentence(labelled: DataFrame, mode: str = "symbol") -> DataFrame:
     """F8 (mode symbol) / F9 (mode go): the genome's nucleotides, a space before each labelled gene.
 
@@ -194,16 +228,7 @@ def nt_sentence(labelled: DataFrame, mode: str = "symbol") -> DataFrame:
     go: a record without GeneID is void (its sequence skipped); with GeneID but no
     GO terms it runs on; with terms it gets the space.
     """
-    lab = F.col("label").isNotNull()
-    if mode == "symbol":
-        piece = F.concat(F.when(lab, F.lit(" ")).otherwise(F.lit("")), F.coalesce("seq", F.lit("")))
-    elif mode == "go":
-        piece = (F.when(F.col("gid").isNull(), F.lit(None).cast("string"))
-                 .when(lab, F.concat(F.lit(" "), F.coalesce("seq", F.lit(""))))
-                 .otherwise(F.coalesce("seq", F.lit(""))))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    out = _assemble(labelled, piece, "", "nt").drop("n_pieces")
+    out = _assemble(labelled, _nt_piece(mode), "", "nt").drop("n_pieces")
     return out.where(F.length("nt") > 0)
 
 

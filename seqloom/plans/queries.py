@@ -1040,6 +1040,32 @@ def q_k1(spark, sf):
     return spark.read.text(path)
 
 
+def _joined_lines(spark, path):
+    """Lines of any length as rows, only to be compared."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return R.read_line_pieces(spark, path).groupBy("line").agg(
+        F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("value"))
+
+
+@register("k1_write_line_pieces", V("""
+SELECT row_number() OVER (ORDER BY accession) - 1 AS line, accession || ': ' || string_agg(label, ' ' ORDER BY ord) AS value
+FROM labelled WHERE label IS NOT NULL GROUP BY accession"""))
+def q_k1_pieces(spark, sf):
+    path = scratch_path(spark, "gene_line_pieces")
+    S.write_line_pieces(A.gene_pieces(labelled(spark, sf), 64), path)
+    return _joined_lines(spark, path)
+
+
+@register("k1_write_nt_pieces", V("""
+SELECT row_number() OVER (ORDER BY accession) - 1 AS line, accession || ': ' || nt AS value FROM (
+  SELECT accession, string_agg(CASE WHEN label IS NOT NULL THEN ' ' ELSE '' END || seq, '' ORDER BY ord) AS nt
+  FROM labelled GROUP BY accession) WHERE length(nt) > 0"""))
+def q_k1_nt_pieces(spark, sf):
+    path = scratch_path(spark, "nt_line_pieces")
+    S.write_line_pieces(A.nt_pieces(labelled(spark, sf), size=64), path, sep="")
+    return _joined_lines(spark, path)
+
+
 @register("k2_write_vocab", CV("SELECT token, CAST(id AS BIGINT) AS id FROM vocab"))
 def q_k2(spark, sf):
     path = scratch_path(spark, "vocab")

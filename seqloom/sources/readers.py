@@ -223,6 +223,18 @@ def read_corpus(spark: SparkSession, path: str, split: str | None = None, fmt: s
     return out.select((F.col("_before") + F.col("_in_file") - 1).alias("doc_id"), F.col("value").alias("text"))
 
 
+def read_line_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``line, part, text``: the stretches of every line of ``sinks.write_line_pieces``, lines counted from 0
+    and ``part`` rising with the file. A line in several files gives a row for each; joined by nothing they
+    are the line. A part file is one row here, as large as the writer's partitions, whatever the lines."""
+    files = spark.read.option("pathGlobFilter", "part-*.txt").text(path, wholetext=True).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"), F.split("value", "\n", -1).alias("lines"))
+    ends = running_sum(files.select("part", (F.size("lines") - 1).cast("long").alias("ends")), ["part"], "ends", out="upto")
+    known, _ = broadcast_if_small(ends.select("part", (F.col("upto") - F.col("ends")).alias("before")))
+    rows = files.join(known, "part").select("part", "before", F.posexplode("lines").alias("i", "text"))
+    return rows.where(F.length("text") > 0).select((F.col("before") + F.col("i")).alias("line"), "part", "text")
+
+
 def read_vocab(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Vocabulary -> ``token, id`` with ``[PAD] [EOS] [SOS]`` as 0, 1, 2 first.
 

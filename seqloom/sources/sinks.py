@@ -33,6 +33,32 @@ def write_corpus(df: DataFrame, path: str, labelled: bool = True, key: str = "ac
     corpus_lines(df, labelled, key, col).write.mode(mode).text(path)
 
 
+def write_line_pieces(pieces: DataFrame, path: str, sep: str = " ", mode: str = "overwrite",
+                      partitions: int | None = None) -> list[tuple[str, int]]:
+    """K1 for lines of any length: rows ``accession, piece, text`` -> files ``part-<k>.txt`` that hold, one
+    after the other, the lines ``<accession>: <pieces joined by sep>`` in accession order.
+
+    Rows are dealt by ranges of (accession, piece) and written as they come, so no row and no task ever
+    holds a whole line: a long line goes on in the next file (``cat part-*`` is the corpus;
+    ``readers.read_line_pieces`` reads it back). A line's begin and end are rows of their own, so no row
+    needs to know its neighbours. Empty and null texts write nothing, and genomes with no other ones no
+    line; rows with a null accession are left out. ``sep`` is a space or empty. The files are committed as
+    a whole (``rawfiles``); returns their names and bytes.
+    """
+    if sep not in ("", " "):
+        raise ValueError("sep must be a space or empty")
+    kept = pieces.where(F.col("accession").isNotNull() & (F.length("text") > 0))
+    lines = kept.select("accession").distinct()
+    head = F.concat("accession", F.lit(":" if sep else ": "))
+    rows = kept.select("accession", F.lit(1).alias("at"), F.col("piece").cast("long").alias("piece"), F.concat(F.lit(sep), "text").alias("data"))
+    for at, data in ((0, head), (2, F.lit("\n"))):
+        rows = rows.unionByName(lines.select("accession", F.lit(at).alias("at"), F.lit(0).cast("long").alias("piece"), data.alias("data")))
+    order = ["accession", "at", "piece"]
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    name = F.concat(F.lit("part-"), F.lpad(F.spark_partition_id().cast("string"), 7, "0"), F.lit(".txt"))
+    return write_raw(dealt.sortWithinPartitions(*order).select(name.alias("file"), F.col("data").cast("binary").alias("data")), path, mode)
+
+
 def write_vocab(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: ``token, id`` as parquet under ``path/table`` plus a one-row ``{vocab_size}`` summary."""
     vocab.select("token", F.col("id").cast("long")).write.mode(mode).parquet(f"{path}/table")
