@@ -7,6 +7,7 @@ Every query reads the driver tables (through the fixture views) in full.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -316,29 +317,54 @@ BLOCK = 1024
 
 
 class CorpusFlow:
-    """The corpus chain of one (session, folder): reduce, vocabulary, encode, split, frame, pack."""
+    """The corpus chain of one (session, folder): reduce, vocabulary, encode, split, frame, pack.
+
+    Every link is made when it is first asked for, so a query pays for what it reads. Links that
+    several actions share are persisted; each is a deterministic function of its inputs (ordered
+    regroups, total-order top-k, checkpointed ids), so a lost cached block is recomputed identically.
+    """
 
     def __init__(self, spark, sf):
         self.spark, self.sf = spark, sf
         self.docs = X.corpus(spark, sf)
+
+    @cached_property
+    def _reduction(self):
         reduced, kept = K.reduce_vocab(self.docs, MAX_VOCAB)
-        # shared by several actions below; each is a deterministic function of its
-        # inputs (ordered regroups, total-order top-k, checkpointed ids), so a lost
-        # cached block is recomputed identically
-        self.reduced, self.kept = reduced.persist(), kept.persist()
-        self.vocab = K.build_vocab(self.kept).persist()
-        self.encoded = K.encode(self.reduced, self.vocab).persist()
-        self.max_len = int(K.max_len(self.reduced).first()["max_len"])
-        self.splits = L.split_exact(self.reduced.select("doc_id"), "doc_id", VAL_FRAC, SPLIT_SEED)
-        self.framed = L.frame_and_pad(self.encoded.join(self.splits, "doc_id"), self.max_len)
-        self._blocks = None
+        return reduced.persist(), kept.persist()
 
     @property
+    def reduced(self):
+        return self._reduction[0]
+
+    @property
+    def kept(self):
+        return self._reduction[1]
+
+    @cached_property
+    def vocab(self):
+        return K.build_vocab(self.kept).persist()
+
+    @cached_property
+    def encoded(self):
+        return K.encode(self.reduced, self.vocab).persist()
+
+    @cached_property
+    def max_len(self):
+        return int(K.max_len(self.reduced).first()["max_len"])
+
+    @cached_property
+    def splits(self):
+        return L.split_exact(self.reduced.select("doc_id"), "doc_id", VAL_FRAC, SPLIT_SEED)
+
+    @cached_property
+    def framed(self):
+        return L.frame_and_pad(self.encoded.join(self.splits, "doc_id"), self.max_len)
+
+    @cached_property
     def blocks(self):
-        if self._blocks is None:
-            compact = L.frame(self.encoded.join(self.splits, "doc_id"), self.max_len)
-            self._blocks = L.pack(compact, BLOCK, ["order_key"])
-        return self._blocks
+        compact = L.frame(self.encoded.join(self.splits, "doc_id"), self.max_len)
+        return L.pack(compact, BLOCK, ["order_key"])
 
 
 def flow(spark, sf) -> CorpusFlow:
