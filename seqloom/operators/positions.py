@@ -94,39 +94,50 @@ def dense_index_within(df: DataFrame, group_cols: Sequence[str], order_cols: Seq
     )
 
 
-def _local_cumsum(weight: str):
+def _local_cumsums(weights: Sequence[str]):
     def run(batches):
-        acc = 0
+        acc = [0] * len(weights)
         for batch in batches:
-            w = batch.column(weight)
-            arr = pc.fill_null(w.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
-            cs = np.cumsum(arr) + acc
-            if len(cs):
-                acc = int(cs[-1])
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + [pa.array(cs, type=pa.int64())],
-                                             names=list(batch.schema.names) + [_LCUM])
+            sums = []
+            for i, weight in enumerate(weights):
+                arr = pc.fill_null(batch.column(weight).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                cs = np.cumsum(arr) + acc[i]
+                if len(cs):
+                    acc[i] = int(cs[-1])
+                sums.append(pa.array(cs, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + sums,
+                                             names=list(batch.schema.names) + [f"{_LCUM}{i}" for i in range(len(weights))])
     return run
 
 
-def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cum", row_out: str | None = None,
-                partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = inclusive running sum of integer column ``weight`` in global order, and
-    with ``row_out`` the row's position in that order (from 0).
+def running_sums(df: DataFrame, order_cols: Sequence, weights: dict[str, str], row_out: str | None = None,
+                 partitions: int | None = None) -> DataFrame:
+    """Add, for each ``out: weight``, the inclusive running sum of integer column ``weight`` in global
+    order, and with ``row_out`` the row's position in that order (from 0).
 
-    Inside a partition the running sum is an Arrow pass over the already sorted rows
+    Inside a partition the running sums are one Arrow pass over the already sorted rows
     (narrow, no shuffle); across partitions the per-partition totals are prefixed. The rows
     carry their numbers, nothing is joined back: null and equal order keys keep every row
     once (equal keys in an order of their own, fixed by the checkpoint).
     """
     ranged = _ranged(df, order_cols, partitions)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(_LCUM, T.LongType(), False)])
-    local = durable(ranged.mapInArrow(_local_cumsum(weight), schema))
-    rows = local.groupBy(_PID).agg(F.max(_LCUM).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    sums = [f"{_LCUM}{i}" for i in range(len(weights))]
+    schema = T.StructType(ranged.schema.fields + [T.StructField(c, T.LongType(), False) for c in sums])
+    local = durable(ranged.mapInArrow(_local_cumsums(list(weights.values())), schema))
+    rows = local.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in sums]).collect()
     n_parts = max([local.rdd.getNumPartitions()] + [r[_PID] + 1 for r in rows])
-    summed = local.withColumn(out, _offsets({r[_PID]: r["s"] for r in rows}, n_parts) + F.col(_LCUM))
+    summed = local
+    for out, c in zip(weights, sums):
+        summed = summed.withColumn(out, _offsets({r[_PID]: r[c] for r in rows}, n_parts) + F.col(c))
     if row_out:
         summed = summed.withColumn(row_out, _offsets({r[_PID]: r["n"] for r in rows}, n_parts) + F.col(_LIDX))
-    return summed.drop(_PID, _LIDX, _LCUM)
+    return summed.drop(_PID, _LIDX, *sums)
+
+
+def running_sum(df: DataFrame, order_cols: Sequence, weight: str, out: str = "cum", row_out: str | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """``running_sums`` of one column."""
+    return running_sums(df, order_cols, {out: weight}, row_out, partitions)
 
 
 def _same_as_before(batch, same_cols: Sequence[str]):

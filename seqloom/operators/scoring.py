@@ -2,8 +2,8 @@
 
 Logits live in a long table ``row_id, token_id, logit``; N4-N6 use windows over ``row_id`` (one
 row per vocabulary entry). Totals and maxima per context token (N1, E3) are hash aggregates
-joined back, so a frequent token is combined before it is shuffled. Only the candidate table
-of N7 orders a context's successors, and a top-k bound makes that small.
+joined back, so a frequent token is combined before it is shuffled; the candidate table of N7 sums
+over a context's successors in one range pass over all contexts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.hashing import hash_unit
 from seqloom.functions.text import single_space_tokens
+from seqloom.operators.contexts import UNIT, tiled
 from seqloom.session import broadcast_if_small, durable
 
 NEG_INF = float("-inf")
@@ -103,29 +104,38 @@ def sample_token(probs: DataFrame, seed: int, step: int = 0) -> DataFrame:
 
 # ---------------------------------------------------------------- N7
 
-MIN_BUCKETS = 16
+def _kept(model: DataFrame, k: int) -> DataFrame:
+    """Candidates at or above the k-th largest logit of their context (ties stay). Contexts are ranked by
+    their different logits, counted map-side: few also where candidates are many, as logits come from counts."""
+    w = Window.partitionBy("row_id").orderBy(F.desc("logit")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = model.groupBy("row_id", "logit").agg(F.count(F.lit(1)).alias("same"))
+    least = sizes.withColumn("above", F.coalesce(F.sum("same").over(w), F.lit(0))).where(F.col("above") < k) \
+        .groupBy("row_id").agg(F.min("logit").alias("_least"))
+    return model.join(least, "row_id").where("logit >= _least").drop("_least")
 
 
 def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None = None) -> DataFrame:
     """Per context token: successors after temperature, top-k and softmax, as intervals
     ``[cum_lo, cum_hi)`` in token order (the last one open to +inf).
 
+    Probabilities are whole numbers of ``UNIT`` parts of the best one (at least one part), summed in one
+    range pass over (context, token), so a token that is the context of a third of all pairs is spread
+    over many tasks. Candidates without a probability (a null or ``-inf`` score) own no interval.
+
     Each context's [0, 1) is cut into ``n_buckets`` equal slices, one per candidate (at
     least ``MIN_BUCKETS``), and every candidate is listed under the slices it overlaps:
     at most about twice the model's rows, and a draw meets one or two candidates."""
     lg = model.select(F.col("prev").alias("row_id"), F.col("next").alias("token_id"),
-                      (F.col("logp") / F.lit(float(temperature))).alias("logit"))
+                      (F.col("logp") / F.lit(float(temperature))).alias("logit")).where(F.col("logit") > F.lit(NEG_INF))
     if k is not None:
-        lg = top_k(lg, k).where(F.col("kept")).drop("kept")
-    p = softmax(lg)
-    w = Window.partitionBy("row_id").orderBy("token_id")
-    # the lower bound is the previous running sum itself, so the intervals tile [0, 1) exactly
-    c = (p.withColumn("_cum", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("cum_lo", F.coalesce(F.lag("_cum").over(w), F.lit(0.0)))
-         .withColumn("cum_hi", F.when(F.lead("token_id").over(w).isNull(), F.lit(float("inf")))
-                     .otherwise(F.col("_cum")))
-         .withColumn("n_buckets", F.greatest(F.count(F.lit(1)).over(Window.partitionBy("row_id")),
-                                             F.lit(MIN_BUCKETS)).cast("int")))
+        lg = _kept(lg, k)
+    best = lg.groupBy("row_id").agg(F.max("logit").alias("_best"))
+    part = F.greatest(F.floor(F.exp(F.col("logit") - F.col("_best")) * F.lit(UNIT)), F.lit(1)).cast("bigint")
+    c = tiled(lg.join(best, "row_id").select("row_id", "token_id", part.alias("_w")), ["row_id"], "token_id", "_w")
+    # both ends come from the same expression of whole numbers, so the intervals tile [0, 1) exactly
+    c = c.select("row_id", "token_id", (F.col("lo") / F.col("total")).alias("cum_lo"),
+                 F.when(F.col("hi") == F.col("total"), F.lit(float("inf"))).otherwise(F.col("hi") / F.col("total")).alias("cum_hi"),
+                 F.col("n_buckets").cast("int").alias("n_buckets"))
     nb = F.col("n_buckets")
     lo_b = F.floor(F.col("cum_lo") * nb).cast("int")
     hi_b = F.least(F.floor(F.least(F.col("cum_hi"), F.lit(1.0)) * nb).cast("int"), nb - 1)

@@ -1,6 +1,7 @@
 """N7 from contexts of several tokens, N2 on foreign targets, and repeated keys and line numbers."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -141,3 +142,24 @@ def test_repeated_line_numbers(spark):
     lines = spark.createDataFrame([("g", 1, ">x"), ("g", 2, "AC"), ("g", 2, "GT"), (None, 1, ">y"), (None, 2, "TT")], "accession string, line_no long, line string")
     got = sorted(((r["header"], r["seq"]) for r in A.fasta_records(lines).collect()))
     assert got == [(">x", "ACGT"), (">y", "TT")]
+
+
+def test_tiles_past_64_bits_over_all_groups(spark):
+    """The weights of all groups together pass 64 bits; every group still tiles its own total."""
+    w = 1 << 61
+    rows = [(g, i, w + i) for g in range(12) for i in range(3)]
+    got = C.tiled(spark.createDataFrame(rows, "g int, item int, w long"), ["g"], "item", "w").orderBy("g", "item").collect()
+    assert [(r["lo"], r["hi"], r["total"]) for r in got] == 12 * [(0, w, 3 * w + 3), (w, 2 * w + 1, 3 * w + 3), (2 * w + 1, 3 * w + 3, 3 * w + 3)]
+
+
+def test_candidates_tile_and_keep_ties(spark):
+    rows = [("a", "x", -1.0), ("a", "y", -1.0), ("a", "z", -2.0), ("a", "v", -3.0), ("a", "none", float("-inf")), ("a", "null", None), ("b", "q", -5.0), (None, "n", -1.0)]
+    model = spark.createDataFrame(rows, "prev string, next string, logp double")
+    got = N.candidate_table(model, temperature=0.5, k=3).select("row_id", "token_id", "cum_lo", "cum_hi").distinct().orderBy("row_id", "cum_lo").collect()
+    mine = [r for r in got if r["row_id"] == "a"]
+    assert [r["token_id"] for r in mine] == ["x", "y", "z"] and mine[0]["cum_lo"] == 0.0 and mine[-1]["cum_hi"] == float("inf")
+    assert all(p["cum_hi"] == q["cum_lo"] for p, q in zip(mine, mine[1:]))
+    assert abs(mine[0]["cum_hi"] - 1 / (2 + math.exp(-2))) < 1e-11
+    assert [r["token_id"] for r in got if r["row_id"] == "b"] == ["q"]
+    two = N.candidate_table(model, k=1).where("row_id = 'a'").select("token_id").distinct().collect()
+    assert sorted(r[0] for r in two) == ["x", "y"]
