@@ -127,6 +127,7 @@ def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None =
     at most about twice the model's rows, and a draw meets one or two candidates."""
     lg = model.select(F.col("prev").alias("row_id"), F.col("next").alias("token_id"),
                       (F.col("logp") / F.lit(float(temperature))).alias("logit")).where(F.col("logit") > F.lit(NEG_INF))
+    lg = durable(lg)  # read by several aggregates, and by the sampling of the range pass
     if k is not None:
         lg = _kept(lg, k)
     best = lg.groupBy("row_id").agg(F.max("logit").alias("_best"))
