@@ -9,6 +9,9 @@ files it names, or without one the files it finds.
 ``read_u16`` reads fixed-length records (little-endian uint16) by byte ranges: a file is cut
 into ranges of whole records, one task each, so one large file is read in parallel.
 
+The zeros of a row's ``pad`` are left out of local files as holes: the file has its full length and
+every reader finds the zeros, but the disk holds only the ids (other file systems get them written).
+
 Paths are opened through Arrow's file systems (local and mounted folders, and the schemes they
 know); they must be reachable from driver and executors, like the checkpoint folder.
 """
@@ -92,6 +95,7 @@ class RawWriter(DataSourceArrowWriter):
             yield flat[ends[i]:ends[i + 1]].tobytes(), U16 * (pad or 0)
 
     def write(self, iterator):
+        from pyarrow import fs
         from pyspark import TaskContext
 
         system, root = open_fs(self.path)
@@ -99,9 +103,12 @@ class RawWriter(DataSourceArrowWriter):
         done: dict[str, tuple[str, int]] = {}
         name, out, size = None, None, 0
         zeros = bytes(1 << 16)
+        local = isinstance(system, fs.LocalFileSystem)
 
         def close():
             if out is not None:
+                if local:
+                    out.truncate(size)  # a hole at the end belongs to the file, too
                 out.close()
                 done[name] = (f"{stage}/{len(done):06d}", size)
 
@@ -115,10 +122,13 @@ class RawWriter(DataSourceArrowWriter):
                             raise ValueError(f"the rows of {target} are not neighbours")
                         system.create_dir(stage, recursive=True)
                         name, size = target, 0
-                        out = system.open_output_stream(f"{stage}/{len(done):06d}")
+                        at = f"{stage}/{len(done):06d}"
+                        out = open(at, "wb") if local else system.open_output_stream(at)
                     out.write(data)
                     size += len(data) + pad
-                    while pad > 0:
+                    if local and pad > 0:
+                        out.seek(size)
+                    while pad > 0 and not local:
                         out.write(zeros[:pad])
                         pad -= min(pad, len(zeros))
             close()

@@ -122,3 +122,15 @@ def test_pack_with_null_and_equal_order_keys(spark, partitions):
         assert all(n == 4 for _, _, n in mine[:-1])
     first = next(b["ids"] for b in blocks if b["split"] == "train" and b["block_id"] == 0)
     assert {tuple(first[:2]), tuple(first[2:])} == {(5, 6), (7, 8)}
+
+
+def test_padding_is_no_disk_space(spark, tmp_path):
+    """Zeros between and after the ids are holes of a file that has its full length."""
+    out = str(tmp_path / "sparse")
+    pad = 1 << 21
+    df = spark.createDataFrame([("f.bin", 0, [7, 8], pad), ("f.bin", 1, [9], pad)], "file string, row long, ids array<int>, pad long")
+    assert RF.write_raw(df.coalesce(1).sortWithinPartitions("row").drop("row"), out) == [("f.bin", 2 * (3 + 2 * pad))]
+    info = os.stat(f"{out}/f.bin")
+    assert info.st_size == 2 * (3 + 2 * pad) and info.st_blocks * 512 < 1 << 20
+    ids = np.fromfile(f"{out}/f.bin", "<u2")
+    assert ids[:2].tolist() == [7, 8] and ids[pad + 2] == 9 and ids.sum() == 24 and len(ids) == 3 + 2 * pad
