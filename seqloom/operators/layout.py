@@ -45,7 +45,9 @@ def frame_and_pad(encoded: DataFrame, max_len: int, col: str = "ids") -> DataFra
     ids = F.col(col)
     pad = F.greatest(F.lit(max_len) - F.size(ids) - 2, F.lit(0))
     framed = F.concat(F.array(F.lit(SOS_ID)), ids, F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(PAD_ID), pad))
-    return encoded.withColumn(col, framed).withColumn("len", F.size(col).cast("bigint"))
+    # from the sizes, so that who only needs lengths builds no padding
+    length = F.when(ids.isNull(), F.size(ids)).otherwise(F.size(ids) + 2 + pad)
+    return encoded.withColumn("len", length.cast("bigint")).withColumn(col, framed)
 
 
 def frame(encoded: DataFrame, max_len: int, col: str = "ids") -> DataFrame:
@@ -89,7 +91,8 @@ def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order
     Output ``split, block_id, ids, n``; the last block of a split may be short. Rows may
     come padded (``ids``) or compact from ``frame`` (``body`` + ``pad``): compact pieces
     carry only their real ids and a pad count through the shuffle, and the zeros are
-    written when the block is assembled.
+    written when the block is assembled. A block that lies within one row is complete where
+    the row is and is not shuffled: only the (at most two) pieces at a row's ends are.
     """
     B = int(block_size)
     compact = "body" in framed.columns and "pad" in framed.columns
@@ -101,21 +104,23 @@ def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order
     q = F.col("block_id")
     lo = F.greatest(q * B, o) - o          # piece bounds relative to the row start
     hi = F.least((q + 1) * B, o + L) - o
+    whole = (q * B >= o) & ((q + 1) * B <= o + L)
     if compact:
         r = F.size("body")
         real = F.when(lo < r, F.slice("body", (lo + 1).cast("int"), (F.least(hi, r) - lo).cast("int"))) \
             .otherwise(F.array().cast("array<int>"))
         npad = F.greatest(hi - F.greatest(lo, r), F.lit(0)).cast("int")
-        parts = pieces.select(split_col, "block_id", "offset", real.alias("_real"), npad.alias("_npad"))
+        parts = pieces.select(split_col, "block_id", "offset", whole.alias("_whole"), real.alias("_real"), npad.alias("_npad"))
+        filled = lambda x: F.concat(x["_real"], F.array_repeat(F.lit(PAD_ID), x["_npad"]))
         ordered = F.array_sort(F.collect_list(F.struct("offset", "_real", "_npad")))
-        ids = F.flatten(F.transform(ordered, lambda x: F.concat(x["_real"], F.array_repeat(F.lit(PAD_ID), x["_npad"]))))
     else:
         piece = F.slice(col, (lo + 1).cast("int"), (hi - lo).cast("int"))
-        parts = pieces.select(split_col, "block_id", "offset", piece.alias("_piece"))
+        parts = pieces.select(split_col, "block_id", "offset", whole.alias("_whole"), piece.alias("_piece"))
+        filled = lambda x: x["_piece"]
         ordered = F.array_sort(F.collect_list(F.struct("offset", "_piece")))
-        ids = F.flatten(F.transform(ordered, lambda x: x["_piece"]))
-    blocks = parts.groupBy(split_col, "block_id").agg(ids.alias(col))
-    return blocks.withColumn("n", F.size(col).cast("bigint"))
+    alone = parts.where("_whole").select(split_col, "block_id", filled({c: F.col(c) for c in parts.columns}).alias(col))
+    joined = parts.where("NOT _whole").groupBy(split_col, "block_id").agg(F.flatten(F.transform(ordered, filled)).alias(col))
+    return alone.unionByName(joined).withColumn("n", F.size(col).cast("bigint"))
 
 
 def _shard_of(row: Column, rows: Column, n_max: int) -> Column:

@@ -361,10 +361,13 @@ class CorpusFlow:
     def framed(self):
         return L.frame_and_pad(self.encoded.join(self.splits, "doc_id"), self.max_len)
 
+    @cached_property
+    def compact(self):
+        return L.frame(self.encoded.join(self.splits, "doc_id"), self.max_len)  # ids and a pad count
+
     @cached_property
     def blocks(self):
-        compact = L.frame(self.encoded.join(self.splits, "doc_id"), self.max_len)
-        return L.pack(compact, BLOCK, ["order_key"])
+        return L.pack(self.compact, BLOCK, ["order_key"])
 
 
 def flow(spark, sf) -> CorpusFlow:
@@ -576,8 +579,7 @@ SELECT split, shard, min(row) AS first_row, count(*) AS n_rows, CAST(sum(n) AS B
 GROUP BY split, shard"""))
 def q_w6(spark, sf):
     f = flow(spark, sf)
-    compact = L.frame(f.encoded.join(f.splits, "doc_id"), f.max_len)  # ids and a pad count
-    sh = L.contiguous_shards(compact, ["order_key"], 1024)
+    sh = L.contiguous_shards(f.compact, ["order_key"], 1024)
     return sh.groupBy("split", "shard").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_rows"),
                                             F.sum("len").cast("bigint").alias("n_tokens"))
 
@@ -596,7 +598,7 @@ JOIN stream s ON s.split = 'train' AND s.pos BETWEEN d.start AND d.start + {BLOC
 GROUP BY d.draw_id, d.start"""))
 def q_w7(spark, sf):
     f = flow(spark, sf)
-    total = f.framed.where("split = 'train'").agg(F.sum("len")).first()[0] or 0
+    total = f.compact.where("split = 'train'").agg(F.sum("len")).first()[0] or 0
     s = L.sample_blocks(f.blocks, "train", W7_DRAWS, BLOCK, W7_SEED, total=total)
     return s.select("draw_id", "start", F.md5(_ids_str("x")).alias("x_md5"), F.md5(_ids_str("y")).alias("y_md5"))
 
@@ -1206,7 +1208,7 @@ def _write_stream(spark, sf, n_max):
     """Shard files of the corpus: written from framed rows, no blocks are packed."""
     f = flow(spark, sf)
     path = scratch_path(spark, "stream")
-    S.write_stream(L.stream_shards(L.frame(f.encoded.join(f.splits, "doc_id"), f.max_len), ["order_key"], n_max), path)
+    S.write_stream(L.stream_shards(f.compact, ["order_key"], n_max), path)
     return path
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from seqloom.sources.rawfiles import NULL_SPLIT, write_raw
 
 U16_MAX = 65535
+ZEROS = "_sl_zeros"  # zero ids that follow a block's ids, written but not shuffled
 
 
 def corpus_lines(df: DataFrame, labelled: bool = True, key: str = "accession", col: str = "genes") -> DataFrame:
@@ -80,10 +81,10 @@ def _encode_u16(batches):
         lists = b.column("ids")
         ends = 2 * np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
         flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<u2").tobytes()
-        data = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        keep = [b.column(n) for n in b.schema.names if n != "ids"]
-        yield pa.RecordBatch.from_arrays(keep + [pa.array(data, type=pa.binary())],
-                                         names=[n for n in b.schema.names if n != "ids"] + ["data"])
+        zeros = b.column(ZEROS).to_pylist() if ZEROS in b.schema.names else [0] * b.num_rows
+        data = [flat[i:j] + bytes(2 * (z or 0)) for i, j, z in zip(ends[:-1].tolist(), ends[1:].tolist(), zeros)]
+        keep = [n for n in b.schema.names if n not in ("ids", ZEROS)]
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(data, type=pa.binary())], names=keep + ["data"])
 
 
 def shard_bytes(blocks: DataFrame, dtype: str = "uint16", col: str = "ids") -> DataFrame:
@@ -95,7 +96,7 @@ def shard_bytes(blocks: DataFrame, dtype: str = "uint16", col: str = "ids") -> D
     bad = (F.array_max(c) > U16_MAX) | (F.array_min(c) < 0)
     checked = blocks.withColumn(col, F.when(bad, F.raise_error(F.concat(
         F.lit("id outside uint16 in block "), F.col("block_id").cast("string")))).otherwise(c))
-    schema = T.StructType([f for f in checked.schema.fields if f.name != col] + [T.StructField("data", T.BinaryType())])
+    schema = T.StructType([f for f in checked.schema.fields if f.name not in (col, ZEROS)] + [T.StructField("data", T.BinaryType())])
     return checked.mapInArrow(_encode_u16, schema)
 
 
@@ -104,7 +105,10 @@ def write_shards(blocks: DataFrame, path: str, dtype: str = "uint16", mode: str
 
     Returns the manifest ``split, block_id, first_offset, n`` (a lazy frame over the written files).
     """
-    b = blocks.select("split", "block_id", "n", "ids")
+    blank = (F.array_max("ids") == 0) & (F.array_min("ids") == 0)
+    # a block of padding travels as the number of its zeros
+    b = blocks.select("split", "block_id", "n", F.when(blank, F.size("ids")).otherwise(0).alias(ZEROS),
+                      F.when(blank, F.slice("ids", 1, 0)).otherwise(F.col("ids")).alias("ids"))
     ordered = b.repartitionByRange("split", "block_id").sortWithinPartitions("split", "block_id")
     shard_bytes(ordered, dtype).write.mode(mode).partitionBy("split").parquet(path)
     spark = blocks.sparkSession

@@ -101,3 +101,24 @@ def test_uint16_shards_round_trip_and_range_check(spark):
     over = spark.createDataFrame([("train", 0, [65536], 1)], "split string, block_id long, ids array<int>, n long")
     with pytest.raises(Exception, match="uint16"):
         S.write_shards(over, scratch_path(spark, "t_over"))
+
+
+def test_blocks_inside_one_row_are_not_shuffled(spark):
+    """Only the pieces at the ends of a row are grouped; a block of padding is written from a count."""
+    enc = spark.createDataFrame([(i, "train", i, [5] * 3) for i in range(4)], "doc_id long, split string, order_key long, ids array<int>")
+    blocks = L.pack(L.frame(enc, 1000), 8)
+    moved = [x for x in blocks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x or "Union" in x]
+    assert "Union" in moved[0] and "Aggregate" in moved[1]
+    stream = ([2] + [5] * 3 + [1] + [0] * 995) * 4
+    assert [x for b in blocks.orderBy("block_id").collect() for x in b["ids"]] == stream
+    path = scratch_path(spark, "t_blank")
+    S.write_shards(blocks, path)
+    back = R.read_shards(spark, path).orderBy("block_id").collect()
+    assert [x for b in back for x in b["ids"]] == stream and all(b["n"] == 8 == len(b["ids"]) for b in back[:-1])
+
+
+def test_lengths_need_no_padded_arrays(spark):
+    enc = spark.createDataFrame([(0, [4, 5]), (1, []), (2, None)], "doc_id long, ids array<int>")
+    lens = L.frame_and_pad(enc, 5).select("doc_id", "len")
+    assert "array_repeat" not in lens._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["len"] for r in lens.collect()} == {0: 5, 1: 5, 2: None}
