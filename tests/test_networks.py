@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import types as T
 
 from seqloom.operators import evaluate as E
@@ -65,3 +66,16 @@ def test_empty_tables(spark):
     none, one = frame(spark, []), frame(spark, ["a b"])
     assert E.network_similarity(none, one).collect() == [] and E.network_overlap(none, none).collect() == []
     assert [r["share"] for r in E.network_similarity(one, none).orderBy("round").collect()] == [0.0] * 3
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_same_whether_the_labels_are_broadcast_or_shuffled(spark, monkeypatch, small):
+    seen = []
+    monkeypatch.setattr(E, "_places", lambda df, own=E._places: seen.append(1) or (own(df) if small else (None, False)))
+    mine = spark.createDataFrame([(1, "a b c"), (2, "x y"), (3, "")], "doc_id long, text string")
+    real = spark.createDataFrame([(7, "a b c"), (7, "q r s t"), (None, "x z")], "doc_id long, text string")
+    over = {r["round"]: (r["n_generated"], r["n_real"], r["n_common"], r["n_union"]) for r in E.network_overlap(mine, real).collect()}
+    assert over == {0: (5, 9, 4, 10), 1: (5, 9, 3, 11), 2: (5, 9, 3, 11)}
+    share = {(r["doc_id"], r["round"]): (r["n_nodes"], r["n_nodes_real"]) for r in E.network_similarity(mine, real).collect()}
+    assert share[1, 2] == (3, 3) and share[2, 0] == (2, 1) and share[2, 1] == (2, 0) and share[3, 0] == (0, 0) and len(share) == 9
+    assert seen == [1, 1]
