@@ -20,6 +20,8 @@ from seqloom.session import broadcast_cap, durable, measured_bytes
 SPECIALS = ["[PAD]", "[EOS]", "[SOS]"]
 PAD_ID, EOS_ID, SOS_ID = 0, 1, 2
 
+BATCH_VALUES = 1 << 18  # tokens or ids that are looked up at once
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -106,10 +108,24 @@ def _looked_up(flat, places: dict):
     return found[pc.fill_null(coded.indices, len(found) - 1).to_numpy(zero_copy_only=False)]
 
 
+def _stretches(batches, lists: str):
+    """The batches cut into stretches of rows with at most ``BATCH_VALUES`` values in column ``lists`` (or of one
+    row), so that what is built from one at a time is bounded whatever the rows of a batch hold."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            most = (int(ends[at - 1]) if at else 0) + BATCH_VALUES
+            stop = max(int(np.searchsorted(ends, most, "right")), at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
+        pa.default_memory_pool().release_unused()
+
+
 def _filter_tokens(tokens: list[str]):
     def run(batches):
         places = {t: i for i, t in enumerate(tokens)}
-        for b in batches:
+        for b in _stretches(batches, "_toks"):
             flat, offsets = _list_parts(b.column("_toks"))
             keep = _looked_up(flat, places) >= 0
             yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(flat, offsets, keep)], [b.schema.names[0], "_toks"])
@@ -187,7 +203,7 @@ def _encode_table(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str,
 
     def run(batches):
         places = dict(zip(rows.column("token").to_pylist(), rows.column("id").to_pylist()))
-        for b in batches:
+        for b in _stretches(batches, "_toks"):
             flat, offsets = _list_parts(b.column("_toks"))
             found = _looked_up(flat, places)
             missing = found < 0
@@ -246,7 +262,7 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id", col: str =
         def run(batches):
             places = {x: i for i, x in enumerate(rows.column("id").to_pylist())}
             tokens = rows.column("token").combine_chunks()
-            for b in batches:
+            for b in _stretches(batches, "_ids"):
                 flat, offsets = _list_parts(b.column("_ids"))
                 at = _looked_up(flat, places)
                 found = pc.take(tokens, pa.array(at, mask=at < 0))

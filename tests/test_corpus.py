@@ -76,3 +76,18 @@ def test_unknown_and_empty_tokens_raise(spark, strategy):
         K.encode(_docs(spark, ["a  a"]), v, strategy=strategy).collect()
     dropped = K.encode(_docs(spark, ["a zz a"]), v, on_unknown="drop", strategy=strategy).first()
     assert dropped["len"] == 2
+
+
+def test_lookups_work_on_bounded_stretches(monkeypatch):
+    import pyarrow as pa
+
+    from seqloom.operators import corpus as K
+
+    monkeypatch.setattr(K, "BATCH_VALUES", 4)
+    lists = [["a", "x"], None, ["b"] * 9, [], ["a"], ["x", "b", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "_toks"])
+    cut = list(K._filter_tokens(["a", "b"])([batch, batch.slice(4)]))
+    assert max(sum(len(x) for x in b.column(1).to_pylist()) for b in cut if b.num_rows > 1) <= 4
+    rows = [x for b in cut for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = [(0, ["a"]), (1, []), (2, ["b"] * 9), (3, []), (4, ["a"]), (5, ["b", "a"])]
+    assert rows == want + want[4:]
