@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.hashing import hash_unit
 from seqloom.functions.text import single_space_tokens
 from seqloom.operators.contexts import UNIT, tiled
-from seqloom.session import broadcast_if_small, durable
+from seqloom.session import broadcast_if_small, durable, stored
 
 NEG_INF = float("-inf")
 
@@ -38,7 +38,8 @@ def next_token_counts(docs: DataFrame, col: str = "text", key: str = "doc_id") -
     """For each context token its successors with count and log-probability."""
     counts = successor_pairs(docs, col, key).groupBy("prev", "next").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     totals = counts.groupBy("prev").agg(F.sum("n").alias("_total"))
-    return counts.join(totals, "prev").select("prev", "next", "n", F.log(F.col("n") / F.col("_total")).alias("logp"))
+    # every context has a total; as a left join it is left out where nobody asks for ``logp``
+    return counts.where(F.col("prev").isNotNull()).join(totals, "prev", "left").select("prev", "next", "n", F.log(F.col("n") / F.col("_total")).alias("logp"))
 
 
 def cross_entropy_rows(logits: DataFrame, targets: DataFrame, ignore_index: int = -1, on_unknown: str = "error") -> DataFrame:
@@ -122,12 +123,12 @@ def candidate_table(model: DataFrame, temperature: float = 1.0, k: int | None =
     range pass over (context, token), so a token that is the context of a third of all pairs is spread
     over many tasks. Candidates without a probability (a null or ``-inf`` score) own no interval.
 
-    Each context's [0, 1) is cut into ``n_buckets`` equal slices, one per candidate (at
-    least ``MIN_BUCKETS``), and every candidate is listed under the slices it overlaps:
+    Each context's [0, 1) is cut into ``n_buckets`` equal slices, one per candidate (one in all
+    where they are few), and every candidate is listed under the slices it overlaps:
     at most about twice the model's rows, and a draw meets one or two candidates."""
     lg = model.select(F.col("prev").alias("row_id"), F.col("next").alias("token_id"),
                       (F.col("logp") / F.lit(float(temperature))).alias("logit")).where(F.col("logit") > F.lit(NEG_INF))
-    lg = durable(lg)  # read by several aggregates, and by the sampling of the range pass
+    lg = stored(lg)  # read by several aggregates, and by the sampling of the range pass
     if k is not None:
         lg = _kept(lg, k)
     best = lg.groupBy("row_id").agg(F.max("logit").alias("_best"))
@@ -155,8 +156,8 @@ def continue_sequences(seqs: DataFrame, model: DataFrame, steps: int, temperatur
     and stays as it is. Rows are told apart by a stored id: rows of one key each continue, and
     draw alike.
     """
-    seqs = durable(seqs.select(key, col).withColumn("_sl_rid", F.monotonically_increasing_id()))
-    cand = durable(candidate_table(model, temperature, k))
+    seqs = stored(seqs.select(key, col).withColumn("_sl_rid", F.monotonically_increasing_id()))
+    cand = stored(candidate_table(model, temperature, k))
     ctx, _ = broadcast_if_small(cand.select(F.col("row_id").alias("_ctx"), "n_buckets").distinct())
     cand = cand.withColumnRenamed("row_id", "_ctx").drop("n_buckets")
     cur = seqs.select("_sl_rid", key, F.try_element_at(col, F.lit(-1)).alias("_last"), F.array().cast("array<string>").alias("new"))

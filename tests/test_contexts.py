@@ -163,3 +163,37 @@ def test_candidates_tile_and_keep_ties(spark):
     assert [r["token_id"] for r in got if r["row_id"] == "b"] == ["q"]
     two = N.candidate_table(model, k=1).where("row_id = 'a'").select("token_id").distinct().collect()
     assert sorted(r[0] for r in two) == ["x", "y"]
+
+
+def test_only_asked_contexts_are_listed_once(spark):
+    """A context with few successors is one bucket: its successors are not listed under several."""
+    model = C.context_counts(spark.createDataFrame([(0, "a b c d e"), (1, "a c")], "doc_id long, text string"), 2)
+    assert {r["n_buckets"] for r in C.successor_intervals(model).collect()} == {1}
+    scores = spark.createDataFrame([("a", "b", -1.0), ("a", "c", -0.5)], "prev string, next string, logp double")
+    assert N.candidate_table(scores).count() == 2
+
+
+def test_counts_need_one_shuffle_and_no_checkpoint(spark):
+    plan = C.context_counts(spark.createDataFrame([(0, "a b c d e")], "doc_id long, text string"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
+def test_best_successor_joins_nothing(spark):
+    from seqloom.operators import evaluate as E
+
+    model = N.next_token_counts(spark.createDataFrame([(0, "a c a c a b a b d")], "doc_id long, text string"))
+    best = E.best_successor(model)
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["prev"]: r["guess"] for r in best.collect()} == {"a": "b", "c": "a", "b": "a"}
+    odd = spark.createDataFrame([("a", None, 3), ("b", "x", 2), ("b", None, 2), (None, "y", 1), ("c", "z", None)], "prev string, next string, n long")
+    assert {r["prev"]: r["guess"] for r in E.best_successor(odd).collect()} == {"a": None, "b": "x"}
+
+
+def test_stored_frames(spark):
+    from seqloom.session import stored
+
+    df = spark.createDataFrame([(1, [1, None], "x"), (2, None, None)], "a long, `b c` array<int>, d string")
+    assert sorted(map(tuple, stored(df).collect())) == sorted(map(tuple, df.collect()))
+    void = df.select("a", F.lit(None).alias("v"))
+    assert sorted(map(tuple, stored(void).collect())) == [(1, None), (2, None)]
+    assert stored(df.limit(0)).collect() == []
