@@ -8,6 +8,8 @@ row's place inside its split, never from arrival order.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from seqloom.operators.corpus import SPECIALS
 from seqloom.operators.positions import running_sum
-from seqloom.session import broadcast_if_small
+from seqloom.session import broadcast_cap, broadcast_if_small
 from seqloom.sources.json_ranges import read_json_map
 from seqloom.sources.rawfiles import RANGE_BYTES, NULL_SPLIT, U16, list_files, open_fs, read_u16
 
@@ -92,6 +94,23 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return _by_name(spark, path, fields, CATALOG_HEADER)
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing(spark: SparkSession):
+    """Many folders are listed by a few tasks a core, each taking its share, instead of by up to 10,000."""
+    own = spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, min(int(own or 10_000), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.set(LISTING, own)
+        else:
+            spark.conf.unset(LISTING)
+
+
 def file_order(df: DataFrame) -> DataFrame:
     """Add ``_file``, ``_block`` and ``_row``: with them, rows sort in file order."""
     return df.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -146,31 +165,32 @@ def parse_fasta_records(df: DataFrame) -> DataFrame:
     Only a file's first record keeps its ``>``; the header is the first line, the
     sequence is the rest with line breaks removed.
     """
-    body = F.regexp_replace(F.col("value"), r"^>", "")
-    nl = F.instr(F.col("_sl_body"), "\n")
-    head = F.when(nl > 0, F.expr("substring(_sl_body, 1, instr(_sl_body, '\\n') - 1)")).otherwise(F.col("_sl_body"))
-    rest = F.when(nl > 0, F.expr("substring(_sl_body, instr(_sl_body, '\\n') + 1)")).otherwise(F.lit(""))
+    value = F.col("value")
+    body = F.when(value.startswith(">"), F.substring(value, 2, 2147483647)).otherwise(value)
+    head = F.substring_index("_sl_body", "\n", 1)
+    rest = F.expr("substring(_sl_body, char_length(substring_index(_sl_body, '\\n', 1)) + 2)")
     return (df.withColumn("_sl_body", body)
             .withColumn("header", F.concat(F.lit(">"), head))
-            .withColumn("seq", F.regexp_replace(rest, "[\r\n]", ""))
+            .withColumn("seq", F.replace(F.replace(rest, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")))
             .drop("_sl_body"))
 
 
-def file_ordinal(df: DataFrame, out: str = "ord") -> DataFrame:
+def file_ordinal(df: DataFrame, out: str = "ord", **of_file: Column) -> DataFrame:
     """1-based position of each row inside its file, from ``_file, _block, _row``.
 
     A file split is read by one task, so its rows are contiguous in one partition and
     ``_row`` (monotonically increasing id) counts them. Per split: first ``_row`` and row
     count (a table of one row per split), the count of earlier splits of the same file
     (ordered by start offset), then ``ord = offset + (_row - first) + 1``. The records
-    themselves are never shuffled.
+    themselves are never shuffled. ``of_file``: more columns that follow from ``_file``, worked out once a split.
     """
     from pyspark.sql import Window
 
     splits = df.groupBy("_file", "_block").agg(F.min("_row").alias("_r0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits, _ = broadcast_if_small(splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"))
-    j = df.join(splits, ["_file", "_block"])
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n").withColumns(of_file)
+    splits, _ = broadcast_if_small(splits, 4 * broadcast_cap())  # a row a file, against a shuffle of every record by its path
+    j = df.drop(*of_file).join(splits, ["_file", "_block"])
     return j.withColumn(out, F.col("_off") + F.col("_row") - F.col("_r0") + 1).drop("_r0", "_off")
 
 
@@ -181,9 +201,10 @@ def read_cds_fasta(spark: SparkSession, path: str) -> DataFrame:
     line window and no shuffle of records. The accession comes from the file path;
     ``ord`` is the record's 1-based place in its file.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
-    recs = parse_fasta_records(file_order(raw)).withColumn("accession", F.regexp_extract("_file", ACCESSION_RE, 1))
-    return file_ordinal(recs).select("accession", "ord", "header", "seq")
+    with listing(spark):
+        raw = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    recs = parse_fasta_records(file_order(raw))
+    return file_ordinal(recs, accession=F.regexp_extract("_file", ACCESSION_RE, 1)).select("accession", "ord", "header", "seq")
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
