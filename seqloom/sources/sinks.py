@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.operators.positions import _same_as_before
+from seqloom.session import stored
 from seqloom.sources.rawfiles import NULL_SPLIT, write_raw
 
 U16_MAX = 65535
@@ -53,7 +54,8 @@ def write_line_pieces(pieces: DataFrame, path: str, sep: str = " ", mode: str =
     """
     if sep not in ("", " "):
         raise ValueError("sep must be a space or empty")
-    kept = pieces.where(F.col("accession").isNotNull() & (F.length("text") > 0))
+    # read five times below (begins, ends and pieces, each sampled before it is dealt): made once
+    kept = stored(pieces.select("accession", "piece", "text").where(F.col("accession").isNotNull() & (F.length("text") > 0)))
     lines = kept.select("accession").distinct()
     head = F.concat("accession", F.lit(":" if sep else ": "))
     rows = kept.select("accession", F.lit(1).alias("at"), F.col("piece").cast("long").alias("piece"), F.concat(F.lit(sep), "text").alias("data"))

@@ -52,3 +52,18 @@ def test_many_folders_are_listed_by_few_tasks(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert df.count() == n and spark.conf.get(R.LISTING) == before
     assert n not in tasks and 4 * spark.sparkContext.defaultParallelism in tasks
+
+
+def test_pieces_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("b", 0, "x"), ("a", 1, "y"), ("a", 0, "z")], "accession string, piece long, text string")
+    S.write_line_pieces(rows.mapInArrow(count, rows.schema), str(tmp_path / "p"))
+    assert made.value == 3
+    text = "".join(open(f).read() for f in sorted((tmp_path / "p").glob("part-*.txt")))
+    assert text == "a: z y\nb: x\n"
