@@ -67,3 +67,22 @@ def test_pieces_are_made_once(spark, tmp_path):
     assert made.value == 3
     text = "".join(open(f).read() for f in sorted((tmp_path / "p").glob("part-*.txt")))
     assert text == "a: z y\nb: x\n"
+
+
+def test_an_ingest_lists_its_folders_by_few_tasks(spark):
+    from seqloom.streaming import ingest as ST
+
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("lm", "om", "cm"))
+    few = 4 * spark.sparkContext.defaultParallelism
+    n = few + 45
+    S.write_fasta(spark.range(n).selectExpr("concat('GCF_', 100 + id, '.1') accession", "1L ord", "'>h [gene=abc] [x]' header", "repeat('A', 1 + id) seq"), landing)
+    gi = spark.createDataFrame([], "gene_id string, symbol string, ord long")
+    asked = []  # how many tasks a listing may take while the stream reads
+    own, before = ST.write_arrivals, spark.conf.get(R.LISTING, None)
+    ST.write_arrivals = lambda batch, *rest: (asked.append(spark.conf.get(R.LISTING)), own(batch, *rest))[1]
+    try:
+        ST.ingest_stream(spark, landing, gi, out, ckpt)
+    finally:
+        ST.write_arrivals = own
+    assert asked == [str(few)] and spark.conf.get(R.LISTING, None) == before
+    assert ST.read_ingested(spark, out).count() == n
