@@ -191,20 +191,34 @@ def _joined_runs(keys: list[str], sep: str):
     return run
 
 
+def _places(df: DataFrame) -> list[str]:
+    """What tells the chunks of ``df`` apart, in order: where ``ord`` counts within blocks of a file, the block too."""
+    return ["accession", *(["_block"] if "_block" in df.columns else []), "_chunk"]
+
+
+def dealt_records(labelled: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``labelled`` with ``_chunk``, dealt by chunk and sorted in record order. Kept (``persist``), it saves the
+    sentences made of it a shuffle and a sort each; they keep its chunks, whatever their ``size``."""
+    rows = labelled.withColumn("_chunk", F.floor(F.col("ord") / F.lit(size)).cast("long"))
+    keys = _places(rows)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ord")
+
+
 def _chunk_runs(df: DataFrame, piece: Column, sep: str, size: int, flag: Column | None = None) -> DataFrame:
-    """``accession, _chunk, _part, _n, _flagged``: of every ``size`` records of a genome the pieces joined in
-    record order, how many there are and how many records are flagged.
+    """``accession, _chunk, _part, _n, _flagged`` (and ``_block``, see ``_places``): of every ``size`` records of a
+    genome the pieces joined in record order, how many there are and how many records are flagged.
 
     The records are dealt by chunk and sorted once, then joined run by run: collecting them
     in an aggregation sorts every record's own buffer as soon as a task has more than 128 chunks. Null pieces
     are left out only here: a filter below would be pushed under the lookups, where it takes
-    every record's header apart several times more.
+    every record's header apart several times more. Rows of ``dealt_records`` are taken as they lie.
     """
-    keys = ["accession", "_chunk"]
-    chunk = F.floor(F.col("ord") / F.lit(size)).cast("long")
-    rows = df.select("accession", chunk.alias("_chunk"), "ord", piece.alias("_piece"), (F.lit(False) if flag is None else flag).alias("_flag"))
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ord", "_piece")
-    schema = T.StructType([T.StructField("accession", rows.schema["accession"].dataType), T.StructField("_chunk", T.LongType()),
+    lie = "_chunk" in df.columns
+    chunk = F.col("_chunk") if lie else F.floor(F.col("ord") / F.lit(size)).cast("long")
+    keys = _places(df) if lie else _places(df.withColumn("_chunk", chunk))
+    rows = df.select(*keys[:-1], chunk.alias("_chunk"), "ord", piece.alias("_piece"), (F.lit(False) if flag is None else flag).alias("_flag"))
+    dealt = rows if lie else rows.repartition(*keys).sortWithinPartitions(*keys, "ord", "_piece")
+    schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in keys),
                            T.StructField("_part", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_flagged", T.LongType())])
     return dealt.select(*keys, "_piece", "_flag").mapInArrow(_joined_runs(keys, sep), schema)
 
@@ -217,8 +231,9 @@ def _chunk_parts(df: DataFrame, piece: Column, sep: str, size: int) -> DataFrame
 
 def _assemble(df: DataFrame, piece: Column, sep: str, out: str) -> DataFrame:
     """Ordered concatenation per genome in two levels: chunks of CHUNK records, then chunks."""
-    return _chunk_parts(df, piece, sep, CHUNK).groupBy("accession").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))),
+    parts = _chunk_parts(df, piece, sep, CHUNK)
+    return parts.groupBy("accession").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_places(parts)[1:], "_part"))),
                                  lambda x: x["_part"]), sep).alias(out),
         F.sum("_n").cast("bigint").alias("n_pieces"))
 
@@ -236,7 +251,8 @@ def nt_pieces(labelled: DataFrame, mode: str = "symbol", size: int | None = None
 
 
 def _pieces(labelled: DataFrame, piece: Column, sep: str, size: int | None) -> DataFrame:
-    parts = _chunk_parts(labelled, piece, sep, size or CHUNK)
+    # pieces are numbered by ord alone
+    parts = _chunk_parts(labelled.drop("_block", "_chunk"), piece, sep, size or CHUNK)
     return parts.select("accession", F.col("_chunk").alias("piece"), F.col("_part").alias("text"))
 
 
@@ -252,7 +268,7 @@ def genome_summary(labelled: DataFrame) -> DataFrame:
     """
     missed = F.coalesce(F.col("label_source") == "missed", F.lit(False))
     first = _chunk_runs(labelled, F.col("label"), " ", CHUNK, missed).withColumnRenamed("_flagged", "_missed")
-    parts = F.filter(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: F.length(x["_part"]) > 0)
+    parts = F.filter(F.array_sort(F.collect_list(F.struct(*_places(first)[1:], "_part"))), lambda x: F.length(x["_part"]) > 0)
     out = first.groupBy("accession").agg(
         F.array_join(F.transform(parts, lambda x: x["_part"]), " ").alias("genes"),
         F.sum("_n").cast("bigint").alias("n_genes"), F.sum("_missed").cast("bigint").alias("missed"))

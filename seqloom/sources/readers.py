@@ -95,20 +95,24 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+FOLDER_TYPES = "spark.sql.sources.partitionColumnTypeInference.enabled"
 
 
 @contextmanager
 def listing(spark: SparkSession):
-    """Many folders are listed by a few tasks a core, each taking its share, instead of by up to 10,000."""
-    own = spark.conf.get(LISTING, None)
-    spark.conf.set(LISTING, min(int(own or 10_000), 4 * spark.sparkContext.defaultParallelism))
+    """Many folders are listed by a few tasks a core, each taking its share, instead of by up to 10,000; the
+    driver does not try every type on the name of every folder (the values of folder names are not read here)."""
+    own = {k: spark.conf.get(k, None) for k in (LISTING, FOLDER_TYPES)}
+    spark.conf.set(LISTING, min(int(own[LISTING] or 10_000), 4 * spark.sparkContext.defaultParallelism))
+    spark.conf.set(FOLDER_TYPES, "false")
     try:
         yield
     finally:
-        if own:
-            spark.conf.set(LISTING, own)
-        else:
-            spark.conf.unset(LISTING)
+        for k, v in own.items():
+            if v:
+                spark.conf.set(k, v)
+            else:
+                spark.conf.unset(k)
 
 
 def file_order(df: DataFrame) -> DataFrame:

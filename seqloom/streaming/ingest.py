@@ -32,6 +32,7 @@ from seqloom.sources.sinks import corpus_lines
 
 ARRIVAL = "genome string, content string, file string"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROW_BITS = (1 << 33) - 1  # of monotonically_increasing_id: the row's place in its partition
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -80,23 +81,29 @@ def write_lines(new: DataFrame, batch_id: int, gene_info: DataFrame, out: str, g
     new = new.persist()
     labels = None
     try:
-        files = [_literal(r["file"]) for r in new.select("file").collect()]
+        named = new.select("file", F.xxhash64("file").alias("key")).collect()
+        files = [_literal(r["file"]) for r in named]
+        # records carry a number for their file's name; two names of one number (none to be expected) stay names
+        key = F.xxhash64 if len({r["key"] for r in named}) == len(named) else F.col
         # without new files the folders are emptied all the same: the batch may be a replay
         with listing(spark):
             lines = file_order(spark.read.option("lineSep", "\n>").text(files)) if files else spark.createDataFrame(
                 [], "value string, _file string, _block long, _row long")
-        recs = _records(lines)
+        # a sentence asks for the order of its records only: their place in the block that one task reads
+        recs = parse_fasta_records(lines.where(F.length(F.trim("value")) > 0)).select(
+            key("_file").alias("accession"), "_block", F.col("_row").bitwiseAND(ROW_BITS).alias("ord"), "header", "seq")
         labels = A.label_records(recs, gene_info) if gene_go is None else A.go_tokens(recs, gene_go)
         # what the sentences and counts read, no headers
-        labels = labels.select("accession", "ord", "seq", "gid", "label").persist()
-        names = new.select(F.col("file").alias("accession"), "genome")
+        labels = A.dealt_records(labels.select("accession", "_block", "ord", "seq", "gid", "label")).persist()
+        names = new.select(key("file").alias("accession"), "genome")
         for folder, text, col in (("corpus", A.gene_sentence(labels), "genes"),
                                   ("nucleotides", A.nt_sentence(labels, "symbol" if gene_go is None else "go"), "nt")):
             named = text.join(names, "accession").select("genome", col)
             corpus_lines(named, key="genome", col=col).write.mode("overwrite").text(f"{out}/{folder}/batch_id={batch_id}")
         counts = labels.groupBy("accession").agg(F.count(F.lit(1)).cast("bigint").alias("n_records"),
                                                  F.count("label").cast("bigint").alias("n_labelled"))
-        new.join(counts.withColumnRenamed("accession", "file"), "file").write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
+        counted = new.withColumn("accession", key("file")).join(counts, "accession")
+        counted.select("file", "genome", "content", "n_records", "n_labelled").write.mode("overwrite").parquet(f"{out}/manifest/batch_id={batch_id}")
     finally:
         for df in (labels, new):
             if df is not None:
