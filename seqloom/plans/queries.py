@@ -1136,9 +1136,9 @@ def _ingested(spark, sf, **mode):
     recs = X.cds_records(spark, sf)
     gi = X.gene_info(spark, sf)
     S.write_fasta(recs.where(F.col("accession").startswith("GCF")), landing)
-    ST.ingest_stream(spark, landing, gi, out, ckpt, **mode)
+    ST.ingest_stream(spark, landing, gi, out, ckpt, nested=True, **mode)
     S.write_fasta(recs.where(~F.col("accession").startswith("GCF")), landing, mode="append")
-    ST.ingest_stream(spark, landing, gi, out, ckpt, **mode)
+    ST.ingest_stream(spark, landing, gi, out, ckpt, nested=True, **mode)
     return out
 
 

@@ -9,9 +9,11 @@ row's place inside its split, never from arrival order.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,8 @@ ACCESSION_RE = r"(GC[AF]_[0-9]+\.[0-9]+)"
 # Fixed value: start of the marker line that a run of the ingest writes.
 SESSION_MARKER = "################"
 
+BOM = b"\xef\xbb\xbf"  # a byte order mark; Hadoop's line reader drops it, too
+
 
 def _na(col: str) -> Column:
     c = F.col(col)
@@ -198,6 +202,78 @@ def file_ordinal(df: DataFrame, out: str = "ord", **of_file: Column) -> DataFram
     return j.withColumn(out, F.col("_off") + F.col("_row") - F.col("_r0") + 1).drop("_r0", "_off")
 
 
+def dealt_names(names: DataFrame, col: str, files: int) -> DataFrame:
+    """The names of at most ``files`` files dealt over a given number of partitions (their bytes say nothing of the
+    files'), in name order."""
+    sc = names.sparkSession.sparkContext
+    n = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)
+    return names.repartition(max(min(n, files), 1), col).sortWithinPartitions(col)
+
+
+def _packed_values(path: str, chunk: int):
+    """The stretches between ``\\n>`` of a gzip file, as lists, and whether one may hold a ``\\r``; a byte order
+    mark and an empty end are none."""
+    rest, first = b"", True
+    with pa.input_stream(path, compression="gzip") as f:
+        while data := f.read(chunk):
+            data = rest + data
+            values = data.split(b"\n>")
+            rest = values.pop()
+            if values:
+                if first:
+                    values[0], first = values[0].removeprefix(BOM), False
+                yield values, b"\r" in data
+    rest = rest.removeprefix(BOM) if first else rest
+    if rest:
+        yield [rest], b"\r" in rest
+
+
+def _parsed(values: list[bytes], returns: bool):
+    """Which of ``values`` are records, their headers and sequences, as ``parse_fasta_records`` makes them."""
+    text = pa.array(values, pa.binary()).view(pa.string())
+    kept = np.flatnonzero(pc.binary_length(pc.ascii_trim(text, " ")).to_numpy(zero_copy_only=False))
+    body = text if len(kept) == len(text) else text.take(pa.array(kept))
+    marked = pc.starts_with(body, ">")
+    if pc.any(marked).as_py():
+        body = pc.if_else(marked, pc.binary_replace_slice(body.view(pa.binary()), 0, 1, b"").view(pa.string()), body)
+    lines = pc.split_pattern(body, "\n", max_splits=1)
+    begins, flat = lines.offsets.to_numpy(), lines.flatten()
+    after = pa.array(begins[:-1] + 1, mask=np.diff(begins) < 2)
+    seq = pc.replace_substring(pc.fill_null(flat.take(after), ""), "\n", "")
+    return kept, pc.binary_join_element_wise(">", flat.take(pa.array(begins[:-1])), ""), pc.replace_substring(seq, "\r", "") if returns else seq
+
+
+def _packed_batches(chunk: int):
+    def run(batches):
+        for batch in batches:
+            kind = batch.schema.field("_key").type
+            for file, key in zip(batch.column("_file").to_pylist(), batch.column("_key").to_pylist()):
+                at, begin = 0, None
+                for values, returns in _packed_values(open_fs(unquote(file))[1], chunk):
+                    kept, header, seq = _parsed(values, returns)
+                    n = len(kept)
+                    if n:
+                        name = pa.nulls(n, pa.string()) if begin is not None else pa.concat_arrays([pa.array([file]), pa.nulls(n - 1, pa.string())])
+                        begin = at + int(kept[0]) if begin is None else begin
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(pa.scalar(key, kind), n), name, pa.array(kept + (at - begin + 1), pa.int64()), header, seq],
+                            ["_key", "_file", "ord", "header", "seq"])
+                    at += len(values)
+    return run
+
+
+def packed_records(names: DataFrame, chunk: int = 1 << 22) -> DataFrame:
+    """``_key, _file, ord, header, seq``: the records of the gzip files named by ``_file, _key``, as
+    ``parse_fasta_records`` and ``file_ordinal`` make them of Spark's text reader.
+
+    A task unpacks its files one after the other, ``chunk`` bytes at a time. Spark's reader copies its
+    configuration for every file and looks for the record ends byte by byte; here a file is opened and split.
+    ``_file`` stands at a file's first record only.
+    """
+    kind = names.schema["_key"].dataType.simpleString()
+    return names.select("_file", "_key").mapInArrow(_packed_batches(chunk), f"_key {kind}, _file string, ord long, header string, seq string")
+
+
 def read_cds_fasta(spark: SparkSession, path: str) -> DataFrame:
     """CDS FASTA files (gzip or plain) -> ``accession, ord, header, seq``.
 
