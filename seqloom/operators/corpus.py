@@ -108,11 +108,20 @@ def _looked_up(flat, places: dict):
     return found[pc.fill_null(coded.indices, len(found) - 1).to_numpy(zero_copy_only=False)]
 
 
-def _stretches(batches, lists: str):
-    """The batches cut into stretches of rows with at most ``BATCH_VALUES`` values in column ``lists`` (or of one
+def _sizes(column) -> np.ndarray:
+    """Values of each list; of a text as many as it has tokens of three letters."""
+    if pa.types.is_list(column.type):
+        sizes = pc.list_value_length(column)
+    else:
+        sizes = pc.divide(pc.add(pc.binary_length(column), 3), 4)
+    return pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _stretches(batches, values: str):
+    """The batches cut into stretches of rows with at most ``BATCH_VALUES`` values in column ``values`` (or of one
     row), so that what is built from one at a time is bounded whatever the rows of a batch hold."""
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(_sizes(b.column(values)))
         at = 0
         while at < b.num_rows:
             most = (int(ends[at - 1]) if at else 0) + BATCH_VALUES

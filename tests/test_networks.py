@@ -79,3 +79,36 @@ def test_same_whether_the_labels_are_broadcast_or_shuffled(spark, monkeypatch, s
     share = {(r["doc_id"], r["round"]): (r["n_nodes"], r["n_nodes_real"]) for r in E.network_similarity(mine, real).collect()}
     assert share[1, 2] == (3, 3) and share[2, 0] == (2, 1) and share[2, 1] == (2, 0) and share[3, 0] == (0, 0) and len(share) == 9
     assert seen == [1, 1]
+
+
+def test_rows_of_a_stretch_are_graphs_of_their_own():
+    import hashlib
+
+    for texts in (["a b", "b a c", None, "", "a b"], ["a b a"], []):
+        got = [(int(i), bytes(x).hex()) for of, held in E._refine(texts, 1) for i, x in zip(of, held)]
+        want = []
+        for i, t in enumerate(texts):
+            h = {x: hashlib.md5(x.encode()).hexdigest() for x in (t or "").split()}
+            near = {x: {b for a, b in zip((t or "").split(), (t or "").split()[1:]) if a == x != b}
+                    | {a for a, b in zip((t or "").split(), (t or "").split()[1:]) if b == x != a} for x in h}
+            sums = {x: [sum(int(h[y][at:at + 10], 16) for y in near[x]) for at in (0, 10)] for x in h}
+            want += [(i, h[x]) for x in h] + [(i, hashlib.md5(f"{h[x]}|{sums[x][0]}|{sums[x][1]}".encode()).hexdigest()) for x in h]
+        assert sorted(got) == sorted(want)
+
+
+def test_labels_that_no_generated_row_has_stay_where_they_are_made(spark):
+    real = frame(spark, [" ".join(f"r{i}" for i in range(k, k + 200)) for k in range(0, 2000, 200)] + ["a b"])
+    wanted, _ = E._places(E._labels(frame(spark, ["a b c"]), 2, "doc_id", "text"))
+    rows = E._labels(real, 2, "doc_id", "text", wanted, rest=True).collect()
+    assert sum(r["n"] for r in rows) == 3 * 2002  # every node counts, few have a row
+    assert len([r for r in rows if r["label"] is not None]) < 200
+    held = {bytes(r["label"]) for r in rows if r["label"] is not None}
+    assert held >= {bytes(r["label"]) for r in E._labels(frame(spark, ["a b"]), 0, "doc_id", "text").collect()}
+
+
+def test_a_filter_at_its_cap_changes_nothing(spark, monkeypatch):
+    made, real = frame(spark, texts(3, 50)), frame(spark, texts(4, 50))
+    want = sorted(map(tuple, E.network_overlap(made, real).collect()))
+    monkeypatch.setattr(E, "broadcast_cap", lambda: 16)  # 128 bits for all labels
+    assert sorted(map(tuple, E.network_overlap(made, real).collect())) == want
+    assert len(E._places(E._labels(made, 2, "doc_id", "text"))[0]) == 2
