@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +84,25 @@ def max_len(docs: DataFrame, col: str = "text") -> DataFrame:
     return docs.agg(F.max(token_count_single_space(col)).cast("bigint").alias("max_len"))
 
 
+def _count_tokens(batches):
+    held: Counter = Counter()
+
+    def given():
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
+        held.clear()
+        return out
+
+    for b in _stretches(batches, "text"):
+        held.update(chain.from_iterable(x.split() for x in b.column("text").to_pylist() if x))
+        if len(held) > BATCH_VALUES:  # what a task counts is bounded, the sums are taken behind the shuffle
+            yield given()
+    yield given()
+
+
 def token_counts(docs: DataFrame, col: str = "text") -> DataFrame:
-    """Whitespace-token frequencies ``token, n``."""
-    return docs.select(F.explode(whitespace_tokens(col)).alias("token")).groupBy("token") \
-        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    """Whitespace-token frequencies ``token, n``, counted by tasks as they read and summed by one shuffle."""
+    counted = docs.select(F.col(col).alias("text")).mapInArrow(_count_tokens, "token string, n long")
+    return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _list_parts(column):
@@ -132,12 +149,21 @@ def _stretches(batches, values: str):
 
 
 def _filter_tokens(tokens: list[str]):
+    """Rows of a key and a list of tokens, or a text: the same with only ``tokens``. Of texts, those left with
+    none are dropped."""
     def run(batches):
         places = {t: i for i, t in enumerate(tokens)}
+        known = places.__contains__
         for b in _stretches(batches, "_toks"):
-            flat, offsets = _list_parts(b.column("_toks"))
-            keep = _looked_up(flat, places) >= 0
-            yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(flat, offsets, keep)], [b.schema.names[0], "_toks"])
+            column = b.column("_toks")
+            if pa.types.is_list(column.type):
+                flat, offsets = _list_parts(column)
+                kept = _kept_lists(flat, offsets, _looked_up(flat, places) >= 0)
+                yield pa.RecordBatch.from_arrays([b.column(0), kept], [b.schema.names[0], "_toks"])
+                continue
+            texts = [" ".join(filter(known, x.split())) if x else "" for x in column.to_pylist()]
+            rows = pa.array([i for i, x in enumerate(texts) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([x for x in texts if x], pa.string())], [b.schema.names[0], "_toks"])
 
     return run
 
@@ -151,12 +177,12 @@ def reduce_vocab(docs: DataFrame, max_size: int = 65533, col: str = "text", key:
     looked up (the most frequent ones by broadcast) and regrouped. Both give the same rows.
     """
     kept = durable(token_counts(docs, col).orderBy(F.desc("n"), F.asc("token")).limit(max_size))
-    toks = docs.select(F.col(key), whitespace_tokens(col).alias("_toks")).where(F.col("_toks").isNotNull())
     if measured_bytes(kept.select("token")) <= broadcast_cap():
         tokens = [r["token"] for r in kept.select("token").collect()]
-        schema = T.StructType([toks.schema[key], T.StructField("_toks", T.ArrayType(T.StringType()))])
-        left = toks.mapInArrow(_filter_tokens(tokens), schema).where(F.size("_toks") > 0)
-        return left.select(key, F.array_join("_toks", " ").alias(col)), kept
+        # texts are taken apart by the worker: their tokens would be many times as much to hand over
+        left = docs.select(key, F.col(col).alias("_toks")).mapInArrow(_filter_tokens(tokens), T.StructType([docs.schema[key], T.StructField("_toks", T.StringType())]))
+        return left.withColumnRenamed("_toks", col), kept
+    toks = docs.select(F.col(key), whitespace_tokens(col).alias("_toks")).where(F.col("_toks").isNotNull())
     rows = toks.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", key, F.posexplode("_toks").alias("pos", "token"))
     on = spread_lookup(rows, kept.select("token", F.lit(True).alias("_kept")), "token", "_kept").where("_kept")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
@@ -207,23 +233,31 @@ def _encode_join(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str, u
     return j.groupBy("_rid", key).agg(ids.alias("ids")).drop("_rid")
 
 
-def _encode_table(toks: DataFrame, vocab: DataFrame, key: str, on_unknown: str, unk_id) -> DataFrame:
+class _Places(dict):
+    """Ids of tokens, -1 of unknown ones."""
+
+    def __missing__(self, token):
+        return -1
+
+
+def _encode_table(docs: DataFrame, vocab: DataFrame, key: str, col: str, on_unknown: str, unk_id) -> DataFrame:
     rows = vocab.select("token", "id").toArrow()
 
     def run(batches):
-        places = dict(zip(rows.column("token").to_pylist(), rows.column("id").to_pylist()))
-        for b in _stretches(batches, "_toks"):
-            flat, offsets = _list_parts(b.column("_toks"))
-            found = _looked_up(flat, places)
+        places = _Places(zip(rows.column("token").to_pylist(), rows.column("id").to_pylist()))
+        for b in _stretches(batches, "_text"):
+            toks = [[] if x is None else x.split(" ") for x in b.column("_text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in toks], dtype=np.int64)])
+            found = np.fromiter(map(places.__getitem__, chain.from_iterable(toks)), np.int64, int(offsets[-1]))
             missing = found < 0
             if missing.any() and on_unknown == "error":
-                raise ValueError(f"unknown token: {flat[int(missing.argmax())].as_py()!r}")
+                raise ValueError(f"unknown token: {next(islice(chain.from_iterable(toks), int(missing.argmax()), None))!r}")
             if on_unknown == "unk":
                 found, missing = np.where(missing, unk_id, found), np.zeros(len(found), bool)
             yield pa.RecordBatch.from_arrays([b.column(0), _kept_lists(pa.array(found, pa.int32()), offsets, ~missing)], [b.schema.names[0], "ids"])
 
-    schema = T.StructType([toks.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return toks.mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(key, F.col(col).alias("_text")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: str = "text",
@@ -248,8 +282,10 @@ def encode(docs: DataFrame, vocab: DataFrame, on_unknown: str = "error", col: st
         unk_id = int(r["id"])
     if strategy == "auto":
         strategy = "table" if measured_bytes(vocab) <= broadcast_cap() else "join"
-    toks = docs.select(key, single_space_tokens(col).alias("_toks"))
-    out = (_encode_table if strategy == "table" else _encode_join)(toks, vocab, key, on_unknown, unk_id)
+    if strategy == "table":
+        out = _encode_table(docs, vocab, key, col, on_unknown, unk_id)
+    else:
+        out = _encode_join(docs.select(key, single_space_tokens(col).alias("_toks")), vocab, key, on_unknown, unk_id)
     return out.withColumn("len", F.size("ids").cast("bigint"))
 
 

@@ -85,17 +85,20 @@ def stream_offsets(framed: DataFrame, order_cols: Sequence[str], split_col: str
 
 
 def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order_key",),
-         split_col: str = "split", col: str = "ids") -> DataFrame:
+         split_col: str = "split", col: str = "ids", zeros: str | None = None) -> DataFrame:
     """Concatenate each split's rows in order and cut the stream into ``block_size`` blocks.
 
     Output ``split, block_id, ids, n``; the last block of a split may be short. Rows may
     come padded (``ids``) or compact from ``frame`` (``body`` + ``pad``): compact pieces
     carry only their real ids and a pad count through the shuffle, and the zeros are
     written when the block is assembled. A block that lies within one row is complete where
-    the row is and is not shuffled: only the (at most two) pieces at a row's ends are.
+    the row is and is not shuffled: only the (at most two) pieces at a row's ends are. With ``zeros`` (of compact rows)
+    the padding at the end of such a block stays a number in that column: ``n`` counts ``ids`` and ``zeros``.
     """
     B = int(block_size)
     compact = "body" in framed.columns and "pad" in framed.columns
+    if zeros and not compact:
+        raise ValueError("only compact rows have padding that is no id")
     off = stream_offsets(framed, order_cols, split_col)
     o, L = F.col("offset"), F.col("len")
     first_q, last_q = F.floor(o / B).cast("long"), F.floor((o + L - 1) / B).cast("long")
@@ -118,8 +121,15 @@ def pack(framed: DataFrame, block_size: int, order_cols: Sequence[str] = ("order
         parts = pieces.select(split_col, "block_id", "offset", whole.alias("_whole"), piece.alias("_piece"))
         filled = lambda x: x["_piece"]
         ordered = F.array_sort(F.collect_list(F.struct("offset", "_piece")))
-    alone = parts.where("_whole").select(split_col, "block_id", filled({c: F.col(c) for c in parts.columns}).alias(col))
+    whole = parts.where("_whole")
+    if zeros:
+        alone = whole.select(split_col, "block_id", F.col("_real").alias(col), F.col("_npad").alias(zeros))
+    else:
+        alone = whole.select(split_col, "block_id", filled({c: F.col(c) for c in parts.columns}).alias(col))
     joined = parts.where("NOT _whole").groupBy(split_col, "block_id").agg(F.flatten(F.transform(ordered, filled)).alias(col))
+    if zeros:
+        joined = joined.withColumn(zeros, F.lit(0))
+        return alone.unionByName(joined).withColumn("n", (F.size(col) + F.col(zeros)).cast("bigint"))
     return alone.unionByName(joined).withColumn("n", F.size(col).cast("bigint"))
 
 

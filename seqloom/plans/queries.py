@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -314,6 +317,7 @@ MAX_VOCAB = 65533
 SPLIT_SEED = 42
 VAL_FRAC = 0.03
 BLOCK = 1024
+PLACES = 1000003  # places are weights modulo this
 
 
 class CorpusFlow:
@@ -369,6 +373,10 @@ class CorpusFlow:
     def blocks(self):
         return L.pack(self.compact, BLOCK, ["order_key"])
 
+    @cached_property
+    def padded_blocks(self):
+        return L.pack(self.compact, BLOCK, ["order_key"], zeros=S.ZEROS)  # the same blocks, their padding a count
+
 
 def flow(spark, sf) -> CorpusFlow:
     return X._cached(spark, sf, "corpus_flow", lambda: CorpusFlow(spark, sf))
@@ -1107,20 +1115,43 @@ SELECT split, pos // {BLOCK} AS block_id, count(*) AS n,
 FROM stream GROUP BY split, pos // {BLOCK}"""
 
 
+def _ids_md5(batches):
+    """The md5 of each block's ids, joined by spaces."""
+    from hashlib import md5
+
+    names, blank = [str(i) for i in range(S.U16_MAX + 1)], {}
+    for b in batches:
+        ids = pc.list_flatten(b.column("ids")).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64))])
+        some, out = np.diff(np.searchsorted(np.flatnonzero(ids), ends)), []
+        for held, begin, end in zip(some.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            if held:
+                out.append(md5(" ".join([names[i] for i in ids[begin:end].tolist()]).encode()).hexdigest())
+            else:  # padding alone: told by its length
+                if end - begin not in blank:
+                    blank[end - begin] = md5(" ".join(["0"] * (end - begin)).encode()).hexdigest()
+                out.append(blank[end - begin])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], ["split", "block_id", "n", "ids_md5"])
+
+
+def _ids_held(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("split"), b.column("block_id"), pc.list_value_length(b.column("ids")).cast(pa.int64())], ["split", "block_id", "n"])
+
+
 @register("k3_write_shards", CV(_W5_SQL))
 def q_k3(spark, sf):
     path = scratch_path(spark, "shards")
-    S.write_shards(flow(spark, sf).blocks, path)
-    back = R.read_shards(spark, path)
-    return back.select("split", "block_id", "n", F.md5(_ids_str()).alias("ids_md5"))
+    S.write_shards(flow(spark, sf).padded_blocks, path)
+    return R.read_shards(spark, path, _ids_md5, "split string, block_id long, n long, ids_md5 string")
 
 
 @register("s9_read_shards", CV(f"""
 SELECT split, pos // {BLOCK} AS block_id, CAST(count(*) AS BIGINT) AS n FROM stream GROUP BY split, pos // {BLOCK}"""))
 def q_s9(spark, sf):
     path = scratch_path(spark, "shards")
-    S.write_shards(flow(spark, sf).blocks, path)
-    return R.read_shards(spark, path).select("split", "block_id", F.size("ids").cast("bigint").alias("n"))
+    S.write_shards(flow(spark, sf).padded_blocks, path)
+    return R.read_shards(spark, path, _ids_held, "split string, block_id long, n long")
 
 
 @register("st1_ingest_stream", V("""
@@ -1212,11 +1243,36 @@ def _write_stream(spark, sf, n_max):
     return path
 
 
-def _checksums(stream, *by):
-    """Ids, their sum and their sum weighted by place, per group: sums of whole numbers, order-independent."""
-    ids = stream.select(*by, "offset", F.posexplode("ids").alias("i", "id"))
-    at = F.col("offset") + F.col("i")
-    return ids.withColumn("pos", at)
+def _checksums(spark, path, by, block=None, **ranges):
+    """Of the stream files: count of ids (``n``), their sum and their sum weighted by place per group (of ``by`` and, with
+    ``block``, of ``block`` ids of the stream): sums of whole numbers, order-independent. An id has no row of its own, every one
+    is read and summed in the worker."""
+    def run(batches):
+        for b in batches:
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            flat = pc.list_flatten(b.column("ids")).to_numpy(zero_copy_only=False)
+            rows, found = [], []
+            for i, first in enumerate(b.column("offset").to_pylist()):
+                ids = flat[ends[i]:ends[i + 1]]
+                if not len(ids):
+                    continue
+                size = block or first + len(ids)
+                blocks = np.arange(first // size, (first + len(ids) - 1) // size + 1)
+                cuts = np.clip(np.append(blocks, blocks[-1] + 1) * size - first, 0, len(ids))
+                at = np.flatnonzero(ids)  # zeros add nothing to a sum
+                held, place, sums = ids[at].astype(np.int64), (first + at) % PLACES, np.zeros((2, len(blocks)), np.int64)
+                np.add.at(sums[0], (first + at) // size - blocks[0], held)
+                np.add.at(sums[1], (first + at) // size - blocks[0], held * place)
+                rows.append(np.full(len(blocks), i))
+                found.append(np.stack([blocks, np.diff(cuts), *sums]))
+            if rows:
+                of, found = pa.array(np.concatenate(rows)), np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(c).take(of) for c in by] + [pa.array(x) for x in found], names)
+
+    names = [*by, "block_id", "n", "id_sum", "place_sum"]
+    schema = ", ".join(f"{c} {'string' if c == 'split' else 'long'}" for c in names)
+    groups = [*by, "block_id"] if block else by
+    return R.read_stream(spark, path, each=run, schema=schema, **ranges).groupBy(*groups).agg(*[F.sum(c).alias(c) for c in names[len(by) + 1:]])
 
 
 @register("k3_shard_files", CV("""
@@ -1233,9 +1289,7 @@ GROUP BY split, shard"""))
 def q_k3_files(spark, sf):
     """One uint16 file a shard: the manifest, beside sums over the bytes that were written."""
     path = _write_stream(spark, sf, 1024)
-    ids = _checksums(R.read_stream(spark, path), "split", "shard")
-    found = ids.groupBy("split", "shard").agg(F.count("*").alias("held"), F.sum("id").alias("id_sum"),
-                                              F.sum(F.col("id") * (F.col("pos") % 1000003)).alias("place_sum"))
+    found = _checksums(spark, path, ["split", "shard"]).withColumnRenamed("n", "held")
     return R.stream_manifest(spark, path).join(found, ["split", "shard"], "left").where("held = n").drop("held")
 
 
@@ -1244,9 +1298,7 @@ SELECT split, pos // {BLOCK} AS block_id, count(*) AS n, CAST(sum(id) AS BIGINT)
        CAST(sum(id * (pos % 1000003)) AS BIGINT) AS place_sum FROM stream GROUP BY split, pos // {BLOCK}"""))
 def q_s9_ranges(spark, sf):
     """Few large files, each read by several tasks."""
-    ids = _checksums(R.read_stream(spark, _write_stream(spark, sf, 4), range_bytes=1 << 20), "split")
-    return ids.groupBy("split", F.floor(F.col("pos") / BLOCK).alias("block_id")).agg(
-        F.count("*").alias("n"), F.sum("id").alias("id_sum"), F.sum(F.col("id") * (F.col("pos") % 1000003)).alias("place_sum"))
+    return _checksums(spark, _write_stream(spark, sf, 4), ["split"], BLOCK, range_bytes=1 << 20)
 
 
 @register("w7_random_access", REGISTRY["w7_sample_blocks"][1])

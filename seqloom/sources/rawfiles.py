@@ -7,7 +7,7 @@ list of committed files (name, bytes) is written last, as ``_manifest.json``; a
 files it names, or without one the files it finds.
 
 ``read_u16`` reads fixed-length records (little-endian uint16) by byte ranges: a file is cut
-into ranges of whole records, one task each, so one large file is read in parallel.
+into ranges of whole records that are dealt to tasks, so one large file is read in parallel.
 
 The zeros of a row's ``pad`` are left out of local files as holes: the file has its full length and
 every reader finds the zeros, but the disk holds only the ids (other file systems get them written).
@@ -174,14 +174,24 @@ class RawWriter(DataSourceArrowWriter):
             system.delete_dir(stage)
 
 
-class Range(InputPartition):
-    def __init__(self, file: str, begin: int, end: int):
-        self.file, self.begin, self.end = file, begin, end
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges  # (file, begin, end)
+
+
+def _joined(ranges: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Ranges that follow each other in a file as one."""
+    out: list[tuple[str, int, int]] = []
+    for name, begin, end in ranges:
+        if out and out[-1][0] == name and out[-1][2] == begin:
+            begin = out.pop()[1]
+        out.append((name, begin, end))
+    return out
 
 
 class U16Reader(DataSourceReader):
-    def __init__(self, path: str, suffix: str, range_bytes: int, row_ids: int):
-        self.path, self.suffix, self.row_ids = path, suffix, row_ids
+    def __init__(self, path: str, suffix: str, range_bytes: int, row_ids: int, tasks: int):
+        self.path, self.suffix, self.row_ids, self.tasks = path, suffix, row_ids, tasks
         self.step = max(range_bytes // U16, 1) * U16  # ranges hold whole records
 
     def partitions(self):
@@ -189,27 +199,30 @@ class U16Reader(DataSourceReader):
         for name, size in list_files(self.path, self.suffix):
             if size % U16:
                 raise ValueError(f"{name}: {size} bytes are no whole number of records")
-            out += [Range(name, at, min(at + self.step, size)) for at in range(0, size, self.step)]
-        return out or [Range("", 0, 0)]
+            out += [(name, at, min(at + self.step, size)) for at in range(0, size, self.step)]
+        # many small ranges share a task: starting one takes longer than reading a range
+        each = -(-len(out) // self.tasks) or 1
+        return [Ranges(_joined(out[at:at + each])) for at in range(0, len(out), each)] or [Ranges([])]
 
     def read(self, partition):
+        system, root = open_fs(self.path)
+        for file, begin, end in partition.ranges:
+            with system.open_input_file(f"{root}/{file}") as f:
+                yield from self._rows(f, file, begin, end)
+
+    def _rows(self, f, file, at, end):
         import numpy as np
 
-        if partition.begin == partition.end:
-            return
-        system, root = open_fs(self.path)
-        with system.open_input_file(f"{root}/{partition.file}") as f:
-            f.seek(partition.begin)
-            at = partition.begin
-            while at < partition.end:
-                data = f.read(min(U16 * self.row_ids, partition.end - at))
-                if not data or len(data) % U16:
-                    raise ValueError(f"{partition.file} ends inside a record")
-                ids = pa.array(np.frombuffer(data, "<u2").astype("int32"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.file]), pa.array([at // U16], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], ["file", "first", "ids"])
-                at += len(data)
+        f.seek(at)
+        while at < end:
+            data = f.read(min(U16 * self.row_ids, end - at))
+            if not data or len(data) % U16:
+                raise ValueError(f"{file} ends inside a record")
+            ids = pa.array(np.frombuffer(data, "<u2").astype("int32"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file]), pa.array([at // U16], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], ["file", "first", "ids"])
+            at += len(data)
 
 
 class RawFiles(DataSource):
@@ -224,7 +237,8 @@ class RawFiles(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return U16Reader(o["path"], o.get("suffix", ""), int(o.get("range_bytes", RANGE_BYTES)), int(o.get("row_ids", ROW_IDS)))
+        return U16Reader(o["path"], o.get("suffix", ""), int(o.get("range_bytes", RANGE_BYTES)), int(o.get("row_ids", ROW_IDS)),
+                         int(o.get("tasks", 1 << 30)))
 
     def writer(self, schema, overwrite):
         return RawWriter(self.options["path"], overwrite)
@@ -239,7 +253,24 @@ def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> list[tuple[s
 
 
 def read_u16(spark: SparkSession, path: str, suffix: str = "", range_bytes: int = RANGE_BYTES, row_ids: int = ROW_IDS) -> DataFrame:
-    """``(file, first, ids)``: the uint16 ids of every file, ``first`` counted in ids from the file's begin."""
+    """``(file, first, ids)``: the uint16 ids of every file, ``first`` counted in ids from the file's begin.
+
+    Neighbouring ranges share a task where there are more than eight a core."""
     spark.dataSource.register(RawFiles)
+    tasks = 8 * spark.sparkContext.defaultParallelism
     return (spark.read.format(RawFiles.name()).option("path", path).option("suffix", suffix)
-            .option("range_bytes", range_bytes).option("row_ids", row_ids).load())
+            .option("range_bytes", range_bytes).option("row_ids", row_ids).option("tasks", tasks).load())
+
+
+def map_u16(spark: SparkSession, path: str, each, schema, suffix: str = "", range_bytes: int = RANGE_BYTES, row_ids: int = ROW_IDS) -> DataFrame:
+    """``each(batches)`` of what ``read_u16`` gives, a task's batches at a time, called where the bytes are read: the ids
+    need not travel to be summed up."""
+    reader = U16Reader(path, suffix, range_bytes, row_ids, 8 * spark.sparkContext.defaultParallelism)
+    parts = reader.partitions()
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from each(reader.read(parts[i]))
+
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from seqloom.operators.corpus import SPECIALS
 from seqloom.operators.positions import running_sum
 from seqloom.session import broadcast_cap, broadcast_if_small
 from seqloom.sources.json_ranges import read_json_map
-from seqloom.sources.rawfiles import RANGE_BYTES, NULL_SPLIT, U16, list_files, open_fs, read_u16
+from seqloom.sources.rawfiles import RANGE_BYTES, NULL_SPLIT, U16, list_files, map_u16, open_fs, read_u16
 
 # Strings pandas reads as missing by default (its documented NA list).
 PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -357,20 +357,24 @@ def read_vocab(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 def _decode_u16(batches):
     for b in batches:
-        data = [x or b"" for x in b.column("data").to_pylist()]
-        ids = np.frombuffer(b"".join(data), dtype="<u2").astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])]).astype(np.int32)
-        keep = [b.column(n) for n in b.schema.names if n != "data"]
-        yield pa.RecordBatch.from_arrays(keep + [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
-                                         names=[n for n in b.schema.names if n != "data"] + ["ids"])
+        sizes = pc.fill_null(pc.binary_length(b.column("data")), 0).to_numpy(zero_copy_only=False)
+        ids = np.frombuffer(b"".join(pc.fill_null(b.column("data"), b"").to_numpy(zero_copy_only=False)), dtype="<u2").astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes // 2)]).astype(np.int32)
+        keep = [n for n in b.schema.names if n != "data"]
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=keep + ["ids"])
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Packed shards written by ``write_shards`` -> ``split, block_id, n, ids``."""
+def read_shards(spark: SparkSession, path: str, each=None, schema=None) -> DataFrame:
+    """Packed shards written by ``write_shards`` -> ``split, block_id, n, ids``.
+
+    With ``each`` (Arrow batches of these rows -> batches of ``schema``) the rows are given on as they are decoded, in the
+    same worker, and only its batches are returned."""
     df = spark.read.parquet(path).select("split", "block_id", "n", "data")
-    schema = T.StructType([T.StructField("split", T.StringType()), T.StructField("block_id", T.LongType()),
-                           T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(_decode_u16, schema)
+    if each is not None:
+        return df.mapInArrow(lambda batches: each(_decode_u16(batches)), schema)
+    rows = T.StructType([T.StructField("split", T.StringType()), T.StructField("block_id", T.LongType()),
+                         T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(_decode_u16, rows)
 
 
 def _stream_files(path: str) -> list[tuple[str, str | None, int, int, int]]:
@@ -397,15 +401,30 @@ def stream_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(_stream_files(path), "file string, split string, shard long, first_offset long, n long").drop("file")
 
 
-def read_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, row_ids: int | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, row_ids: int | None = None,
+                each=None, schema=None) -> DataFrame:
     """S9, raw form: flat uint16 files (of ``write_stream`` with its manifest, or found as ``<split>.bin``)
     -> ``split, shard, offset, ids``; ``offset`` counts the split's ids before the row.
 
-    Files are cut into byte ranges of whole records, one task each, so a file of any size is read in parallel.
+    Files are cut into byte ranges of whole records that are dealt to tasks, so a file of any size is read in parallel.
+    With ``each`` (Arrow batches of these rows -> batches of ``schema``) the rows are given on as they are read, in the
+    same worker, and only its batches are returned: most of a stream is padding, which costs nothing until it travels.
     """
-    files = spark.createDataFrame(_stream_files(path), "file string, split string, shard long, first_offset long, n long")
-    raw = read_u16(spark, path, ".bin", range_bytes, **({"row_ids": row_ids} if row_ids else {}))
-    return raw.join(broadcast_if_small(files)[0], "file").select("split", "shard", (F.col("first_offset") + F.col("first")).alias("offset"), "ids")
+    rows = {"row_ids": row_ids} if row_ids else {}
+    if each is None:
+        files = spark.createDataFrame(_stream_files(path), "file string, split string, shard long, first_offset long, n long")
+        raw = read_u16(spark, path, ".bin", range_bytes, **rows)
+        return raw.join(broadcast_if_small(files)[0], "file").select("split", "shard", (F.col("first_offset") + F.col("first")).alias("offset"), "ids")
+    known = {name: (split, shard, first) for name, split, shard, first, _ in _stream_files(path)}
+
+    def placed(batches):
+        for b in batches:
+            split, shard, begin = zip(*(known[x] for x in b.column("file").to_pylist()))
+            offset = pc.add(b.column("first"), pa.array(begin, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(split, pa.string()), pa.array(shard, pa.int64()), offset, b.column("ids")],
+                                             ["split", "shard", "offset", "ids"])
+
+    return map_u16(spark, path, lambda batches: each(placed(batches)), schema, ".bin", range_bytes, **rows)
 
 
 def sample_stream(spark: SparkSession, path: str, split: str, n_draws: int, block_size: int, seed: int = 0) -> DataFrame:

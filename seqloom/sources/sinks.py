@@ -110,13 +110,20 @@ def shard_bytes(blocks: DataFrame, dtype: str = "uint16", col: str = "ids") -> D
 def write_shards(blocks: DataFrame, path: str, dtype: str = "uint16", mode: str = "overwrite") -> DataFrame:
     """K3: packed blocks -> parquet ``split=<s>/`` files of ``block_id, n, data`` in block order.
 
-    Returns the manifest ``split, block_id, first_offset, n`` (a lazy frame over the written files).
+    Returns the manifest ``split, block_id, first_offset, n`` (a lazy frame over the written files). Blocks of
+    ``pack(zeros=ZEROS)`` come with their padding as a number and keep it so up to the worker that writes their bytes.
     """
-    blank = (F.array_max("ids") == 0) & (F.array_min("ids") == 0)
-    # a block of padding travels as the number of its zeros
-    b = blocks.select("split", "block_id", "n", F.when(blank, F.size("ids")).otherwise(0).alias(ZEROS),
-                      F.when(blank, F.slice("ids", 1, 0)).otherwise(F.col("ids")).alias("ids"))
-    ordered = b.repartitionByRange("split", "block_id").sortWithinPartitions("split", "block_id")
+    if ZEROS in blocks.columns:
+        b = blocks.select("split", "block_id", "n", ZEROS, "ids")
+    else:
+        blank = (F.array_max("ids") == 0) & (F.array_min("ids") == 0)
+        # a block of padding travels as the number of its zeros
+        b = blocks.select("split", "block_id", "n", F.when(blank, F.size("ids")).otherwise(0).alias(ZEROS),
+                          F.when(blank, F.slice("ids", 1, 0)).otherwise(F.col("ids")).alias("ids"))
+    # a given number of partitions: their bytes say nothing of the time where padding is a number
+    sc = blocks.sparkSession.sparkContext
+    n = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)
+    ordered = b.repartitionByRange(n, "split", "block_id").sortWithinPartitions("split", "block_id")
     shard_bytes(ordered, dtype).write.mode(mode).partitionBy("split").parquet(path)
     spark = blocks.sparkSession
     written = spark.read.parquet(path).select("split", "block_id", "n")
